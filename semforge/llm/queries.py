@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semforge.llm import decontamination, langid, mixing, sharding, simhash
+from semforge.llm import decontamination, langid, mixing, sharding, simhash, substring_dedup, suffix_dedup
 from semforge.llm.common import table
 from semforge.llm.sql import ORACLES
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,7 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op6_mixing, op7_language_id, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_substring_dedup, op5_decontamination, op6_mixing, op7_language_id, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
