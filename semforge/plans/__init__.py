@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("shares",)
+MODULES = ("shares", "filters", "aggregates", "process")
 
 
 def load() -> None:
