@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from semforge.llm.common import arrow_map, chunks, expand, flat_bytes
 from semforge.llm.superwindows import Shape, Strings, merged, with_spans
 
-LENGTH, MINIMISER = 50, 12
+LENGTH, MINIMISER = 50, 16
 
 
 def _named(keys: np.ndarray) -> np.ndarray:

@@ -107,78 +107,220 @@ def same(data: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.nda
     return out
 
 
-class _Sender:
-    """Cuts chunks of documents into packed strings and deals them to buckets."""
+@dataclass
+class _Cut:
+    """A chunk of documents cut into runs of windows that share a minimiser."""
+
+    #: Packed bytes; for words, where each starts and how long it is.
+    data: np.ndarray
+    word_at: np.ndarray
+    word_size: np.ndarray
+    #: Row, first symbol in its row, symbols, first and end byte, hash and place of the minimiser in the string, number in its row.
+    row: np.ndarray
+    start: np.ndarray
+    symbols: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    key: np.ndarray
+    offset: np.ndarray
+    number: np.ndarray
+
+
+def _gram_hashes(data: np.ndarray, m: int) -> np.ndarray:
+    """A hash of the ``m`` bytes from each place on, 8 or more of them: their 8-byte words, the last two overlapping."""
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    n = len(data) - m + 1
+    h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for k in [*range(8, m - 8, 8), m - 8] if m > 8 else []:
+        h ^= h >> np.uint64(29)
+        h += eight[k : k + n]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    return mix(h)
+
+
+def cut(texts: pa.ChunkedArray, shape: Shape) -> _Cut | None:
+    """The runs of all windows of a chunk; they depend on each row's text alone."""
+    W, M = shape.window, shape.minimiser
+    data, offsets = flat_bytes(texts)
+    word_at = sizes = offsets[:0]
+    if shape.words:
+        starts, ends, rows = word_bounds(data, offsets)
+        sizes = ends - starts
+        word_at = np.cumsum(sizes + 1) - (sizes + 1)
+        packed_ = np.full(int((sizes + 1).sum()), 32, np.uint8)
+        packed_[expand(word_at, sizes)] = data[expand(starts, sizes)]
+        data, first = packed_, np.searchsorted(rows, np.arange(len(offsets)))
+    else:
+        first = offsets
+    n = int(first[-1])
+    if n < W:
+        return None
+    if shape.words:
+        sums, inverse = prefix_hash(data)
+        h = range_hash(sums, inverse, word_at[: n - M + 1], word_at[M - 1 :] + sizes[M - 1 :])
+    else:
+        h = _gram_hashes(data, M)
+    low = np.uint64((1 << 30) - 1)
+    least = sliding_min((h & ~low) | np.arange(n - M + 1, dtype=np.uint64), W - M + 1)
+    least &= low
+    new = np.ones(n - W + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    # Windows that leave their row start no run; those that enter one do.
+    inner = first[1:-1]
+    bad = np.zeros(n - W + 2, np.int32)
+    np.add.at(bad, np.clip(inner - W + 1, 0, n - W + 1), 1)
+    np.add.at(bad, np.clip(inner, 0, n - W + 1), -1)
+    new &= np.cumsum(bad[:-1]) == 0
+    new[inner[inner < n - W + 1]] = True
+    short = np.diff(first) < W
+    if short.any():
+        at = np.flatnonzero(new)
+        row = np.searchsorted(first, at, "right") - 1
+        new[at[at + W > first[row + 1]]] = False
+    a = np.flatnonzero(new)
+    if not len(a):
+        return None
+    row = np.searchsorted(first, a, "right") - 1
+    # A run of windows ends before the next run, or where windows would leave their document.
+    b = np.minimum(np.r_[a[1:], n - W + 1] - 1, first[row + 1] - W)
+    place = least[a].astype(np.int64)
+    lo, hi = (word_at[a], word_at[b + W - 1] + sizes[b + W - 1]) if shape.words else (a, b + W)
+    head = np.searchsorted(row, row, "left")
+    return _Cut(data, word_at, sizes, row, a - first[row], b - a + W, lo, hi, h[place], (place - a).astype(np.uint8), np.arange(len(a)) - head)
+
+
+#: Bytes that are cut at once, so that arrays over them stay in the cache.
+CUT_BYTES = 1 << 19
+
+
+class _Asker:
+    """Deals the minimisers of a map task's documents to buckets, which tell those of more than one document."""
 
     def __init__(self, shape: Shape, parts: int) -> None:
         self.shape, self.parts = shape, parts
-        self.held: list[list[tuple]] = [[] for _ in range(parts)]
+        self.held: list[tuple] = []
         self.size = 0
         self.zip = zstandard.ZstdCompressor(level=1)
 
-    def add(self, ids: np.ndarray, keys: np.ndarray, texts: pa.ChunkedArray) -> list[tuple]:
-        """Takes a chunk; returns (row, start, end) arrays of what repeats within it, in symbols."""
-        W, M = self.shape.window, self.shape.minimiser
-        data, offsets = flat_bytes(texts)
-        if self.shape.words:
-            starts, ends, rows = word_bounds(data, offsets)
-            sizes = ends - starts
-            word_at = np.cumsum(sizes + 1) - (sizes + 1)
-            joined = np.full(int((sizes + 1).sum()), 32, np.uint8)
-            joined[expand(word_at, sizes)] = data[expand(starts, sizes)]
-            first = np.searchsorted(rows, np.arange(len(offsets)))
-        else:
-            joined, first = data, offsets
-        n = int(first[-1])
-        if n < W:
-            return []
-        sums, inverse = prefix_hash(joined)
-        grams = np.arange(n - M + 1)
-        if self.shape.words:
-            h = range_hash(sums, inverse, word_at[: n - M + 1], word_at[M - 1 :] + sizes[M - 1 :])
-        else:
-            h = range_hash(sums, inverse, grams, grams + M)
-        least = sliding_min((h & ~np.uint64((1 << 30) - 1)) | grams.astype(np.uint64), W - M + 1)
-        place = (least & np.uint64((1 << 30) - 1)).astype(np.int64)
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: n - W + 1]
-        valid = np.arange(n - W + 1) + W <= first[row + 1]
-        new = np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]] & valid
-        a = np.flatnonzero(new)
-        if not len(a):
-            return []
-        # A run of windows ends before the next run, or where windows would leave their document.
-        b = np.minimum(np.r_[a[1:], n - W + 1] - 1, first[row[a] + 1] - W)
-        if self.shape.words:
-            lo, hi = word_at[a], word_at[b + W - 1] + sizes[b + W - 1]
-        else:
-            lo, hi = a, b + W
-        row_a, start = row[a], a - first[row[a]]
-        doc = ids[row_a]
-        group = same(joined, lo, hi - lo, range_hash(sums, inverse, lo, hi))
+    def add(self, ids: np.ndarray, keys: np.ndarray, texts: pa.ChunkedArray) -> tuple | None:
+        """Takes a chunk; returns (doc_id, key, number) of runs whose minimiser several of its documents have."""
+        c = cut(texts, self.shape)
+        if c is None:
+            return None
+        doc, key = ids[c.row], c.key >> np.uint64(20)
+        order = np.argsort(key, kind="stable")
+        k, d = key[order], doc[order]
+        head = np.r_[True, k[1:] != k[:-1]]
+        at = np.flatnonzero(head)
+        group = np.cumsum(head) - 1
+        many = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))[group]
+        known = order[many]
+        # Of several documents one tells the bucket; it asks nothing.
+        tell = np.sort(np.concatenate([order[~many], order[head & many]]))
+        asks = np.ones(len(doc), bool)
+        asks[known] = False
+        self.held.append((ids[c.row[tell]], keys[c.row[tell]], c.number[tell], key[tell], asks[tell]))
+        self.size += len(tell)
+        return (doc[known], keys[c.row[known]], c.number[known]) if len(known) else None
+
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        if not self.held:
+            return
+        ids, keys, number, key, asks = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        to = (key % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        bounds = np.searchsorted(to[order], np.arange(self.parts + 1))
+        for p in np.flatnonzero(np.diff(bounds)):
+            k = order[bounds[p] : bounds[p + 1]]
+            docs, doc = np.unique(np.stack([ids[k], keys[k]], 1), axis=0, return_inverse=True)
+            doc = doc.ravel()
+            by = np.lexsort((number[k], doc))
+            k, doc = k[by], doc[by]
+            step = np.diff(number[k], prepend=0).astype("<i4")
+            # 44 bits of a hash: a chance meeting costs a string's travel, not a wrong result.
+            raw = (key[k] // np.uint64(self.parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            head = np.array([len(docs), len(k)], "<u4")
+            yield int(p), self.zip.compress(b"".join(x.tobytes() for x in (head, docs.astype("<i8"), np.diff(doc, prepend=0).astype("<i4"), step.view(np.uint8).reshape(-1, 4).T.copy(), asks[k], raw)))
+
+
+def _answer(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
+    """(doc_id, key, number) of all that ask about a minimiser that several documents of a bucket have."""
+    parts = []
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n_docs, n = (int(x) for x in np.frombuffer(raw, "<u4", 2))
+        at = 8 + 16 * n_docs
+        docs = np.frombuffer(raw, "<i8", 2 * n_docs, 8).reshape(-1, 2)
+        doc = np.cumsum(np.frombuffer(raw, "<i4", n, at), dtype=np.int64)
+        step = np.frombuffer(raw, np.uint8, 4 * n, at + 4 * n).reshape(4, -1).T.copy().view("<i4").ravel()
+        asks = np.frombuffer(raw, bool, n, at + 8 * n)
+        key = np.zeros((n, 8), np.uint8)
+        key[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, at + 9 * n).reshape(-1, 6)
+        parts.append((docs[doc, 0], docs[doc, 1], np.cumsum(step, dtype=np.int64), key.view("<u8").ravel(), asks))
+    ids, keys, number, key, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], ids[order]
+    head = np.r_[True, k[1:] != k[:-1]]
+    at = np.flatnonzero(head)
+    many = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+    # One that asks nothing speaks for several documents.
+    many |= np.logical_or.reduceat(~asks[order], at)
+    yes = order[many[np.cumsum(head) - 1]]
+    yes = yes[asks[yes]]
+    return (ids[yes], keys[yes], number[yes]) if len(yes) else None
+
+
+class _Sender:
+    """Deals the packed strings of minimisers that several documents have to buckets."""
+
+    def __init__(self, shape: Shape, parts: int) -> None:
+        self.shape, self.parts = shape, parts
+        self.held: list[list[tuple]] = [[] for _ in range(parts)]
+        self.size = 0
+        self.zip = zstandard.ZstdCompressor(level=3)
+
+    def add(self, ids: np.ndarray, keys: np.ndarray, texts: pa.ChunkedArray, wanted: list) -> tuple | None:
+        """Takes a chunk and the lists of numbers of each row's runs that are wanted; returns (row, start, end) of what repeats within it."""
+        c = cut(texts, self.shape)
+        if c is None:
+            return None
+        ask = np.zeros(len(c.row), bool)
+        first = np.searchsorted(c.row, np.arange(len(ids) + 1))
+        for k, lists in enumerate(wanted):
+            if lists:
+                ask[first[k] + np.concatenate([np.frombuffer(x, "<u4") for x in lists])] = True
+        use = np.flatnonzero(ask)
+        if not len(use):
+            return None
+        row, start, lo, hi = c.row[use], c.start[use], c.lo[use], c.hi[use]
+        doc, length = ids[row], hi - lo
+        raw = c.data[expand(lo, length)]
+        at = np.cumsum(length) - length
+        sums, inverse = prefix_hash(raw)
+        group = same(raw, at, length, range_hash(sums, inverse, at, at + length))
         order = np.lexsort((doc, group))
         g, d = group[order], doc[order]
         head = np.r_[True, g[1:] != g[:-1]]
-        least_doc = d[head][np.cumsum(head) - 1]
-        later = d > least_doc
-        repeats = []
+        later = d > d[head][np.cumsum(head) - 1]
+        repeats = None
         if later.any():
             k = order[later]
-            repeats.append((row_a[k], start[k], start[k] + (b - a)[k] + W))
-        send = order[~later]
-        send = send[np.argsort(send)]
-        to = (mix(h[place[a[send]]]) >> np.uint64(20)) % np.uint64(self.parts)
+            repeats = row[k], start[k], start[k] + c.symbols[use][k]
+        send = np.sort(order[~later])
+        to = (mix(c.key[use[send]]) >> np.uint64(20)) % np.uint64(self.parts)
         by = np.argsort(to, kind="stable")
         send, to = send[by], to[by]
         cuts = np.searchsorted(to, np.arange(self.parts + 1, dtype=np.uint64))
-        lengths = (hi - lo)[send]
-        raw = joined[expand(lo[send], lengths)]
+        lengths = length[send]
+        out = raw[expand(at[send], lengths)]
         byte_cut = np.r_[0, np.cumsum(lengths)]
-        offset = (place[a[send]] - a[send]).astype(np.uint8)
+        offset = c.offset[use]
         for p in np.flatnonzero(np.diff(cuts)):
             x, y = cuts[p], cuts[p + 1]
             k = send[x:y]
-            self.held[p].append((ids[row_a[k]], keys[row_a[k]], start[k].astype(np.uint32), lengths[x:y].astype(np.uint32), offset[x:y], raw[byte_cut[x] : byte_cut[y]]))
-        self.size += len(raw)
+            self.held[p].append((doc[k], keys[row[k]], start[k].astype(np.uint32), lengths[x:y].astype(np.uint32), offset[k], out[byte_cut[x] : byte_cut[y]]))
+        self.size += len(out)
         return repeats
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
@@ -292,12 +434,78 @@ def _rows(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray)
     return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[cut], pa.int64()), "key": pa.array(keys[cut], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
+def _blob_rows(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(found), 64):
+        part = found[k : k + 64]
+        yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in part], pa.int32()), "blob": pa.array([x for _, x in part], pa.binary())})
+
+
+def _carried(batch: pa.RecordBatch) -> bytes:
+    """Rows that a map task knows already, to go through a bucket as they are."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return b"=" + sink.getvalue().to_pybytes()
+
+
+def _opened_rows(batches: Iterator[pa.RecordBatch], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Passes rows on that were known, and gathers the blobs."""
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            if blob[:1] == b"=":
+                yield from pa.ipc.open_stream(blob[1:])
+            else:
+                blobs.append(blob)
+
+
+def _numbers(ids: np.ndarray, keys: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    """One row for each document: the numbers of its runs, in order."""
+    order = np.lexsort((number, keys, ids))
+    ids, keys, number = ids[order], keys[order], number[order].astype("<u4")
+    at = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, np.int64)
+    lists = [number[a:b].tobytes() for a, b in zip(at, np.r_[at[1:], len(ids)], strict=True)]
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at], pa.int64()), "key": pa.array(keys[at], pa.int64()), "runs": pa.array(lists, pa.binary())})
+
+
+def shared_runs(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(doc_id, key, text) to (doc_id, key, runs): numbers of the runs whose minimiser several documents have; a superset by chance hits."""
+    parts = partitions(docs)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asker = _Asker(shape, parts)
+        known: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = list(asker.flush())
+            if known:
+                found.append((int(known[0][0][0]) % parts, _carried(_numbers(*(np.concatenate(x) for x in zip(*known, strict=True))))))
+                known.clear()
+            yield from _blob_rows(found)
+
+        for rows in chunks(batches, limit=CUT_BYTES):
+            if (hit := asker.add(rows.column("doc_id").to_numpy(), rows.column("key").to_numpy(), rows.column("text"))) is not None:
+                known.append(hit)
+            if asker.size >= 2 << 20:
+                yield from out()
+        yield from out()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        yield from _opened_rows(batches, blobs)
+        if blobs and (found := _answer(blobs)) is not None:
+            yield _numbers(*found)
+
+    named = docs.filter("doc_id is not null").select("doc_id", "key", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = arrow_map(named, ask, "part int, blob binary").repartitionById(parts, F.col("part"))
+    return arrow_map(dealt, answer, "doc_id long, key long, runs binary", 64)
+
+
 def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
-    """(doc_id, key, text) to (doc_id, key, spans): what repeats a document with a smaller doc_id; rows without such are absent.
+    """(doc_id, key, text, runs) to (doc_id, key, spans): what repeats a document with a smaller doc_id; rows without such are absent.
 
     Rows without a doc_id neither repeat nor are repeated. Spans are pairs of 64-bit symbol numbers, from and to.
     """
-    parts = 6 * partitions(docs)
+    parts = 2 * partitions(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(shape, parts)
@@ -306,46 +514,41 @@ def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame
         def out() -> Iterator[pa.RecordBatch]:
             found = list(sender.flush())
             if known:
-                batch = _rows(*(np.concatenate(x) for x in zip(*known, strict=True)))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as writer:
-                    writer.write_batch(batch)
-                found.append((int(known[0][0][0]) % parts, b"=" + sink.getvalue().to_pybytes()))
+                found.append((int(known[0][0][0]) % parts, _carried(_rows(*(np.concatenate(x) for x in zip(*known, strict=True))))))
                 known.clear()
-            for k in range(0, len(found), 64):
-                part = found[k : k + 64]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in part], pa.int32()), "blob": pa.array([x for _, x in part], pa.binary())})
-
-        for rows in chunks(batches, limit=2 << 20):
-            ids = rows.column("doc_id").to_numpy()
-            keys = rows.column("key").to_numpy()
-            for row, a, b in sender.add(ids, keys, rows.column("text")):
+            yield from _blob_rows(found)
+
+        # Leaving out rows without runs here, not in the plan, keeps the join the same as the later one.
+        for rows in chunks((x.filter(x.column("runs").is_valid()) for x in batches), limit=CUT_BYTES):
+            ids, keys = rows.column("doc_id").to_numpy(), rows.column("key").to_numpy()
+            if (hit := sender.add(ids, keys, rows.column("text"), rows.column("runs").to_pylist())) is not None:
+                row, a, b = hit
                 known.append((ids[row], keys[row], a, b))
             if sender.size >= HELD_BYTES:
                 yield from out()
         yield from out()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                if blob[:1] == b"=":
-                    yield from pa.ipc.open_stream(blob[1:])
-                else:
-                    blobs.append(blob)
+        blobs: list[bytes] = []
+        yield from _opened_rows(batches, blobs)
         if blobs and (found := _judge(blobs, shape, classes)) is not None:
             yield _rows(*found)
 
-    named = docs.filter("doc_id is not null").select("doc_id", "key", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = arrow_map(named, send, "part int, blob binary").repartitionById(parts, F.col("part"))
+    dealt = arrow_map(docs, send, "part int, blob binary").repartitionById(parts, F.col("part"))
     return arrow_map(dealt, judge, "doc_id long, key long, spans binary", 64)
 
 
+def _joined(keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Every document with the lists that rows have for it. All such joins deal the texts alike, so that Spark deals them once."""
+    lists = rows.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.collect_list(name).alias(name))
+    return keyed.join(lists.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("k")), "left").select("doc_id", "key", "text", name)
+
+
 def with_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
     """doc_id, text and the lists of spans of every row; null where nothing repeats."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    spans = repeated_spans(keyed, shape, classes).groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.collect_list("spans").alias("spans"))
-    return keyed.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "spans")
+    marked = _joined(keyed, shared_runs(keyed, shape), "runs")
+    return _joined(keyed, repeated_spans(marked, shape, classes), "spans").select("doc_id", "text", "spans")
 
 
 def merged(lists: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
