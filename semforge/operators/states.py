@@ -6,7 +6,7 @@ rule accepts is a row for review and doesn't move the state.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,43 +67,52 @@ def late_flags(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _fold(rules: Sequence[tuple], states: Sequence[str], strict: bool):
+    """A fold over batches of sorted rows. Only the running subject's state is held, so a subject may have any number of facts."""
     known_events = {r[1] for r in rules}
-    ordered = sorted(rules, key=lambda r: -r[3])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["effective_at", "recorded_at", "source_row_id", "fact_id"], na_position="last", kind="stable")
-        current, out = None, []
-        for r in rows.itertuples(index=False):
-            timed = not pd.isna(r.effective_at)
-            event = None if pd.isna(r.event_type) else r.event_type
-            fitting = [x for x in ordered if x[0] in (None, current) and x[1] == event and x[2] == r.to_state]
-
-            def ok(rule: tuple, r=r, event=event, current=current) -> bool:
-                if not strict or not rule[4]:
-                    return True
-                if rule[4] == "restore_event":
-                    return current in ("CLOSED", "CANCELLED") and event == "DefectProcessingEvent"
-                return bool(getattr(r, rule[4], False))
-
-            passing = next((x for x in fitting if ok(x)), None)
-            valid = r.to_state in states
-            seed = current is None and valid and timed and not fitting and event not in known_events and bool(r.mapped)
-            accepted = valid and timed and (passing is not None or seed)
-            if accepted:
-                reason = "approved_snapshot_seed" if seed else "accepted"
-            elif not timed:
-                reason = "missing_effective_at"
-            else:
-                reason = "guard_failed" if fitting and passing is None else "invalid_transition"
-            kind = "initial" if current is None else "replay" if current == r.to_state else "change"
-            out.append((r.subject_key, r.fact_id, current, r.to_state, event, kind, "accepted" if accepted else "needs_review", reason, r.effective_at, r.recorded_at))
-            if accepted:
-                current = r.to_state
-        return pd.DataFrame(out, columns=["subject_key", "fact_id", "from_state", "to_state", "event_type", "transition_type", "status", "reason", "effective_at", "recorded_at"])
+    by_step: dict[tuple, list[tuple]] = {}
+    for rule in sorted(rules, key=lambda r: -r[3]):
+        by_step.setdefault((rule[1], rule[2]), []).append(rule)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, current = object(), None
+        for rows in batches:
+            timed = rows["effective_at"].notna().tolist()
+            guards = {g: rows[g].tolist() for g in GUARDS}
+            events = [None if pd.isna(x) else x for x in rows["event_type"]]
+            out = []
+            for i, (key, to, event, mapped) in enumerate(zip(rows["subject_key"], rows["to_state"], events, rows["mapped"], strict=True)):
+                if key != subject:
+                    subject, current = key, None
+                fitting = [x for x in by_step.get((event, to), ()) if x[0] is None or x[0] == current]
+                passing = False
+                for rule in fitting:
+                    if not strict or not rule[4]:
+                        passing = True
+                    elif rule[4] == "restore_event":
+                        passing = current in ("CLOSED", "CANCELLED") and event == "DefectProcessingEvent"
+                    else:
+                        passing = bool(guards[rule[4]][i])
+                    if passing:
+                        break
+                valid = to in states and timed[i]
+                seed = current is None and valid and not fitting and event not in known_events and bool(mapped)
+                accepted = valid and (passing or seed)
+                if accepted:
+                    reason = "approved_snapshot_seed" if seed else "accepted"
+                elif not timed[i]:
+                    reason = "missing_effective_at"
+                else:
+                    reason = "guard_failed" if fitting and not passing else "invalid_transition"
+                out.append((current, "initial" if current is None else "replay" if current == to else "change", "accepted" if accepted else "needs_review", reason))
+                if accepted:
+                    current = to
+            made = pd.DataFrame(out, columns=["from_state", "transition_type", "status", "reason"], index=rows.index)
+            yield pd.concat([rows[["subject_key", "fact_id", "to_state", "event_type", "effective_at", "recorded_at"]], made], axis=1)[COLUMNS]
 
     return run
 
 
+COLUMNS = ["subject_key", "fact_id", "from_state", "to_state", "event_type", "transition_type", "status", "reason", "effective_at", "recorded_at"]
 SCHEMA = "subject_key string, fact_id string, from_state string, to_state string, event_type string, transition_type string, status string, reason string, effective_at timestamp, recorded_at timestamp"
 
 
@@ -111,7 +120,7 @@ def replay_states(facts: DataFrame, rules: Sequence[tuple] = TRANSITIONS, states
     """(transitions, current) of facts (subject_key, fact_id, to_state, event_type, mapped, effective_at, recorded_at, source_row_id).
 
     Guard columns of the names in GUARDS count only with ``strict_guards``. Unknown times come last and are for review. A subject's
-    facts are one group, as its fold is sequential; ``scope`` replays one subject alone.
+    facts are sorted into one task, as its fold is sequential, and pass through it; ``scope`` replays one subject alone.
     """
     rows = facts if scope is None else facts.filter(F.col("subject_key") == scope)
     for g in GUARDS:
@@ -119,7 +128,8 @@ def replay_states(facts: DataFrame, rules: Sequence[tuple] = TRANSITIONS, states
             rows = rows.withColumn(g, F.lit(False))
     for c in ("effective_at", "recorded_at"):
         rows = rows.withColumn(c, F.col(c).cast("timestamp"))
-    folded = rows.groupBy("subject_key").applyInPandas(_fold(rules, states, strict_guards), SCHEMA)
+    order = [F.col("subject_key"), *[F.col(c).asc_nulls_last() for c in ("effective_at", "recorded_at")], F.col("source_row_id"), F.col("fact_id")]
+    folded = rows.repartition("subject_key").sortWithinPartitions(*order).mapInPandas(_fold(rules, states, strict_guards), SCHEMA)
     out = late_flags(folded, ["subject_key"]).withColumn("transition_id", stable_id("TRN", F.col("subject_key"), F.col("fact_id"), F.col("to_state")))
     return out, current_states(out)
 
