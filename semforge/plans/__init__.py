@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("shares", "filters", "aggregates", "process")
+MODULES = ("shares", "filters", "aggregates", "process", "semantics")
 
 
 def load() -> None:
