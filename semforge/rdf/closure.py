@@ -6,26 +6,19 @@ small tables; instance data never leaves the executors. A table in the shared fo
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semforge.functions.iri import OWL, RDFS, TYPE
+from semforge.storage import cut_lineage
 
 ROUNDS = 32
 RULE_SET = "owl-rl-subset-1"
 _KEY = ("subject", "predicate", "object_kind", "object")
 
 
-def _checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    context = spark.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().isDefined()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="semforge-"))
-    return df.checkpoint()
-
-
 def _pairs(triples: DataFrame, *predicates: str, both: tuple[str, ...] = ()) -> DataFrame:
     """(a, b) of schema statements between IRIs; those in ``both`` also the other way round."""
     rows = triples.filter(F.col("predicate").isin(*predicates, *both) & (F.col("object_kind") == "iri"))
@@ -37,14 +30,13 @@ def _pairs(triples: DataFrame, *predicates: str, both: tuple[str, ...] = ()) ->
 
 def transitive(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """All (a, b) with a path from a to b, by doubling: each round joins paths with paths."""
-    spark = pairs.sparkSession
-    known = _checkpointed(spark, pairs.select("a", "b").distinct())
+    known = cut_lineage(pairs.select("a", "b").distinct())
     for _ in range(rounds):
         longer = known.alias("l").join(known.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b")).distinct()
-        new = _checkpointed(spark, longer.join(known, ["a", "b"], "left_anti"))
+        new = cut_lineage(longer.join(known, ["a", "b"], "left_anti"))
         if not new.limit(1).count():
             return known
-        known = _checkpointed(spark, known.union(new))
+        known = cut_lineage(known.union(new))
     raise RuntimeError(f"no fixed point in {rounds} rounds")
 
 
@@ -54,8 +46,7 @@ def closure(quads: DataFrame, max_iter: int = ROUNDS) -> tuple[DataFrame, int]:
     Rules: subclass and subproperty closure, equivalence both ways, type propagation, domain, range of IRI objects, inverse both ways,
     symmetric and transitive properties. ``rounds`` counts the last one, that adds nothing.
     """
-    spark = quads.sparkSession
-    base = _checkpointed(spark, quads.select(*_KEY, "datatype", "language").distinct())
+    base = cut_lineage(quads.select(*_KEY, "datatype", "language").distinct())
     known, delta = base, base
     found: list[DataFrame] = []
     none = F.lit(None).cast("string")
@@ -96,12 +87,12 @@ def closure(quads: DataFrame, max_iter: int = ROUNDS) -> tuple[DataFrame, int]:
             parts.append(edge(left.join(right, ["m", "p"]), "s", "p", "o"))
         candidates = reduce(DataFrame.unionByName, parts).distinct()
         on = [F.col(f"c.{k}").eqNullSafe(F.col(f"k.{k}")) for k in (*_KEY, "datatype", "language")]
-        new = _checkpointed(spark, candidates.alias("c").join(known.alias("k"), reduce(lambda x, y: x & y, on), "left_anti"))
+        new = cut_lineage(candidates.alias("c").join(known.alias("k"), reduce(lambda x, y: x & y, on), "left_anti"))
         if not new.limit(1).count():
             break
         found.append(new.withColumn("iteration", F.lit(rounds)))
         fresh_schema = bool(new.filter(is_schema).limit(1).count())
-        known, delta = _checkpointed(spark, known.unionByName(new)), new
+        known, delta = cut_lineage(known.unionByName(new)), new
     if not found:
         return base.limit(0).withColumns({"iteration": F.lit(0), "rule_set": F.lit(RULE_SET), "support": F.array("predicate")}), rounds
     return reduce(DataFrame.unionByName, found).withColumns({"rule_set": F.lit(RULE_SET), "support": F.array("predicate")}), rounds
