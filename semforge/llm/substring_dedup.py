@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from semforge.llm.common import arrow_map, chunks, flat_bytes, prefix_hash, range_hash, word_bounds
 from semforge.llm.superwindows import Shape, Strings, merged, same, with_spans
 
-WINDOW, MINIMISER = 13, 4
+WINDOW, MINIMISER = 13, 5
 
 
 def sorted_windows(texts: Strings, which: np.ndarray) -> np.ndarray:

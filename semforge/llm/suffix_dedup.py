@@ -20,94 +20,96 @@ from pyspark.sql import DataFrame
 from semforge.llm.common import arrow_map, chunks, expand, flat_bytes
 from semforge.llm.superwindows import Shape, Strings, merged, with_spans
 
-LENGTH, MINIMISER = 50, 16
+LENGTH, MINIMISER = 50, 24
 
 
-def _named(keys: np.ndarray) -> np.ndarray:
-    """The rank of each key among the distinct ones, from 1."""
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and the rank of each among the distinct ones, from 1."""
     order = np.argsort(keys)
     k = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]])
-    return out
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]])
+    return order, rank
 
 
 def _triples(s: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
-    """One integer for the three symbols from each place, or names of pairs where three don't fit in 63 bits."""
+    """One integer for the three symbols from each place, in their order; pairs are named first where three don't fit in 63 bits."""
     bits = max(1, top.bit_length())
     if 3 * bits <= 63:
         return s[at] << 2 * bits | s[at + 1] << bits | s[at + 2]
-    pair = _named(s[at] << 31 | s[at + 1])
+    pair = _ranked(s[at] << 31 | s[at + 1])[1]
     return pair << 31 | s[at + 2]
 
 
-def _merge(s: np.ndarray, n: int, rank: np.ndarray) -> np.ndarray:
-    """All suffixes of s in order, from the ranks of the sampled ones (places 1 and 2 modulo 3)."""
-    big = int(rank.max()) + 1
-    wide = int(s.max()) + 1
-    i1, i2, i0 = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
-    first = s[i0] * big + rank[i0 + 1]
-    i0 = i0[np.argsort(first)]
-    i1 = i1[np.argsort(rank[i1], kind="stable")]
-    i2 = i2[np.argsort(rank[i2], kind="stable")]
-    sample = np.concatenate([i1, i2])
-    sample = sample[np.argsort(rank[sample], kind="stable")]
-    before = np.searchsorted(s[i1] * big + rank[i1 + 1], s[i0] * big + rank[i0 + 1])
-    before += np.searchsorted((s[i2] * wide + s[i2 + 1]) * big + rank[i2 + 2], (s[i0] * wide + s[i0 + 1]) * big + rank[i0 + 2])
-    order = np.empty(n, np.int64)
-    # Suffixes that agree on all that was compared may count one of their kind as smaller; no place is given twice.
-    at = np.maximum.accumulate(before) + np.arange(len(i0))
-    free = np.ones(n, bool)
-    free[at] = False
-    order[at] = i0
-    order[free] = sample
-    return order
-
+def _ordered(symbols: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all suffixes in the order of their first ``depth`` symbols at least, and the rank of each, from 1.
 
-def _sampled(s: np.ndarray, n: int, depth: int) -> np.ndarray:
-    """Ranks of the sampled suffixes by at least ``depth`` symbols, in an array over all places; 0 past the end."""
-    # A text of length 1 modulo 3 has a sample just past its end, which keeps the two halves of the names apart.
+    Symbols are positive integers. Suffixes that agree on ``depth`` symbols or more may share a rank. With ``wanted``, a mask, only
+    those places are merged into the order, and ranks are left out.
+    """
+    n = len(symbols)
+    s = np.concatenate([symbols, np.zeros(4, np.int64)])
+    top = int(symbols.max()) if n else 0
+    if depth <= 2 or n < 3:
+        order, rank = _ranked(_triples(s, np.arange(n), top))
+        return (order if wanted is None else order[wanted[order]]), rank
+    # Places 1 and 2 modulo 3 are the cover. A length of 1 modulo 3 has a sample just past its end, which keeps the two halves apart.
     at = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
-    names = _named(_triples(s, at, int(s.max())))
-    rank = np.zeros(n + 3, np.int64)
+    keys = _triples(s, at, top)
+    if (most := int(keys.max())) < 8 * len(keys):
+        # Few enough for a table: names without a sort.
+        seen = np.zeros(most + 1, bool)
+        seen[keys] = True
+        names = np.cumsum(seen)[keys]
+        sample = None
+    else:
+        sample, names = _ranked(keys)
     if depth > 3 and names.max() < len(names):
-        names = ranks(names, -(-depth // 3))
+        sample, names = _ordered(names, -(-depth // 3))
+    elif sample is None:
+        sample = np.argsort(names)
+    rank = np.zeros(n + 3, np.int64)
     rank[at] = names
     rank[n:] = 0
-    return rank
-
-
-def ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of each suffix by its first ``depth`` symbols or more, from 1; suffixes that agree on all of these may share one.
-
-    Symbols are positive integers.
-    """
-    n = len(symbols)
-    s = np.concatenate([symbols, np.zeros(4, symbols.dtype)])
-    if depth <= 2 or n < 3:
-        return _named(_triples(s, np.arange(n), int(s.max())))
-    rank = _sampled(s, n, depth)
-    order = _merge(s, n, rank)
+    sample = at[sample]
+    sample = sample[sample < n]
+    i0 = np.arange(0, n, 3)
+    if wanted is not None:
+        sample, i0 = sample[wanted[sample]], i0[wanted[i0]]
+    big, wide = int(rank.max()) + 1, top + 1
+    first = s[i0] * big + rank[i0 + 1]
+    by = np.argsort(first)
+    i0, first = i0[by], first[by]
+    kind = sample % 3
+    i1, i2 = sample[kind == 1], sample[kind == 2]
+    # How many samples are smaller than each of the rest: both are compared by what follows up to a sampled place.
+    before = np.searchsorted(s[i1] * big + rank[i1 + 1], first)
+    before += np.searchsorted((s[i2] * wide + s[i2 + 1]) * big + rank[i2 + 2], (s[i0] * wide + s[i0 + 1]) * big + rank[i0 + 2])
+    total = len(i0) + len(sample)
+    order = np.empty(total, np.int64)
+    # Suffixes that agree on all that was compared may count one of their kind as smaller; no place is given twice.
+    to = np.maximum.accumulate(before) + np.arange(len(i0))
+    free = np.ones(total, bool)
+    free[to] = False
+    order[to] = i0
+    order[free] = sample
+    if wanted is not None:
+        return order, rank
     # Neighbours share a rank if their symbols up to a sampled place agree and so do the ranks there.
     a, b = order[:-1], order[1:]
     ma, mb = a % 3, b % 3
-    one = ((ma != 2) & (mb != 2)) | (ma == mb)
-    step = np.where((ma + mb == 3) & (ma != mb) | (ma == mb) & (ma != 0), 0, np.where(one, 1, 2))
+    step = np.where((ma > 0) & (mb > 0), 0, np.where((ma != 2) & (mb != 2), 1, 2))
     agree = (step == 0) | (s[a] == s[b])
     agree &= (step < 2) | (s[a + 1] == s[b + 1])
     agree &= rank[np.minimum(a + step, n)] == rank[np.minimum(b + step, n)]
     out = np.empty(n, np.int64)
     out[order] = np.cumsum(np.r_[True, ~agree])
-    return out
+    return order, out
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes in the order of their first ``depth`` symbols at least."""
-    n = len(symbols)
-    if n < 3:
-        return np.argsort(ranks(symbols, depth), kind="stable")
-    s = np.concatenate([symbols, np.zeros(4, symbols.dtype)])
-    return _merge(s, n, _sampled(s, n, depth))
+def suffix_order(symbols: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of all suffixes, or of the wanted ones, in the order of their first ``depth`` symbols at least."""
+    return _ordered(symbols.astype(np.int64), depth, wanted)[0]
 
 
 def suffix_classes(texts: Strings, which: np.ndarray) -> np.ndarray:
@@ -115,16 +117,18 @@ def suffix_classes(texts: Strings, which: np.ndarray) -> np.ndarray:
     length = texts.shape.window
     sizes = texts.at[which + 1] - texts.at[which]
     to = np.cumsum(sizes + 1) - (sizes + 1)
-    # Symbol 1 stands after each string; bytes are 2 and more.
-    symbols = np.ones(int((sizes + 1).sum()), np.int64)
-    symbols[expand(to, sizes)] = texts.data[expand(texts.at[which], sizes)].astype(np.int64) + 2
+    raw = np.zeros(int((sizes + 1).sum()) + 8, np.uint8)
+    raw[expand(to, sizes)] = texts.data[expand(texts.at[which], sizes)]
+    total = len(raw) - 8
+    # Bytes get dense codes from 2 on; symbol 1 stands after each string.
+    used = np.bincount(raw[:total], minlength=256) > 0
+    symbols = (np.cumsum(used) + 1)[raw[:total]]
+    symbols[to + sizes] = 1
     counts = sizes - length + 1
     number = np.full(len(symbols), -1, np.int64)
     places = expand(to, counts)
     number[places] = np.arange(len(places))
-    order = suffix_order(symbols, length)
-    order = order[number[order] >= 0]
-    raw = np.concatenate([(symbols - 2).astype(np.uint8), np.zeros(8, np.uint8)])
+    order = suffix_order(symbols, length, number >= 0)
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     equal = np.ones(max(len(order) - 1, 0), bool)
     for k in [*range(0, length - 8, 8), length - 8]:

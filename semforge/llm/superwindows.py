@@ -199,11 +199,12 @@ class _Asker:
     def __init__(self, shape: Shape, parts: int) -> None:
         self.shape, self.parts = shape, parts
         self.held: list[tuple] = []
-        self.size = 0
+        self.docs: list[np.ndarray] = []
+        self.rows = self.size = 0
         self.zip = zstandard.ZstdCompressor(level=1)
 
-    def add(self, ids: np.ndarray, keys: np.ndarray, texts: pa.ChunkedArray) -> tuple | None:
-        """Takes a chunk; returns (doc_id, key, number) of runs whose minimiser several of its documents have."""
+    def add(self, ids: np.ndarray, texts: pa.ChunkedArray) -> tuple | None:
+        """Takes a chunk; returns (doc_id, number) of runs whose minimiser several of its documents have."""
         c = cut(texts, self.shape)
         if c is None:
             return None
@@ -219,46 +220,57 @@ class _Asker:
         tell = np.sort(np.concatenate([order[~many], order[head & many]]))
         asks = np.ones(len(doc), bool)
         asks[known] = False
-        self.held.append((ids[c.row[tell]], keys[c.row[tell]], c.number[tell], key[tell], asks[tell]))
+        self.held.append((self.rows + c.row[tell], c.number[tell], key[tell], asks[tell]))
+        self.docs.append(ids)
+        self.rows += len(ids)
         self.size += len(tell)
-        return (doc[known], keys[c.row[known]], c.number[known]) if len(known) else None
+        return (doc[known], c.number[known]) if len(known) else None
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
         if not self.held:
             return
-        ids, keys, number, key, asks = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.size = [], 0
+        row, number, key, asks = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        table = np.concatenate(self.docs)
+        self.held, self.docs, self.rows, self.size = [], [], 0, 0
         to = (key % np.uint64(self.parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         bounds = np.searchsorted(to[order], np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(bounds)):
             k = order[bounds[p] : bounds[p + 1]]
-            docs, doc = np.unique(np.stack([ids[k], keys[k]], 1), axis=0, return_inverse=True)
-            doc = doc.ravel()
-            by = np.lexsort((number[k], doc))
-            k, doc = k[by], doc[by]
-            step = np.diff(number[k], prepend=0).astype("<i4")
-            # 44 bits of a hash: a chance meeting costs a string's travel, not a wrong result.
-            raw = (key[k] // np.uint64(self.parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            head = np.array([len(docs), len(k)], "<u4")
-            yield int(p), self.zip.compress(b"".join(x.tobytes() for x in (head, docs.astype("<i8"), np.diff(doc, prepend=0).astype("<i4"), step.view(np.uint8).reshape(-1, 4).T.copy(), asks[k], raw)))
+            # Rows come in order, and so do the runs of each.
+            head = np.r_[True, np.diff(row[k]) > 0]
+            docs, doc = table[row[k[head]]], np.cumsum(head) - 1
+            step = np.diff(number[k], prepend=0)
+            # 40 bits of a hash besides the bucket: a chance meeting costs a string's travel, not a wrong result.
+            raw = (key[k] // np.uint64(self.parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            counts = np.array([len(docs), len(k)], "<u4")
+            yield int(p), self.zip.compress(b"".join(x.tobytes() for x in (counts, _planes(np.diff(docs, prepend=0), 8), _planes(np.diff(doc, prepend=0), 4), _planes(step, 4), asks[k], raw)))
+
+
+def _planes(x: np.ndarray, size: int) -> np.ndarray:
+    """Integers byte by byte, first all lowest ones: bytes that are mostly zero then lie together."""
+    return np.ascontiguousarray(x.astype(f"<i{size}").view(np.uint8).reshape(-1, size).T)
+
+
+def _unplanes(raw: bytes, n: int, size: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, -1).T).view(f"<i{size}").ravel().astype(np.int64)
 
 
 def _answer(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """(doc_id, key, number) of all that ask about a minimiser that several documents of a bucket have."""
+    """(doc_id, number) of all that ask about a minimiser that several documents of a bucket have."""
     parts = []
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n_docs, n = (int(x) for x in np.frombuffer(raw, "<u4", 2))
-        at = 8 + 16 * n_docs
-        docs = np.frombuffer(raw, "<i8", 2 * n_docs, 8).reshape(-1, 2)
-        doc = np.cumsum(np.frombuffer(raw, "<i4", n, at), dtype=np.int64)
-        step = np.frombuffer(raw, np.uint8, 4 * n, at + 4 * n).reshape(4, -1).T.copy().view("<i4").ravel()
+        at = 8 + 8 * n_docs
+        docs = np.cumsum(_unplanes(raw, n_docs, 8, 8))
+        doc = np.cumsum(_unplanes(raw, n, 4, at))
+        number = np.cumsum(_unplanes(raw, n, 4, at + 4 * n))
         asks = np.frombuffer(raw, bool, n, at + 8 * n)
         key = np.zeros((n, 8), np.uint8)
-        key[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, at + 9 * n).reshape(-1, 6)
-        parts.append((docs[doc, 0], docs[doc, 1], np.cumsum(step, dtype=np.int64), key.view("<u8").ravel(), asks))
-    ids, keys, number, key, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, at + 9 * n).reshape(-1, 5)
+        parts.append((docs[doc], number, key.view("<u8").ravel(), asks))
+    ids, number, key, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(key, kind="stable")
     k, d = key[order], ids[order]
     head = np.r_[True, k[1:] != k[:-1]]
@@ -268,7 +280,7 @@ def _answer(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
     many |= np.logical_or.reduceat(~asks[order], at)
     yes = order[many[np.cumsum(head) - 1]]
     yes = yes[asks[yes]]
-    return (ids[yes], keys[yes], number[yes]) if len(yes) else None
+    return (ids[yes], number[yes]) if len(yes) else None
 
 
 class _Sender:
@@ -277,11 +289,12 @@ class _Sender:
     def __init__(self, shape: Shape, parts: int) -> None:
         self.shape, self.parts = shape, parts
         self.held: list[list[tuple]] = [[] for _ in range(parts)]
-        self.size = 0
+        self.docs: list[np.ndarray] = []
+        self.rows = self.size = 0
         self.zip = zstandard.ZstdCompressor(level=3)
 
     def add(self, ids: np.ndarray, keys: np.ndarray, texts: pa.ChunkedArray, wanted: list) -> tuple | None:
-        """Takes a chunk and the lists of numbers of each row's runs that are wanted; returns (row, start, end) of what repeats within it."""
+        """Takes a chunk and the numbers of each row's runs that are wanted; returns (row, start, end) of what repeats within it."""
         c = cut(texts, self.shape)
         if c is None:
             return None
@@ -289,7 +302,9 @@ class _Sender:
         first = np.searchsorted(c.row, np.arange(len(ids) + 1))
         for k, lists in enumerate(wanted):
             if lists:
-                ask[first[k] + np.concatenate([np.frombuffer(x, "<u4") for x in lists])] = True
+                number = np.frombuffer(lists, "<u4")
+                # Rows that share a doc_id share their lists, so one may have fewer runs.
+                ask[first[k] + number[number < first[k + 1] - first[k]]] = True
         use = np.flatnonzero(ask)
         if not len(use):
             return None
@@ -319,21 +334,25 @@ class _Sender:
         for p in np.flatnonzero(np.diff(cuts)):
             x, y = cuts[p], cuts[p + 1]
             k = send[x:y]
-            self.held[p].append((doc[k], keys[row[k]], start[k].astype(np.uint32), lengths[x:y].astype(np.uint32), offset[k], out[byte_cut[x] : byte_cut[y]]))
+            self.held[p].append((self.rows + row[k], start[k].astype(np.uint32), lengths[x:y].astype(np.uint32), offset[k], out[byte_cut[x] : byte_cut[y]]))
+        self.docs.append(np.stack([ids, keys], 1))
+        self.rows += len(ids)
         self.size += len(out)
         return repeats
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
+        table = np.concatenate(self.docs) if self.docs else None
         for p, pieces in enumerate(self.held):
             if pieces:
-                ids, keys, start, length, offset, raw = (np.concatenate(x) for x in zip(*pieces, strict=True))
-                docs, doc = np.unique(np.stack([ids, keys], 1), axis=0, return_inverse=True)
+                row, start, length, offset, raw = (np.concatenate(x) for x in zip(*pieces, strict=True))
+                first = np.r_[True, np.diff(row) > 0]
+                docs, doc = table[row[first]], np.cumsum(first) - 1
                 # Places go up within a document, so steps between them are small.
-                step = np.diff(start.astype(np.int64), prepend=0).astype(np.int32)
-                head = np.array([len(docs), len(ids)], "<u4")
-                yield p, self.zip.compress(b"".join(x.tobytes() for x in (head, docs.astype("<i8"), doc.ravel().astype("<u4"), step, length, offset, raw)))
+                step = np.diff(start.astype(np.int64), prepend=0).astype("<i4")
+                head = np.array([len(docs), len(row)], "<u4")
+                yield p, self.zip.compress(b"".join(x.tobytes() for x in (head, docs.astype("<i8"), doc.astype("<u4"), step, length, offset, raw)))
         self.held = [[] for _ in range(self.parts)]
-        self.size = 0
+        self.docs, self.rows, self.size = [], 0, 0
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -395,7 +414,7 @@ def _judge(blobs: list[bytes], shape: Shape, classes: Classes) -> tuple[np.ndarr
     # Groups of a minimiser are independent, so they are judged in batches; a large group is a batch of its own.
     size = np.cumsum(lengths[one[by_minimiser]])
     edges = np.flatnonzero(np.r_[True, of[one[by_minimiser]][1:] != of[one[by_minimiser]][:-1]])
-    batch = size[edges] >> 20
+    batch = size[edges] >> 18
     bounds = np.r_[edges[np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]])], len(by_minimiser)]
     for x, y in zip(bounds[:-1], bounds[1:], strict=True):
         which = by_minimiser[x:y]
@@ -422,16 +441,45 @@ def _judge(blobs: list[bytes], shape: Shape, classes: Classes) -> tuple[np.ndarr
     return ids[who[a]], keys[who[a]], first[a], first[b] + shape.window
 
 
+def _home(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
+
+
+def _sent_home(columns: tuple[np.ndarray, ...], parts: int) -> list[tuple[int, bytes]]:
+    """Integer columns, the first of them doc_ids, as one packed block for each part to which documents belong, in order."""
+    order = np.lexsort(columns[::-1])
+    columns = tuple(c[order] for c in columns)
+    to = _home(columns[0], parts)
+    by = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[by], np.arange(parts + 1))
+    out = []
+    for p in np.flatnonzero(np.diff(cuts)):
+        k = by[cuts[p] : cuts[p + 1]]
+        planes = [_planes(np.diff(c[k], prepend=0), 8) for c in columns]
+        out.append((int(p), zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in planes))))
+    return out
+
+
+def _came_home(blobs: list[bytes], columns: int) -> tuple[np.ndarray, ...]:
+    found: list[list[np.ndarray]] = [[] for _ in range(columns)]
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = len(raw) // (8 * columns)
+        for k in range(columns):
+            found[k].append(np.cumsum(_unplanes(raw, n, 8, 8 * n * k)))
+    return tuple(np.concatenate(x) for x in found)
+
+
 def _rows(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """One row for each document: its spans as pairs of integers, merged."""
     order = np.lexsort((start, keys, ids))
     ids, keys, start, end = ids[order], keys[order], start[order], end[order]
-    cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, np.int64)
+    cut_ = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, np.int64)
     spans = []
-    for a, b in zip(cut, np.r_[cut[1:], len(ids)], strict=True):
+    for a, b in zip(cut_, np.r_[cut_[1:], len(ids)], strict=True):
         s, e = merge_spans(start[a:b], end[a:b])
         spans.append(np.stack([s, e], 1).astype("<i8").tobytes())
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[cut], pa.int64()), "key": pa.array(keys[cut], pa.int64()), "spans": pa.array(spans, pa.binary())})
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[cut_], pa.int64()), "key": pa.array(keys[cut_], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
 def _blob_rows(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -440,64 +488,78 @@ def _blob_rows(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in part], pa.int32()), "blob": pa.array([x for _, x in part], pa.binary())})
 
 
-def _carried(batch: pa.RecordBatch) -> bytes:
-    """Rows that a map task knows already, to go through a bucket as they are."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return b"=" + sink.getvalue().to_pybytes()
+def _numbers(ids: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    """One row for each document: the numbers of its runs, in order."""
+    order = np.lexsort((number, ids))
+    ids, number = ids[order], number[order].astype("<u4")
+    at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+    lists = [number[a:b].tobytes() for a, b in zip(at, np.r_[at[1:], len(ids)], strict=True)]
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at], pa.int64()), "runs": pa.array(lists, pa.binary())})
+
+
+_BLOB = "part int, blob binary"
 
 
-def _opened_rows(batches: Iterator[pa.RecordBatch], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Passes rows on that were known, and gathers the blobs."""
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            if blob[:1] == b"=":
-                yield from pa.ipc.open_stream(blob[1:])
-            else:
-                blobs.append(blob)
+def _dealt(df: DataFrame, fn: Callable, parts: int, rows: int = 400) -> DataFrame:
+    return arrow_map(df, fn, _BLOB, rows).repartitionById(parts, F.col("part"))
 
 
-def _numbers(ids: np.ndarray, keys: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
-    """One row for each document: the numbers of its runs, in order."""
-    order = np.lexsort((number, keys, ids))
-    ids, keys, number = ids[order], keys[order], number[order].astype("<u4")
-    at = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, np.int64)
-    lists = [number[a:b].tobytes() for a, b in zip(at, np.r_[at[1:], len(ids)], strict=True)]
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at], pa.int64()), "key": pa.array(keys[at], pa.int64()), "runs": pa.array(lists, pa.binary())})
+def _each_home(df: DataFrame, columns: int, gather: Callable, schema: str) -> DataFrame:
+    """Blocks that were sent home to one row for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for batch in batches for x in batch.column("blob").to_pylist()]
+        if blobs:
+            yield gather(*_came_home(blobs, columns))
+
+    return arrow_map(df, run, schema, 64)
+
+
+def _mapped_batches(flush: Callable, known: list[tuple], home: int, homes: int) -> Iterator[pa.RecordBatch]:
+    """A map task's blobs. What it knows without a bucket goes by the same exchange: homes are numbered after the buckets."""
+    found = list(flush())
+    if known:
+        found += [(home + p, x) for p, x in _sent_home(tuple(np.concatenate(x) for x in zip(*known, strict=True)), homes)]
+        known.clear()
+    yield from _blob_rows(found)
+
+
+def _bucket_task(judge: Callable, home: int, homes: int) -> Callable:
+    """A task that gets one bucket's blobs, or one home's known blocks: the first are judged and sent home, the others go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            for p, blob in zip(parts, batch.column("blob").to_pylist(), strict=True):
+                if p >= home:
+                    yield from _blob_rows([(int(p) - home, blob)])
+                else:
+                    blobs.append(blob)
+        if blobs and (found := judge(blobs)) is not None:
+            yield from _blob_rows(_sent_home(found, homes))
+
+    return run
 
 
 def shared_runs(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(doc_id, key, text) to (doc_id, key, runs): numbers of the runs whose minimiser several documents have; a superset by chance hits."""
-    parts = partitions(docs)
+    """(doc_id, text) to (doc_id, runs): numbers of the runs whose minimiser several documents have; a superset by chance hits."""
+    homes = partitions(docs)
+    parts = max(1, homes // 2)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asker = _Asker(shape, parts)
         known: list[tuple] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            found = list(asker.flush())
-            if known:
-                found.append((int(known[0][0][0]) % parts, _carried(_numbers(*(np.concatenate(x) for x in zip(*known, strict=True))))))
-                known.clear()
-            yield from _blob_rows(found)
-
         for rows in chunks(batches, limit=CUT_BYTES):
-            if (hit := asker.add(rows.column("doc_id").to_numpy(), rows.column("key").to_numpy(), rows.column("text"))) is not None:
+            if (hit := asker.add(rows.column("doc_id").to_numpy(), rows.column("text"))) is not None:
                 known.append(hit)
             if asker.size >= 2 << 20:
-                yield from out()
-        yield from out()
+                yield from _mapped_batches(asker.flush, known, parts, homes)
+        yield from _mapped_batches(asker.flush, known, parts, homes)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[bytes] = []
-        yield from _opened_rows(batches, blobs)
-        if blobs and (found := _answer(blobs)) is not None:
-            yield _numbers(*found)
-
-    named = docs.filter("doc_id is not null").select("doc_id", "key", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = arrow_map(named, ask, "part int, blob binary").repartitionById(parts, F.col("part"))
-    return arrow_map(dealt, answer, "doc_id long, key long, runs binary", 64)
+    named = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    asked = _dealt(named, ask, parts + homes)
+    return _each_home(_dealt(asked, _bucket_task(_answer, parts, homes), homes, 64), 2, _numbers, "doc_id long, runs binary")
 
 
 def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
@@ -505,19 +567,12 @@ def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame
 
     Rows without a doc_id neither repeat nor are repeated. Spans are pairs of 64-bit symbol numbers, from and to.
     """
-    parts = 2 * partitions(docs)
+    homes = partitions(docs)
+    parts = 2 * homes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(shape, parts)
         known: list[tuple] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            found = list(sender.flush())
-            if known:
-                found.append((int(known[0][0][0]) % parts, _carried(_rows(*(np.concatenate(x) for x in zip(*known, strict=True))))))
-                known.clear()
-            yield from _blob_rows(found)
-
         # Leaving out rows without runs here, not in the plan, keeps the join the same as the later one.
         for rows in chunks((x.filter(x.column("runs").is_valid()) for x in batches), limit=CUT_BYTES):
             ids, keys = rows.column("doc_id").to_numpy(), rows.column("key").to_numpy()
@@ -525,30 +580,27 @@ def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame
                 row, a, b = hit
                 known.append((ids[row], keys[row], a, b))
             if sender.size >= HELD_BYTES:
-                yield from out()
-        yield from out()
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[bytes] = []
-        yield from _opened_rows(batches, blobs)
-        if blobs and (found := _judge(blobs, shape, classes)) is not None:
-            yield _rows(*found)
-
-    dealt = arrow_map(docs, send, "part int, blob binary").repartitionById(parts, F.col("part"))
-    return arrow_map(dealt, judge, "doc_id long, key long, spans binary", 64)
-
+                yield from _mapped_batches(sender.flush, known, parts, homes)
+        yield from _mapped_batches(sender.flush, known, parts, homes)
 
-def _joined(keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """Every document with the lists that rows have for it. All such joins deal the texts alike, so that Spark deals them once."""
-    lists = rows.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.collect_list(name).alias(name))
-    return keyed.join(lists.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("k")), "left").select("doc_id", "key", "text", name)
+    sent = _dealt(docs, send, parts + homes)
+    judge = _bucket_task(lambda blobs: _judge(blobs, shape, classes), parts, homes)
+    return _each_home(_dealt(sent, judge, homes, 64), 4, _rows, "doc_id long, key long, spans binary")
 
 
 def with_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
-    """doc_id, text and the lists of spans of every row; null where nothing repeats."""
+    """doc_id, text and spans of every row; null where nothing repeats.
+
+    Both joins deal the texts alike, so that Spark deals them once.
+    """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    marked = _joined(keyed, shared_runs(keyed, shape), "runs")
-    return _joined(keyed, repeated_spans(marked, shape, classes), "spans").select("doc_id", "text", "spans")
+    runs = shared_runs(keyed, shape).withColumnRenamed("doc_id", "id").hint("merge")
+    marked = keyed.join(runs, F.col("doc_id") == F.col("id"), "left").select("doc_id", "key", "text", "runs")
+    spans = repeated_spans(marked, shape, classes).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "spans").hint("merge")
+    # The join is on doc_id alone, like the first; the few rows that share one are told apart afterwards.
+    both = keyed.join(spans.groupBy("id").agg(F.collect_list(F.struct("k", "spans")).alias("s")).hint("merge"), F.col("doc_id") == F.col("id"), "left")
+    own = F.filter("s", lambda x: x["k"] == F.col("key"))
+    return both.select("doc_id", "text", F.transform(own, lambda x: x["spans"]).alias("spans"))
 
 
 def merged(lists: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
