@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = r"(?U)[\s　]+"
 #: Fixed value: punctuation that a candidate may not begin or end with.
@@ -22,7 +23,7 @@ PLACEHOLDERS = ("test", "xxx", "n/a", "na", "none", "null", "-", "--", "待定",
 CJK = "一-鿿"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -207,7 +208,7 @@ def _mapping_group(c: str) -> str:
     return "punctuation" if unicodedata.category(c).startswith("P") else "other"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mapping_group(text: pd.Series) -> pd.Series:
     """Kinds of the characters that NFKC changes, sorted, joined by a plus."""
 
@@ -217,7 +218,7 @@ def mapping_group(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def changed_codepoints(text: pd.Series) -> pd.Series:
     """``U+XXXX(name)>form`` of each character that NFKC changes, sorted and distinct."""
 
@@ -227,7 +228,7 @@ def changed_codepoints(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mapping_signature(source: pd.Series, target: pd.Series) -> pd.Series:
     """Sorted distinct ``U+XXXX->form`` that turn the source into the target; else ``contextual_or_composed_change``."""
 
@@ -242,7 +243,7 @@ def mapping_signature(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(source, target, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def edit_script(source: pd.Series, target: pd.Series) -> pd.Series:
     """The changes that turn one text into the other, as ``kind:from->to`` joined by bars."""
 
@@ -255,7 +256,7 @@ def edit_script(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(source, target, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all, to four places: the ratio of longest matching blocks, not an edit distance."""
     return pd.Series([None if x is None or y is None else round(difflib.SequenceMatcher(None, x, y).ratio(), 4) for x, y in zip(a, b, strict=True)], dtype="float64")

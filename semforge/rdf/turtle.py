@@ -15,7 +15,8 @@ from semforge.functions.iri import RDF, TYPE, XSD
 
 TOKEN = re.compile(
     r"""(?P<space>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\")|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
-    |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<type>\^\^)|(?P<number>[+-]?(?:\d+\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<name>(?:_:|[A-Za-z_][\w.-]*)?:?[\w.~%/-]*(?<!\.))|(?P<mark>[\[\]().;,])""",
+    |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<type>\^\^)|(?P<number>[+-]?(?:\d+\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<mark>[\[\]().;,])
+    |(?P<name>(?:_:[\w.-]+|[A-Za-z_][\w.-]*:[\w.~%/-]*|:[\w.~%/-]*|[A-Za-z_]\w*)(?<!\.))""",
     re.VERBOSE | re.DOTALL,
 )
 ESCAPE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
