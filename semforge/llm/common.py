@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python worker handles at once.
 CHUNK_BYTES = 4 << 20
-#: Rows that Spark hands to a Python worker at once. Texts can be long, so there are few.
-BATCH_ROWS = 400
+#: Bytes that Spark hands to a Python worker at once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,9 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with batches of few rows, for long texts. The setting is read when the plan is made, so it is forced here."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with batches of a few MB, as texts can be long; one long text is a batch of its own."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 

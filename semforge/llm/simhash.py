@@ -231,8 +231,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    blocks = fps.select("fp").mapInArrow(emit, "part int, block binary").repartitionById(parts, F.col("part"))
-    return arrow_map(blocks, meet, "a long, b long", 64).distinct()
+    # A table of fingerprints is small for the variants that it makes, so it is dealt out first.
+    blocks = fps.select("fp").repartition(partitions(fps), "fp").mapInArrow(emit, "part int, block binary").repartitionById(parts, F.col("part"))
+    return arrow_map(blocks, meet, "a long, b long").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:

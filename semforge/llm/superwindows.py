@@ -500,8 +500,8 @@ def _numbers(ids: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
 _BLOB = "part int, blob binary"
 
 
-def _dealt(df: DataFrame, fn: Callable, parts: int, rows: int = 400) -> DataFrame:
-    return arrow_map(df, fn, _BLOB, rows).repartitionById(parts, F.col("part"))
+def _dealt(df: DataFrame, fn: Callable, parts: int) -> DataFrame:
+    return arrow_map(df, fn, _BLOB).repartitionById(parts, F.col("part"))
 
 
 def _each_home(df: DataFrame, columns: int, gather: Callable, schema: str) -> DataFrame:
@@ -512,7 +512,7 @@ def _each_home(df: DataFrame, columns: int, gather: Callable, schema: str) -> Da
         if blobs:
             yield gather(*_came_home(blobs, columns))
 
-    return arrow_map(df, run, schema, 64)
+    return arrow_map(df, run, schema)
 
 
 def _mapped_batches(flush: Callable, known: list[tuple], home: int, homes: int) -> Iterator[pa.RecordBatch]:
@@ -559,7 +559,7 @@ def shared_runs(docs: DataFrame, shape: Shape) -> DataFrame:
 
     named = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     asked = _dealt(named, ask, parts + homes)
-    return _each_home(_dealt(asked, _bucket_task(_answer, parts, homes), homes, 64), 2, _numbers, "doc_id long, runs binary")
+    return _each_home(_dealt(asked, _bucket_task(_answer, parts, homes), homes), 2, _numbers, "doc_id long, runs binary")
 
 
 def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
@@ -585,7 +585,7 @@ def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame
 
     sent = _dealt(docs, send, parts + homes)
     judge = _bucket_task(lambda blobs: _judge(blobs, shape, classes), parts, homes)
-    return _each_home(_dealt(sent, judge, homes, 64), 4, _rows, "doc_id long, key long, spans binary")
+    return _each_home(_dealt(sent, judge, homes), 4, _rows, "doc_id long, key long, spans binary")
 
 
 def with_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame:

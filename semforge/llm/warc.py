@@ -170,7 +170,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
             yield out()
 
     # The text writer writes a string's bytes as they are. Each archive is a file of its own.
-    archives = arrow_map(marked(pages), run, "archive binary", 100).select(F.col("archive").cast("string").alias("value"))
+    archives = arrow_map(marked(pages), run, "archive binary").select(F.col("archive").cast("string").alias("value"))
     archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
@@ -190,7 +190,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return arrow_map(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", 1)
+    return arrow_map(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
