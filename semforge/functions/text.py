@@ -47,7 +47,9 @@ def default_label(col: Column, label: str = "未分类") -> Column:
 
 
 def nfkc(col: Column) -> Column:
-    return F.when(col.rlike(r"[^\x00-\x7F]"), _nfkc(col)).otherwise(col)
+    # Python gets nulls for ASCII rows: a condition around a UDF alone would not keep them from it.
+    other = col.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _nfkc(F.when(other, col))).otherwise(col)
 
 
 def collapse(col: Column) -> Column:

@@ -33,11 +33,20 @@ def measurements(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     A fact has scalar keys, or a list ``measurements`` of objects. The payload overrides the event. A value that isn't a finite
     number, or has no unit, is for review: nothing is made up. Malformed JSON holds no measurement.
     """
-    payload = F.coalesce(F.get_json_object("value", "$.payload"), F.get_json_object("value", "$.source_event"), F.col("value"))
-    listed = F.from_json(F.get_json_object(payload, "$.measurements"), "array<struct<metric:string,value:string,unit:string>>")
-    scalar = F.array(*[F.struct(F.when(F.lit("temperature" in k.lower()), F.lit("temperature")).otherwise(F.coalesce(_json(payload, "metric", "parameter"), F.lit("value"))).alias("metric"), _json(payload, k).alias("value"), _json(payload, "unit", "temperature_unit", "temperatureUnit").alias("unit")) for k in MEASURE_KEYS])
-    found = F.concat(F.filter(scalar, lambda m: m["value"].isNotNull()), F.coalesce(listed, F.array().cast("array<struct<metric:string,value:string,unit:string>>")))
-    rows = facts.select("fact_id", "subject_key", "source_snapshot_id", "observed_at", F.posexplode(found).alias("position", "m"))
+    # One parse of the text: its own keys, and those of the objects within it that override them.
+    keys = (*MEASURE_KEYS, "metric", "parameter", "unit", "temperature_unit", "temperatureUnit")
+    fields = ",".join(f"{k}:string" for k in keys) + ",measurements:array<struct<metric:string,value:string,unit:string>>"
+    whole = ",".join(f"{k} string" for k in keys) + f", measurements array<struct<metric:string,value:string,unit:string>>, payload struct<{fields}>, source_event struct<{fields}>"
+    parsed = facts.withColumn("_j", F.from_json("value", whole, {"mode": "PERMISSIVE"}))
+
+    def of(*names: str) -> Column:
+        return F.coalesce(*[F.nullif(F.col(f"_j.{at}{k}"), F.lit("")) for k in names for at in ("payload.", "source_event.", "")])
+
+    none = F.array().cast("array<struct<metric:string,value:string,unit:string>>")
+    listed = F.coalesce("_j.payload.measurements", "_j.source_event.measurements", "_j.measurements", none)
+    scalar = F.array(*[F.struct(F.when(F.lit("temperature" in k.lower()), F.lit("temperature")).otherwise(F.coalesce(of("metric", "parameter"), F.lit("value"))).alias("metric"), of(k).alias("value"), of("unit", "temperature_unit", "temperatureUnit").alias("unit")) for k in MEASURE_KEYS])
+    found = F.concat(F.filter(scalar, lambda m: m["value"].isNotNull()), listed)
+    rows = parsed.select("fact_id", "subject_key", "source_snapshot_id", "observed_at", F.posexplode(found).alias("position", "m"))
     rows = rows.select("fact_id", "subject_key", "source_snapshot_id", "observed_at", "position", F.coalesce("m.metric", F.lit("value")).alias("metric"), safe_float(F.col("m.value")).alias("number"), F.nullif(F.trim("m.unit"), F.lit("")).alias("unit"))
     good = F.col("number").isNotNull() & F.col("unit").isNotNull() & F.col("source_snapshot_id").isNotNull()
     accepted = rows.filter(good).withColumn("measurement_id", stable_id("MEA", F.col("fact_id"), F.col("position"), F.col("metric")))

@@ -28,8 +28,34 @@ def _pairs(triples: DataFrame, *predicates: str, both: tuple[str, ...] = ()) ->
     return out.filter("a <> b").distinct()
 
 
+#: Pairs up to this number are closed on the driver, as those of a schema are; more are closed by joins.
+FEW_PAIRS, FEW_PATHS = 20_000, 200_000
+
+
+def _closed_here(rows: list) -> set | None:
+    """All paths over the pairs, or None if there are too many of them."""
+    steps: dict = {}
+    for a, b in rows:
+        steps.setdefault(a, set()).add(b)
+    found = set()
+    for start in steps:
+        todo, seen = list(steps[start]), set(steps[start])
+        while todo:
+            for x in steps.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        found |= {(start, x) for x in seen}
+        if len(found) > FEW_PATHS:
+            return None
+    return found
+
+
 def transitive(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """All (a, b) with a path from a to b, by doubling: each round joins paths with paths."""
+    """All (a, b) with a path from a to b. A few pairs are closed at once; many by doubling: each round joins paths with paths."""
+    few = pairs.select("a", "b").limit(FEW_PAIRS + 1).collect()
+    if len(few) <= FEW_PAIRS and (paths := _closed_here([(r.a, r.b) for r in few])) is not None:
+        return pairs.sparkSession.createDataFrame(list(paths), pairs.select("a", "b").schema)
     known = cut_lineage(pairs.select("a", "b").distinct())
     for _ in range(rounds):
         longer = known.alias("l").join(known.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b")).distinct()

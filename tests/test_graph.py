@@ -112,7 +112,7 @@ def test_sparql(quads):
     assert run("SELECT DISTINCT ?s WHERE { ?s ex:name ?n FILTER NOT EXISTS { ?s ex:touches ?t } }") == [("p2",)]
     assert run("SELECT ?s ?k WHERE { VALUES (?s ?k) { (ex:p1 1) (ex:p2 UNDEF) } ?s a ?c }") == [("p1", "1"), ("p2", None)]
     assert run("SELECT ?n WHERE { { ?s ex:name ?n } UNION { ?s ex:on ?n } FILTER(STRLEN(STR(?n)) < 5) } ORDER BY DESC(?n) LIMIT 2") == [("true",), ("two",)]
-    assert run("SELECT ?c (COUNT(?s) AS ?n) WHERE { ?s a ?c } GROUP BY ?c HAVING (COUNT(?s) > 0) ORDER BY ?c")[0] == (f"{OWL}SymmetricProperty", "1")
+    assert run("SELECT ?c (COUNT(?s) AS ?n) WHERE { ?s a ?c } GROUP BY ?c HAVING (COUNT(?s) > 0) ORDER BY ?c")[0] == ("Device", "1")
     assert run("SELECT ?u WHERE { ex:p1 ex:name ?n BIND(UCASE(STR(?n)) AS ?u) FILTER REGEX(?u, '^pu', 'i') }") == [("PUMP",)]
     assert run("SELECT ?s WHERE { GRAPH ?g { ?s ex:on true } FILTER(BOUND(?g)) }") == [("p1",)]
     assert run("SELECT ?m WHERE { { SELECT (MAX(?v) AS ?m) WHERE { ?s ex:size ?v } } }") == [("1e3",)]
