@@ -1,3 +1,38 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express. The others rest on XXH64, a codec, a model or an edit distance."""
 
-ORACLES: dict[str, str] = {}
+_OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS size FROM d),
+w AS (SELECT doc_id, unnest(range(0, size - 49)) AS i, h FROM n WHERE size >= 50),
+k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM w),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT k.doc_id, k.i FROM k JOIN f USING (k) WHERE f.first < k.doc_id),
+runs AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM runs),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+keep AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, size) - a)), '' ORDER BY a) AS h FROM keep JOIN n USING (doc_id) GROUP BY doc_id),
+r AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT n.doc_id, n.size::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM d WHERE len(ws) >= 13),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS k FROM w),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM k JOIN f USING (k) WHERE f.first < k.doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS c FROM words ANTI JOIN hit USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.c, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to FROM m
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_substring_dedup": _OP3, "op4_warc": _OP4}
