@@ -108,3 +108,16 @@ def test_stream_replay(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.sql("SELECT version, state, late FROM r").collect())
     assert got[-1] == (3, "PROCESSING", True)
+
+
+def test_read_surface(spark):
+    from semforge.operators import api
+
+    d = spark.createDataFrame([("d1", "A", "ok", "1", "Pump", "L1"), ("d2", "A", "new", "2", "Fan", "L2"), ("d3", "B", "ok", "3", "pump x", None)], "device_id string, source_schema string, status string, asset string, name string, location string")
+    e = spark.createDataFrame([("d1", "e1", "2024-01-01"), ("d1", "e2", None), ("d1", "e3", "2024-01-03")], "device_id string, event_id string, occurred_at string")
+    tables = {"unified_device": d, "device_event": e}
+    assert sorted((r.kind, r.status, r.n) for r in api.summary("unified-devices", tables).collect()) == [("A", "new", 1), ("A", "ok", 1), ("B", "ok", 1)]
+    found = api.listing("unified-devices", tables, {"source_schema": "all"}, "PUMP").collect()
+    assert sorted((r.device_id, r.n_events, r.source_write) for r in found) == [("d1", 3, False), ("d3", 0, False)]
+    assert [x.event_id for x in api.detail("unified-devices", tables, "d1").first().events] == ["e3", "e1", "e2"]
+    assert api.facets("unified-devices", tables).count() == 4 and all(callable(f) for f in api.COMMANDS.values())
