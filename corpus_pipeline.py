@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semforge.llm import decontamination, langid, mixing, sharding, simhash
-from semforge.llm.common import materialize, table, text_key
+from semforge.llm.common import delete, materialize, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other; each one's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), "stage")
+        before = path
+        docs, path = materialize(stage(spark, docs, sf_dir), "stage")
+        if before:
+            delete(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
