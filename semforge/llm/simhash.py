@@ -180,7 +180,7 @@ def _unpack(raw: bytes, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) to pairs (a, b) that connect all within ``radius`` bits; every pair is verified."""
-    mask, parts, most = flips(radius // 2), 2 * partitions(fps), 2048
+    mask, parts, most = flips(radius // 2), 2 * partitions(fps), 1024
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
