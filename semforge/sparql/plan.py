@@ -323,7 +323,7 @@ class Planner:
             if name == "REGEX":
                 flags = args[2][1].value if len(args) > 2 else ""
                 pattern = self.text(args[1], names)
-                return self.text(args[0], names).rlike(F.concat(F.lit(f"(?{flags})"), pattern) if flags else pattern)
+                return F.rlike(self.text(args[0], names), F.concat(F.lit(f"(?{flags})"), pattern) if flags else pattern)
             if name in ("CONTAINS", "STRSTARTS", "STRENDS"):
                 a, b = self.text(args[0], names), self.text(args[1], names)
                 return {"CONTAINS": a.contains, "STRSTARTS": a.startswith, "STRENDS": a.endswith}[name](b)
