@@ -1,10 +1,10 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 The CGK random walk copies the character at its position, then moves on or stays as a random function of step and character says; it
-maps a small edit distance to a small Hamming distance. A hash is eight sampled steps of a walk. Walks start at words: at every word
-of a benchmark item, and at each STRIDE-th word of a document, so that an item-sized window of a document meets the item at several
-words. Each of REPEATS walks has a table of its own. Every collision is verified by the exact edit distance between the item and the
-best matching stretch of its window.
+maps a small edit distance to a small Hamming distance. A hash is some sampled steps of a walk. Walks start at every word of an item
+and at every word of a document, so an exact copy is found wherever it stands, and an edited one if one walk of any table runs
+between its edits. Each walk has a table of its own. Every collision is verified by the exact edit distance between the item and the
+best matching stretch around it, for many collisions at once.
 """
 
 from __future__ import annotations
@@ -16,40 +16,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semforge.llm.common import SEPARATORS, arrow_map, chunks, flat_bytes, text_key, word_bounds
+from semforge.llm.common import SEPARATORS, arrow_map, chunks, expand, flat_bytes, text_key, word_bounds
 
-SIMILARITY, LEAST_WORDS, REPEATS, SAMPLED = 0.8, 5, 4, 8
-#: (steps of a walk, every which word of a document starts one). An item uses the longest walk that fits in it.
-SCALES = ((72, 6), (36, 2), (16, 1))
+SIMILARITY, LEAST_WORDS = 0.8, 5
+#: (steps of a walk, sampled steps, walks, most bytes of an item that uses them). Short items have few words to start at, and get short
+#: walks too. The numbers of walks are for a recall of 0.99 at a similarity of 0.81 with edits spread evenly, the worst case.
+SCALES = ((22, 14, 4, 1 << 40), (16, 12, 3, 128), (8, 6, 2, 56))
 #: Items are matched in blocks of this many bytes of text: what is broadcast has this bound.
 BLOCK_BYTES = 1 << 20
+#: Collisions whose distances are computed at once, and the most words of 64 characters of an item for that; longer ones go one by one.
+LANES, WORDS = 1 << 12, 16
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[list(SEPARATORS)] = 32
 
 
-def walks(steps: int, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+def walks(steps: int, sampled: int, repeat: int) -> tuple[np.ndarray, np.ndarray]:
     """For each step and byte whether the walk moves on; and the sampled steps in order."""
     random = np.random.default_rng([steps, repeat, 20240229])
-    return random.integers(0, 2, (steps, 256), dtype=np.uint8), np.sort(random.choice(steps, SAMPLED, replace=False))
+    return random.integers(0, 2, (steps, 256), dtype=np.uint8), np.sort(random.choice(steps, sampled, replace=False))
 
 
-def embed(data: np.ndarray, starts: np.ndarray, steps: int, repeat: int) -> np.ndarray:
-    """Eight sampled characters of the walk from each start, as one integer. Data must go on for ``steps`` bytes after each start."""
-    move, sampled = walks(steps, repeat)
-    out = np.zeros(len(starts), np.uint64)
-    wanted = set(sampled.tolist())
+def embed(data: np.ndarray, starts: np.ndarray, steps: int, sampled: int, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the sampled characters of the walk from each start, and the last place it reads. Data must go on for ``steps`` bytes after each start."""
+    move, chosen = walks(steps, sampled, repeat)
+    out, reach = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
+    wanted = set(chosen.tolist())
     block = 1 << 15
     for a in range(0, len(starts), block):
         at = starts[a : a + block].astype(np.int64)
         key = out[a : a + block]
-        for t in range(int(sampled[-1]) + 1):
+        for t in range(int(chosen[-1]) + 1):
             c = data[at]
             if t in wanted:
-                key <<= np.uint64(8)
-                key |= c
+                key *= np.uint64(0x9E3779B97F4A7C15)
+                key += c
+            reach[a : a + block] = at
             at += move[t][c]
-    return out
+    return out, reach
 
 
 def distance(item: str, text: str, most: int) -> tuple[int, int]:
@@ -79,73 +83,176 @@ def distance(item: str, text: str, most: int) -> tuple[int, int]:
     return best, end
 
 
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each UTF-8 character starts, and its bytes as one integer."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = data[at].astype(np.uint32)
+    size = np.diff(np.r_[at, len(data)])
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return at, code
+
+
 class Tables:
-    """LSH tables of one block of items."""
+    """LSH tables of one block of items, and their characters as bit masks."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items = [(i, _PLAIN[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-8", "replace")) for i, t in items]
-        by: dict[int, list[tuple[int, int]]] = {}
         texts = pa.chunked_array([pa.array([t for _, t in self.items], pa.string())])
         data, offsets = flat_bytes(texts)
         starts, _, rows = word_bounds(data, offsets)
-        for steps, _ in SCALES:
-            by[steps] = []
-        for k in range(len(self.items)):
-            own = starts[rows == k]
-            size = int(offsets[k + 1] - offsets[k])
-            steps = next((s for s, _ in SCALES if s + (s if s > 16 else 0) // 4 <= size), SCALES[-1][0])
-            by[steps] += [(k, int(p)) for p in own if p + steps <= offsets[k + 1]] or [(k, int(own[0]))]
+        self.length = np.array([len(t) for _, t in self.items], np.int64)
+        self.bytes = np.diff(offsets)
+        self.most = np.array([int((1 - SIMILARITY) * n + 1e-9) for n in self.length.tolist()], np.int64)
         padded = np.concatenate([data, np.zeros(SCALES[0][0] + 1, np.uint8)])
-        self.scales = []
-        for steps, stride in SCALES:
-            if by[steps]:
-                k = np.array([x for x, _ in by[steps]])
-                p = np.array([x for _, x in by[steps]])
-                tables = []
-                for r in range(REPEATS):
-                    key = embed(padded, p, steps, r)
-                    order = np.argsort(key, kind="stable")
-                    tables.append((key[order], k[order], (p - offsets[k])[order]))
-                self.scales.append((steps, stride, tables))
+        self.tables = []
+        for steps, sampled, repeats, limit in SCALES:
+            own = starts[self.bytes[rows] <= limit]
+            k = rows[self.bytes[rows] <= limit]
+            for r in range(repeats):
+                key, reach = embed(padded, own, steps, sampled, r)
+                fits = np.flatnonzero(reach < offsets[k + 1])
+                if len(fits):
+                    order = fits[np.argsort(key[fits], kind="stable")]
+                    self.tables.append((steps, sampled, r, key[order], k[order], (own - offsets[k])[order]))
+        self._masks()
+
+    def _masks(self) -> None:
+        """For each item and character the positions that have it, 64 to a word; items by their number of words."""
+        codes = [_characters(np.frombuffer(t.encode(), np.uint8))[1] for _, t in self.items]
+        self.alphabet = np.unique(np.concatenate(codes))
+        self.words = (self.length + 63) // 64
+        pairs, self.rows = [], {}
+        for w in np.unique(self.words[self.words <= WORDS]).tolist():
+            masks = [np.zeros(w, np.uint64)]
+            for k in np.flatnonzero(self.words == w).tolist():
+                for c in np.unique(codes[k]).tolist():
+                    bits = np.zeros(w * 64, np.uint8)
+                    bits[: len(codes[k])] = codes[k] == c
+                    pairs.append((k * (len(self.alphabet) + 1) + int(np.searchsorted(self.alphabet, c)), len(masks)))
+                    masks.append(np.packbits(bits, bitorder="little").view(np.uint64))
+            self.rows[w] = np.ascontiguousarray(np.array(masks).T)
+        pairs.sort()
+        self.pair = np.array([p for p, _ in pairs], np.int64)
+        self.mask = np.array([m for _, m in pairs], np.int32)
+        size = len(codes) * (len(self.alphabet) + 1)
+        self.dense = None
+        if size <= 1 << 22:
+            self.dense = np.zeros(size, np.int32)
+            self.dense[self.pair] = self.mask
+
+    def _rows(self, k: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Which row of masks an item has for a character; row 0 has no bits."""
+        pair = k * (len(self.alphabet) + 1) + symbol
+        if self.dense is not None:
+            return self.dense[pair]
+        at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+        return np.where(self.pair[at] == pair, self.mask[at], 0)
+
+    def _distances(self, symbols: np.ndarray, k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``distance`` of items of one number of words to stretches of symbols, longest stretch first: bits of many items in each step."""
+        words = int(self.words[k[0]])
+        masks, one = self.rows[words], np.uint64(1)
+        n = len(k)
+        up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+        top = ((self.length[k] - 1) % 64).astype(np.uint64)
+        score = self.length[k].copy()
+        best, end = self.most[k] + 1, np.zeros(n, np.int64)
+        active = np.searchsorted(-(hi - lo), -np.arange(1, int((hi - lo)[0]) + 1), "right")
+        for j, m in enumerate(active.tolist()):
+            row = self._rows(k[:m], symbols[lo[:m] + j])
+            plus_in, minus_in = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+            for w in range(words):
+                eq, pv, mv = masks[w][row], up[w, :m], down[w, :m]
+                xv = eq | mv
+                eq |= minus_in
+                xh = eq & pv
+                xh += pv
+                xh ^= pv
+                xh |= eq
+                plus = ~(xh | pv)
+                plus |= mv
+                minus = pv & xh
+                shift = top[:m] if w == words - 1 else np.uint64(63)
+                plus_out, minus_out = plus >> shift & one, minus >> shift & one
+                plus <<= one
+                plus |= plus_in
+                minus <<= one
+                minus |= minus_in
+                np.bitwise_or(minus, ~(xv | plus), out=pv)
+                np.bitwise_and(plus, xv, out=mv)
+                plus_in, minus_in = plus_out, minus_out
+            score[:m] += plus_in.astype(np.int64) - minus_in.astype(np.int64)
+            less = np.flatnonzero(score[:m] < best[:m])
+            best[less] = score[less]
+            end[less] = j + 1
+        return best, end
+
+    def _collisions(self, plain: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and the place at which the item would start, of each collision of walks."""
+        padded = np.concatenate([plain, np.zeros(SCALES[0][0] + 1, np.uint8)])
+        starts, _, rows = word_bounds(plain, offsets)
+        found = [(np.zeros(0, np.int64),) * 3]
+        for steps, sampled, r, keys, item, offset in self.tables:
+            got, _ = embed(padded, starts, steps, sampled, r)
+            lo = np.searchsorted(keys, got, "left")
+            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == got)
+            lo = lo[hit]
+            count = np.searchsorted(keys, got[hit], "right") - lo
+            j, w = expand(lo, count), np.repeat(hit, count)
+            found.append((rows[w], item[j], starts[w] - offset[j]))
+        row, k, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        return row, k, np.clip(start, offsets[row], offsets[row + 1])
 
     def matches(self, texts: pa.ChunkedArray) -> list[tuple[int, int, int, int]]:
         """(row, index of the item, edit distance, byte at which the stretch ends) of each pair within the bound, once each."""
         data, offsets = flat_bytes(texts)
         plain = _PLAIN[data]
-        padded = np.concatenate([plain, np.zeros(SCALES[0][0] + 1, np.uint8)])
-        starts, _, rows = word_bounds(data, offsets)
-        seen: set[tuple[int, int, int]] = set()
-        for steps, stride, tables in self.scales:
-            if stride > 1:
-                first = np.searchsorted(rows, rows, "left")
-                use = (np.arange(len(starts)) - first) % stride == 0
-                at, row = starts[use], rows[use]
-            else:
-                at, row = starts, rows
-            for r, (keys, item, offset) in enumerate(tables):
-                got = embed(padded, at, steps, r)
-                lo = np.searchsorted(keys, got, "left")
-                hit = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == got))
-                hi = np.searchsorted(keys, got[hit], "right")
-                for w, a, b in zip(hit.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
-                    for j in range(a, b):
-                        k = int(item[j])
-                        grain = max(8, len(self.items[k][1]) // 8)
-                        seen.add((int(row[w]), k, (int(at[w]) - int(offset[j])) // grain * grain))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for row_, k, start in sorted(seen):
-            text = self.items[k][1]
-            most = int((1 - SIMILARITY) * len(text) + 1e-9)
-            if best.get((row_, k), (most + 1,))[0] == 0:
-                continue
-            size = len(text.encode())
-            slack = most * 4 + size // 8 + 16
-            lo, hi = max(int(offsets[row_]), start - slack), min(int(offsets[row_ + 1]), start + size + slack)
-            window = plain[lo:hi].tobytes().decode("utf-8", "ignore")
-            d, end = distance(text, window, most)
-            if d <= most and d < best.get((row_, k), (most + 1,))[0]:
-                best[row_, k] = d, lo - int(offsets[row_]) + len(window[:end].encode())
-        return [(r, k, d, e) for (r, k), (d, e) in best.items()]
+        row, k, start = self._collisions(plain, offsets)
+        if not len(row):
+            return []
+        at, code = _characters(plain)
+        symbol = np.searchsorted(self.alphabet, np.arange(128, dtype=np.uint32))
+        symbol = np.where(self.alphabet[np.minimum(symbol, len(self.alphabet) - 1)] == np.arange(128), symbol, len(self.alphabet))
+        symbols = symbol[np.minimum(code, 127)]
+        wide = np.flatnonzero(code > 127)
+        place = np.minimum(np.searchsorted(self.alphabet, code[wide]), len(self.alphabet) - 1)
+        symbols[wide] = np.where(self.alphabet[place] == code[wide], place, len(self.alphabet))
+        edges = np.searchsorted(at, offsets)
+        # Stretches around the collisions of a document and an item, joined where they meet, then cut into overlapping pieces.
+        slack = self.most[k] + self.length[k] // 16 + 8
+        begin = np.searchsorted(at, start)
+        lo, hi = np.maximum(begin - slack, edges[row]), np.minimum(begin + self.length[k] + slack, edges[row + 1])
+        order = np.lexsort((lo, k, row))
+        row, k, lo, hi = row[order], k[order], lo[order], hi[order]
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (k[1:] != k[:-1]) | (lo[1:] > hi[:-1])])
+        hi = hi[np.r_[new[1:] - 1, len(hi) - 1]]
+        row, k, lo = row[new], k[new], lo[new]
+        over = self.length[k] + self.most[k]
+        count = np.maximum(1, -(-(hi - lo - over) // over))
+        piece = expand(np.zeros(len(k), np.int64), count)
+        row, k, lo, hi, over = (np.repeat(x, count) for x in (row, k, lo, hi, over))
+        lo = lo + piece * over
+        hi = np.minimum(hi, lo + 2 * over)
+        d, end = self.most[k] + 1, np.zeros(len(k), np.int64)
+        order = np.lexsort((lo - hi, self.words[k]))
+        long = self.words[k[order]] > WORDS
+        for x in order[long].tolist():
+            text = plain[at[lo[x]] : at[hi[x]] if hi[x] < len(at) else len(plain)].tobytes().decode("utf-8", "replace")
+            d[x], end[x] = distance(self.items[k[x]][1], text, int(self.most[k[x]]))
+        order = order[~long]
+        cuts = np.flatnonzero(np.diff(self.words[k[order]])) + 1
+        for part in np.split(order, cuts):
+            for a in range(0, len(part), LANES):
+                x = part[a : a + LANES]
+                d[x], end[x] = self._distances(symbols, k[x], lo[x], hi[x])
+        good = np.flatnonzero(d <= self.most[k])
+        good = good[np.lexsort((lo[good] + end[good], d[good], k[good], row[good]))]
+        first = np.r_[True, (row[good][1:] != row[good][:-1]) | (k[good][1:] != k[good][:-1])] if len(good) else []
+        good = good[first]
+        last = np.r_[at, len(plain)][lo[good] + end[good]] - offsets[row[good]]
+        return list(zip(row[good].tolist(), k[good].tolist(), d[good].tolist(), last.tolist(), strict=True))
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -257,6 +257,29 @@ def test_decontamination_recall(spark):
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in got} and clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize(("share", "recall"), [(0, 1), (0.1, 0.99), (0.15, 0.99), (0.19, 0.97)])
+def test_decontamination_at_all_phases(share, recall):
+    """Character edits spread evenly over items of 45 to 600 bytes, at each of six phases of words before them."""
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(2, 12))) for _ in range(500)]
+    items = []
+    for k in range(48):
+        text, size = "extraordinary", (45, 70, 90, 95, 103, 150, 300, 600)[k % 8]
+        while len(text) < size:
+            text += " " + str(rng.choice(words))
+        items.append((k, text))
+    tables, texts = decontamination.Tables(items), []
+    for phase in range(6):
+        for _, text in items:
+            out = list(text)
+            for p in sorted(rng.choice(len(out), int(share * len(out)), replace=False).tolist(), reverse=True):
+                out[p : p + 1] = [["q"], [], ["q", out[p]]][rng.integers(3)]
+            texts.append(" ".join([*rng.choice(words, 12 + phase), "".join(out), *rng.choice(words, 20)]))
+    found = {(r, k): d for r, k, d, _ in tables.matches(pa.chunked_array([pa.array(texts)]))}
+    assert np.mean([(r, r % 48) in found for r in range(len(texts))]) >= recall
+    assert all(d == decontamination.distance(items[k][1], texts[r], 1000)[0] for (r, k), d in found.items())
+
+
 def test_licenses_against_brute_force(spark):
     notice = licenses.TEMPLATES["MIT"][2]
     texts = {1: "Released under the MIT License.", 2: "Some prose.\nLicensed under the Apache License, Version 2.0.\nMore prose.", 3: "Nothing is licensed here at all, friends.", 4: None, 5: "", 6: notice.upper(), 7: f"Intro words\n\n{notice}\n\nbody", 8: "This work is licensed under the GNU General Public License, version 3.\n" * 3, 9: "MIT License"}
