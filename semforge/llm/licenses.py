@@ -1,12 +1,15 @@
 """License scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Units are the whole text, its paragraphs (between blank lines) and its lines. Sizes bound the coefficient: a template of b bigrams can
+Units are the whole text, its paragraphs (between blank lines), its lines, and windows of consecutive words wherever they stand, so
+that a notice counts whatever its line ends and layout and whatever text runs into it. Sizes bound the coefficient: a template of b bigrams can
 reach it only with units of t/(2-t) b to (2-t)/t b bigrams, so most units are compared with no template. Of the others, those that
-share too few hashed bigrams with any template go before the exact comparison.
+share too few hashed bigrams with any template go before the exact comparison. Windows begin and end at a bigram of the template, as the
+best ones do, and only where it is dense enough for the coefficient.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -86,7 +89,45 @@ class Scanner:
         length = np.array([len(f"{a} {b}".encode()) for a, b in pairs])
         start = np.cumsum(length + 1) - (length + 1)
         sums, inverse = prefix_hash(joined)
-        self.known = np.sort(range_hash(sums, inverse, start, start + length))
+        hashes = range_hash(sums, inverse, start, start + length)
+        order = np.argsort(hashes)
+        self.known = hashes[order]
+        #: How often each template has each known bigram; and the least that a window shares with it.
+        self.times = np.array([[b[pairs[k]] for k in order.tolist()] for _, b in self.templates])
+        self.least = np.ceil((self.bounds[0] + sizes) * threshold / 2 - 1e-9).astype(int)
+
+    def windows(self, known: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """(row, template, first word, end, coefficient) of the best windows that do not overlap: known bigrams, the words at which they begin, rows."""
+        out = []
+        for t, (_, template) in enumerate(self.templates):
+            size, most, least, times = template.total(), int(self.bounds[1][t]), int(self.least[t]), self.times[t]
+            own = np.flatnonzero(times[known] > 0)
+            if len(own) < least:
+                continue
+            k, p, r = known[own], at[own], rows[own]
+            end = len(own) - least + 1
+            found = []
+            for i in np.flatnonzero((p[least - 1 :] - p[:end] < most) & (r[least - 1 :] == r[:end])).tolist():
+                used: dict[int, int] = {}
+                shared, best = 0, (0.0, 0)
+                for j in range(i, min(i + most, len(own))):
+                    n = int(p[j] - p[i]) + 1
+                    if n > most or r[j] != r[i]:
+                        break
+                    b = int(k[j])
+                    used[b] = used.get(b, 0) + 1
+                    if used[b] <= times[b]:
+                        shared += 1
+                        best = max(best, (2 * shared / (n + size), -int(p[j])))
+                if best[0] >= self.threshold - 1e-9:
+                    found.append((-best[0], int(p[i]), -best[1] + 2, int(r[i])))
+            taken: list[tuple[int, int]] = []
+            for d, a, b, row in sorted(found):
+                n = bisect_left(taken, (a, a))
+                if (n == len(taken) or taken[n][0] >= b) and (n == 0 or taken[n - 1][1] <= a):
+                    taken.insert(n, (a, b))
+                    out.append((row, t, a, b, -d))
+        return out
 
     def scan(self, texts: pa.ChunkedArray) -> list[tuple[int, str, float, int]]:
         """(row, licence, best coefficient, units that match) of each row and licence that match."""
@@ -113,12 +154,13 @@ class Scanner:
         joined[np.repeat(at - starts, size) + np.flatnonzero(inner)] = kept[inner]
         sums, inverse = prefix_hash(joined)
         pair = range_hash(sums, inverse, at[:-1], at[1:] + size[1:])
-        k = np.searchsorted(self.known, pair)
-        hit = self.known[np.minimum(k, len(self.known) - 1)] == pair
+        k = np.minimum(np.searchsorted(self.known, pair), len(self.known) - 1)
+        hit = self.known[k] == pair
         shared = np.r_[0, np.cumsum(hit)]
         line_ends = np.flatnonzero(data == 10)
         gaps = line_ends[1:][line_ends[1:] == line_ends[:-1] + 1]
         found: dict[tuple[int, str], list] = {}
+        spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
         seen: dict[bytes, list[tuple[str, float]]] = {}
         for cut in (np.zeros(0, np.int64), gaps, line_ends):
             edges = np.unique(np.concatenate([offsets, cut]))
@@ -142,6 +184,20 @@ class Scanner:
                     held = found.setdefault((row, name), [0.0, set()])
                     held[0] = max(held[0], d)
                     held[1].add(int(a[u]))
+                    spans.setdefault((row, name), []).append((int(a[u]), int(b[u])))
+        # Windows raise the coefficient of the units that they lie in; elsewhere they are units of their own.
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        near = np.flatnonzero(hit & (owner[1:] == owner[:-1]))
+        for row, t, a, b, _ in sorted(self.windows(k[near], near, owner[near]), key=lambda w: (w[0], -w[4], w[2])):
+            name, template = self.templates[t]
+            d = dice(bigrams(joined[at[a] : at[b - 1] + size[b - 1]].tobytes().decode("utf-8", "replace").split(" ")), template)
+            if d >= self.threshold:
+                held = found.setdefault((row, name), [0.0, set()])
+                held[0] = max(held[0], d)
+                own = spans.setdefault((row, name), [])
+                if all(b <= x or y <= a for x, y in own):
+                    held[1].add(a)
+                    own.append((a, b))
         return [(row, name, d, len(at_)) for (row, name), (d, at_) in sorted(found.items())]
 
 

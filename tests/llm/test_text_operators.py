@@ -296,6 +296,26 @@ def test_licenses_against_brute_force(spark):
     assert got[8, "GPL-3.0"].n_units == 3
 
 
+def test_licenses_in_any_layout():
+    """Notices in several paragraphs, wrapped, with CRLF or comment signs, or within a line, in documents that are much longer."""
+    prose = " ".join(f"word{i % 37} other{i % 11}" for i in range(400))
+    texts, names = [], []
+    for name, group in licenses.TEMPLATES.items():
+        for notice in group:
+            w = notice.split()
+            lines = [" ".join(w[i : i + 9]) for i in range(0, len(w), 9)]
+            for layout in (notice, "\n".join(lines), "\n\n".join(lines), "\r\n\r\n".join(lines), "\n#\n".join("# " + x for x in lines)):
+                texts += [f"{prose} {layout} {prose}", f"{prose}\n{layout}\n{prose}"]
+                names += [name] * 2
+    scanner = licenses.Scanner()
+    found = {(row, name): (d, n) for row, name, d, n in scanner.scan(pa.chunked_array([pa.array([*texts, prose])]))}
+    assert all((k, name) in found for k, name in enumerate(names)) and not any(k == len(texts) for k, _ in found)
+    assert all(found[k, name][1] == 1 for k, name in enumerate(names))
+    apart = licenses.TEMPLATES["MIT"][0].split()
+    halves = [" ".join(apart[:2]), " ".join(apart[2:])]
+    assert not scanner.scan(pa.chunked_array([pa.array(halves)]))
+
+
 def test_words_and_spans():
     texts = pa.chunked_array([pa.array(["ab c", None, "", " d\n", "e"])])
     from semforge.llm.common import flat_bytes
