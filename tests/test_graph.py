@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from semforge.functions.iri import EX, OWL, RDF, RDFS, TYPE, XSD
+from semforge.plans import more
 from semforge.rdf import sinks
 from semforge.rdf.closure import closure
 from semforge.rdf.shapes import read_shapes, validate_shapes
@@ -135,3 +137,19 @@ def test_sinks(spark, quads):
     nodes = {n["@id"]: n for n in (json.loads(r.value) for r in sinks.jsonld(quads).collect())}
     assert nodes[f"{EX}p1"]["@type"] == [f"{EX}Pump"] and len(nodes[f"{EX}p1"][f"{EX}size"]) == 3
     assert sinks.trig(quads).count() == len(nodes)
+
+
+@pytest.mark.parametrize("name", ["u3", "o11"])
+def test_closures_read_customers(spark, monkeypatch, name):
+    read = []
+
+    def spy(quads):
+        read.append(quads)
+        return closure(quads)
+
+    monkeypatch.setattr(more, "closure", spy)
+    sf = "/root/testdata/sf0.001"
+    rows = getattr(more, name)(spark, sf).collect()
+    assert rows[0]["n"] == 30
+    typed = read[0].filter((F.col("predicate") == TYPE) & F.col("subject").contains("/customer/"))
+    assert typed.count() == spark.read.parquet(f"{sf}/customer.parquet").count()
