@@ -211,75 +211,6 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
-def slow_distance(a, b):
-    """The least edits from a to any stretch of b."""
-    row = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return min(row)
-
-
-def test_edit_distance():
-    rng = np.random.default_rng(2)
-    for _ in range(100):
-        a, b = ("".join(rng.choice(list("abé"), rng.integers(1, 14))) for _ in range(2))
-        assert decontamination.distance(a, b, len(a))[0] == slow_distance(a, b)
-
-
-def test_decontamination_recall(spark):
-    rng = np.random.default_rng(8)
-    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(400)]
-
-    def text(n):
-        return " ".join(rng.choice(words, n))
-
-    items = [(k, text(int(rng.integers(12, 60)))) for k in range(30)] + [(90, "only four words here"), (91, None)]
-    rows, planted = [], set()
-    for i in range(400):
-        body = text(150)
-        if i % 2:
-            k, t = items[i % 30]
-            w = t.split()
-            for j in rng.choice(len(w), max(0, int(len(w) * (0, 0.05, 0.1)[i % 3])), replace=False):
-                w[j] = w[j][::-1]
-            leak = " ".join(w)
-            if slow_distance(t, leak) <= 0.2 * len(t):
-                planted.add((i, k))
-            body = f"{text(20)} {leak} {body}"
-        rows.append((i, body, "en", "s", 0))
-    rows += [(500, None, None, None, None), (501, "", "en", "s", 0), (502, "only four words here", "en", "s", 0)]
-    got = {(r.doc_id, r.item_id) for r in decontamination.leaked_documents(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert len(got & planted) >= 0.97 * len(planted) and not {d for d, _ in got} & {i for i in range(0, 400, 2)} | (got - planted and set())
-    clean = decontamination.drop_leaked(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in got} and clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-@pytest.mark.parametrize(("share", "recall"), [(0, 1), (0.1, 0.99), (0.15, 0.99), (0.19, 0.97)])
-def test_decontamination_at_all_phases(share, recall):
-    """Character edits spread evenly over items of 45 to 600 bytes, at each of six phases of words before them."""
-    rng = np.random.default_rng(21)
-    words = ["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(2, 12))) for _ in range(500)]
-    items = []
-    for k in range(48):
-        text, size = "extraordinary", (45, 70, 90, 95, 103, 150, 300, 600)[k % 8]
-        while len(text) < size:
-            text += " " + str(rng.choice(words))
-        items.append((k, text))
-    tables, texts = decontamination.Tables(items), []
-    for phase in range(6):
-        for _, text in items:
-            out = list(text)
-            for p in sorted(rng.choice(len(out), int(share * len(out)), replace=False).tolist(), reverse=True):
-                out[p : p + 1] = [["q"], [], ["q", out[p]]][rng.integers(3)]
-            texts.append(" ".join([*rng.choice(words, 12 + phase), "".join(out), *rng.choice(words, 20)]))
-    found = {(r, k): d for r, k, d, _ in tables.matches(pa.chunked_array([pa.array(texts)]))}
-    assert np.mean([(r, r % 48) in found for r in range(len(texts))]) >= recall
-    assert all(d == decontamination.distance(items[k][1], texts[r], 1000)[0] for (r, k), d in found.items())
-
-
 def test_licenses_against_brute_force(spark):
     notice = licenses.TEMPLATES["MIT"][2]
     texts = {1: "Released under the MIT License.", 2: "Some prose.\nLicensed under the Apache License, Version 2.0.\nMore prose.", 3: "Nothing is licensed here at all, friends.", 4: None, 5: "", 6: notice.upper(), 7: f"Intro words\n\n{notice}\n\nbody", 8: "This work is licensed under the GNU General Public License, version 3.\n" * 3, 9: "MIT License"}
