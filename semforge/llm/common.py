@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only a local session may do without."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="semforge-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -65,6 +67,22 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def wrapped(docs: DataFrame, **columns: F.Column) -> DataFrame:
+    """``row``, all columns of ``docs`` as one struct, and the given columns: whatever names ``docs`` has, none can clash."""
+    return docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unwrapped(rows: DataFrame, **columns: F.Column) -> DataFrame:
+    """The columns of ``row`` again, and the given ones, which replace those of the same name."""
+    new = {n.lower() for n in columns}
+    kept = [F.col("row")[n].alias(n) for n in rows.schema["row"].dataType.names if n.lower() not in new]
+    return rows.select(*kept, *[c.alias(n) for n, c in columns.items()])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def extended(schema: T.StructType, **columns: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in columns.items())])
 

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semforge.llm.common import SEPARATORS, arrow_map, chunks, expand, flat_bytes, mix, prefix_hash, range_hash, text_key, word_bounds
+from semforge.llm.common import SEPARATORS, arrow_map, chunks, expand, flat_bytes, mix, prefix_hash, range_hash, text_key, unwrapped, word_bounds, wrapped
 
 #: Items of fewer words are compared as sequences of words.
 SIMILARITY, LEAST_WORDS = 0.8, 5
 #: (steps of a walk, sampled steps, walks, most bytes of an item that uses them). Short items have few words to start at, and get short
 #: walks too. Measured recall at a similarity of 0.81: 0.99 with edits at random places, 0.9 with edits as evenly spread as can be, which
 #: leaves walks the least room (tests/llm/test_decontamination.py).
-SCALES = ((18, 12, 6, 1 << 40), (15, 10, 3, 160), (12, 9, 2, 96), (9, 6, 4, 64))
+SCALES = ((18, 12, 10, 1 << 40), (15, 10, 4, 192), (12, 9, 3, 112), (9, 6, 4, 64))
 #: Items are matched in blocks of this many bytes of text, and a pass over the documents takes so many blocks: what is broadcast is bounded.
 BLOCK_BYTES, PASS_BLOCKS = 1 << 20, 64
 #: Collisions whose distances are computed at once, and the most words of 64 characters of an item for that; longer ones go one by one.
@@ -521,12 +521,12 @@ def leaked_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows that hold no benchmark item of ``least_words`` words or more, with all their columns.
+    """The rows that hold no benchmark item of ``least_words`` words or more, with all their columns, whatever they are called.
 
     A document isn't condemned for a phrase of one to four words, which many clean ones have too, unless ``least_words`` says so.
     """
-    names = docs.columns
-    out = docs
+    out = wrapped(docs, text=F.col("text"))
+    schema = out.schema
     for held in _passes(docs.sparkSession, benchmark, least_words):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -534,7 +534,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_
             for part in chunks(batches):
                 bad = {r for r, *_ in _found(part, held, built)}
                 clean = part.filter(pa.array([k not in bad for k in range(len(part))])) if bad else part
-                yield from clean.select(names).combine_chunks().to_batches()
+                yield from clean.combine_chunks().to_batches()
 
-        out = arrow_map(out, run, docs.schema)
-    return out
+        out = arrow_map(out, run, schema)
+    return unwrapped(out)

@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semforge.llm.common import arrow_map, chunks, extended, flat_bytes, mix
+from semforge.llm.common import arrow_map, chunks, delete, expand, extended, flat_bytes, materialize, mix, partitions, unwrapped, wrapped
 
-#: n-gram orders, and the buckets that their hashes fall into.
-ORDERS, BUCKETS = (1, 2, 3), 1 << 15
+#: n-gram orders; the buckets that their hashes fall into; and the entries of the matrix at most, which is what is broadcast: beyond 512
+#: languages there are fewer buckets, down to 256.
+ORDERS, BUCKETS, ENTRIES = (1, 2, 3), 1 << 15, 1 << 24
 #: The classifier is fitted on about so many labelled rows of each language at most; everything else covers all rows.
 FIT_ROWS = 3000
-#: The model's size is bounded: more languages than this are refused.
-MOST_LANGUAGES = 512
 UND = "und"
+PLANES = 0x40000
 #: Evidence of this many n-grams at most counts, so that long texts keep scores below 1.
 EVIDENCE = 200.0
 
@@ -33,14 +33,14 @@ EVIDENCE = 200.0
 class Model:
     languages: tuple[str, ...]
     log_prior: np.ndarray
-    #: BUCKETS x languages.
+    #: Buckets x languages.
     log_prob: np.ndarray
 
 
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point of the basic plane and the next: whether it is a letter, and its lower-case form."""
-    points = [chr(i) for i in range(0x20000)]
+    """For each code point of the first four planes, which hold all letters: whether it is one, and its lower-case form."""
+    points = [chr(i) for i in range(PLANES)]
     letter = np.array([c.isalpha() for c in points])
     lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(points)], np.uint32)
     return letter, lower
@@ -57,11 +57,16 @@ def _code_points(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(points, starts, 32) if len(starts) else points, starts + np.arange(len(starts))
 
 
-def grams(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def buckets(languages: int) -> int:
+    """A power of two."""
+    return max(256, min(BUCKETS, 1 << (max(1, ENTRIES // max(1, languages))).bit_length() - 1))
+
+
+def grams(column: pa.ChunkedArray, width: int = BUCKETS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Bucket of the n-gram that starts at each character, one array for each order; where texts start; letters of each text."""
     letter, lower = _tables()
     points, starts = _code_points(column)
-    inside = np.minimum(points, 0x1FFFF)
+    inside = np.minimum(points, PLANES - 1)
     is_letter = letter[inside]
     ends = np.r_[starts[1:], len(points)]
     cum = np.r_[0, np.cumsum(is_letter)]
@@ -72,69 +77,89 @@ def grams(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.nda
         key = plain.copy()
         for k in range(1, n):
             key[:-k] = key[:-k] * np.uint64(0x110001) + plain[k:]
-        out.append((mix(key + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(BUCKETS - 1)).astype(np.int32))
+        out.append((mix(key + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(width - 1)).astype(np.int32))
     return out, starts, cum[ends] - cum[starts]
 
 
-def training_rows(docs: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """Labelled texts, about ``most`` of each language at most, chosen by a hash: the same rows on every run."""
+def training_rows(docs: DataFrame, most: int = FIT_ROWS) -> tuple[DataFrame, int, str]:
+    """Labelled texts, about ``most`` of each language at most, chosen by a hash: the same rows on every run; the number of languages; and
+    the table that is read.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, most / n)).otherwise(share)
-    return labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    # A row for each language, written so that Spark knows its size: it broadcasts the table below its own threshold.
+    counts, path = materialize(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count("*")).alias("share")), "languages")
+    rows = labelled.join(counts, "lang").filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    return rows.select("text", "lang"), counts.count(), path
 
 
 def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
     """Learns from text and lang. Counts of each n-gram bucket are summed on the executors; the driver gets one matrix, bounded in size."""
+    rows, languages, path = training_rows(docs, most)
+    width = buckets(languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for rows in chunks(batches):
-            ids, starts, _ = grams(rows.column("text"))
+        for part in chunks(batches):
+            ids, starts, _ = grams(part.column("text"), width)
             ends = np.r_[starts[1:], len(ids[0])]
-            lang = np.array(rows.column("lang").to_pylist(), object)
-            for name in set(lang):
-                held = sums.setdefault(name, np.zeros(BUCKETS + 1))
-                own = np.repeat(lang == name, ends - starts)
+            names, which = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
+            by = np.argsort(which, kind="stable")
+            cuts = np.searchsorted(which[by], np.arange(len(names) + 1))
+            for k, name in enumerate(names.tolist()):
+                own = by[cuts[k] : cuts[k + 1]]
+                places = expand(starts[own], ends[own] - starts[own])
+                held = sums.setdefault(name, np.zeros(width + 1))
                 for x in ids:
-                    held[:BUCKETS] += np.bincount(x[own], minlength=BUCKETS)
-                held[BUCKETS] += int((lang == name).sum())
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+                    held[:width] += np.bincount(x[places], minlength=width)
+                held[width] += len(own)
+            if len(sums) * width > ENTRIES:
+                yield _counted(sums)
+                sums = {}
+        yield _counted(sums)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        # Rows come by language: one sum at a time.
+        name, held = None, None
         for batch in batches:
             for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[lang] = sums.get(lang, 0) + np.frombuffer(raw)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
-
-    parts = arrow_map(training_rows(docs, most), count, "lang string, counts binary")
-    # One row for each task and language; they are added up in a few tasks before the driver gets them.
-    sums: dict[str, np.ndarray] = {}
-    for r in parts.repartition(4, "lang").mapInArrow(add, "lang string, counts binary").toLocalIterator():
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"])
-    languages = tuple(sorted(sums))
-    if not languages:
-        return Model((), np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
-    counts = np.array([sums[x] for x in languages])
-    prob = counts[:, :BUCKETS] + 0.5
-    return Model(languages, np.log(counts[:, BUCKETS] / counts[:, BUCKETS].sum()), np.ascontiguousarray(np.log(prob / prob.sum(1, keepdims=True)).T.astype(np.float32)))
+                if lang != name and held is not None:
+                    yield _counted({name: held})
+                    held = None
+                name, held = lang, np.frombuffer(raw) + (0 if held is None else held)
+        if held is not None:
+            yield _counted({name: held})
+
+    parts = arrow_map(rows, count, "lang string, counts binary")
+    # One row for each task and language; they are added up before the driver gets them, one for each language.
+    summed = arrow_map(parts.repartition(partitions(docs), "lang").sortWithinPartitions("lang"), add, "lang string, counts binary")
+    found = [(r["lang"], np.frombuffer(r["counts"]).astype(np.float32)) for r in summed.toLocalIterator()]
+    delete(docs.sparkSession, path)
+    if not found:
+        return Model((), np.zeros(0), np.zeros((width, 0), np.float32))
+    found.sort(key=lambda x: x[0])
+    seen = np.array([x[width] for _, x in found], float)
+    prob = np.stack([x[:width] for _, x in found], 1) + np.float32(0.5)
+    return Model(tuple(x for x, _ in found), np.log(seen / seen.sum()), np.log(prob / prob.sum(0, dtype=float)).astype(np.float32))
+
+
+def _counted(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
 
 def score(texts: pa.ChunkedArray, model: Model) -> tuple[list[str], np.ndarray]:
     """The likeliest language of each text and its probability, 0 to 1. A null text or one without letters is `und` with 0."""
     n = len(texts)
-    ids, starts, letters = grams(texts)
+    rows = max(1, (1 << 22) // max(1, len(model.languages)))
+    if n > rows:
+        parts = [score(texts.slice(k, rows), model) for k in range(0, n, rows)]
+        return [x for lang, _ in parts for x in lang], np.concatenate([p for _, p in parts])
+    ids, starts, letters = grams(texts, len(model.log_prob))
     known = (letters > 0) & bool(model.languages)
     out, probability = np.full(n, UND, object), np.zeros(n)
     if known.any():
         sums = np.zeros((n, len(model.languages)))
         # Blocks keep the gathered rows in the cache; a text that lies in several gets their sum.
-        block = 1 << 16
+        block = max(1 << 10, (1 << 18) // len(model.languages))
         total = len(ids[0])
         for at in range(0, total, block):
             to = min(total, at + block)
@@ -183,8 +208,6 @@ def predict_documents(docs: DataFrame, most: int = FIT_ROWS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, most: int = FIT_ROWS) -> DataFrame:
-    """The rows whose language is known: not `und`, and with a score of at least ``least``."""
-    names = docs.columns
-    safe = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
-    out = identify(safe, fit(docs.filter(~held_out()), most))
-    return out.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
+    """The rows whose language is known: not `und`, and with a score of at least ``least``. Other columns may have any name."""
+    out = identify(wrapped(docs, text=F.col("text")), fit(docs.filter(~held_out()), most))
+    return unwrapped(out.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semforge.llm.common import extended, materialize, mix, partitions
+from semforge.llm.common import arrow_map, extended, materialize, mix, partitions, unwrapped, wrapped
 
 SHARDS = 40
 ROUNDS = 6
@@ -38,45 +38,54 @@ def permute(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Adds size (UTF-8 bytes and 16), text_crc32 and the hash that breaks ties. A null text counts as an empty one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text.cast("binary")).cast("long"), "_tie": F.xxhash64(text)})
+def _text() -> F.Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
 
-def shard(rows: DataFrame, by: list[str], shards: int = SHARDS, key: int = KEY) -> DataFrame:
-    """Adds shard and slot to every row. ``by`` orders the rows; rows equal in it are interchangeable.
+def _crc() -> F.Column:
+    return F.crc32(_text().cast("binary")).cast("long")
 
-    Nulls come first. The order is made by a range partitioning whose result is written to the shared folder, so that the row counts
-    of its partitions, all that the driver gets, hold for the rows read afterwards. No row is dropped; an empty table stays empty.
+
+def _sharded(rows: DataFrame, shards: int, key: int) -> DataFrame:
+    """(row, doc_id, crc, tie) to the columns of ``row`` with shard and slot.
+
+    The order is made by a range partitioning whose result is written to the shared folder, so that the row counts of its partitions,
+    all that the driver gets, hold for the rows read afterwards.
     """
-    order = [F.col(c) for c in by]
-    width = partitions(rows)
     # Equal rows may fill more than one partition: the place in the input breaks ties.
-    sorted_rows = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(width, *order, "_at").sortWithinPartitions(*order, "_at").drop("_at")
-    placed, _ = materialize(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "shard")
-    part = F.shiftrightunsigned("_id", 33)
+    order = ["doc_id", "crc", "tie", "at"]
+    ranged = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
+    placed, _ = materialize(ranged.select("row", F.monotonically_increasing_id().alias("id")), "shard")
+    part = F.shiftrightunsigned("id", 33)
     counts = {int(r["p"]): int(r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     total, before, at = sum(counts.values()), {}, 0
     for p in sorted(counts):
         before[p] = at
         at += counts[p]
-    names = [c for c in placed.columns if c != "_id"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_id").to_numpy()
+            ids = batch.column("id").to_numpy()
             numbers = np.array([before[p] for p in (ids >> 33).tolist()], np.int64) + (ids & ((1 << 33) - 1)) if len(ids) else np.zeros(0, np.int64)
             to = permute(numbers, total, key)
-            columns = [batch.column(n) for n in names] + [pa.array((to % shards).astype(np.int32)), pa.array(to // shards)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "shard", "slot"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array((to % shards).astype(np.int32)), pa.array(to // shards)], ["row", "shard", "slot"])
+
+    schema = extended(placed.select("row").schema, shard=T.IntegerType(), slot=T.LongType())
+    return unwrapped(arrow_map(placed, place, schema), shard=F.col("shard"), slot=F.col("slot"))
 
-    schema = extended(placed.select(*names).schema, shard=T.IntegerType(), slot=T.LongType())
-    return placed.mapInArrow(place, schema)
+
+def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY) -> DataFrame:
+    """All rows with their shard and slot, which replace columns of these names; other columns may have any name.
+
+    Rows are numbered in the order of doc_id, nulls first, CRC-32 of the text and its hash; rows equal in these are interchangeable. A
+    null text counts as an empty one. No row is dropped; an empty table stays empty.
+    """
+    return _sharded(wrapped(docs, doc_id=F.col("doc_id"), crc=_crc(), tie=F.xxhash64(_text())), shards, key)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document; texts themselves don't travel."""
-    narrow = measured(docs.select("doc_id", "text")).drop("text")
-    out = shard(narrow, ["doc_id", "text_crc32", "_tie"], shards)
+    size = F.octet_length(_text()).cast("long") + 16
+    row = F.struct(F.col("doc_id"), size.alias("size"), _crc().alias("text_crc32"))
+    out = _sharded(docs.select(row.alias("row"), "doc_id", _crc().alias("crc"), F.xxhash64(_text()).alias("tie")), shards, KEY)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semforge.llm.common import arrow_map, chunks, delete, expand, extended, flat_bytes, materialize, mix, partitions, text_key, word_bounds
+from semforge.llm.common import arrow_map, chunks, delete, expand, extended, flat_bytes, materialize, mix, partitions, text_key, unwrapped, word_bounds, wrapped
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: A fingerprint that more than this share of all rows have doesn't travel by its hash; there are fewer of them than 1 / HOT.
+HOT = 1 / 4096
 _P = [np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
 
 
@@ -236,8 +238,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return arrow_map(blocks, meet, "a long, b long").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, label) and (a, b) to (id, label): each node in an edge gets the least label that it reaches.
+def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> tuple[DataFrame, str]:
+    """(id, label) and (a, b) to (id, label): each node in an edge gets the least label that it reaches; and the table it reads.
 
     Each round, nodes take the least label of their neighbours, and edges are drawn anew between a node and the least node known to
     it, which halves distances. Pairs that agree drop out. Tables in the shared folder end each round's plan; nothing is collected.
@@ -266,7 +268,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     member = star.select(F.col("b").alias("id"), F.col("a").alias("centre")).union(star.select(F.col("a").alias("id"), F.col("a").alias("centre")).distinct())
     labelled = member.join(nodes, "id")
     low = labelled.groupBy("centre").agg(F.min("label").alias("label"))
-    return member.join(low, "centre").select("id", "label")
+    return member.join(low, "centre").select("id", "label"), path
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -275,13 +277,22 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Null and wordless texts have fingerprint zero and link like others. A null doc_id takes part in links but names no component;
     a component without any id has a null one. Repeated rows are in one component.
     """
-    marked, _ = materialize(fingerprinted(docs.select("doc_id", text_key().alias("key"), "text")), "fingerprints")
-    nodes, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("label")).withColumnRenamed("fp", "id"), "nodes")
-    edges, _ = materialize(links(nodes.select(F.col("id").alias("fp")), radius), "links")
-    joined = components(nodes, edges)
-    final = nodes.join(joined.withColumnRenamed("label", "joined"), "id", "left").select(F.col("id").alias("fp"), F.when(F.col("joined").isNotNull(), F.col("joined")).otherwise(F.col("label")).alias("component_id"))
-    # A fingerprint that many rows share is a skewed join key; Spark splits it.
-    return marked.join(final, "fp", "left")
+    extra = [c for c in ("tie",) if c in docs.columns]
+    marked, _ = materialize(fingerprinted(docs.select("doc_id", text_key().alias("key"), "text", *extra)), "fingerprints")
+    nodes, nodes_at = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")).withColumnRenamed("fp", "id"), "nodes")
+    edges, edges_at = materialize(links(nodes.select(F.col("id").alias("fp")), radius), "links")
+    joined, star_at = components(nodes.select("id", "label"), edges)
+    final = nodes.join(joined.withColumnRenamed("label", "joined"), "id", "left").select(F.col("id").alias("fp"), F.when(F.col("joined").isNotNull(), F.col("joined")).otherwise(F.col("label")).alias("component_id"), "n")
+    final, _ = materialize(final, "classes")
+    for path in (nodes_at, edges_at, star_at):
+        delete(docs.sparkSession, path)
+    # Rows of a hot fingerprint would all travel to one task. Those fingerprints are fewer than 1 / HOT, so they are broadcast instead.
+    total = final.agg(F.sum("n")).first()[0] or 0
+    hot = final.filter(F.col("n") > total * HOT).select(F.col("fp").alias("hot"), F.col("component_id").alias("hot_id"))
+    placed = marked.join(F.broadcast(hot), F.col("fp") == F.col("hot"), "left")
+    names = marked.columns
+    rest = placed.filter("hot is null").select(*names).join(final.filter(F.col("n") <= total * HOT).select("fp", "component_id"), "fp", "left")
+    return placed.filter("hot is not null").select(*names, F.col("hot_id").alias("component_id")).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -290,7 +301,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id. Rows without a doc_id can't be named and stay."""
-    keep = grouped(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("kept")).agg(F.min("key").alias("kept_key"))
-    named = docs.join(keep, (F.col("doc_id") == F.col("kept")) & (text_key() == F.col("kept_key")), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicates: that with the smallest doc_id. Rows without a doc_id can't be named and stay.
+
+    Of rows that share the doc_id that stays, that with the smallest hash of its text, then of all its columns, stays; rows that agree
+    in all columns are one. Other columns may have any name.
+    """
+    columns = [F.to_json(F.struct(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in docs.schema]
+    rows = wrapped(docs, doc_id=F.col("doc_id"), text=F.col("text"), tie=F.xxhash64(*columns))
+    first = grouped(rows.select("doc_id", "text", "tie")).filter("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("key", "tie")).alias("least"))
+    keep = first.select(F.col("doc_id").alias("kept"), F.col("least.key").alias("kept_key"), F.col("least.tie").alias("kept_tie"))
+    named = rows.join(keep, (F.col("doc_id") == F.col("kept")) & (F.col("tie") == F.col("kept_tie")) & (text_key() == F.col("kept_key")), "left_semi")
+    return unwrapped(named.dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null")))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from semforge.llm import mixing
 from tests.llm.test_text_operators import DOC, slow_fingerprint
 
 
@@ -34,6 +35,58 @@ def stage(spark, name, docs, d):
     return dict(corpus_pipeline.STAGES)[name](spark, docs, d)
 
 
+AWKWARD = "size text_crc32 _id id times key kept kept_key shard slot row tie crc at lang_pred score _copy copy hot source_g h item_id n fp component_id".split()
+
+
+def test_columns_of_any_name(spark, table):
+    """No stage minds other columns; all but the last give them back, the last replaces shard and slot."""
+    d, _, _ = table
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    wide = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in AWKWARD], "map('a', doc_id) AS m", "1.5D AS `a.b`")
+    for name, fn in corpus_pipeline.STAGES:
+        plain, out = fn(spark, docs, d), fn(spark, wide, d)
+        if name == "sharding":
+            assert sorted(out.columns) == sorted(wide.columns)
+            plain = plain.select(*docs.columns, "shard", "slot")
+        else:
+            assert out.columns == wide.columns and out.filter("size <> concat('size', doc_id)").count() == 0
+        assert Counter(map(tuple, out.select(*plain.columns).collect())) == Counter(map(tuple, plain.collect()))
+
+
+def test_empty_documents(spark, table, tmp_path):
+    d, _, _ = table
+    empty = spark.read.parquet(f"{d}/documents.parquet").limit(0)
+    for _, fn in corpus_pipeline.STAGES:
+        assert fn(spark, empty, d).count() == 0
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{d}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"shard", "slot"} <= set(out.columns)
+
+
+def test_mixing_rows_without_id(spark, table):
+    """Rows that share doc_id and text are taken by their own source's plan, and equal rows alike."""
+    d, _, _ = table
+    rows = [(None, "one two", "x", "aa", 0), (None, "one two", "x", "bb", 0), (None, "one two", "x", "bb", 0), (7, "three four", "x", "cc", 0)]
+    rows += [(k, f"word{k} " * 50, "x", "dd", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, DOC)
+    plan = {r["source_g"]: r for r in mixing.plan(docs.select("doc_id", "text", "source")).collect()}
+    taken = {r.doc_id: r.taken // r.size for r in mixing.mix(docs).filter("source = 'dd'").collect()}
+    got = Counter((r.doc_id, r.source) for r in stage(spark, "mixing sources", docs, d).collect())
+    assert plan["aa"].copies == plan["bb"].copies == plan["cc"].copies == 3
+    assert got == Counter({(None, "aa"): 3, (None, "bb"): 6, (7, "cc"): 3} | {(k, "dd"): int(n) for k, n in taken.items() if n})
+    assert got == Counter((r.doc_id, r.source) for r in stage(spark, "mixing sources", docs.repartition(3), d).collect())
+
+
+def test_ties_of_near_duplicates(spark, table):
+    """Of rows with one doc_id and text the same one stays on every run, and equal rows are one."""
+    d, _, _ = table
+    rows = [(1, "a b c d e f", "x", s, 0) for s in ("p", "q", "q", None)] + [(1, "a b c d e g", "x", "r", 0), (2, "a b c d e f", "x", "s", 0)]
+    kept = [tuple(r) for k in (1, 2, 5) for r in stage(spark, "SimHash near-dedup", spark.createDataFrame(rows[::-1] if k == 2 else rows, DOC).repartition(k), d).filter("text = 'a b c d e f'").collect()]
+    every = [tuple(r) for r in stage(spark, "SimHash near-dedup", spark.createDataFrame(rows, DOC), d).collect()]
+    assert len(set(kept)) <= 1 and len(every) == len(set(every)) and len({r[0] for r in every}) == len(every)
+
+
 def test_stages(spark, table):
     d, rows, item = table
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -153,7 +153,7 @@ def test_links_are_complete(spark):
 def test_components_of_a_chain(spark):
     edges = spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     nodes = spark.range(51).select("id", (100 - F.col("id")).alias("label"))
-    out = simhash.components(nodes, edges).collect()
+    out = simhash.components(nodes, edges)[0].collect()
     assert len(out) == 51 and {r.label for r in out} == {50}
 
 
@@ -247,6 +247,23 @@ def test_licenses_in_any_layout():
     assert not scanner.scan(pa.chunked_array([pa.array(halves)]))
 
 
+def test_language_of_many_labels_and_rare_letters(spark):
+    """Six hundred labels, most of them dirt; letters beyond the second plane are letters."""
+    rng = np.random.default_rng(3)
+    kinds = {"aa": list("abcde"), "bb": list("vwxyz"), "cc": [chr(0x20000 + k) for k in range(40)], "dd": [chr(0x30000 + k) for k in range(40)]}
+    rows = []
+    for i in range(2400):
+        name = list(kinds)[i % 4]
+        text = " ".join("".join(rng.choice(kinds[name], 5)) for _ in range(12))
+        rows.append((i, text, name if i % 3 else f"{name}-{i % 600}", "s", 0))
+    rows += [(5000, "\U00020000\U00020001", None, None, 0), (5001, "12 \u3000", "aa", None, 0), (5002, None, "aa", None, 0)]
+    got = {r.doc_id: r for r in langid.predict_documents(spark.createDataFrame(rows, DOC)).collect()}
+    assert got[5001].lang_pred == got[5002].lang_pred == "und" and got[5000].lang_pred.startswith("cc") and got[5000].score > 0
+    held = [r for r in rows if got[r[0]].held_out and r[0] < 5000]
+    assert np.mean([got[r[0]].lang_pred[:2] == r[2][:2] for r in held]) > 0.99
+    assert langid.buckets(4) == langid.buckets(512) == langid.BUCKETS and langid.buckets(600) == langid.BUCKETS // 2 and langid.buckets(10**6) == 256
+
+
 def test_words_and_spans():
     texts = pa.chunked_array([pa.array(["ab c", None, "", " d\n", "e"])])
     from semforge.llm.common import flat_bytes
