@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from semforge.llm import decontamination, langid, mixing, sharding, simhash
-from semforge.llm.common import delete, materialize, table, text_key
+from semforge.llm.common import delete, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,16 +27,12 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays as often as the mix takes it: not at all, or up to three times."""
-    plan = mixing.mix(docs.select("doc_id", "text", "source")).filter("taken > 0")
-    times = plan.select(F.col("doc_id").alias("id"), (F.col("taken") / F.col("size")).cast("int").alias("times"), "key").distinct()
-    kept = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key() == F.col("key")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
-    out = sharding.shard(sharding.measured(docs), ["doc_id", "text_crc32", "_tie"])
-    return out.drop("_tie", "size", "text_crc32")
+    return sharding.shard(docs)
 
 
 STAGES = [
