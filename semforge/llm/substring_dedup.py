@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from semforge.llm.common import arrow_map, chunks, flat_bytes, prefix_hash, range_hash, word_bounds
-from semforge.llm.superwindows import Shape, Strings, merged, same, with_spans
+from semforge.llm.superwindows import HOT_RUNS, Shape, Strings, merged, same, with_spans
 
 WINDOW, MINIMISER = 13, 5
 
@@ -34,7 +34,7 @@ def sorted_windows(texts: Strings, which: np.ndarray) -> np.ndarray:
     return same(texts.data, start, end - start, range_hash(sums, inverse, start - lo, end - lo))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, keep_text: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row, and kept_text where asked for.
 
     Words covered by a window that also starts in a document with a smaller doc_id go. A null text has no words. Rows without a doc_id
@@ -68,4 +68,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
             yield from pa.table(out | ({"kept_text": pa.array(kept, pa.string())} if keep_text else {})).to_batches()
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return arrow_map(with_spans(docs, shape, sorted_windows), run, schema)
+    return arrow_map(with_spans(docs, shape, sorted_windows, hot_runs), run, schema)

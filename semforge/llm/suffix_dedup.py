@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from semforge.llm.common import arrow_map, chunks, expand, flat_bytes
-from semforge.llm.superwindows import Shape, Strings, merged, with_spans
+from semforge.llm.superwindows import HOT_RUNS, Shape, Strings, merged, with_spans
 
 LENGTH, MINIMISER = 50, 24
 
@@ -139,7 +139,7 @@ def suffix_classes(texts: Strings, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, minimiser: int = MINIMISER, keep_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, minimiser: int = MINIMISER, keep_text: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and kept_bytes where asked for.
 
     Bytes covered by a string of ``length`` bytes (8 or more) that also starts in a document with a smaller doc_id go. A null text is
@@ -167,4 +167,4 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, minimiser: int = MINIMIS
             yield from pa.table(out | ({"kept_bytes": pa.array(kept, pa.binary())} if keep_text else {})).to_batches()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * keep_text
-    return arrow_map(with_spans(docs, shape, suffix_classes), run, schema)
+    return arrow_map(with_spans(docs, shape, suffix_classes, hot_runs), run, schema)

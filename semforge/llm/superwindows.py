@@ -1,11 +1,15 @@
 """Windows that repeat across documents, found in buckets of their minimisers.
 
 Every window of W symbols has a minimiser, the M symbols in it with the least hash. Consecutive windows that share one travel as one
-packed string to the minimiser's bucket, so equal windows meet, however they are placed in their documents. A string that occurs often
-in a chunk is sent once, for the smallest of its documents; its other places are known to repeat and need no travel. A bucket keeps
+packed string to the minimiser's bucket, so equal windows meet, however they are placed in their documents. A string that a map task
+has often is sent once, for the smallest of its documents; its other places are known to repeat and need no travel. A bucket keeps
 the strings of minimisers that more than one document has, gives each window a class, and each class its smallest doc_id. A window is
 a repeat where that is smaller than its own document's.
 
+A line that very many documents have would send one string of each to the bucket of its minimiser. So windows with a hot minimiser
+travel alone, each to the bucket of its own hash: those that reach beyond the line differ and are dealt out, and those within it are
+alike, so that a map task sends them once.
+
 Symbols are the bytes of a text, or its words. What tells equal windows is the caller's: a function from strings to classes.
 """
 
@@ -20,10 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semforge.llm.common import arrow_map, chunks, expand, flat_bytes, merge_spans, mix, partitions, prefix_hash, range_hash, sliding_min, text_key, word_bounds
+from semforge.llm.common import arrow_map, chunks, expand, flat_bytes, materialize, merge_spans, mix, partitions, prefix_hash, range_hash, sliding_min, text_key, word_bounds
 
 #: Bytes of packed strings that a map task holds before it sends them.
 HELD_BYTES = 24 << 20
+#: Runs of one minimiser from which it is hot, and how many hot ones are told to all tasks at most, those with the most runs first.
+HOT_RUNS, HOT_KEYS = 1 << 14, 1 << 17
+#: Bits of a place within a chunk: Spark's strings are shorter.
+PLACE_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -124,6 +132,29 @@ class _Cut:
     key: np.ndarray
     offset: np.ndarray
     number: np.ndarray
+    #: Where each run begins in the chunk, in symbols.
+    at: np.ndarray
+
+
+@dataclass
+class _Hot:
+    """Hot minimisers: the first 44 bits of their hashes, sorted, and which first 20 bits there are."""
+
+    keys: np.ndarray
+    met: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray) -> _Hot:
+        met = np.zeros(1 << 20, bool)
+        met[(keys >> np.uint64(24)).astype(np.int64)] = True
+        return _Hot(np.sort(keys), met)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.met[(hashes >> np.uint64(44)).astype(np.int64)]
+        k = np.flatnonzero(out)
+        key = hashes[k] >> np.uint64(20)
+        out[k] = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+        return out
 
 
 def _gram_hashes(data: np.ndarray, m: int) -> np.ndarray:
@@ -160,7 +191,7 @@ def cut(texts: pa.ChunkedArray, shape: Shape) -> _Cut | None:
         h = range_hash(sums, inverse, word_at[: n - M + 1], word_at[M - 1 :] + sizes[M - 1 :])
     else:
         h = _gram_hashes(data, M)
-    low = np.uint64((1 << 30) - 1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least = sliding_min((h & ~low) | np.arange(n - M + 1, dtype=np.uint64), W - M + 1)
     least &= low
     new = np.ones(n - W + 1, bool)
@@ -186,7 +217,24 @@ def cut(texts: pa.ChunkedArray, shape: Shape) -> _Cut | None:
     place = least[a].astype(np.int64)
     lo, hi = (word_at[a], word_at[b + W - 1] + sizes[b + W - 1]) if shape.words else (a, b + W)
     head = np.searchsorted(row, row, "left")
-    return _Cut(data, word_at, sizes, row, a - first[row], b - a + W, lo, hi, h[place], (place - a).astype(np.uint8), np.arange(len(a)) - head)
+    return _Cut(data, word_at, sizes, row, a - first[row], b - a + W, lo, hi, h[place], (place - a).astype(np.uint8), np.arange(len(a)) - head, a)
+
+
+def _recut(c: _Cut, use: np.ndarray, shape: Shape, hot: _Hot | None) -> tuple[np.ndarray, ...]:
+    """Row, start, symbols, first and end byte, minimiser and its place of the runs ``use``, and whether a row is one window of a run with a hot minimiser."""
+    hit = hot.has(c.key[use]) if hot is not None else np.zeros(len(use), bool)
+    rest, old = use[~hit], use[hit]
+    out = c.row[rest], c.start[rest], c.symbols[rest], c.lo[rest], c.hi[rest], c.key[rest], c.offset[rest], np.zeros(len(rest), bool)
+    if not len(old):
+        return out
+    W = shape.window
+    count = c.symbols[old] - W + 1
+    owner, at = np.repeat(old, count), expand(c.at[old], count)
+    lo, hi = (c.word_at[at], c.word_at[at + W - 1] + c.word_size[at + W - 1]) if shape.words else (at, at + W)
+    alone = c.row[owner], c.start[owner] + at - c.at[owner], np.full(len(at), W), lo, hi, c.key[owner], np.zeros(len(at), np.uint8), np.ones(len(at), bool)
+    both = [np.concatenate(x) for x in zip(out, alone, strict=True)]
+    order = np.argsort(both[3], kind="stable")
+    return tuple(x[order] for x in both)
 
 
 #: Bytes that are cut at once, so that arrays over them stay in the cache.
@@ -202,36 +250,32 @@ class _Asker:
         self.docs: list[np.ndarray] = []
         self.rows = self.size = 0
         self.zip = zstandard.ZstdCompressor(level=1)
+        #: doc_id and number of runs whose minimiser is known to be shared without a bucket.
+        self.known: list[tuple] = []
 
-    def add(self, ids: np.ndarray, texts: pa.ChunkedArray) -> tuple | None:
-        """Takes a chunk; returns (doc_id, number) of runs whose minimiser several of its documents have."""
+    def add(self, ids: np.ndarray, texts: pa.ChunkedArray) -> None:
         c = cut(texts, self.shape)
         if c is None:
-            return None
-        doc, key = ids[c.row], c.key >> np.uint64(20)
-        order = np.argsort(key, kind="stable")
-        k, d = key[order], doc[order]
-        head = np.r_[True, k[1:] != k[:-1]]
-        at = np.flatnonzero(head)
-        group = np.cumsum(head) - 1
-        many = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))[group]
-        known = order[many]
-        # Of several documents one tells the bucket; it asks nothing.
-        tell = np.sort(np.concatenate([order[~many], order[head & many]]))
-        asks = np.ones(len(doc), bool)
-        asks[known] = False
-        self.held.append((self.rows + c.row[tell], c.number[tell], key[tell], asks[tell]))
+            return
+        # Of several documents of the chunk one tells the bucket, for all of their runs; it asks nothing.
+        tell, asks, count, known = _told(c.key >> np.uint64(20), ids[c.row], np.ones(len(c.row), bool), np.ones(len(c.row), np.int64))
+        if len(known):
+            self.known.append((ids[c.row[known]], c.number[known]))
+        self.held.append((self.rows + c.row[tell], c.number[tell], c.key[tell] >> np.uint64(20), asks, count))
         self.docs.append(ids)
         self.rows += len(ids)
         self.size += len(tell)
-        return (doc[known], c.number[known]) if len(known) else None
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
         if not self.held:
             return
-        row, number, key, asks = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        row, number, key, asks, count = (np.concatenate(x) for x in zip(*self.held, strict=True))
         table = np.concatenate(self.docs)
         self.held, self.docs, self.rows, self.size = [], [], 0, 0
+        tell, asks, count, known = _told(key, table[row], asks, count)
+        if len(known):
+            self.known.append((table[row[known]], number[known]))
+        row, number, key = row[tell], number[tell], key[tell]
         to = (key % np.uint64(self.parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         bounds = np.searchsorted(to[order], np.arange(self.parts + 1))
@@ -241,10 +285,32 @@ class _Asker:
             head = np.r_[True, np.diff(row[k]) > 0]
             docs, doc = table[row[k[head]]], np.cumsum(head) - 1
             step = np.diff(number[k], prepend=0)
-            # 40 bits of a hash besides the bucket: a chance meeting costs a string's travel, not a wrong result.
-            raw = (key[k] // np.uint64(self.parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            # 44 bits of a hash, less those of the bucket: a chance meeting costs a string's travel, not a wrong result.
+            raw = (key[k] // np.uint64(self.parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _key_bytes(self.parts)]
             counts = np.array([len(docs), len(k)], "<u4")
-            yield int(p), self.zip.compress(b"".join(x.tobytes() for x in (counts, _planes(np.diff(docs, prepend=0), 8), _planes(np.diff(doc, prepend=0), 4), _planes(step, 4), asks[k], raw)))
+            more = _planes(np.minimum(count[k] - 1, (1 << 31) - 1), 4)
+            yield int(p), self.zip.compress(b"".join(x.tobytes() for x in (counts, _planes(np.diff(docs, prepend=0), 8), _planes(np.diff(doc, prepend=0), 4), _planes(step, 4), more, asks[k], raw)))
+
+
+def _key_bytes(parts: int) -> int:
+    return 5 if parts >= 16 else 6
+
+
+def _told(key: np.ndarray, doc: np.ndarray, asks: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which entries tell a bucket of their key, whether they ask, and for how many runs they stand; and which others are now known to be shared."""
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], doc[order]
+    head = np.r_[True, k[1:] != k[:-1]]
+    at = np.flatnonzero(head)
+    group = np.cumsum(head) - 1
+    several = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+    several |= np.logical_or.reduceat(~asks[order], at)
+    many = several[group]
+    tell = order[~many | head]
+    out_asks, out_count = np.where(many, False, asks[order])[~many | head], np.where(many & head, np.add.reduceat(count[order], at)[group], count[order])[~many | head]
+    known = order[many]
+    by = np.argsort(tell)
+    return tell[by], out_asks[by], out_count[by], known[asks[known]]
 
 
 def _planes(x: np.ndarray, size: int) -> np.ndarray:
@@ -256,9 +322,9 @@ def _unplanes(raw: bytes, n: int, size: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, -1).T).view(f"<i{size}").ravel().astype(np.int64)
 
 
-def _answer(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """(doc_id, number) of all that ask about a minimiser that several documents of a bucket have."""
-    parts = []
+def _answer(blobs: list[bytes], parts: int, hot_runs: int) -> tuple[tuple[np.ndarray, ...] | None, np.ndarray]:
+    """(doc_id, number) of all that ask about a minimiser that several documents of a bucket have; and (key, runs) of hot ones."""
+    wide, found = _key_bytes(parts), []
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n_docs, n = (int(x) for x in np.frombuffer(raw, "<u4", 2))
@@ -266,11 +332,12 @@ def _answer(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
         docs = np.cumsum(_unplanes(raw, n_docs, 8, 8))
         doc = np.cumsum(_unplanes(raw, n, 4, at))
         number = np.cumsum(_unplanes(raw, n, 4, at + 4 * n))
-        asks = np.frombuffer(raw, bool, n, at + 8 * n)
+        count = _unplanes(raw, n, 4, at + 8 * n) + 1
+        asks = np.frombuffer(raw, bool, n, at + 12 * n)
         key = np.zeros((n, 8), np.uint8)
-        key[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, at + 9 * n).reshape(-1, 5)
-        parts.append((docs[doc], number, key.view("<u8").ravel(), asks))
-    ids, number, key, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key[:, :wide] = np.frombuffer(raw, np.uint8, wide * n, at + 13 * n).reshape(-1, wide)
+        found.append((docs[doc], number, key.view("<u8").ravel(), asks, count))
+    ids, number, key, asks, count = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(key, kind="stable")
     k, d = key[order], ids[order]
     head = np.r_[True, k[1:] != k[:-1]]
@@ -278,26 +345,30 @@ def _answer(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
     many = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
     # One that asks nothing speaks for several documents.
     many |= np.logical_or.reduceat(~asks[order], at)
+    runs = np.add.reduceat(count[order], at)
+    hot = np.flatnonzero(many & (runs >= hot_runs))
     yes = order[many[np.cumsum(head) - 1]]
     yes = yes[asks[yes]]
-    return (ids[yes], number[yes]) if len(yes) else None
+    return ((ids[yes], number[yes]) if len(yes) else None), np.stack([k[at[hot]].astype(np.int64), runs[hot]], 1)
 
 
 class _Sender:
     """Deals the packed strings of minimisers that several documents have to buckets."""
 
-    def __init__(self, shape: Shape, parts: int) -> None:
-        self.shape, self.parts = shape, parts
+    def __init__(self, shape: Shape, parts: int, hot: _Hot | None = None) -> None:
+        self.shape, self.parts, self.hot = shape, parts, hot
         self.held: list[list[tuple]] = [[] for _ in range(parts)]
+        #: doc_id, key, start and end of what is known to repeat.
+        self.known: list[tuple] = []
         self.docs: list[np.ndarray] = []
         self.rows = self.size = 0
         self.zip = zstandard.ZstdCompressor(level=3)
 
-    def add(self, ids: np.ndarray, keys: np.ndarray, texts: pa.ChunkedArray, wanted: list) -> tuple | None:
-        """Takes a chunk and the numbers of each row's runs that are wanted; returns (row, start, end) of what repeats within it."""
+    def add(self, ids: np.ndarray, keys: np.ndarray, texts: pa.ChunkedArray, wanted: list) -> None:
+        """Takes a chunk and the numbers of each row's runs that are wanted."""
         c = cut(texts, self.shape)
         if c is None:
-            return None
+            return
         ask = np.zeros(len(c.row), bool)
         first = np.searchsorted(c.row, np.arange(len(ids) + 1))
         for k, lists in enumerate(wanted):
@@ -307,44 +378,47 @@ class _Sender:
                 ask[first[k] + number[number < first[k + 1] - first[k]]] = True
         use = np.flatnonzero(ask)
         if not len(use):
-            return None
-        row, start, lo, hi = c.row[use], c.start[use], c.lo[use], c.hi[use]
+            return
+        row, start, symbols, lo, hi, key, offset, alone = _recut(c, use, self.shape, self.hot)
         doc, length = ids[row], hi - lo
         raw = c.data[expand(lo, length)]
         at = np.cumsum(length) - length
         sums, inverse = prefix_hash(raw)
-        group = same(raw, at, length, range_hash(sums, inverse, at, at + length))
-        order = np.lexsort((doc, group))
-        g, d = group[order], doc[order]
-        head = np.r_[True, g[1:] != g[:-1]]
-        later = d > d[head][np.cumsum(head) - 1]
-        repeats = None
+        hashes = range_hash(sums, inverse, at, at + length)
+        key = np.where(alone, hashes, key)
+        later = _later(raw, at, length, hashes, doc)
         if later.any():
-            k = order[later]
-            repeats = row[k], start[k], start[k] + c.symbols[use][k]
-        send = np.sort(order[~later])
-        to = (mix(c.key[use[send]]) >> np.uint64(20)) % np.uint64(self.parts)
+            k = np.flatnonzero(later)
+            self.known.append((doc[k], keys[row[k]], start[k], start[k] + symbols[k]))
+        send = np.flatnonzero(~later)
+        to = (mix(key[send]) >> np.uint64(20)) % np.uint64(self.parts)
         by = np.argsort(to, kind="stable")
         send, to = send[by], to[by]
         cuts = np.searchsorted(to, np.arange(self.parts + 1, dtype=np.uint64))
         lengths = length[send]
         out = raw[expand(at[send], lengths)]
         byte_cut = np.r_[0, np.cumsum(lengths)]
-        offset = c.offset[use]
         for p in np.flatnonzero(np.diff(cuts)):
             x, y = cuts[p], cuts[p + 1]
             k = send[x:y]
-            self.held[p].append((self.rows + row[k], start[k].astype(np.uint32), lengths[x:y].astype(np.uint32), offset[k], out[byte_cut[x] : byte_cut[y]]))
+            self.held[p].append((self.rows + row[k], start[k].astype(np.uint32), lengths[x:y].astype(np.uint32), offset[k], symbols[k].astype(np.uint32), hashes[k], out[byte_cut[x] : byte_cut[y]]))
         self.docs.append(np.stack([ids, keys], 1))
         self.rows += len(ids)
         self.size += len(out)
-        return repeats
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
         table = np.concatenate(self.docs) if self.docs else None
         for p, pieces in enumerate(self.held):
             if pieces:
-                row, start, length, offset, raw = (np.concatenate(x) for x in zip(*pieces, strict=True))
+                row, start, length, offset, symbols, hashes, raw = (np.concatenate(x) for x in zip(*pieces, strict=True))
+                at = np.cumsum(length, dtype=np.int64) - length
+                later = _later(raw, at, length.astype(np.int64), hashes, table[row, 0])
+                if later.any():
+                    k = np.flatnonzero(later)
+                    self.known.append((table[row[k], 0], table[row[k], 1], start[k].astype(np.int64), start[k].astype(np.int64) + symbols[k]))
+                    keep = np.flatnonzero(~later)
+                    raw = raw[expand(at[keep], length[keep].astype(np.int64))]
+                    row, start, length, offset = row[keep], start[keep], length[keep], offset[keep]
                 first = np.r_[True, np.diff(row) > 0]
                 docs, doc = table[row[first]], np.cumsum(first) - 1
                 # Places go up within a document, so steps between them are small.
@@ -355,6 +429,17 @@ class _Sender:
         self.docs, self.rows, self.size = [], 0, 0
 
 
+def _later(raw: np.ndarray, at: np.ndarray, length: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which strings another document of those at hand has too, one with a smaller doc_id."""
+    group = same(raw, at, length, hashes)
+    order = np.lexsort((doc, group))
+    g, d = group[order], doc[order]
+    head = np.r_[True, g[1:] != g[:-1]]
+    out = np.empty(len(at), bool)
+    out[order] = d > d[head][np.cumsum(head) - 1]
+    return out
+
+
 def _opened(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n_docs, n = (int(x) for x in np.frombuffer(raw, "<u4", 2))
@@ -515,88 +600,117 @@ def _each_home(df: DataFrame, columns: int, gather: Callable, schema: str) -> Da
     return arrow_map(df, run, schema)
 
 
-def _mapped_batches(flush: Callable, known: list[tuple], home: int, homes: int) -> Iterator[pa.RecordBatch]:
+def _mapped_batches(task: _Asker | _Sender, home: int, homes: int) -> Iterator[pa.RecordBatch]:
     """A map task's blobs. What it knows without a bucket goes by the same exchange: homes are numbered after the buckets."""
-    found = list(flush())
-    if known:
-        found += [(home + p, x) for p, x in _sent_home(tuple(np.concatenate(x) for x in zip(*known, strict=True)), homes)]
-        known.clear()
+    found = list(task.flush())
+    if task.known:
+        found += [(home + p, x) for p, x in _sent_home(tuple(np.concatenate(x) for x in zip(*task.known, strict=True)), homes)]
+        task.known.clear()
     yield from _blob_rows(found)
 
 
-def _bucket_task(judge: Callable, home: int, homes: int) -> Callable:
+def _bucket_task(judge: Callable, home: int) -> Callable:
     """A task that gets one bucket's blobs, or one home's known blocks: the first are judged and sent home, the others go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
+        bucket = 0
         for batch in batches:
             parts = batch.column("part").to_numpy()
             for p, blob in zip(parts, batch.column("blob").to_pylist(), strict=True):
                 if p >= home:
                     yield from _blob_rows([(int(p) - home, blob)])
                 else:
+                    bucket = int(p)
                     blobs.append(blob)
-        if blobs and (found := judge(blobs)) is not None:
-            yield from _blob_rows(_sent_home(found, homes))
+        if blobs:
+            yield from _blob_rows(judge(bucket, blobs))
 
     return run
 
 
-def shared_runs(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(doc_id, text) to (doc_id, runs): numbers of the runs whose minimiser several documents have; a superset by chance hits."""
+def shared_runs(docs: DataFrame, shape: Shape, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, np.ndarray, str]:
+    """(doc_id, text) to (doc_id, runs): numbers of the runs whose minimiser several documents have; a superset by chance hits.
+
+    And the hot minimisers; and the table that is read.
+    """
     homes = partitions(docs)
     parts = max(1, homes // 2)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asker = _Asker(shape, parts)
-        known: list[tuple] = []
         for rows in chunks(batches, limit=CUT_BYTES):
-            if (hit := asker.add(rows.column("doc_id").to_numpy(), rows.column("text"))) is not None:
-                known.append(hit)
+            asker.add(rows.column("doc_id").to_numpy(), rows.column("text"))
             if asker.size >= 2 << 20:
-                yield from _mapped_batches(asker.flush, known, parts, homes)
-        yield from _mapped_batches(asker.flush, known, parts, homes)
+                yield from _mapped_batches(asker, parts, homes)
+        yield from _mapped_batches(asker, parts, homes)
+
+    def answer(bucket: int, blobs: list[bytes]) -> list[tuple[int, bytes]]:
+        found, hot = _answer(blobs, parts, hot_runs)
+        hot[:, 0] = hot[:, 0] * parts + bucket
+        # Hot minimisers have a home of their own, the last.
+        return (_sent_home(found, homes) if found is not None else []) + ([(homes, hot.astype("<i8").tobytes())] if len(hot) else [])
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        for batch in batches:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if p == homes:
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "runs": pa.array([blob], pa.binary())})
+                else:
+                    blobs.append(blob)
+        if blobs:
+            yield _numbers(*_came_home(blobs, 2))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("runs").to_pylist():
+                pairs = np.frombuffer(blob, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(pairs[:, 0]), "n": pa.array(pairs[:, 1])})
 
     named = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    asked = _dealt(named, ask, parts + homes)
-    return _each_home(_dealt(asked, _bucket_task(_answer, parts, homes), homes), 2, _numbers, "doc_id long, runs binary")
+    asked = _dealt(_dealt(named, ask, parts + homes), _bucket_task(answer, parts), homes + 1)
+    runs, path = materialize(arrow_map(asked, home, "doc_id long, runs binary"), "runs")
+    hot = arrow_map(runs.filter("doc_id is null").select("runs"), listed, "key long, n long").orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").collect()
+    return runs.filter("doc_id is not null"), np.array([r["key"] for r in hot], np.uint64), path
 
 
-def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
+def repeated_spans(docs: DataFrame, shape: Shape, classes: Classes, hot_keys: np.ndarray) -> DataFrame:
     """(doc_id, key, text, runs) to (doc_id, key, spans): what repeats a document with a smaller doc_id; rows without such are absent.
 
     Rows without a doc_id neither repeat nor are repeated. Spans are pairs of 64-bit symbol numbers, from and to.
     """
     homes = partitions(docs)
     parts = 2 * homes
+    held = docs.sparkSession.sparkContext.broadcast(hot_keys)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(shape, parts)
-        known: list[tuple] = []
+        sender = _Sender(shape, parts, _Hot.of(held.value) if len(held.value) else None)
         # Leaving out rows without runs here, not in the plan, keeps the join the same as the later one.
         for rows in chunks((x.filter(x.column("runs").is_valid()) for x in batches), limit=CUT_BYTES):
-            ids, keys = rows.column("doc_id").to_numpy(), rows.column("key").to_numpy()
-            if (hit := sender.add(ids, keys, rows.column("text"), rows.column("runs").to_pylist())) is not None:
-                row, a, b = hit
-                known.append((ids[row], keys[row], a, b))
+            sender.add(rows.column("doc_id").to_numpy(), rows.column("key").to_numpy(), rows.column("text"), rows.column("runs").to_pylist())
             if sender.size >= HELD_BYTES:
-                yield from _mapped_batches(sender.flush, known, parts, homes)
-        yield from _mapped_batches(sender.flush, known, parts, homes)
+                yield from _mapped_batches(sender, parts, homes)
+        yield from _mapped_batches(sender, parts, homes)
+
+    def judge(bucket: int, blobs: list[bytes]) -> list[tuple[int, bytes]]:
+        found = _judge(blobs, shape, classes)
+        return [] if found is None else _sent_home(found, homes)
 
     sent = _dealt(docs, send, parts + homes)
-    judge = _bucket_task(lambda blobs: _judge(blobs, shape, classes), parts, homes)
-    return _each_home(_dealt(sent, judge, homes), 4, _rows, "doc_id long, key long, spans binary")
+    return _each_home(_dealt(sent, _bucket_task(judge, parts), homes), 4, _rows, "doc_id long, key long, spans binary")
 
 
-def with_spans(docs: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
+def with_spans(docs: DataFrame, shape: Shape, classes: Classes, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, text and spans of every row; null where nothing repeats.
 
     Both joins deal the texts alike, so that Spark deals them once.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    runs = shared_runs(keyed, shape).withColumnRenamed("doc_id", "id").hint("merge")
+    found, hot, _ = shared_runs(keyed, shape, hot_runs)
+    runs = found.withColumnRenamed("doc_id", "id").hint("merge")
     marked = keyed.join(runs, F.col("doc_id") == F.col("id"), "left").select("doc_id", "key", "text", "runs")
-    spans = repeated_spans(marked, shape, classes).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "spans").hint("merge")
+    spans = repeated_spans(marked, shape, classes, hot).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "spans").hint("merge")
     # The join is on doc_id alone, like the first; the few rows that share one are told apart afterwards.
     both = keyed.join(spans.groupBy("id").agg(F.collect_list(F.struct("k", "spans")).alias("s")).hint("merge"), F.col("doc_id") == F.col("id"), "left")
     own = F.filter("s", lambda x: x["k"] == F.col("key"))

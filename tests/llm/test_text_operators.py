@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from semforge.llm import decontamination, langid, licenses, mixing, sharding, simhash, substring_dedup, suffix_dedup
+from semforge.llm import decontamination, langid, licenses, mixing, sharding, simhash, substring_dedup, suffix_dedup, superwindows
 from semforge.llm.common import merge_spans, word_bounds
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,25 +54,66 @@ def brute_removed(rows, window, cut):
     return out
 
 
-def test_substring_dedup(docs):
+@pytest.mark.parametrize("hot", [2, 1 << 14])
+def test_substring_dedup(docs, hot):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = Counter()
     for d, u, gone in brute_removed(rows, 13, lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())):
         want[d, len(u), int(gone.sum()), hashlib.sha256(b" ".join(w for w, g in zip(u, gone) if not g)).hexdigest()] += 1
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs.withColumn("spans", F.lit(1)).withColumn("key", F.lit(2))).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs.selectExpr("*", "1 AS spans", "2 AS key", "3 AS runs", "4 AS id"), hot_runs=hot).collect())
     assert got == want
 
 
-def test_suffix_dedup(docs):
+@pytest.mark.parametrize("hot", [2, 1 << 14])
+def test_suffix_dedup(docs, hot):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = Counter()
     for d, u, gone in brute_removed(rows, 50, lambda t: (t or "").encode()):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         want[d, len(u), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(u, gone) if not g)).hexdigest()] += 1
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs.selectExpr("*", "1 AS spans", "2 AS key", "3 AS runs", "4 AS id"), hot_runs=hot).collect())
     assert got == want
 
 
+def test_repeats_over_several_chunks(spark):
+    """Texts of several MB, a line in every document, and more than one task."""
+    rng = np.random.default_rng(12)
+    line = "a line that every single document of this table has " + passage(77, 12)
+    long = " ".join(rng.choice(WORDS, 400_000).tolist())
+    rows = [(k, f"{passage(100 + k, 30)} {line} {passage(500 + k, 30)}") for k in range(300)] + [(300, long), (301, passage(600, 5) + long[700_000:900_000] + line), (-1, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (50, 1 << 14):
+        want = Counter((d, int(g.sum())) for d, _, g in brute_removed(rows, 13, lambda t: t.split()))
+        assert Counter((r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(docs, hot_runs=hot).collect()) == want
+        want = Counter((d, int(g.sum())) for d, _, g in brute_removed([(d, t) for d, t in rows if d < 300], 50, str.encode))
+        assert Counter((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(docs.filter("doc_id < 300"), hot_runs=hot).collect()) == want
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_hot_minimisers_are_dealt_out(words):
+    """However many documents have a line, the largest bucket gets about as much as the others once its minimisers are known to be hot."""
+    shape = superwindows.Shape(13, 5, True) if words else superwindows.Shape(50, 24, False)
+    line = passage(77, 16)
+    parts, largest = 32, {}
+    for n in (400, 1600):
+        texts = [f"{passage(10 + k, 20)} {line} {passage(100_000 + k, 20)}" for k in range(n)]
+        ids = np.arange(n)
+        keys, counts = np.unique(np.concatenate([superwindows.cut(pa.chunked_array([pa.array([t])]), shape).key for t in texts]), return_counts=True)
+        hot_keys = keys[counts > n // 2] >> np.uint64(20)
+        assert len(hot_keys)
+        for hot in (None, superwindows._Hot.of(hot_keys)):
+            sender = superwindows._Sender(shape, parts, hot)
+            for a in range(0, n, 100):
+                part = texts[a : a + 100]
+                runs = [superwindows.cut(pa.chunked_array([pa.array([t])]), shape) for t in part]
+                near = [np.flatnonzero(np.isin(r.key, keys[counts > n // 2])).astype("<u4").tobytes() for r in runs]
+                sender.add(ids[a : a + 100], ids[a : a + 100], pa.chunked_array([pa.array(part)]), near)
+            found = list(sender.flush())
+            sizes = np.bincount([p for p, _ in found], [len(superwindows._opened(x)[5]) for _, x in found], parts)
+            largest[n, hot is not None] = sizes.max() / sizes.sum()
+    assert largest[1600, True] < 0.15 and largest[1600, True] < largest[1600, False] / 2
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOC)
     bench = spark.createDataFrame([], "item_id long, text string")
