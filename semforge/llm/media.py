@@ -1,7 +1,7 @@
 """Media columns: lossless bytes in progressive JPEG, decoded to coefficient arrays and full-resolution RGB tensors.
 
-A payload's bytes, less 128, are the quantised DCT coefficients of a 4:2:0 image whose quantisers are 1: that is the format's unit
-which survives exactly. The image is coded in seven scans, with spectral selection and successive approximation; each MCU or block
+A payload's bytes stand for the quantised DCT coefficients of a 4:2:0 image whose quantisers are 1, which is the format's unit that
+survives exactly: bytes that texts have often are small coefficients, padding is zero. The image is coded in seven scans, with spectral selection and successive approximation; each MCU or block
 is a restart interval of its own, so that all intervals of a batch of images are coded and decoded side by side in numpy, one
 symbol of each at a time. Decoding accumulates scans into coefficient arrays, inverts the transform, repeats chroma and converts to
 RGB. The inverse transform multiplies integers held in float64, which is exact, so results don't depend on the batch.
@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semforge.llm.common import arrow_map, chunks, expand, flat_bytes
+from semforge.llm.common import arrow_map, chunks, expand, flat_bytes, materialize
 
 UNIT, PAD = 576, 255
 MCU_BLOCKS = 6
 #: (components, first and last coefficient, bit from, bit to) of each scan. Components 0, 1 and 2 are Y, Cb and Cr.
 SCANS = (((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 0), ((2,), 1, 63, 0, 0), ((0,), 6, 63, 0, 0), ((0,), 1, 5, 1, 0), ((0, 1, 2), 0, 0, 1, 0))
+#: Bytes in the order of their coefficients 0, 1, -1, 2, -2 ...: padding, blank and letters, what UTF-8 has of accented letters, capitals,
+#: digits, then all others by number.
+OFTEN = bytes([PAD]) + b" etnaiohrsdul\xc3cgbm.fwy,pvkqjxz\n" + bytes([*range(0xA0, 0xC0), *range(65, 91), *range(48, 58)])
 #: Blocks of an MCU that belong to each component.
 BLOCKS = {0: (0, 1, 2, 3), 1: (4,), 2: (5,)}
 #: Payload bytes that are coded at once.
@@ -46,9 +49,9 @@ def huffman(dc: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     Lengths follow a rule: sizes that text has often get short codes, all others the longest.
     """
     if dc:
-        ranked = [(5, 2), (6, 2), (4, 3), (7, 3), (3, 4), *((s, 6) for s in (0, 1, 2, 8)), *((s, 8) for s in (9, 10, 11))]
+        ranked = [(0, 2), (1, 2), (2, 2), *((s, s) for s in range(3, 8)), *((s, 10) for s in range(8, 12))]
     else:
-        often = [(0x05, 1), (0x07, 2), (0x04, 3), (0x06, 4), (0x00, 5), (0x03, 6), (0x02, 8), (0x01, 8), (0x08, 8)]
+        often = [(0x01, 2), (0x02, 2), (0x03, 2), (0x04, 3), (0x05, 5), (0x06, 5), (0x07, 6), (0x11, 6), (0x00, 7), *((s, 8) for s in (0x08, 0x12, 0x21, 0x31, 0x41))]
         seen = {s for s, _ in often}
         ranked = often + [(s, 16) for s in [0xF0, *(r << 4 | n for r in range(16) for n in range(1, 11))] if s not in seen]
     counts = bytes(sum(n == k for _, n in ranked) for k in range(1, 17))
@@ -63,6 +66,17 @@ def huffman(dc: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     return counts + bytes(s for s, _ in ranked), code, length, look
 
 
+@lru_cache(1)
+def coefficient_table() -> tuple[np.ndarray, np.ndarray]:
+    """Coefficient of each byte; and the byte of each coefficient, from -128 to 128."""
+    order = np.array([*OFTEN, *(b for b in range(256) if b not in OFTEN)])
+    value = np.empty(256, np.int32)
+    value[order] = [(k + 1) // 2 * (1 if k % 2 else -1) for k in range(256)]
+    back = np.zeros(257, np.uint8)
+    back[value + 128] = np.arange(256)
+    return value, back
+
+
 @lru_cache(1)
 def _sized() -> tuple[np.ndarray, np.ndarray]:
     """Bits of the magnitude, and the bits that stand for the value, of -4096 .. 4095; the index is the value modulo 8192."""
@@ -200,11 +214,11 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
     """The progressive JPEG of each payload."""
     heads, mcus = zip(*(_header(len(x), -(-len(x) // (64 * MCU_BLOCKS))) for x in payloads), strict=True)
     per = np.array(mcus, np.int64)
-    flat = np.full(int(per.sum()) * 64 * MCU_BLOCKS, 128, np.uint8)
+    flat = np.full(int(per.sum()) * 64 * MCU_BLOCKS, PAD, np.uint8)
     at = (np.cumsum(per) - per) * 64 * MCU_BLOCKS
     for x, p in zip(payloads, at.tolist(), strict=True):
         flat[p : p + len(x)] = x
-    c = (flat.astype(np.int32) - 128).reshape(-1, MCU_BLOCKS, 64)
+    c = coefficient_table()[0][flat].reshape(-1, MCU_BLOCKS, 64)
     pieces: list[list[bytes]] = [[h] for h in heads]
     for scan in SCANS:
         parts, lo, hi, high, low = scan
@@ -460,7 +474,7 @@ def decoded(media: DataFrame, keep_rgb: bool = False) -> DataFrame:
             stored = rows.column("media").to_pylist()
             c, begin, about = coefficients(stored)
             tiles = rgb(samples(c))
-            flat = (c + 128).astype(np.uint8)
+            flat = coefficient_table()[1][c + 128]
             out: dict[str, list] = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rgb", "height", "width")}
             for k, (size, down, across) in enumerate(about):
                 payload = flat[begin[k] : begin[k + 1]].ravel()[:size].tobytes()
@@ -485,9 +499,11 @@ def decoded(media: DataFrame, keep_rgb: bool = False) -> DataFrame:
     return arrow_map(media, run, schema + ", rgb binary, height int, width int" * keep_rgb)
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Stores every text as a JPEG column and computes features from the stored bytes.
+def media_columns(docs: DataFrame, keep_rgb: bool = False) -> DataFrame:
+    """Stores every text as a JPEG column in the shared folder and computes features from the stored bytes, read back.
 
-    Null and empty texts are one unit of 255; repeated rows give equal values; a null doc_id stays null; an empty table no rows.
+    Null and empty texts are one unit of 255; repeated rows give equal values; a null doc_id stays null; an empty table no rows. Other
+    columns play no part. With ``keep_rgb`` the RGB tensors are columns too: twice the size of the payload.
     """
-    return decoded(encoded(docs))
+    stored, _ = materialize(encoded(docs), "media")
+    return decoded(stored, keep_rgb)
