@@ -111,6 +111,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()
 
 
 def flat_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

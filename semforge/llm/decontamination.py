@@ -34,7 +34,8 @@ BLOCK_BYTES, PASS_BLOCKS = 1 << 20, 64
 LANES, WORDS = 1 << 12, 16
 #: Bytes before and after a walk's start whose trigrams are compared, and how far they may have moved within them.
 BEFORE, AFTER, DRIFT = 24, 56, 10
-#: Walks are made so many at once.
+#: Bytes of text that are searched at once; and walks that are made at once.
+TEXT_BYTES = 1 << 20
 STARTS = 1 << 13
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -495,7 +496,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFr
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             built: list[Tables] = []
-            for part in chunks(batches):
+            for part in chunks(batches, limit=TEXT_BYTES):
                 found = _found(part, held, built)
                 ids, keys = part.column("doc_id").to_pylist(), part.column("key").to_pylist()
                 yield pa.RecordBatch.from_pydict(
@@ -531,7 +532,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             built: list[Tables] = []
-            for part in chunks(batches):
+            for part in chunks(batches, limit=TEXT_BYTES):
                 bad = {r for r, *_ in _found(part, held, built)}
                 clean = part.filter(pa.array([k not in bad for k in range(len(part))])) if bad else part
                 yield from clean.combine_chunks().to_batches()

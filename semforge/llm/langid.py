@@ -99,7 +99,7 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for part in chunks(batches):
+        for part in chunks(batches, limit=1 << 20):
             ids, starts, _ = grams(part.column("text"), width)
             ends = np.r_[starts[1:], len(ids[0])]
             names, which = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in chunks(batches, limit=2 << 20):
+        for rows in chunks(batches, limit=1 << 20):
             lang, p = score(rows.column("text"), held.value)
             yield from rows.select(names).append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(p)).combine_chunks().to_batches()
 

@@ -128,7 +128,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in chunks(batches, limit=2 << 20):
+        for rows in chunks(batches, limit=1 << 20):
             yield from rows.select(names).append_column("fp", pa.array(fingerprints(rows.column("text")).view(np.int64))).combine_chunks().to_batches()
 
     return arrow_map(docs, run, extended(docs.select(*names).schema, fp=T.LongType()))
@@ -182,7 +182,8 @@ def _unpack(raw: bytes, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) to pairs (a, b) that connect all within ``radius`` bits; every pair is verified."""
-    mask, parts, most = flips(radius // 2), 2 * partitions(fps), 1024
+    # Fewer than 65536 pieces of a million variants each: a task would need 64 billion of them.
+    mask, parts, most = flips(radius // 2), 2 * partitions(fps), 512
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -198,24 +199,25 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sub-ranges of the variants keep the sorted arrays small.
-        who, what = [], []
-        for batch in batches:
-            for raw in batch.column("block").to_pylist():
-                a, v = _unpack(raw, mask)
-                who.append(a)
-                what.append(v)
-        if not who:
+        blocks = [raw for batch in batches for raw in batch.column("block").to_pylist()]
+        if not blocks:
             return
-        a, v = np.concatenate(who), np.concatenate(what)
-        who.clear()
-        what.clear()
-        h = mix(v)
+        # Sub-ranges of the variants keep the sorted arrays small.
+        total = sum(int.from_bytes(raw[4:8], "little") for raw in blocks)
+        pieces = max(1, total >> 20)
+        a, v, which, at = np.empty(total, np.uint64), np.empty(total, np.uint64), np.empty(total, np.uint16), 0
+        for k, raw in enumerate(blocks):
+            who, what = _unpack(raw, mask)
+            blocks[k] = b""
+            to = at + len(who)
+            a[at:to], v[at:to], which[at:to] = who, what, mix(what) % np.uint64(pieces)
+            at = to
         found = []
-        pieces = max(1, len(v) >> 21)
-        which = (h % np.uint64(pieces)).astype(np.int32) if pieces > 1 else None
         for k in range(pieces):
-            x, y = (a, v) if which is None else (a[which == k], v[which == k])
+            own = np.flatnonzero(which == k)
+            if len(own) < 2:
+                continue
+            x, y = a[own], v[own]
             order = np.argsort(y, kind="stable")
             x, y = x[order], y[order]
             new = np.r_[True, y[1:] != y[:-1]]
