@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semforge.functions.text import blank_to_null, is_placeholder, strip
+from semforge.functions.text import blank_to_null, is_placeholder, jaccard, ngrams, strip
 
 #: Rows of a page at most, as the read surface allows.
 PAGE_MOST = 200
@@ -108,10 +108,33 @@ def with_parent(df: DataFrame, scope: Sequence[str], code: str, parent: str, lab
 
 
 def prefix_join(events: DataFrame, assets: DataFrame, scope: Sequence[str], location: str) -> DataFrame:
-    """Assets of the same scope whose location begins with the event's; rows with blank locations match nothing."""
+    """Assets of the same scope whose location begins with the event's; rows with blank locations match nothing.
+
+    An asset has as many prefixes as its location has characters, and each is a key: the join is an equality, not a filter of all pairs.
+    """
     right = assets.withColumnRenamed(location, "asset_location")
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("asset_location"), F.lit(1))), lambda n: F.col("asset_location").substr(F.lit(1), n))
+    right = right.withColumn(location, F.explode(prefixes))
     left = events.filter(blank_to_null(F.col(location)).isNotNull())
-    return left.join(right, list(scope)).filter(F.col("asset_location").startswith(F.col(location)))
+    return left.join(right, [*scope, location])
+
+
+def similar_pairs(df: DataFrame, column: str, least: float, n: int = 2) -> DataFrame:
+    """(a, b, score) of distinct texts whose sets of n-grams have a Jaccard similarity of ``least`` or more, each pair once.
+
+    Texts this similar share one of their rarest n-grams: of a set of size s, the first s - ceil(least * s) + 1 in the order of rarity.
+    Only these are joined, so that a common n-gram pairs nothing; no pair is missed.
+    """
+    sets = df.select(column).distinct().select(F.col(column).alias("text"), ngrams(F.col(column), n).alias("grams")).filter(F.size("grams") > 0)
+    each = sets.select("text", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    rare = each.groupBy("gram").agg(F.count("*").alias("n")).withColumnRenamed("gram", "g")
+    order = Window.partitionBy("text").orderBy("n", "gram")
+    first = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
+    kept = each.join(rare, F.col("gram") == F.col("g")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= first).select("text", "size", "gram")
+    a, b = kept.select(F.col("text").alias("a"), F.col("size").alias("sa"), "gram"), kept.select(F.col("text").alias("b"), F.col("size").alias("sb"), "gram")
+    near = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.col("sa") >= F.col("sb") * least) & (F.col("sb") >= F.col("sa") * least)).select("a", "b").distinct()
+    both = near.join(sets.select(F.col("text").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("text").alias("b"), F.col("grams").alias("gb")), "b")
+    return both.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("score")).filter(F.col("score") >= least)
 
 
 def unmatched(child: DataFrame, parent: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:

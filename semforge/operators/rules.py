@@ -80,6 +80,41 @@ def transform(col: Column, rule: Rule) -> Column:
     return reduce(lambda acc, m: F.when(m[0], out(F.lit(False), text, m[1])).otherwise(acc), reversed(misses), out(matched, new, rule.operation))
 
 
+def register_sql(spark, rules: Sequence[Rule], name: str = "rule_local_match") -> str:
+    """A SQL function name(text, pattern_key) that is 1 where the rule of that id would change the text, else 0; null is an empty text.
+
+    Batches come as Arrow; conditions and operations are those of ``transform``, to which the tests hold it.
+    """
+    import unicodedata
+
+    import pandas as pd
+    from pyspark.sql.types import IntegerType
+
+    by_id = {r.rule_id: r for r in rules}
+
+    def changed(text: str, rule: Rule) -> bool:
+        c, p = rule.condition, rule.parameters
+        contains = c.get("contains", c.get("descriptionContains"))
+        if (contains is not None and contains not in text) or not text.startswith(c.get("prefix", "")) or not text.endswith(c.get("suffix", "")):
+            return False
+        if rule.operation == "replace":
+            return text.replace(p["from"], p.get("to", "")) != text
+        if rule.operation == "trim":
+            return text.strip() != text
+        if rule.operation == "normalize":
+            mode = p.get("mode", "legacy")
+            new = text if mode == "whitespace" else unicodedata.normalize("NFKC", text)
+            return (" ".join(new.split()) if mode == "whitespace" or (mode != "nfkc" and p.get("whitespace", True)) else new) != text
+        return False
+
+    def match(text: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([int(k in by_id and changed(t or "", by_id[k])) for t, k in zip(text, key, strict=True)], dtype="int32")
+
+    match.__annotations__ = {"text": pd.Series, "key": pd.Series, "return": pd.Series}
+    spark.udf.register(name, F.pandas_udf(match, IntegerType()))
+    return name
+
+
 def in_scope(rule: Rule, columns: dict[str, str] | None = None) -> Column:
     """All of the scope's lists hold; columns tells which column each list is about."""
     at = {"sites": "site", "classes": "class", "parents": "parent", "codes": "location", "prefixes": "location"} | (columns or {})

@@ -140,6 +140,12 @@ def current_states(transitions: DataFrame) -> DataFrame:
     return transitions.filter("status = 'accepted'").groupBy("subject_key").agg(last.alias("l"), F.count("*").alias("version")).select("subject_key", F.col("l.to_state").alias("state"), F.col("l.effective_at").alias("effective_at"), "version", F.col("l.fact_id").alias("fact_id"))
 
 
+def recompute_scope(old: DataFrame, new: DataFrame, subjects: Sequence[str], key: str = "subject_key") -> DataFrame:
+    """States after a replay of some subjects alone: their old rows go, whatever the replay gives takes their place, all others stay."""
+    inside = F.coalesce(F.col(key).isin(*subjects), F.lit(False))
+    return old.filter(~inside).unionByName(new.filter(inside))
+
+
 def run_status(transitions: DataFrame, states: Sequence[str] = STATES) -> str:
     if not states:
         return "blocked"

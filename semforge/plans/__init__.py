@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("shares", "filters", "aggregates", "process", "semantics", "more")
+MODULES = ("shares", "filters", "aggregates", "process", "semantics", "more", "rest")
 
 
 def load() -> None:

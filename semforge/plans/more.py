@@ -246,11 +246,12 @@ def r6b(spark, sf):
     return rules.recheck_approved(q).groupBy(F.concat_ws(",", "failed").alias("failed")).agg(F.count("*").alias("n"))
 
 
-@register("R6c_queue_import", "SELECT count(*) AS accepted FROM (SELECT p_name FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 HAVING count(DISTINCT p_type) = 1)")
+@register("R6c_queue_import", "SELECT p_name AS identity, CASE WHEN count(DISTINCT p_type) = 1 THEN 'accepted' ELSE 'rejected' END AS side, count(DISTINCT p_type) AS n FROM part GROUP BY 1")
 def r6c(spark, sf):
-    p = t(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.col("p_name").alias("identity"), F.col("p_type").alias("original"), F.lit("x").alias("proposed"))
-    new, _ = rules.import_queue(p, spark.createDataFrame([], "content_hash string"))
-    return new.agg(F.count("*").alias("accepted"))
+    p = t(spark, sf, "part").select(F.col("p_name").alias("identity"), F.col("p_type").alias("original"), F.lit("x").alias("proposed"))
+    new, refused = rules.import_queue(p, spark.createDataFrame([], "content_hash string"))
+    both = new.select("identity", F.lit("accepted").alias("side")).unionByName(refused.select("identity", F.lit("rejected").alias("side")))
+    return both.groupBy("identity", "side").agg(F.count("*").alias("n"))
 
 
 @register("M4_formal_only", "SELECT count(*) FILTER (p_size % 2 = 0) AS kept, count(*) FILTER (p_size % 2 = 1) AS audited FROM part")

@@ -38,12 +38,10 @@ def x6(spark, sf):
 @register(
     "X7_ngram_jaccard",
     """WITH g AS (SELECT DISTINCT p_name, list_distinct([substr(p_name, i, 2) FOR i IN range(1, length(p_name))]) AS s FROM part)
-    SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS score FROM g a JOIN g b ON a.p_name < b.p_name AND a.p_name[1:1] = b.p_name[1:1]""",
+    SELECT * FROM (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS score FROM g a JOIN g b ON a.p_name < b.p_name) WHERE score >= 0.5""",
 )
 def x7(spark, sf):
-    g = t(spark, sf, "part").select("p_name").distinct().select("p_name", text.ngrams(F.col("p_name")).alias("s"), F.substring("p_name", 1, 1).alias("k"))
-    a, b = g.select(F.col("p_name").alias("a"), F.col("s").alias("sa"), "k"), g.select(F.col("p_name").alias("b"), F.col("s").alias("sb"), "k")
-    return a.join(b, "k").filter("a < b").select("a", "b", text.jaccard(F.col("sa"), F.col("sb")).alias("score"))
+    return reads.similar_pairs(t(spark, sf, "part").select("p_name").distinct(), "p_name", 0.5)
 
 
 @register("X9_number_skeleton", "SELECT regexp_replace(c_name, '[0-9]+(\\.[0-9]+)?', '<NUM>', 'g') AS skeleton, count(*) AS n FROM customer GROUP BY 1")
@@ -51,10 +49,14 @@ def x9(spark, sf):
     return t(spark, sf, "customer").groupBy(text.number_skeleton(F.col("c_name")).alias("skeleton")).agg(F.count("*").alias("n"))
 
 
-@register("X11_alpha_tokens", "SELECT p_partkey, regexp_extract(upper(p_name), '[A-Z]+') AS token, 0 AS \"offset\", length(regexp_extract(upper(p_name), '[A-Z]+'))::INTEGER AS length FROM part")
+@register(
+    "X11_alpha_tokens",
+    """WITH c AS (SELECT p_partkey, upper(p_name) AS u, unnest(range(1, length(p_name) + 1)) AS i FROM part)
+    SELECT p_partkey, regexp_extract(substr(u, i), '^[A-Z]+') AS token, (i - 1)::INTEGER AS "offset", length(regexp_extract(substr(u, i), '^[A-Z]+'))::INTEGER AS length FROM c
+    WHERE regexp_matches(substr(u, i, 1), '[A-Z]') AND (i = 1 OR NOT regexp_matches(substr(u, i - 1, 1), '[A-Z]'))""",
+)
 def x11(spark, sf):
-    tokens = text.alpha_tokens(F.upper("p_name"))
-    return t(spark, sf, "part").select("p_partkey", F.inline(tokens)).filter("offset = 0")
+    return t(spark, sf, "part").select("p_partkey", F.inline(text.alpha_tokens(F.upper("p_name"))))
 
 
 @register("X12_kks_like", "SELECT c_custkey, regexp_matches(c_name, '[0-9][0-9A-Z]{10,16}') AS strict, regexp_matches(c_name, '^[0-9]{2}[A-Za-z0-9]+$') AS prefixed, length(c_name) >= 6 AND regexp_matches(c_name, '[A-Za-z]') AND regexp_matches(c_name, '[0-9]') AS mixed FROM customer")
@@ -105,9 +107,9 @@ def x30(spark, sf):
     return t(spark, sf, "documents").select("doc_id", text.is_code_only(F.col("text")).alias("code_only"), (F.length("text") > 500).alias("long"))
 
 
-@register("X31_derived_snapshot", "SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE concat('derived:', substr(sha256(string_agg(DISTINCT event_type, '|' ORDER BY event_type)), 1, 24)) END AS s FROM events WHERE event_id < 400 GROUP BY 1")
+@register("X31_derived_snapshot", "SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE concat('derived:', substr(sha256(string_agg(DISTINCT event_type, '|' ORDER BY event_type)), 1, 24)) END AS s FROM events GROUP BY 1")
 def x31(spark, sf):
-    return t(spark, sf, "events").filter("event_id < 400").groupBy("user_id").agg(ids.derived_snapshot(F.collect_set("event_type")).alias("s"))
+    return t(spark, sf, "events").groupBy("user_id").agg(ids.derived_snapshot(F.collect_set("event_type")).alias("s"))
 
 
 # Identity
@@ -501,13 +503,12 @@ def o19(spark, sf):
     return project.with_fallback(c.filter("k % 3 = 0"), c, "k")
 
 
-@register("O21_explain", "SELECT 'fact' AS role, '7' AS id UNION ALL SELECT 'input', '14' UNION ALL SELECT 'derived', '3'")
+@register("O21_explain", "SELECT 'fact' AS role, CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id = 7 UNION ALL SELECT 'input', CAST(event_id // 2 AS VARCHAR) FROM events WHERE event_id = 7 UNION ALL SELECT 'derived', CAST(event_id AS VARCHAR) FROM events WHERE event_id // 2 = 7")
 def o21(spark, sf):
-    k = t(spark, sf, "events").select(F.col("event_id").cast("string").alias("fact_id"), "event_id")
-    d = k.filter("event_id < 100").select("fact_id", F.col("event_id").cast("string").alias("output_fact_id"), (F.col("event_id") * 2).cast("string").alias("input_fact_id"))
-    d = d.filter("event_id = 7").unionByName(d.filter("event_id = 3").withColumn("input_fact_id", F.lit("7"))) if "event_id" in d.columns else d.filter("output_fact_id = '7'").unionByName(d.filter("output_fact_id = '3'").withColumn("input_fact_id", F.lit("7")))
+    """Each event is derived from that of half its number."""
+    k = t(spark, sf, "events").select(F.col("event_id").cast("string").alias("fact_id"), F.col("event_id").cast("string").alias("output_fact_id"), F.expr("CAST(event_id div 2 AS string)").alias("input_fact_id"))
     none = k.limit(0).select(F.array("fact_id").alias("input_fact_ids"), F.col("fact_id").alias("decision_id"))
-    return project.explain(k, d, none, "7")
+    return project.explain(k.select("fact_id"), k, none, "7")
 
 
 @register("O22_truth_coverage", "SELECT o_orderstatus AS kind, count(*) AS relational, count(*) FILTER (o_orderkey % 4 = 0) AS canonical, count(*) - count(*) FILTER (o_orderkey % 4 = 0) AS missing FROM orders GROUP BY 1")

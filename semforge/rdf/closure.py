@@ -1,14 +1,15 @@
 """Closure of quads under an OWL-RL subset, by semi-naive iteration.
 
-Each round joins only the statements that the last one added with all that are known. Schema statements are few and are joined as
-small tables; instance data never leaves the executors. A table in the shared folder ends each round's plan.
+Each round joins only the statements that the last one added with all that are known. Schema statements are few: they are closed on
+the driver and joined as small tables, unless there are too many of them. Instance data never leaves the executors. Each round's new
+statements are a table of their own in the shared folder; what is known is the union of these tables and is never written again.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semforge.functions.iri import OWL, RDFS, TYPE
@@ -17,6 +18,8 @@ from semforge.storage import cut_lineage
 ROUNDS = 32
 RULE_SET = "owl-rl-subset-1"
 _KEY = ("subject", "predicate", "object_kind", "object")
+#: Pairs up to this number are closed on the driver, as those of a schema are; more are closed by joins.
+FEW_PAIRS, FEW_PATHS = 20_000, 200_000
 
 
 def _pairs(triples: DataFrame, *predicates: str, both: tuple[str, ...] = ()) -> DataFrame:
@@ -28,10 +31,6 @@ def _pairs(triples: DataFrame, *predicates: str, both: tuple[str, ...] = ()) ->
     return out.filter("a <> b").distinct()
 
 
-#: Pairs up to this number are closed on the driver, as those of a schema are; more are closed by joins.
-FEW_PAIRS, FEW_PATHS = 20_000, 200_000
-
-
 def _closed_here(rows: list) -> set | None:
     """All paths over the pairs, or None if there are too many of them."""
     steps: dict = {}
@@ -66,59 +65,97 @@ def transitive(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     raise RuntimeError(f"no fixed point in {rounds} rounds")
 
 
+_SYMMETRIC, _TRANSITIVE = f"{OWL}SymmetricProperty", f"{OWL}TransitiveProperty"
+_SUB_CLASS, _SUB_PROPERTY = (f"{RDFS}subClassOf", f"{OWL}equivalentClass"), (f"{RDFS}subPropertyOf", f"{OWL}equivalentProperty")
+_DOMAIN, _RANGE, _INVERSE = f"{RDFS}domain", f"{RDFS}range", f"{OWL}inverseOf"
+_RULE = "kind string, a string, b string"
+
+
+def _is_schema() -> Column:
+    return F.col("predicate").isin(*_SUB_CLASS, *_SUB_PROPERTY, _DOMAIN, _RANGE, _INVERSE) | ((F.col("predicate") == TYPE) & F.col("object").isin(_SYMMETRIC, _TRANSITIVE))
+
+
+def _rules(known: DataFrame) -> DataFrame:
+    """(kind, a, b) of all that the schema says: of class a also b, of property a also b, and so on."""
+    few = known.filter(_is_schema() & (F.col("object_kind") == "iri")).select("subject", "predicate", "object").limit(FEW_PAIRS + 1).collect()
+    if len(few) <= FEW_PAIRS:
+        def pairs(one: tuple[str, ...], both: tuple[str, ...] = ()) -> list:
+            out = {(r.subject, r.object) for r in few if r.predicate in (*one, *both)} | {(r.object, r.subject) for r in few if r.predicate in both}
+            return [(a, b) for a, b in out if a != b]
+
+        classes, properties = _closed_here(pairs(_SUB_CLASS[:1], _SUB_CLASS[1:])), _closed_here(pairs(_SUB_PROPERTY[:1], _SUB_PROPERTY[1:]))
+        if classes is not None and properties is not None:
+            rows = [("class", a, b) for a, b in classes] + [("property", a, b) for a, b in properties] + [("inverse", a, b) for a, b in pairs((), (_INVERSE,))]
+            rows += [(kind, r.subject, r.object) for r in few for kind, p in (("domain", _DOMAIN), ("range", _RANGE)) if r.predicate == p and r.subject != r.object]
+            rows += [(kind, r.subject, None) for r in few for kind, o in (("symmetric", _SYMMETRIC), ("transitive", _TRANSITIVE)) if r.predicate == TYPE and r.object == o]
+            return known.sparkSession.createDataFrame(sorted(set(rows), key=str), _RULE)
+    marks = known.filter((F.col("predicate") == TYPE) & F.col("object").isin(_SYMMETRIC, _TRANSITIVE)).select(F.when(F.col("object") == _SYMMETRIC, "symmetric").otherwise("transitive").alias("kind"), F.col("subject").alias("a"), F.lit(None).cast("string").alias("b")).distinct()
+    found = {"class": transitive(_pairs(known, _SUB_CLASS[0], both=_SUB_CLASS[1:])), "property": transitive(_pairs(known, _SUB_PROPERTY[0], both=_SUB_PROPERTY[1:])), "domain": _pairs(known, _DOMAIN), "range": _pairs(known, _RANGE), "inverse": _pairs(known, both=(_INVERSE,))}
+    return cut_lineage(reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), "a", "b") for kind, df in found.items()], marks), "rules")
+
+
 def closure(quads: DataFrame, max_iter: int = ROUNDS) -> tuple[DataFrame, int]:
     """(inferred, rounds): inferred statements with rule_set, iteration and support, none of which was given.
 
     Rules: subclass and subproperty closure, equivalence both ways, type propagation, domain, range of IRI objects, inverse both ways,
-    symmetric and transitive properties. ``rounds`` counts the last one, that adds nothing.
+    symmetric and transitive properties. ``rounds`` counts the last one, that adds nothing. Statements that haven't settled in
+    ``max_iter`` rounds are an error, never a closure that is cut.
     """
     base = cut_lineage(quads.select(*_KEY, "datatype", "language").distinct())
-    known, delta = base, base
+    known, delta = [base], base
     found: list[DataFrame] = []
     none = F.lit(None).cast("string")
 
-    def edge(df: DataFrame, s: str, p, o: str) -> DataFrame:
-        return df.select(F.col(s).alias("subject"), (p if not isinstance(p, str) else F.col(p)).alias("predicate"), F.lit("iri").alias("object_kind"), F.col(o).alias("object"), none.alias("datatype"), none.alias("language"))
+    def edge(df: DataFrame, s, p, o) -> DataFrame:
+        return df.select(s.alias("subject"), p.alias("predicate"), F.lit("iri").alias("object_kind"), o.alias("object"), none.alias("datatype"), none.alias("language"))
 
-    schema_predicates = [f"{RDFS}{x}" for x in ("subClassOf", "subPropertyOf", "domain", "range")] + [f"{OWL}{x}" for x in ("equivalentClass", "equivalentProperty", "inverseOf")]
-    schema_types = [f"{OWL}SymmetricProperty", f"{OWL}TransitiveProperty"]
-    is_schema = F.col("predicate").isin(*schema_predicates) | ((F.col("predicate") == TYPE) & F.col("object").isin(*schema_types))
-    sub_class = sub_property = domain = range_ = inverse = None
-    rounds, fresh_schema = 0, True
-    while rounds < max_iter:
-        rounds += 1
+    rules, fresh_schema = None, True
+    for rounds in range(1, max_iter + 1):
+        every = reduce(DataFrame.unionByName, known)
         if fresh_schema:
             # New schema statements concern old data too, so that round looks at everything.
-            sub_class = transitive(_pairs(known, f"{RDFS}subClassOf", both=(f"{OWL}equivalentClass",)))
-            sub_property = transitive(_pairs(known, f"{RDFS}subPropertyOf", both=(f"{OWL}equivalentProperty",)))
-            domain, range_ = _pairs(known, f"{RDFS}domain"), _pairs(known, f"{RDFS}range")
-            inverse = _pairs(known, both=(f"{OWL}inverseOf",))
-            delta = known
-        typed = delta.filter((F.col("predicate") == TYPE) & (F.col("object_kind") == "iri"))
-        edges = delta.filter("object_kind = 'iri'")
-        parts = [
-            edge(typed.join(sub_class, F.col("object") == F.col("a")), "subject", F.lit(TYPE), "b"),
-            delta.join(sub_property, F.col("predicate") == F.col("a")).select("subject", F.col("b").alias("predicate"), "object_kind", "object", "datatype", "language"),
-            edge(delta.join(domain, F.col("predicate") == F.col("a")), "subject", F.lit(TYPE), "b"),
-            edge(edges.join(range_, F.col("predicate") == F.col("a")), "object", F.lit(TYPE), "b"),
-            edge(edges.join(inverse, F.col("predicate") == F.col("a")), "object", "b", "subject"),
-        ]
-        marks = known.filter((F.col("predicate") == TYPE) & F.col("object").isin(*schema_types)).select(F.col("subject").alias("a"), F.col("object").alias("mark"))
-        parts.append(edge(edges.join(marks.filter(F.col("mark") == schema_types[0]), F.col("predicate") == F.col("a")), "object", "predicate", "subject"))
-        steps = edges.join(marks.filter(F.col("mark") == schema_types[1]), F.col("predicate") == F.col("a"), "left_semi")
-        others = known.filter("object_kind = 'iri'").join(marks.filter(F.col("mark") == schema_types[1]), F.col("predicate") == F.col("a"), "left_semi")
+            rules = _rules(every)
+            delta = every
+        s, p, o, a, b, kind = (F.col(x) for x in ("subject", "predicate", "object", "a", "b", "kind"))
+        is_iri = F.col("object_kind") == "iri"
+        # One pass over what is new for the rules about its predicate, and one for those about its class.
+        by_predicate = delta.join(rules.filter(kind.isin("property", "domain", "range", "inverse", "symmetric")), p == a)
+        by_predicate = by_predicate.filter(kind.isin("property", "domain") | is_iri).select(
+            F.when(kind.isin("range", "inverse", "symmetric"), o).otherwise(s).alias("subject"),
+            F.when(kind.isin("property", "inverse"), b).when(kind == "symmetric", p).otherwise(F.lit(TYPE)).alias("predicate"),
+            F.when(kind == "property", F.col("object_kind")).otherwise(F.lit("iri")).alias("object_kind"),
+            F.when(kind == "property", o).when(kind.isin("inverse", "symmetric"), s).otherwise(b).alias("object"),
+            F.when(kind == "property", F.col("datatype")).alias("datatype"),
+            F.when(kind == "property", F.col("language")).alias("language"),
+        )
+        by_class = edge(delta.filter((p == TYPE) & is_iri).join(rules.filter("kind = 'class'"), o == a), s, F.lit(TYPE), b)
+        chains = rules.filter("kind = 'transitive'")
+        steps, others = (x.filter(is_iri).join(chains, p == a, "left_semi") for x in (delta, every))
+        parts = [by_predicate, by_class]
         for first, second in ((steps, others), (others, steps)):
-            left = first.select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("m"))
-            right = second.select(F.col("subject").alias("m"), F.col("predicate").alias("p"), F.col("object").alias("o"))
-            parts.append(edge(left.join(right, ["m", "p"]), "s", "p", "o"))
+            left = first.select(s.alias("s"), p.alias("p"), o.alias("m"))
+            right = second.select(s.alias("m"), p.alias("p"), o.alias("o"))
+            parts.append(edge(left.join(right, ["m", "p"]), F.col("s"), F.col("p"), F.col("o")))
         candidates = reduce(DataFrame.unionByName, parts).distinct()
         on = [F.col(f"c.{k}").eqNullSafe(F.col(f"k.{k}")) for k in (*_KEY, "datatype", "language")]
-        new = cut_lineage(candidates.alias("c").join(known.alias("k"), reduce(lambda x, y: x & y, on), "left_anti"))
-        if not new.limit(1).count():
+        new = cut_lineage(candidates.alias("c").join(every.alias("k"), reduce(lambda x, y: x & y, on), "left_anti"))
+        count, schema = new.agg(F.count("*"), F.count_if(_is_schema())).first()
+        if not count:
             break
         found.append(new.withColumn("iteration", F.lit(rounds)))
-        fresh_schema = bool(new.filter(is_schema).limit(1).count())
-        known, delta = cut_lineage(known.unionByName(new)), new
+        fresh_schema = schema > 0
+        known.append(new)
+        delta = new
+    else:
+        raise RuntimeError(f"no fixed point in {max_iter} rounds")
     if not found:
         return base.limit(0).withColumns({"iteration": F.lit(0), "rule_set": F.lit(RULE_SET), "support": F.array("predicate")}), rounds
     return reduce(DataFrame.unionByName, found).withColumns({"rule_set": F.lit(RULE_SET), "support": F.array("predicate")}), rounds
+
+
+def with_inferred(quads: DataFrame, inferred: DataFrame, graph: str = "inferred") -> DataFrame:
+    """Given and inferred statements in one read, with ``inferred`` and the iteration; a statement that is both is given."""
+    given = quads.withColumns({"inferred": F.lit(False), "iteration": F.lit(0)})
+    more = inferred.select(F.lit(graph).alias("graph"), *_KEY, "datatype", "language", F.lit(True).alias("inferred"), "iteration")
+    on = [F.col(f"m.{k}").eqNullSafe(F.col(f"q.{k}")) for k in (*_KEY, "datatype", "language")]
+    return given.unionByName(more.alias("m").join(quads.alias("q"), reduce(lambda x, y: x & y, on), "left_anti").select(given.columns))

@@ -72,46 +72,63 @@ def validate_shapes(quads: DataFrame, shapes: list[Shape]) -> DataFrame:
     """(focus, path, code, severity, message) of each violation.
 
     Focus nodes are those with the target class as a type that is given; only ``class`` looks at superclasses. Values of ``in`` compare
-    by text.
+    by text. All shapes are judged together: the focus nodes' statements are joined once, each value is held against its properties as
+    its row passes, and one aggregate counts the values of all properties.
     """
+    schema = "focus string, path string, code string, severity string, message string"
+    if not shapes:
+        return quads.sparkSession.createDataFrame([], schema)
     triples = quads.select("subject", "predicate", "object_kind", "object", "datatype").distinct()
     types = triples.filter(F.col("predicate") == TYPE).select("subject", F.col("object").alias("type"))
-    up = triples.filter(F.col("predicate") == f"{RDFS}subClassOf").select(F.col("subject").alias("a"), F.col("object").alias("b"))
-    parts = []
-    supers: DataFrame | None = None
-
-    def fault(df: DataFrame, path, code: str, p: Property | Shape) -> DataFrame:
-        return df.select(F.col("subject").alias("focus"), (F.lit(path) if isinstance(path, str) else path).alias("path"), F.lit(code).alias("code"), F.lit(p.severity).alias("severity"), F.lit(p.message).alias("message"))
-
-    for shape in shapes:
-        focus = types.filter(F.col("type") == shape.target).select("subject").distinct()
-        if shape.closed:
-            allowed = [TYPE, *shape.ignored, *[p.path for p in shape.properties]]
-            extra = triples.filter(~F.col("predicate").isin(*allowed)).join(focus, "subject", "left_semi").select("subject", "predicate").distinct()
-            parts.append(fault(extra, F.col("predicate"), "closed", shape))
-        for p in shape.properties:
-            values = triples.filter(F.col("predicate") == p.path).join(focus, "subject", "left_semi")
-            if p.min_count is not None or p.max_count is not None:
-                counts = focus.join(values.groupBy("subject").agg(F.count("*").alias("n")), "subject", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-                if p.min_count is not None:
-                    parts.append(fault(counts.filter(F.col("n") < p.min_count), p.path, "minCount", p))
-                if p.max_count is not None:
-                    parts.append(fault(counts.filter(F.col("n") > p.max_count), p.path, "maxCount", p))
+    number = F.explode(F.array_compact(F.array(*[F.when(F.col("type") == x.target, F.lit(k)) for k, x in enumerate(shapes)])))
+    focus = types.filter(F.col("type").isin(*{x.target for x in shapes})).select("subject", number.alias("shape")).distinct()
+    values = triples.join(focus, "subject")
+    wanted = sorted({p.class_ for x in shapes for p in x.properties if p.class_ is not None})
+    if wanted:
+        from semforge.rdf.closure import transitive
+
+        up = triples.filter(F.col("predicate") == f"{RDFS}subClassOf").select(F.col("subject").alias("a"), F.col("object").alias("b"))
+        kinds = transitive(up.filter("a <> b")).filter(F.col("b").isin(*wanted)).union(quads.sparkSession.createDataFrame([(c, c) for c in wanted], "a string, b string"))
+        # A node's classes, of those that any shape asks for.
+        classes = types.join(kinds, F.col("type") == F.col("a")).groupBy(F.col("subject").alias("node")).agg(F.collect_set("b").alias("classes"))
+        values = values.join(classes, F.col("object") == F.col("node"), "left")
+
+    def fault(when, path, code: str, p: Property | Shape):
+        return F.when(when, F.struct(path.alias("path"), F.lit(code).alias("code"), F.lit(p.severity).alias("severity"), F.lit(p.message).alias("message")))
+
+    by_value, by_count = [], []
+    for k, shape in enumerate(shapes):
+        own = F.col("shape") == k
+        for j, p in enumerate(shape.properties):
+            here, path = own & (F.col("predicate") == p.path), F.lit(p.path)
+            if p.min_count is not None:
+                by_count.append(fault(own & (F.col(f"n{k}_{j}") < p.min_count), path, "minCount", p))
+            if p.max_count is not None:
+                by_count.append(fault(own & (F.col(f"n{k}_{j}") > p.max_count), path, "maxCount", p))
             if p.one_of is not None:
-                parts.append(fault(values.filter(~F.col("object").isin(*p.one_of)), p.path, "in", p))
+                by_value.append(fault(here & ~F.col("object").isin(*p.one_of), path, "in", p))
             if p.node_kind is not None:
                 wrong = {"IRI": F.col("object_kind") != "iri", "Literal": F.col("object_kind") != "literal", "BlankNodeOrIRI": F.col("object_kind") != "iri"}[p.node_kind]
-                parts.append(fault(values.filter(wrong), p.path, "nodeKind", p))
+                by_value.append(fault(here & wrong, path, "nodeKind", p))
             if p.datatype is not None:
-                parts.append(fault(values.filter(~F.col("datatype").eqNullSafe(F.lit(p.datatype))), p.path, "datatype", p))
+                by_value.append(fault(here & ~F.col("datatype").eqNullSafe(F.lit(p.datatype)), path, "datatype", p))
             if p.class_ is not None:
-                if supers is None:
-                    from semforge.rdf.closure import transitive
+                by_value.append(fault(here & ~F.coalesce(F.array_contains("classes", p.class_), F.lit(False)), path, "class", p))
+    parts = []
 
-                    supers = transitive(up.filter("a <> b"))
-                kinds = supers.filter(F.col("b") == p.class_).select(F.col("a").alias("type"))
-                good = types.filter(F.col("type") == p.class_).select(F.col("subject").alias("object")).union(types.join(kinds, "type", "left_semi").select("subject")).distinct()
-                parts.append(fault(values.join(good, "object", "left_anti"), p.path, "class", p))
+    def found(rows: DataFrame, faults: list) -> DataFrame:
+        return rows.select(F.col("subject").alias("focus"), F.inline(F.array_compact(F.array(*faults))))
+
+    if by_value:
+        parts.append(found(values, by_value))
+    if by_count:
+        # Every focus node has its type among its statements, so it is in some group even if it lacks all properties.
+        counts = [F.count_if(F.col("predicate") == p.path).alias(f"n{k}_{j}") for k, x in enumerate(shapes) for j, p in enumerate(x.properties) if p.min_count is not None or p.max_count is not None]
+        parts.append(found(values.groupBy("subject", "shape").agg(*counts), by_count))
+    closed = [(k, x) for k, x in enumerate(shapes) if x.closed]
+    if closed:
+        extra = [fault((F.col("shape") == k) & ~F.col("predicate").isin(TYPE, *x.ignored, *[p.path for p in x.properties]), F.col("predicate"), "closed", x) for k, x in closed]
+        parts.append(found(values.select("subject", "predicate", "shape").distinct(), extra))
     if not parts:
-        return quads.sparkSession.createDataFrame([], "focus string, path string, code string, severity string, message string")
+        return quads.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)

@@ -41,8 +41,11 @@ def read_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 
 def read_named_csvs(spark: SparkSession, path: str) -> DataFrame:
-    """Files named schema__group__table.csv, with these three as columns, the row's number in its file, and names in upper case."""
-    raw = spark.read.option("header", True).csv(path)
+    """Files named schema__group__table.csv, with these three as columns, the row's number in its file, and names in upper case.
+
+    A file that may span lines within quotes is read by one task, so its rows are numbered in its order.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     df = raw.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿").upper()) for c in raw.columns], F.element_at(F.split("_metadata.file_path", "/"), -1).alias("_file"), F.monotonically_increasing_id().alias("_id"))
     parts = F.split(F.regexp_replace("_file", r"\.csv$", ""), "__")
     from pyspark.sql import Window
@@ -60,17 +63,21 @@ def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
 def verify_manifest(path: str, manifest: str) -> dict:
     """The manifest of a frozen file, only if the file's SHA-256 is the one that it names."""
     said = json.loads(Path(manifest).read_text(encoding="utf-8-sig"))
+    if _file_digest(path) != said.get("sha256"):
+        raise SourceError(f"{path} isn't the frozen file of {manifest}")
+    return said
+
+
+def _file_digest(path: str) -> str:
     digest = hashlib.sha256()
     with Path(path).open("rb") as f:
         for piece in iter(lambda: f.read(1 << 20), b""):
             digest.update(piece)
-    if digest.hexdigest() != said.get("sha256"):
-        raise SourceError(f"{path} isn't the frozen file of {manifest}")
-    return said
+    return digest.hexdigest()
 
 
 def write_manifest(path: str, rows: int, **more: object) -> dict:
-    said = {"file": Path(path).name, "sha256": hashlib.sha256(Path(path).read_bytes()).hexdigest(), "rows": rows, "source_write": False} | more
+    said = {"file": Path(path).name, "sha256": _file_digest(path), "rows": rows, "source_write": False} | more
     Path(f"{path}.manifest.json").write_text(json.dumps(said, sort_keys=True, indent=2), encoding="utf-8")
     return said
 

@@ -9,20 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir as the session has it; only a local session may do without, and gets a temporary folder."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="semforge-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
-def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows of ``df`` without its plan; lost executors lose nothing of it."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver ends."""
     path = f"{shared_folder(spark)}/semforge/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """The rows of ``df`` without its plan; lost executors lose nothing of it."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from semforge.functions.iri import EX, OWL, RDF, RDFS, TYPE, XSD
 from semforge.plans import more
 from semforge.rdf import sinks
-from semforge.rdf.closure import closure
+from semforge.rdf import closure as closures
+from semforge.rdf.closure import closure, with_inferred
 from semforge.rdf.shapes import read_shapes, validate_shapes
 from semforge.rdf.turtle import QUAD, TurtleError, parse, read_turtle
 from semforge.sparql import SparqlError, ask, select
@@ -75,6 +76,21 @@ def test_closure(quads):
     assert closure(whole)[0].count() == 0
 
 
+def test_closure_by_joins_and_without_end(quads, monkeypatch):
+    """Schemas too large for the driver give the same rows by joins; one that doesn't settle in time is an error."""
+    few = {str(r) for r in closure(quads)[0].collect()}
+    monkeypatch.setattr(closures, "FEW_PAIRS", 0)
+    assert {str(r) for r in closure(quads)[0].collect()} == few
+    with pytest.raises(RuntimeError, match="no fixed point"):
+        closure(quads, max_iter=1)
+
+
+def test_given_and_inferred(quads):
+    inferred, _ = closure(quads)
+    both = with_inferred(quads, inferred.unionByName(quads.limit(2).select(*inferred.columns[:6]).selectExpr("*", "1 AS iteration", "'x' AS rule_set", "array('p') AS support")))
+    assert both.filter("inferred").count() == inferred.count() and both.filter("NOT inferred").count() == quads.count()
+
+
 SHAPES = """
 @prefix ex: <https://semantic.local/ontology/> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .
 ex:S a sh:NodeShape ; sh:targetClass ex:Device ; sh:closed true ; sh:ignoredProperties ( ex:above ) ; sh:message "shape" ; sh:severity sh:Warning ;
