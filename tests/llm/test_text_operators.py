@@ -258,13 +258,20 @@ def test_licenses_against_brute_force(spark):
     got = {(r.doc_id, r.license_id): r for r in licenses.scan_licenses(spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")).collect()}
     want = {}
     for k, t in texts.items():
-        for unit in {u for cut in (t or "", *re.split("\n\n", t or ""), *(t or "").split("\n")) for u in [cut] if u}:
-            own = licenses.bigrams(licenses.normalised(unit))
+        words = licenses.normalised(t or "")
+        units = [licenses.normalised(u) for cut in (t or "", *re.split("\n\n", t or ""), *(t or "").split("\n")) for u in [cut]]
+        # All windows of short texts; of long ones, those that the templates' sizes allow at the text's own ends would take too long here.
+        if len(words) < 40:
+            units += [words[i:j] for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        for unit in units:
+            own = licenses.bigrams(unit)
             for name, group in licenses.TEMPLATES.items():
                 for template in group:
-                    if len(licenses.normalised(unit)) > 1 and (d := licenses.dice(own, licenses.bigrams(licenses.normalised(template)))) >= licenses.THRESHOLD:
+                    if len(unit) > 1 and (d := licenses.dice(own, licenses.bigrams(licenses.normalised(template)))) >= licenses.THRESHOLD:
                         want[k, name] = max(want.get((k, name), 0), d)
-    assert {k: pytest.approx(v) for k, v in want.items()} == {k: r.dice for k, r in got.items()}
+    short = {k for k, t in texts.items() if len(licenses.normalised(t or "")) < 40}
+    assert {x: pytest.approx(v) for x, v in want.items() if x[0] in short} == {x: r.dice for x, r in got.items() if x[0] in short}
+    assert all(got[x].dice >= v - 1e-9 for x, v in want.items())
     assert got[8, "GPL-3.0"].n_units == 3
 
 
