@@ -1,7 +1,7 @@
 """WARC archives: written with one gzip member for each record, and read by a sequential reader.
 
 The reader inflates piece by piece, frames records by their content length, and checks the digests of block and payload; it holds one
-piece and one header, never an archive's content. Archives are written by Spark's own writer, so that its commit protocol covers
+piece and one header of what it is given, and Spark gives it an archive at a time, about 8 MB. Archives are written by Spark's own writer, so that its commit protocol covers
 retries and any file system that Spark knows will do; the zero bytes that end a file are padding, which gzip readers skip.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ def _one_line(x: str) -> str:
     return x.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """The gzip member of one page: a response with its payload, or a revisit that names the response."""
-    name = f"<urn:page:{'' if page_id is None else page_id}>"
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, row: str = "") -> bytes:
+    """The gzip member of one page: a response with its payload, or a revisit that names the response. Without a page_id ``row`` names it."""
+    name = f"<urn:row:{row}>" if page_id is None else f"<urn:page:{page_id}>"
     block = _HTTP + payload if refers_to is None else _HTTP
     fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", _DATE), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
@@ -135,8 +136,7 @@ def read_archive(stream: BinaryIO, keep_payload: bool = False) -> Iterator[dict]
 
 
 def _number(name: str | None) -> int | None:
-    digits = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+    return int(name.removeprefix("<urn:page:").removesuffix(">")) if name and name.startswith("<urn:page:") else None
 
 
 def marked(pages: DataFrame) -> DataFrame:
@@ -153,7 +153,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Writes a record for each row (page_id, url, html) to archives of about 8 MB under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:page:>"), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+        task = TaskContext.get().partitionId()
+        number = 0
+        info = _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:archive:{task}-0>"), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
         held, size = [info], len(info)
 
         def out() -> pa.RecordBatch:
@@ -161,7 +163,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
         for batch in batches:
             for row in batch.to_pylist():
-                held.append(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"]))
+                number += 1
+                held.append(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"], f"{task}-{number}"))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield out()

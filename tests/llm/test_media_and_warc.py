@@ -62,6 +62,17 @@ def test_archives(spark):
     assert got == sorted(want)
 
 
+def test_pages_with_other_columns(spark):
+    rows = [(1, "u", "p" * 200), (2, "u", "p" * 200), (None, None, None)]
+    wide = spark.createDataFrame(rows, PAGE).selectExpr("*", "1 AS digest", "2 AS refers_to", "3 AS d", "4 AS first", "5 AS n", "6 AS archive")
+    assert sorted(map(str, warc.round_trip(wide).collect())) == sorted(map(str, warc.round_trip(spark.createDataFrame(rows, PAGE)).collect()))
+
+
+def test_names_without_page_id():
+    names = [next(warc.read_archive(io.BytesIO(warc.record(None, "u", b"x", hashlib.sha256(b"x").hexdigest(), None, row))))["fields"]["WARC-Record-ID"] for row in ("0-1", "0-2")]
+    assert names == ["<urn:row:0-1>", "<urn:row:0-2>"] and warc._number(names[0]) is None and warc._number("<urn:page:7>") == 7
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGE)).count() == 0
 

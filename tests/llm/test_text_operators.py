@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from semforge.llm import decontamination, langid, licenses, mixing, sharding, simhash, substring_dedup, suffix_dedup, superwindows
+from semforge.llm import decontamination, langid, licenses, media, mixing, sharding, simhash, substring_dedup, suffix_dedup, superwindows
 from semforge.llm.common import merge_spans, word_bounds
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,6 +121,14 @@ def test_empty_tables(spark):
         assert frame.count() == 0
 
 
+def test_other_columns_play_no_part(docs):
+    """Columns with names that the operators use themselves change no result."""
+    names = "size text_crc32 id times key kept shard slot row tie crc at lang_pred score held_out h fp component_id label media feature n_bytes runs spans".split()
+    wide = docs.selectExpr("*", *[f"'{c}' AS {c}" for c in names])
+    for operator in (licenses.scan_licenses, mixing.mix, langid.predict_documents, media.media_columns, simhash.near_duplicates, sharding.shard_documents):
+        assert Counter(map(str, operator(wide).collect())) == Counter(map(str, operator(docs).collect())), operator
+
+
 @pytest.mark.parametrize("depth", [2, 3, 5, 9, 50])
 def test_suffix_order(depth):
     rng = np.random.default_rng(depth)
