@@ -87,8 +87,11 @@ def repeated_starts(rows: DataFrame, keys: Sequence[str], time: str, window: str
 def repeated(defects: DataFrame) -> DataFrame:
     """Defects of one subject and description within 30 days, from the first start that has two; with the ids of those inside."""
     rows = defects.withColumns({"text": normalize(_json(F.col("value"), "description", "source_event.description", "text"), "fact"), "at": F.coalesce(F.col("observed_at"), parse_time(_json(F.col("value"), "event_time")))}).filter("text <> ''")
-    starts = repeated_starts(rows, ["subject_key", "text"], "at").drop("n")
-    inside = rows.join(starts, ["subject_key", "text"]).filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("start") + F.expr("INTERVAL 30 DAYS")))
+    # One exchange by subject and description serves both windows and the aggregate after them.
+    group = Window.partitionBy("subject_key", "text")
+    ahead = F.count("*").over(group.orderBy(F.col("at").cast("timestamp").cast("double")).rangeBetween(0, 30 * 86400))
+    starts = rows.filter("at IS NOT NULL").withColumn("n", ahead).withColumn("start", F.min(F.when(F.col("n") >= 2, F.col("at"))).over(group))
+    inside = starts.filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("start") + F.expr("INTERVAL 30 DAYS")))
     out = inside.groupBy("subject_key", "text", "start").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("fact_id")).alias("input_fact_ids"), F.max("at").alias("observed_at"))
     return out.withColumn("fact_id", stable_id("REP", F.col("subject_key"), F.col("text"), F.concat_ws(",", "input_fact_ids")))
 
