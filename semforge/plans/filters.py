@@ -164,21 +164,17 @@ def j10(spark, sf):
     return candidates(spark, sf).select("candidate_id").join(sample, "candidate_id", "left_semi")
 
 
-@register("J11_unbound", f"SELECT count(*) AS unbound FROM {CANDIDATES} c WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = candidate_id AND l_returnflag = 'R')")
+@register("J11_unbound", f"SELECT candidate_id FROM {CANDIDATES} c WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = candidate_id AND l_returnflag = 'R')")
 def j11(spark, sf):
     bound = t(spark, sf, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey")
-    return candidates(spark, sf).select("candidate_id").join(bound, F.col("candidate_id") == F.col("l_orderkey"), "left_anti").agg(F.count("*").alias("unbound"))
+    return candidates(spark, sf).select("candidate_id").join(bound, F.col("candidate_id") == F.col("l_orderkey"), "left_anti")
 
 
-@register(
-    "J12_exclusion_split",
-    f"""SELECT 'kept' AS side, count(*) AS n FROM {CANDIDATES} WHERE device_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) UNION ALL
-    SELECT 'LOCATION_MISSING', count(*) FROM {CANDIDATES} WHERE device_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
-)
+@register("J12_exclusion_split", f"SELECT candidate_id, CASE WHEN device_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'LOCATION_MISSING' ELSE 'kept' END AS side FROM {CANDIDATES}")
 def j12(spark, sf):
     ids = t(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("device_id"))
     kept, out = reads.split_by(candidates(spark, sf), ids, "device_id", "LOCATION_MISSING")
-    return kept.agg(F.lit("kept").alias("side"), F.count("*").alias("n")).unionByName(out.agg(F.lit("LOCATION_MISSING").alias("side"), F.count("*").alias("n")))
+    return kept.select("candidate_id", F.lit("kept").alias("side")).unionByName(out.select("candidate_id", F.col("exclusion_reason").alias("side")))
 
 
 @register("J13_prefix_join", f"SELECT a.site, e.location, count(*) AS n FROM (SELECT DISTINCT site, location FROM {DEVICES} WHERE length(location) = 2) e JOIN {DEVICES} a ON a.site = e.site AND starts_with(a.location, e.location) GROUP BY ALL")

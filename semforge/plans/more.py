@@ -254,11 +254,11 @@ def r6c(spark, sf):
     return both.groupBy("identity", "side").agg(F.count("*").alias("n"))
 
 
-@register("M4_formal_only", "SELECT count(*) FILTER (p_size % 2 = 0) AS kept, count(*) FILTER (p_size % 2 = 1) AS audited FROM part")
+@register("M4_formal_only", "SELECT p_partkey AS key, CASE WHEN p_size % 2 = 0 THEN 'kept' ELSE 'audited' END AS side FROM part")
 def m4(spark, sf):
     p = t(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_size")
     kept, audit = metadata.formal_only(p, p.select("key", F.when(F.col("p_size") % 2 == 0, "FORMAL_READY").otherwise("UNCERTAIN").alias("verdict")))
-    return kept.select(F.lit(1).alias("k")).unionByName(audit.select(F.lit(0).alias("k"))).agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("audited"))
+    return kept.select("key", F.lit("kept").alias("side")).unionByName(audit.select("key", F.lit("audited").alias("side")))
 
 
 @register("K2_machine_contracts", "SELECT count(*) AS n, count(*) FILTER (p_type = 'SMALL') AS rules FROM part")

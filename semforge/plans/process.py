@@ -211,10 +211,10 @@ def g2(spark, sf):
     return decisions.plan_actions(d, old).select("subject_key", "status")
 
 
-@register("G3_unbound", f"SELECT count(*) AS n FROM {_DEC} WHERE subject_key % 2 = 1")
+@register("G3_unbound", f"SELECT subject_key, risk_fact_id FROM {_DEC} WHERE subject_key % 2 = 1")
 def g3(spark, sf):
     d = decisions.decide(*_states_and_risks(spark, sf))
-    return decisions.unbound(d, decisions.plan_actions(d).filter("subject_key % 2 = 0")).agg(F.count("*").alias("n"))
+    return decisions.unbound(d, decisions.plan_actions(d).filter("subject_key % 2 = 0")).select("subject_key", "risk_fact_id")
 
 
 @register("G4_preview_gate", f"SELECT subject_key, CASE WHEN subject_key % 3 = 0 THEN 'ready' WHEN subject_key % 3 = 1 THEN 'blocked' ELSE 'needs_review' END AS gate FROM {_DEC}")

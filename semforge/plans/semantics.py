@@ -147,10 +147,10 @@ def i2(spark, sf):
     return identity.identity_map(identity.match_identity(_id_records(spark, sf), _id_devices(spark, sf))).agg(F.count("*").alias("n"), F.count("device_id").alias("mapped"))
 
 
-@register("I3_cross_system", "SELECT a.p_brand AS left_schema, b.p_brand AS right_schema, a.p_type AS site, count(*) AS n FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand < b.p_brand GROUP BY ALL")
+@register("I3_cross_system", "SELECT a.p_brand AS left_schema, b.p_brand AS right_schema, a.p_type AS site, CAST(a.p_partkey AS VARCHAR) AS left_id, CAST(b.p_partkey AS VARCHAR) AS right_id, 0.98 AS score FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand < b.p_brand")
 def i3(spark, sf):
     d = devices(spark, sf).select("source_schema", "site", F.col("location").alias("asset"), F.col("asset").alias("device_id"))
-    return identity.cross_system(d).groupBy("left_schema", "right_schema", "site").agg(F.count("*").alias("n"))
+    return identity.cross_system(d).select("left_schema", "right_schema", "site", "left_id", "right_id", "score")
 
 
 @register("I9_decision_mode", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'manual' WHEN o_orderkey % 7 = 0 THEN 'conflict' WHEN o_totalprice > 250000 AND o_orderkey % 2 = 0 THEN 'auto' WHEN o_totalprice <= 250000 THEN 'manual_review' ELSE 'derived' END AS mode, count(*) AS n FROM orders GROUP BY 1")
@@ -374,10 +374,10 @@ def k4(spark, sf):
     return knowledge.normalize_relations(o, "r").select("o_orderkey", "relation_key")
 
 
-@register("K5_link_assertions", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'device_has_inspection' ELSE 'device_has_defect' END AS relation, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 2 = 0 GROUP BY 1")
+@register("K5_link_assertions", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'device_has_inspection' ELSE 'device_has_defect' END AS relation, o_custkey AS subject_key, o_orderkey AS object_key FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 2 = 0")
 def k5(spark, sf):
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("link_id"), F.when(F.col("o_orderstatus") == "F", "inspection").when(F.col("o_orderstatus") == "O", "defect").otherwise("other").alias("kind"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("device_id"), F.col("o_orderkey").alias("record_id"))
-    return knowledge.link_assertions(o).groupBy("relation").agg(F.count("*").alias("n"))
+    return knowledge.link_assertions(o).select("relation", "subject_key", "object_key")
 
 
 # Quads
@@ -403,16 +403,20 @@ def o1(spark, sf):
     return project.objects(t(spark, sf, "region"), "source", F.concat(F.lit(f"{EX}region/"), F.col("r_regionkey")), "Region", {"displayName": "r_name"}).select("subject", "predicate", "object")
 
 
-@register("O3_relations", "SELECT count(*) AS n FROM (SELECT unnest(range(0, CASE WHEN o_orderstatus = 'F' THEN 5 ELSE 1 END)) FROM orders)")
+@register(
+    "O3_relations",
+    f"""SELECT concat('{EX}', o_custkey) AS subject, '{EX}has' AS predicate, concat('{EX}', o_orderkey) AS object FROM orders UNION ALL
+    SELECT concat('{EX}relation/', o_orderkey), unnest(['{TYPE}', '{EX}relationSubject', '{EX}relationPredicate', '{EX}relationObject']), unnest(['{EX}RelationAssertion', concat('{EX}', o_custkey), '{EX}has', concat('{EX}', o_orderkey)]) FROM orders WHERE o_orderstatus = 'F'""",
+)
 def o3(spark, sf):
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("relation_id"), F.concat(F.lit(EX), "o_custkey").alias("subject_iri"), F.lit(f"{EX}has").alias("predicate_iri"), F.concat(F.lit(EX), "o_orderkey").alias("object_iri"), (F.col("o_orderstatus") == "F").alias("temporal"), F.lit(False).alias("object_is_location"))
-    return project.relations(o, "source").agg(F.count("*").alias("n"))
+    return project.relations(o, "source").select("subject", "predicate", "object")
 
 
-@register("O4_events", f"SELECT predicate, count(*) AS n FROM (SELECT unnest(['{TYPE}', '{TYPE}', '{EX}hasSubject', '{EX}occurredAt']) AS predicate FROM events) GROUP BY 1")
+@register("O4_events", f"SELECT concat('{EX}event/', event_id) AS subject, unnest(['{TYPE}', '{TYPE}', '{EX}hasSubject', '{EX}occurredAt']) AS predicate FROM events")
 def o4(spark, sf):
     e = t(spark, sf, "events").select(F.concat(F.lit(f"{EX}event/"), "event_id").alias("event_iri"), F.initcap("event_type").alias("class_name"), F.concat(F.lit(f"{EX}user/"), "user_id").alias("subject_iri"), F.col("ts").cast("string").alias("occurred_at"))
-    return project.events(e, "source").groupBy("predicate").agg(F.count("*").alias("n"))
+    return project.events(e, "source").select("subject", "predicate")
 
 
 @register("O8_preflight", "SELECT count(*) AS rows, count(*) FILTER (p_size > 40) AS blank_site, 0::BIGINT AS blank_asset FROM part")
