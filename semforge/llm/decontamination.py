@@ -2,7 +2,7 @@
 
 The CGK random walk copies the character at its position, then moves on or stays as a random function of step and character says; it
 maps a small edit distance to a small Hamming distance. A hash is some sampled steps of a walk. Walks start at every word of an item
-and at every word of a document, so an exact copy is found wherever it stands, and an edited one if one walk of any table runs
+and at every word of a document, and at every character of scripts that have no blanks, so an exact copy is found wherever it stands, and an edited one if one walk of any table runs
 between its edits. Each walk has a table of its own. A collision stands for a window of the document as large as the item. It is kept
 if the two agree around it on as many trigrams as the similarity asks for, and then verified by the exact edit distance between the
 item and the best matching stretch of the window, for many at once.
@@ -12,6 +12,7 @@ Items of fewer than five words have too little text for an edit distance to mean
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from semforge.llm.common import SEPARATORS, arrow_map, chunks, expand, flat_bytes, mix, prefix_hash, range_hash, text_key, unwrapped, word_bounds, wrapped
 
-#: Items of fewer words are compared as sequences of words.
+#: Items of fewer words are compared as sequences of words. A character of three bytes or more in UTF-8 counts as a word.
 SIMILARITY, LEAST_WORDS = 0.8, 5
+WORD = "[\u0800-\U0010ffff]|[^ \u0800-\U0010ffff]+"
 #: (steps of a walk, sampled steps, walks, most bytes of an item that uses them). Short items have few words to start at, and get short
 #: walks too. Measured recall at a similarity of 0.81: 0.99 with edits at random places, 0.9 with edits as evenly spread as can be, which
 #: leaves walks the least room (tests/llm/test_decontamination.py).
@@ -134,6 +136,7 @@ def _word_starts(plain: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cuts = offsets[1:-1]
     cuts = cuts[cuts < len(plain)]
     first[cuts] = ~blank[cuts]
+    first |= plain >= 0xE0
     return np.flatnonzero(first)
 
 
@@ -176,7 +179,7 @@ class Tables:
 
     def __init__(self, items: list[tuple]) -> None:
         items = [(i, n, _PLAIN[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-8", "replace")) for i, n, t in items]
-        count = [len(t.split(" ")) - t.split(" ").count("") for *_, t in items]
+        count = [len(re.findall(WORD, t)) for *_, t in items]
         self.short = [x for x, n in zip(items, count, strict=True) if 0 < n < LEAST_WORDS]
         self.items = [x for x, n in zip(items, count, strict=True) if n >= LEAST_WORDS]
         self._sequences()
@@ -450,7 +453,7 @@ def _plain_text():
 def _passes(spark, benchmark: DataFrame, least_words: int) -> Iterator[list]:
     """Distinct items in broadcast blocks of bounded size, and so many blocks at once as a pass over the documents takes."""
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _plain_text().alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"))
-    asked = asked.filter(F.regexp_count("text", F.lit("[^ ]+")) >= least_words)
+    asked = asked.filter(F.regexp_count("text", F.lit(WORD)) >= least_words)
     held, block, size = [], [], 0
     for r in asked.toLocalIterator():
         if block and size + len(r["text"]) > BLOCK_BYTES:

@@ -133,6 +133,28 @@ def test_blocks_and_long_texts(spark, monkeypatch):
         assert {r.doc_id for r in decontamination.drop_leaked(docs, bench).collect()} == {3}
 
 
+def test_scripts_without_blanks(spark):
+    """Items and documents of one long word each, with characters replaced, are found as others are; a few characters only exactly."""
+    rng = np.random.default_rng(9)
+    kanji = [chr(0x4E00 + k) for k in range(600)]
+
+    def text(n):
+        return "".join(rng.choice(kanji, n))
+
+    items = [(k, text(40)) for k in range(20)] + [(50, "東京都"), (51, "\U00020000\U00020001\U00020002\U00020003\U00020004\U00020005")]
+    rows = []
+    for k in range(20):
+        out = list(items[k][1])
+        for p in rng.choice(40, (0, 3, 6)[k % 3], replace=False):
+            out[p] = kanji[rng.integers(600)]
+        rows.append((k, text(30) + "".join(out) + text(25)))
+    rows += [(100, text(300)), (101, "東京都 です"), (102, "東京都です"), (103, "x \U00020000\U00020001\U00020002\U00020003\U00020004\U00020005 y")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaked_documents(docs, bench).collect()}
+    assert got <= {(k, k) for k in range(20)} | {(101, 50), (103, 51)} and len(got) >= 21
+    assert {r.doc_id for r in decontamination.drop_leaked(docs, bench).collect()} >= {100, 101, 102}
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([], DOC), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
