@@ -34,10 +34,10 @@ def ordered(steps: list[dict]) -> list[dict]:
     return out
 
 
-def run_dag(spec: Mapping, handlers: Mapping[str, Handler], manifest: str | None = None, retries: int = 1) -> dict:
-    """Runs the steps (id, handler, depends_on, parameters) and returns the manifest; with a file, resumes from it and replaces it in one step."""
+def run_dag(spec: Mapping, handlers: Mapping[str, Handler], manifest: str | None = None, retries: int = 1, previous: Mapping | None = None) -> dict:
+    """Runs the steps (id, handler, depends_on, parameters) and returns the manifest; resumes from ``previous``, or from a file, which it replaces in one step."""
     path = Path(manifest) if manifest else None
-    old = json.loads(path.read_text()) if path and path.exists() else {"steps": {}}
+    old = previous or (json.loads(path.read_text()) if path and path.exists() else {"steps": {}})
     state: dict = {"spec": content_hash(spec), "steps": {}}
     for step in ordered(list(spec["steps"])):
         inputs = {d: state["steps"][d]["output_hash"] for d in step.get("depends_on", ())}

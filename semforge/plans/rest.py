@@ -168,16 +168,12 @@ def v5(spark, sf):
 @register("L4_resume", "SELECT * FROM (VALUES ('a', 'first', false), ('b', 'first', false), ('a', 'second', true), ('b', 'second', true), ('a', 'changed', false), ('b', 'changed', false)) x(step, run, resumed)")
 def l4(spark, sf):
     """A second run resumes every step; one of another specification runs all of them again."""
-    from pathlib import Path
-    from tempfile import TemporaryDirectory
-
-    out = []
-    with TemporaryDirectory() as folder:
-        handlers = {"rows": lambda p, _: {"rows": t(spark, sf, p["table"]).count()}, "double": lambda p, i: {"rows": p["times"] * sum(x["rows"] for x in i.values())}}
-        for run, times in (("first", 2), ("second", 2), ("changed", 3)):
-            spec = {"steps": [{"id": "a", "handler": "rows", "parameters": {"table": "nation"}}, {"id": "b", "handler": "double", "depends_on": ["a"], "parameters": {"times": times}}]}
-            state = run_dag(spec, handlers, str(Path(folder) / "m.json"))
-            out += [(k, run, bool(v["resumed"])) for k, v in state["steps"].items()]
+    out, state = [], None
+    handlers = {"rows": lambda p, _: {"rows": t(spark, sf, p["table"]).count()}, "double": lambda p, i: {"rows": p["times"] * sum(x["rows"] for x in i.values())}}
+    for run, times in (("first", 2), ("second", 2), ("changed", 3)):
+        spec = {"steps": [{"id": "a", "handler": "rows", "parameters": {"table": "nation"}}, {"id": "b", "handler": "double", "depends_on": ["a"], "parameters": {"times": times}}]}
+        state = run_dag(spec, handlers, previous=state)
+        out += [(k, run, bool(v["resumed"])) for k, v in state["steps"].items()]
     return _many(spark, "step string, run string, resumed boolean", out)
 
 
