@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semforge.llm import decontamination, langid, licenses, media, mixing, sharding, simhash, substring_dedup, suffix_dedup, warc
+from semforge.llm import decontamination, langid, licenses, media, mixing, neighbours, prefix_trie, repair, sharding, simhash, substring_dedup, suffix_dedup, warc
 from semforge.llm.common import table
 from semforge.llm.sql import ORACLES
 
@@ -51,8 +51,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_license_scan, op3_substring_dedup, op4_warc, op5_decontamination, op6_mixing, op7_language_id, op8_media, op9_simhash, op10_sharding)
+    found = (op1_suffix_dedup, op2_license_scan, op3_substring_dedup, op4_warc, op5_decontamination, op6_mixing, op7_language_id, op8_media, op9_simhash, op10_sharding, op11_nearest_neighbours, op12_conversation_repair, op13_prefix_trie)
     return {f.__name__: f for f in found}
 
 
