@@ -115,33 +115,52 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return found
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each node in a row."""
+    at = batch.column("node").to_numpy()
+    cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(at)].tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield int(at[a]), batch.slice(a, b - a)
+
+
 def _ends(ends: DataFrame) -> DataFrame:
-    """(node, ends_sha256): the hash of each node's conv ids in order; they stream by, however many they are."""
+    """(node, ends_sha256): the hash of each node's conv ids in order.
+
+    They are sorted over all tasks, so that a node with many is in many, and joined to pieces of a batch there. SHA-256 is sequential by
+    its definition: the pieces of one node pass one task, of which none is held.
+    """
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            pieces = [(node, ",".join(map(str, rows.column("conv").to_pylist()))) for node, rows in _runs(batch)]
+            if pieces:
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in pieces], pa.int64()), pa.array([batch.column("part")[0].as_py()] * len(pieces), pa.int32()), pa.array(range(number, number + len(pieces)), pa.int64()), pa.array([x for _, x in pieces], pa.string())], ["node", "part", "number", "piece"])
+                number += len(pieces)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, state = None, None
         for batch in batches:
             out: list[tuple[int, str]] = []
-            at, conv = batch.column("node").to_numpy(), batch.column("conv").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(at)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                more = node is not None and int(at[a]) == node
+            for at, rows in _runs(batch):
+                more = node is not None and at == node
                 if not more:
                     if node is not None:
                         out.append((node, state.hexdigest()))
-                    node, state = int(at[a]), hashlib.sha256()
-                state.update(("," * more + ",".join(map(str, conv[a:b].tolist()))).encode())
+                    node, state = at, hashlib.sha256()
+                state.update(("," * more + ",".join(rows.column("piece").to_pylist())).encode())
             if out:
-                yield _pairs(out)
+                yield _hashes(out)
         if node is not None:
-            yield _pairs([(node, state.hexdigest())])
+            yield _hashes([(node, state.hexdigest())])
 
-    def _pairs(out: list[tuple[int, str]]) -> pa.RecordBatch:
+    def _hashes(out: list[tuple[int, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.string())], ["node", "ends_sha256"])
 
-    return arrow_map(ends.repartition(partitions(ends), "node").sortWithinPartitions("node", "conv"), hashed, "node long, ends_sha256 string")
+    ordered = ends.repartitionByRange(partitions(ends), "node", "conv").sortWithinPartitions("node", "conv")
+    pieces = arrow_map(ordered.select("node", "conv", F.spark_partition_id().alias("part")), joined, "node long, part int, number long, piece string")
+    return arrow_map(pieces.repartition(partitions(ends), "node").sortWithinPartitions("node", "part", "number"), hashed, "node long, ends_sha256 string")
 
 
 def trie(conversations: DataFrame) -> DataFrame:
