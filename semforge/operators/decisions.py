@@ -18,6 +18,23 @@ def decide(states: DataFrame, risks: DataFrame, state: str = "PENDING", least_sc
     return out.select(stable_id("DEC", F.lit(rule_id), F.col("subject_key"), F.col("risk_fact_id")).alias("decision_id"), F.lit(rule_id).alias("rule_id"), "subject_key", "state", "risk_fact_id", "risk_score", F.lit("planned").alias("outcome"))
 
 
+def decide_by_rules(states: DataFrame, risks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Decisions of a table of rules, of which only enabled ones count: (rule_id, rule_version, input_state, risk_fact_type,
+    risk_predicate, min_risk_score, action_type, target_type, requires_approval, status).
+
+    A rule decides for each subject in its state that has a risk fact (subject_key, fact_id, fact_type, predicate, risk_score, created_at)
+    of its type and predicate with its least score: the latest such, ties to the greater id. A missing score is no risk. Subjects, facts
+    and rules meet in joins, so neither many rules nor a subject with very many facts comes to one task whole.
+    """
+    enabled = rules.filter("status = 'enabled'").drop("status")
+    at = F.struct("created_at", "fact_id", "risk_score")
+    kinds = (F.col("fact_type") == F.col("risk_fact_type")) & (F.col("predicate") == F.col("risk_predicate")) & (F.col("risk_score") >= F.col("min_risk_score"))
+    latest = risks.join(enabled.select("rule_id", "rule_version", "risk_fact_type", "risk_predicate", "min_risk_score"), kinds).groupBy("rule_id", "rule_version", "subject_key").agg(F.max(at).alias("r"))
+    matched = states.join(enabled, F.col("state") == F.col("input_state")).join(latest, ["rule_id", "rule_version", "subject_key"])
+    decision = stable_id("DEC", F.col("rule_version"), F.col("subject_key"), F.col("r.fact_id"))
+    return matched.select(decision.alias("decision_id"), "rule_id", "rule_version", "subject_key", "state", F.col("r.fact_id").alias("risk_fact_id"), F.col("r.risk_score").alias("risk_score"), "action_type", "target_type", "requires_approval", F.lit("planned").alias("outcome"))
+
+
 def plan_actions(decisions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One plan for each decision's key. A plan that a reviewer has closed keeps its status; nothing is executed."""
     new = decisions.select(stable_id("PLAN", F.col("decision_id")).alias("plan_id"), "decision_id", "subject_key", F.when(F.col("outcome") == "planned", "PENDING_APPROVAL").otherwise("DRAFT").alias("status"), F.lit(False).alias("source_write"))

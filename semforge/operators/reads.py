@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semforge.functions.text import blank_to_null, is_placeholder, jaccard, ngrams, strip
+from semforge.storage import bucketed
+
+#: Characters of a piece of text in the search index.
+GRAM = 3
 
 #: Rows of a page at most, as the read surface allows.
 PAGE_MOST = 200
@@ -36,6 +40,27 @@ def search(df: DataFrame, term: str | None, columns: Sequence[str]) -> DataFrame
     return df.filter(reduce(Column.__or__, [F.col(c).ilike(f"%{escaped}%") for c in columns]))
 
 
+def search_index(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(gram, keys): the trigrams of the columns' lower-case texts, each once for a row, as a table in buckets of the trigram."""
+    grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), GRAM) for c in columns])))
+    return bucketed(df.select(F.explode(grams).alias("gram"), *keys), "gram")
+
+
+def indexed_search(df: DataFrame, index: DataFrame, keys: Sequence[str], term: str | None, columns: Sequence[str]) -> DataFrame:
+    """``search`` by an index over the same rows and columns: only the buckets of the term's trigrams are read, and the rows that have all
+    of them are held against the term. A term of fewer than three characters has no trigram and scans.
+
+    Keys name a row; rows with equal keys are all found. Common trigrams have long lists of rows, which are counted where they are read.
+    """
+    low = (term or "").lower()
+    grams = sorted({low[k : k + GRAM] for k in range(len(low) - GRAM + 1)})
+    if not grams:
+        return search(df, term, columns)
+    hits = index.filter(F.col("gram").isin(grams)).groupBy(*keys).agg(F.count_distinct("gram").alias("_n")).filter(F.col("_n") == len(grams)).drop("_n")
+    on = reduce(Column.__and__, [F.col(f"_r.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in keys])
+    return search(df.alias("_r").join(hits.alias("_h"), on, "left_semi"), term, columns)
+
+
 def facet_filter(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """All of the given equalities; null and ``all`` ask for nothing."""
     return reduce(lambda d, kv: d if kv[1] in (None, "", "all") else d.filter(F.col(kv[0]) == kv[1]), values.items(), df)

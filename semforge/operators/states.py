@@ -1,7 +1,7 @@
 """State replay: facts of a subject folded in effective order through transition rules.
 
-The fold is sequential for a subject and parallel over subjects. Late rows are kept, flagged, and replayed in their place. What no
-rule accepts is a row for review and doesn't move the state.
+Late rows are kept, flagged, and replayed in their place. What no rule accepts is a row for review and doesn't move the state. The fold is
+a scan of composed maps, parallel over tasks and not over subjects alone.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semforge.functions.ids import stable_id
+from semforge.storage import cut_lineage
 
 #: States, and transitions as (from, event, to, priority, guard).
 STATES = ("NEW", "PENDING", "PROCESSING", "RESOLVED", "CLOSED", "CANCELLED", "UNKNOWN")
@@ -67,7 +70,7 @@ def late_flags(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _fold(rules: Sequence[tuple], states: Sequence[str], strict: bool):
-    """A fold over batches of sorted rows. Only the running subject's state is held, so a subject may have any number of facts."""
+    """The sequential fold over batches of sorted rows, for streams; ``replay_states`` is its parallel form."""
     known_events = {r[1] for r in rules}
     by_step: dict[tuple, list[tuple]] = {}
     for rule in sorted(rules, key=lambda r: -r[3]):
@@ -113,31 +116,151 @@ def _fold(rules: Sequence[tuple], states: Sequence[str], strict: bool):
 
 
 COLUMNS = ["subject_key", "fact_id", "from_state", "to_state", "event_type", "transition_type", "status", "reason", "effective_at", "recorded_at"]
-SCHEMA = "subject_key string, fact_id string, from_state string, to_state string, event_type string, transition_type string, status string, reason string, effective_at timestamp, recorded_at timestamp"
+ORDER = ("effective_at", "recorded_at")
+
+
+def _judged(current: Column, rules: Sequence[tuple], states: Sequence[str], strict: bool) -> dict[str, Column]:
+    """What the rules say of a fact in a state: whether one fits, one passes its guard, and whether the fact seeds the state."""
+    event, to = F.coalesce("event_type", F.lit("")), F.col("to_state")
+    fits = passes = F.lit(False)
+    for from_, kind, target, _, guard in rules:
+        here = (event == kind) & (to == target)
+        here = here if from_ is None else here & current.eqNullSafe(F.lit(from_))
+        fits = fits | here
+        if strict and guard == "restore_event":
+            here = here & F.coalesce(current.isin("CLOSED", "CANCELLED"), F.lit(False)) & (event == "DefectProcessingEvent")
+        elif strict and guard:
+            here = here & F.coalesce(F.col(guard), F.lit(False))
+        passes = passes | here
+    fits, passes = F.coalesce(fits, F.lit(False)), F.coalesce(passes, F.lit(False))
+    valid = F.coalesce(to.isin(*states), F.lit(False)) & F.col("effective_at").isNotNull()
+    seed = current.isNull() & valid & ~fits & ~event.isin(*sorted({r[1] for r in rules})) & F.coalesce("mapped", F.lit(False))
+    return {"fits": fits, "passes": passes, "seed": seed, "accepted": valid & (passes | seed)}
+
+
+def _letters(states: Sequence[str]) -> list[str]:
+    """One letter for no state, then one for each state."""
+    return [chr(48 + i) for i in range(len(states) + 1)]
+
+
+def _prefixes(identity: str):
+    """Adds to sorted facts the map from the state in which their partition began to the state before each fact.
+
+    Only the first subject can have begun in an earlier partition; the others begin without a state, so their maps are constant.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        composed: dict[tuple[str, str], str] = {}
+        running, subject, begun = identity, None, False
+        for batch in batches:
+            out = []
+            for key, step in zip(batch.column("subject_key").to_pylist(), batch.column("step").to_pylist(), strict=True):
+                if begun and key != subject:
+                    running = identity[0] * len(identity)
+                subject, begun = key, True
+                out.append(running)
+                after = composed.get((running, step))
+                if after is None:
+                    after = composed[running, step] = "".join(step[ord(x) - 48] for x in running)
+                running = after
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "prefix"])
+
+    return run
+
+
+def _least(*values):
+    return min((x for x in values if x is not None), default=None)
+
+
+def _carried(parts: list, identity: str) -> list[tuple]:
+    """For each partition (part, entry, next_effective, least_later, least_all): what its first and last subject share with its neighbours.
+
+    ``entry`` is the state in which its first subject comes in. Of the last subject's facts in later partitions: the effective time of the
+    first, the least recorded time of those after that time, and the least of all. One row of ``parts`` stands for one partition.
+    """
+    entries, running = [], identity[0]
+    for before, x in zip([None, *parts], parts):
+        entries.append(running if before is not None and before["last_subject"] == x["first_subject"] else identity[0])
+        running = x["tail"][ord(entries[-1]) - 48]
+    out, ahead = [], (None, None, None)
+    for x, after, entry in zip(reversed(parts), [None, *reversed(parts)], reversed(entries)):
+        if after is None or after["first_subject"] != x["last_subject"]:
+            ahead = (None, None, None)
+        else:
+            time, later, every = ahead if after["first_subject"] == after["last_subject"] else (None, None, None)
+            first = after["head_time"]
+            strictly = _least(after["head_later"], later if time == first else every)
+            ahead = (first if first is not None else time, strictly if first is not None else later, _least(after["head_all"], every))
+        out.append((x["part"], entry, *ahead))
+    return out
 
 
 def replay_states(facts: DataFrame, rules: Sequence[tuple] = TRANSITIONS, states: Sequence[str] = STATES, scope: str | None = None, strict_guards: bool = False) -> tuple[DataFrame, DataFrame]:
     """(transitions, current) of facts (subject_key, fact_id, to_state, event_type, mapped, effective_at, recorded_at, source_row_id).
 
-    Guard columns of the names in GUARDS count only with ``strict_guards``. Unknown times come last and are for review. A subject's
-    facts are sorted into one task, as its fold is sequential, and pass through it; ``scope`` replays one subject alone.
+    Guard columns of the names in GUARDS count only with ``strict_guards``. Unknown times come last and are for review; ``scope`` replays
+    one subject alone.
+
+    A fact is a map of states, and maps compose: facts are sorted over all tasks by subject and time, each task composes the maps of its
+    own, and one row for each task tells in which state the next one's first subject comes in. A subject with most of the facts is thus
+    folded by many tasks. Whether a fact is late comes the same way, from the least recorded times that lie ahead.
     """
     rows = facts if scope is None else facts.filter(F.col("subject_key") == scope)
     for g in GUARDS:
         if g not in rows.columns:
             rows = rows.withColumn(g, F.lit(False))
-    for c in ("effective_at", "recorded_at"):
+    for c in ORDER:
         rows = rows.withColumn(c, F.col(c).cast("timestamp"))
-    order = [F.col("subject_key"), *[F.col(c).asc_nulls_last() for c in ("effective_at", "recorded_at")], F.col("source_row_id"), F.col("fact_id")]
-    folded = rows.repartition("subject_key").sortWithinPartitions(*order).mapInPandas(_fold(rules, states, strict_guards), SCHEMA)
-    out = late_flags(folded, ["subject_key"]).withColumn("transition_id", stable_id("TRN", F.col("subject_key"), F.col("fact_id"), F.col("to_state")))
+    letters = _letters(states)
+    to = F.coalesce(*[F.when(F.col("to_state") == s, x) for s, x in zip(states, letters[1:])], F.lit(letters[0]))
+    steps = [F.when(_judged(F.lit(s).cast("string"), rules, states, strict_guards)["accepted"], to).otherwise(x) for s, x in zip((None, *states), letters)]
+    kept = ["subject_key", "fact_id", "to_state", "event_type", "mapped", *ORDER, *(GUARDS if strict_guards else ())]
+    order = [F.col("subject_key"), *[F.col(c).asc_nulls_last() for c in ORDER], F.col("source_row_id"), F.col("fact_id")]
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.withColumn("step", F.concat(*steps)).repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*kept, "step")
+    identity = "".join(letters)
+    scanned = ranged.mapInArrow(_prefixes(identity), T.StructType([*ranged.schema.fields, T.StructField("prefix", T.StringType())]))
+    stored = cut_lineage(scanned.withColumn("id", F.monotonically_increasing_id()), "replay").withColumn("part", F.shiftrightunsigned("id", 33))
+
+    # One row for each subject of a task, of which only the first and the last matter: two rows for each task come to the driver.
+    own = stored.groupBy("part", "subject_key").agg(
+        F.min("id").alias("first"), F.max(F.struct("id", "prefix", "step")).alias("last"), F.min("effective_at").alias("head_time"), F.min(F.when(F.col("effective_at").isNotNull(), F.col("recorded_at"))).alias("head_all")
+    )
+    ends = own.groupBy("part").agg(F.min(F.struct("first", "subject_key", "head_time", "head_all")).alias("head"), F.max("last").alias("last"), F.max(F.struct("first", "subject_key")).alias("final"))
+    ends = ends.select("part", F.col("head.subject_key").alias("first_subject"), F.col("final.subject_key").alias("last_subject"), "head.head_time", "head.head_all", F.col("last.prefix").alias("prefix"), F.col("last.step").alias("step"))
+    heads = stored.join(F.broadcast(ends.select("part", F.col("first_subject").alias("subject_key"), "head_time")), ["part", "subject_key"]).filter(F.col("effective_at") > F.col("head_time"))
+    ends = ends.join(heads.groupBy("part").agg(F.min("recorded_at").alias("head_later")), "part", "left")
+    parts = sorted((r.asDict() | {"tail": "".join(r["step"][ord(x) - 48] for x in r["prefix"])} for r in ends.collect()), key=lambda r: r["part"])
+    last = {r["part"]: r["last_subject"] for r in parts}
+    carried = [(part, entry, last[part], *ahead) for part, entry, *ahead in _carried(parts, identity)]
+    known = rows.sparkSession.createDataFrame(carried, "part long, entry string, last_subject string, next_effective timestamp, least_later timestamp, least_all timestamp")
+
+    joined = stored.join(F.broadcast(known), "part")
+    index = F.expr("ascii(substring(prefix, ascii(entry) - 47, 1)) - 48")
+    joined = joined.withColumn("from_state", F.get(F.array(F.lit(None).cast("string"), *map(F.lit, states)), index))
+    here = _judged(F.col("from_state"), rules, states, strict_guards)
+    reason = F.when(here["seed"] & here["accepted"], "approved_snapshot_seed").when(here["accepted"], "accepted").when(F.col("effective_at").isNull(), "missing_effective_at").when(here["fits"] & ~here["passes"], "guard_failed").otherwise("invalid_transition")
+    kind = F.when(F.col("from_state").isNull(), "initial").when(F.col("from_state") == F.col("to_state"), "replay").otherwise("change")
+    judged = joined.withColumns({"transition_type": kind, "status": F.when(here["accepted"], "accepted").otherwise("needs_review"), "reason": reason})
+    # Facts with a later time within the task, and what later tasks have of the subject.
+    ahead = Window.partitionBy("part", "subject_key").orderBy(F.unix_micros("effective_at")).rangeBetween(1, Window.unboundedFollowing)
+    beyond = F.when(F.col("subject_key").eqNullSafe(F.col("last_subject")), F.when(F.col("effective_at") < F.col("next_effective"), F.col("least_all")).otherwise(F.col("least_later")))
+    least = F.least(F.min("recorded_at").over(ahead), beyond)
+    out = judged.withColumn("late", F.coalesce((least < F.col("recorded_at")) & F.col("effective_at").isNotNull(), F.lit(False)))
+    out = out.select(*COLUMNS, "late", stable_id("TRN", F.col("subject_key"), F.col("fact_id"), F.col("to_state")).alias("transition_id"))
     return out, current_states(out)
 
 
 def current_states(transitions: DataFrame) -> DataFrame:
     """(subject_key, state, effective_at, version, fact_id): the last accepted transition and how many there were."""
-    last = F.max(F.struct("effective_at", "recorded_at", "fact_id", "to_state"))
-    return transitions.filter("status = 'accepted'").groupBy("subject_key").agg(last.alias("l"), F.count("*").alias("version")).select("subject_key", F.col("l.to_state").alias("state"), F.col("l.effective_at").alias("effective_at"), "version", F.col("l.fact_id").alias("fact_id"))
+    return folded_states(transitions).filter("version > 0")
+
+
+def folded_states(transitions: DataFrame) -> DataFrame:
+    """The same of every subject; one without an accepted transition has version 0 and no state."""
+    accepted = F.col("status") == "accepted"
+    last = F.max(F.when(accepted, F.struct("effective_at", "recorded_at", "fact_id", "to_state")))
+    return transitions.groupBy("subject_key").agg(last.alias("l"), F.count_if(accepted).alias("version")).select("subject_key", F.col("l.to_state").alias("state"), F.col("l.effective_at").alias("effective_at"), "version", F.col("l.fact_id").alias("fact_id"))
 
 
 def recompute_scope(old: DataFrame, new: DataFrame, subjects: Sequence[str], key: str = "subject_key") -> DataFrame:
@@ -152,24 +275,6 @@ def run_status(transitions: DataFrame, states: Sequence[str] = STATES) -> str:
     return "needs_review" if transitions.filter("status = 'needs_review'").limit(1).count() else "completed"
 
 
-def replay_sql(facts: DataFrame, rules: Sequence[tuple] = TRANSITIONS, states: Sequence[str] = STATES) -> DataFrame:
-    """(subject_key, state, version) by an aggregate() over sorted facts, without Python: the same fold with guards not enforced."""
-    item = F.struct(F.col("effective_at").isNull().alias("u"), F.col("effective_at").alias("e"), F.col("recorded_at").alias("r"), F.col("source_row_id").alias("s"), F.col("fact_id").alias("i"), F.col("to_state").alias("to"), F.coalesce("event_type", F.lit("")).alias("ev"), F.col("mapped").alias("m"))
-    known = [r[1] for r in rules]
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = F.lit(False)
-        for from_, event, to, _, _ in rules:
-            here = (x["ev"] == event) & (x["to"] == to)
-            fits = fits | (here if from_ is None else here & acc["state"].eqNullSafe(F.lit(from_)))
-        seed = acc["state"].isNull() & ~x["ev"].isin(*known) & x["m"]
-        ok = x["to"].isin(*states) & ~x["u"] & (fits | seed)
-        return F.struct(F.when(ok, x["to"]).otherwise(acc["state"]).alias("state"), (acc["version"] + F.when(ok, 1).otherwise(0)).cast("long").alias("version"))
-
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).cast("long").alias("version"))
-    return facts.groupBy("subject_key").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("f")).select("subject_key", "f.state", "f.version")
-
-
 def diff_states(old: DataFrame, new: DataFrame, key: str = "subject_key") -> DataFrame:
     """(key, change) of states (key, state, effective_at): added, removed, state_changed or effective_time_changed; equal ones absent."""
     a = old.select(F.col(key).alias("_ka"), F.col("state").alias("_sa"), F.col("effective_at").alias("_ea"))

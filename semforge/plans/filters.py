@@ -20,6 +20,12 @@ def f2(spark, sf):
     return reads.search(devices(spark, sf), "BOLT", ["name", "site", "source_schema", "asset"]).select("source_schema", "site", "asset", "name")
 
 
+@register("F2_indexed_search", f"SELECT source_schema, site, asset, name FROM {DEVICES} WHERE name ILIKE '%BOLT%' OR site ILIKE '%BOLT%' OR source_schema ILIKE '%BOLT%' OR asset ILIKE '%BOLT%'")
+def f2_indexed(spark, sf):
+    d, columns = devices(spark, sf), ["name", "site", "source_schema", "asset"]
+    return reads.indexed_search(d, reads.search_index(d, columns, columns), columns, "BOLT", columns).select(*columns)
+
+
 @register("F3_facet_filter", f"SELECT asset, name FROM {DEVICES} WHERE site = 'ECONOMY' AND source_schema = 'Brand#4'")
 def f3(spark, sf):
     return reads.facet_filter(devices(spark, sf), {"site": "ECONOMY", "source_schema": "Brand#4", "location": "all", "name": None}).select("asset", "name")

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semforge.functions import text
-from semforge.functions.iri import EX, PROV, SKOS, TYPE
+from semforge.functions.iri import EX, OWL, PROV, RDFS, SKOS, TYPE
 from semforge.operators import cleaning, gates, identity, knowledge, metadata, reads, rules
 from semforge.plans.semantics import _id_devices, quads
 from semforge.plans.tables import CANDIDATES, DEVICES, candidates, devices, t
 from semforge.rdf import project
-from semforge.rdf.closure import closure
+from semforge.rdf.closure import closure, maintain, statement_id
+from semforge.rdf.store import store
 from semforge.registry import register
 from semforge.sources import files
 from semforge.sparql import select
@@ -50,10 +51,12 @@ def j14(spark, sf):
     return e.join(t(spark, sf, "customer"), F.col("k") == F.col("c_custkey")).select("event_id", "c_name")
 
 
-@register("J16_state_risk_join", "SELECT o_custkey AS subject, max(value) AS worst FROM orders JOIN events ON user_id = o_custkey AND value >= 150 WHERE o_orderstatus = 'O' GROUP BY 1")
+@register("J16_state_risk_join", "SELECT subject, fact_id, value FROM (SELECT o_custkey AS subject, event_id AS fact_id, value, row_number() OVER (PARTITION BY o_custkey ORDER BY ts DESC, event_id DESC) AS rn FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') JOIN events ON user_id = o_custkey AND value >= 150) WHERE rn = 1")
 def j16(spark, sf):
-    s = t(spark, sf, "orders").filter("o_orderstatus = 'O'").select("o_custkey").distinct()
-    return s.join(t(spark, sf, "events").filter("value >= 150"), F.col("o_custkey") == F.col("user_id")).groupBy(F.col("o_custkey").alias("subject")).agg(F.max("value").alias("worst"))
+    """Subjects in the state with the latest risk that reaches the threshold."""
+    s = t(spark, sf, "orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("subject")).distinct()
+    latest = t(spark, sf, "events").filter("value >= 150").groupBy(F.col("user_id").alias("subject")).agg(F.max(F.struct("ts", "event_id", "value")).alias("r"))
+    return s.join(latest, "subject").select("subject", F.col("r.event_id").alias("fact_id"), F.col("r.value").alias("value"))
 
 
 @register("J21_relation_fill", "SELECT 'a' AS kind, c_custkey AS k FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'b', s_suppkey FROM supplier WHERE s_acctbal > 9000 UNION ALL SELECT 'c', p_partkey FROM part WHERE p_size = 50")
@@ -294,11 +297,51 @@ def o7(spark, sf):
     return project.graph_counts(q).select("statements", "resources")
 
 
-@register("O11_inference_support", "SELECT 'owl-rl-subset-1' AS rule_set, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n")
+_EDGES = f"""b(s, o) AS (SELECT concat('{EX}nation/', n_nationkey), concat('{EX}region/', n_regionkey) FROM nation), c(s, o) AS (SELECT concat('{EX}customer/', c_custkey), concat('{EX}nation/', c_nationkey) FROM customer),
+  d(s, o) AS (SELECT c.s, b.o FROM c JOIN b ON c.o = b.s)"""
+
+
+@register(
+    "O11_inference_support",
+    f"""WITH {_EDGES}, y(s, c) AS (SELECT concat('{EX}region/', r_regionkey), 'Region' FROM region UNION ALL SELECT concat('{EX}nation/', n_nationkey), 'Nation' FROM nation UNION ALL SELECT concat('{EX}customer/', c_custkey), 'Customer' FROM customer)
+    SELECT s AS subject, '{TYPE}' AS predicate, '{EX}Place' AS object, 'class' AS rule, 1 AS iteration, concat(s, ' {TYPE} {EX}', c, '; {EX}', c, ' {RDFS}subClassOf {EX}Place') AS because FROM y WHERE c <> 'Customer'
+    UNION ALL SELECT s, '{TYPE}', '{EX}BusinessObject', 'class', CASE c WHEN 'Customer' THEN 1 ELSE 2 END, concat(s, ' {TYPE} {EX}', CASE c WHEN 'Customer' THEN c ELSE 'Place' END, '; {EX}', CASE c WHEN 'Customer' THEN c ELSE 'Place' END, ' {RDFS}subClassOf {EX}BusinessObject') FROM y
+    UNION ALL SELECT s, '{EX}partOf', o, 'property', 1, concat(s, ' {EX}inNation ', o, '; {EX}inNation {RDFS}subPropertyOf {EX}partOf') FROM c
+    UNION ALL SELECT c.s, '{EX}partOf', b.o, 'transitive', 2, concat(c.s, ' {EX}partOf ', c.o, '; ', b.s, ' {EX}partOf ', b.o, '; {EX}partOf {TYPE} {OWL}TransitiveProperty') FROM c JOIN b ON c.o = b.s
+    UNION ALL SELECT o, '{EX}hasPart', s, 'inverse', n, concat(s, ' {EX}partOf ', o, '; {EX}partOf {OWL}inverseOf {EX}hasPart') FROM (SELECT *, 1 AS n FROM b UNION ALL SELECT *, 2 FROM c UNION ALL SELECT *, 3 FROM d)""",
+)
 def o11(spark, sf):
-    inferred, _ = closure(quads(spark, sf))
-    rows = inferred.filter((F.col("predicate") == TYPE) & (F.col("object") == f"{EX}Place") & (F.col("iteration") >= 1) & (F.element_at("support", 1) == TYPE))
-    return rows.groupBy("rule_set").agg(F.count("*").alias("n"))
+    """Every inferred statement with its rule, and its premises as text: the ids of the support are looked up among all statements."""
+    q = quads(spark, sf)
+    inferred, _ = closure(q)
+    columns = ["subject", "predicate", "object_kind", "object", "datatype", "language"]
+    texts = q.select(*columns).unionByName(inferred.select(*columns)).distinct().select(statement_id().alias("premise"), F.concat_ws(" ", "subject", "predicate", "object").alias("text"))
+    each = inferred.select("subject", "predicate", "object", "rule", "iteration", F.posexplode("support").alias("at", "premise"))
+    found = each.join(texts, "premise").groupBy("subject", "predicate", "object", "rule", "iteration").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+    return found.select("subject", "predicate", "object", "rule", "iteration", F.array_join(F.transform("p", lambda x: x["text"]), "; ").alias("because"))
+
+
+_MOVED = f"""b(s, o) AS (SELECT concat('{EX}nation/', n_nationkey), concat('{EX}region/', n_regionkey) FROM nation UNION ALL SELECT concat('{EX}customer/', c_custkey), concat('{EX}nation/', CASE WHEN c_acctbal < 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END) FROM customer),
+  tc(s, o) AS (SELECT s, o FROM b UNION SELECT tc.s, b.o FROM tc JOIN b ON tc.o = b.s)"""
+
+
+@register("O10_incremental_closure", f"WITH RECURSIVE {_MOVED} SELECT s AS subject, '{EX}partOf' AS predicate, o AS object FROM tc WHERE s LIKE '{EX}customer/%' UNION ALL SELECT o, '{EX}hasPart', s FROM tc")
+def o10_incremental(spark, sf):
+    """The closure after the customers in debt have moved to the next nation: what rested on where they were goes, the rest stays."""
+    q, c = quads(spark, sf), t(spark, sf, "customer").filter("c_acctbal < 0")
+
+    def at(shift: int):
+        nation = F.concat(F.lit(f"{EX}nation/"), (F.col("c_nationkey") + shift) % 25)
+        return project.to_quads(c, "source", F.concat(F.lit(f"{EX}customer/"), "c_custkey"), [project.iri(f"{EX}inNation", nation)])
+
+    return maintain(q, closure(q)[0], at(1), at(0)).filter(F.col("predicate") != TYPE).select("subject", "predicate", "object")
+
+
+@register("O13_sparql_star", f"SELECT concat('{EX}customer/', c_custkey) AS c, c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000")
+def o13_star(spark, sf):
+    """Over stored quads: what the query asks of one customer lies together."""
+    kept = store(quads(spark, sf))
+    return select(kept, f"PREFIX ex: <{EX}> SELECT ?c ?name ?nation WHERE {{ ?c a ex:Customer ; ex:displayName ?name ; ex:balance ?b ; ex:inNation ?n . ?n ex:displayName ?nation . FILTER(?b > 9000) }}", cap=None)
 
 
 @register("O13_sparql_paths", f"SELECT concat('{EX}customer/', c_custkey) AS c, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
@@ -364,4 +407,19 @@ def e6_older(spark, sf):
     return reads.latest_by(t(spark, sf, "orders"), ["o_orderstatus"], [F.desc("o_orderkey")]).select(F.col("o_orderstatus").alias("s"), F.col("o_orderkey").alias("latest"))
 
 
+@register("L3_session_windows", """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, session""")
+def l3_sessions(spark, sf):
+    from semforge.streaming.replay import sessions
+
+    e = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e, "ts", ["user_id"], "6 hours").select("user_id", F.col("session.start").cast("timestamp_ntz").alias("start"), F.col("session.end").cast("timestamp_ntz").alias("end"), "n")
 
+
+@register("L3_sliding_windows", "SELECT event_type, start, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts) + (CASE WHEN hour(ts) < 12 THEN INTERVAL 0 HOUR ELSE INTERVAL 12 HOUR END) - k * INTERVAL 12 HOUR FOR k IN [0, 1]]) AS start FROM events) GROUP BY ALL")
+def l3_sliding(spark, sf):
+    from semforge.streaming.replay import windowed
+
+    e = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed(e, "ts", ["event_type"], "1 day", "12 hours").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")

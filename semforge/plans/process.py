@@ -138,7 +138,7 @@ _LAST = _FOLD + " SELECT subject_key, state, version FROM (SELECT *, row_number(
 
 @register("T1_replay_fold", _LAST)
 def t1_sql(spark, sf):
-    return states.replay_sql(transitions_input(spark, sf))
+    return states.folded_states(states.replay_states(transitions_input(spark, sf))[0]).select("subject_key", "state", "version")
 
 
 @register("T5_current_state", f"SELECT subject_key, state, version FROM ({_LAST}) WHERE version > 0")
@@ -203,6 +203,29 @@ def g1(spark, sf):
     return decisions.decide(*_states_and_risks(spark, sf)).select("subject_key", "risk_fact_id", "risk_score")
 
 
+_RULES = (
+    ("ACT-1", "1", "PENDING", "risk", "purchase", 3, "inspect", "device", True, "enabled"),
+    ("ACT-2", "1", "PENDING", "risk", "view", 5, "repair", "device", True, "enabled"),
+    ("ACT-3", "2", "CLOSED", "risk", "error", 1, "reopen", "order", False, "enabled"),
+    ("ACT-4", "1", "PENDING", "risk", "view", 0, "ignore", "device", True, "disabled"),
+)
+
+
+@register(
+    "G1_rule_table",
+    f"""WITH r(rule_id, rule_version, input_state, risk_fact_type, risk_predicate, least, action_type, target_type, requires_approval, status) AS (VALUES {", ".join(str(x).replace("True", "true").replace("False", "false") for x in _RULES)}),
+    s AS (SELECT o_custkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'PENDING' ELSE 'CLOSED' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1),
+    m AS (SELECT r.*, s.k, s.state, e.event_id, CAST(floor(e.value / 20) AS BIGINT) AS score, row_number() OVER (PARTITION BY r.rule_id, s.k ORDER BY e.ts DESC, e.event_id DESC) AS rn
+      FROM r JOIN s ON s.state = r.input_state JOIN events e ON e.user_id = s.k AND e.event_type = r.risk_predicate AND floor(e.value / 20) >= r.least WHERE r.status = 'enabled')
+    SELECT rule_id, rule_version, k AS subject_key, state, event_id AS risk_fact_id, score AS risk_score, action_type, requires_approval FROM m WHERE rn = 1""",
+)
+def g1_rules(spark, sf):
+    s, r = _states_and_risks(spark, sf)
+    kinds = t(spark, sf, "events").select(F.col("event_id").alias("fact_id"), F.lit("risk").alias("fact_type"), F.col("event_type").alias("predicate"))
+    rules = spark.createDataFrame(_RULES, "rule_id string, rule_version string, input_state string, risk_fact_type string, risk_predicate string, min_risk_score int, action_type string, target_type string, requires_approval boolean, status string")
+    return decisions.decide_by_rules(s, r.join(kinds, "fact_id"), rules).select("rule_id", "rule_version", "subject_key", "state", "risk_fact_id", "risk_score", "action_type", "requires_approval")
+
+
 @register("G2_action_plans", f"SELECT subject_key, CASE WHEN subject_key % 3 = 0 THEN 'APPROVED' ELSE 'PENDING_APPROVAL' END AS status FROM {_DEC}")
 def g2(spark, sf):
     d = decisions.decide(*_states_and_risks(spark, sf))

@@ -1,8 +1,9 @@
 """Closure of quads under an OWL-RL subset, by semi-naive iteration.
 
-Each round joins only the statements that the last one added with all that are known. Schema statements are few: they are closed on
-the driver and joined as small tables, unless there are too many of them. Instance data never leaves the executors. Each round's new
-statements are a table of their own in the shared folder; what is known is the union of these tables and is never written again.
+Each round joins only the statements that the last one added with all that are known. Each round's new statements are a table of their
+own in the shared folder, bucketed by the hash of the statement; what is known is the union of these tables and is never written or moved
+again: only candidates are, to where a statement of their hash would lie. Every inferred statement carries the rule and the premises that
+gave it first.
 """
 
 from __future__ import annotations
@@ -13,24 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semforge.functions.iri import OWL, RDFS, TYPE
-from semforge.storage import cut_lineage
+from semforge.storage import bucketed, cut_lineage
 
-ROUNDS = 32
+ROUNDS = 256
 RULE_SET = "owl-rl-subset-1"
 _KEY = ("subject", "predicate", "object_kind", "object")
 #: Pairs up to this number are closed on the driver, as those of a schema are; more are closed by joins.
 FEW_PAIRS, FEW_PATHS = 20_000, 200_000
 
 
-def _pairs(triples: DataFrame, *predicates: str, both: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b) of schema statements between IRIs; those in ``both`` also the other way round."""
-    rows = triples.filter(F.col("predicate").isin(*predicates, *both) & (F.col("object_kind") == "iri"))
-    out = rows.select(F.col("subject").alias("a"), F.col("object").alias("b"))
-    if both:
-        out = out.union(rows.filter(F.col("predicate").isin(*both)).select("object", "subject"))
-    return out.filter("a <> b").distinct()
-
-
 def _closed_here(rows: list) -> set | None:
     """All paths over the pairs, or None if there are too many of them."""
     steps: dict = {}
@@ -66,91 +58,158 @@ def transitive(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 _SYMMETRIC, _TRANSITIVE = f"{OWL}SymmetricProperty", f"{OWL}TransitiveProperty"
-_SUB_CLASS, _SUB_PROPERTY = (f"{RDFS}subClassOf", f"{OWL}equivalentClass"), (f"{RDFS}subPropertyOf", f"{OWL}equivalentProperty")
-_DOMAIN, _RANGE, _INVERSE = f"{RDFS}domain", f"{RDFS}range", f"{OWL}inverseOf"
-_RULE = "kind string, a string, b string"
+#: Schema predicates: what of them makes a rule of which kind, and which also hold the other way round.
+_KINDS = {f"{RDFS}subClassOf": "class", f"{OWL}equivalentClass": "class", f"{RDFS}subPropertyOf": "property", f"{OWL}equivalentProperty": "property", f"{RDFS}domain": "domain", f"{RDFS}range": "range", f"{OWL}inverseOf": "inverse"}
+_BOTH = (f"{OWL}equivalentClass", f"{OWL}equivalentProperty", f"{OWL}inverseOf")
+_STATEMENT = (*_KEY, "datatype", "language")
+_DERIVED = (*_STATEMENT, "id", "rule", "premises")
+
+
+def statement_id() -> Column:
+    """The hash of a statement, whatever graph it is in."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x00")) for c in _STATEMENT]), 256)
 
 
 def _is_schema() -> Column:
-    return F.col("predicate").isin(*_SUB_CLASS, *_SUB_PROPERTY, _DOMAIN, _RANGE, _INVERSE) | ((F.col("predicate") == TYPE) & F.col("object").isin(_SYMMETRIC, _TRANSITIVE))
+    return (F.col("predicate").isin(*_KINDS) | ((F.col("predicate") == TYPE) & F.col("object").isin(_SYMMETRIC, _TRANSITIVE))) & (F.col("object_kind") == "iri")
 
 
 def _rules(known: DataFrame) -> DataFrame:
-    """(kind, a, b) of all that the schema says: of class a also b, of property a also b, and so on."""
-    few = known.filter(_is_schema() & (F.col("object_kind") == "iri")).select("subject", "predicate", "object").limit(FEW_PAIRS + 1).collect()
-    if len(few) <= FEW_PAIRS:
-        def pairs(one: tuple[str, ...], both: tuple[str, ...] = ()) -> list:
-            out = {(r.subject, r.object) for r in few if r.predicate in (*one, *both)} | {(r.object, r.subject) for r in few if r.predicate in both}
-            return [(a, b) for a, b in out if a != b]
-
-        classes, properties = _closed_here(pairs(_SUB_CLASS[:1], _SUB_CLASS[1:])), _closed_here(pairs(_SUB_PROPERTY[:1], _SUB_PROPERTY[1:]))
-        if classes is not None and properties is not None:
-            rows = [("class", a, b) for a, b in classes] + [("property", a, b) for a, b in properties] + [("inverse", a, b) for a, b in pairs((), (_INVERSE,))]
-            rows += [(kind, r.subject, r.object) for r in few for kind, p in (("domain", _DOMAIN), ("range", _RANGE)) if r.predicate == p and r.subject != r.object]
-            rows += [(kind, r.subject, None) for r in few for kind, o in (("symmetric", _SYMMETRIC), ("transitive", _TRANSITIVE)) if r.predicate == TYPE and r.object == o]
-            return known.sparkSession.createDataFrame(sorted(set(rows), key=str), _RULE)
-    marks = known.filter((F.col("predicate") == TYPE) & F.col("object").isin(_SYMMETRIC, _TRANSITIVE)).select(F.when(F.col("object") == _SYMMETRIC, "symmetric").otherwise("transitive").alias("kind"), F.col("subject").alias("a"), F.lit(None).cast("string").alias("b")).distinct()
-    found = {"class": transitive(_pairs(known, _SUB_CLASS[0], both=_SUB_CLASS[1:])), "property": transitive(_pairs(known, _SUB_PROPERTY[0], both=_SUB_PROPERTY[1:])), "domain": _pairs(known, _DOMAIN), "range": _pairs(known, _RANGE), "inverse": _pairs(known, both=(_INVERSE,))}
-    return cut_lineage(reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), "a", "b") for kind, df in found.items()], marks), "rules")
+    """(kind, a, b, axiom) of what the schema says: of class a also b, of property a also b, and so on, by the statement ``axiom``."""
+    rows = known.filter(_is_schema())
+    kind = F.coalesce(*[F.when(F.col("predicate") == p, k) for p, k in _KINDS.items()], F.when(F.col("object") == _SYMMETRIC, "symmetric").otherwise("transitive"))
+    marks = F.col("predicate") == TYPE
+    forth = F.struct(F.col("subject").alias("a"), F.when(~marks, F.col("object")).alias("b"))
+    back = F.when(F.col("predicate").isin(*_BOTH), F.struct(F.col("object").alias("a"), F.col("subject").alias("b")))
+    rows = rows.select(kind.alias("kind"), F.inline(F.filter(F.array(forth, back), lambda x: x.isNotNull())), F.col("id").alias("axiom"))
+    # Of several statements that make one rule, the least stands for it.
+    return rows.filter(F.col("b").isNull() | (F.col("a") != F.col("b"))).groupBy("kind", "a", "b").agg(F.min("axiom").alias("axiom"))
+
+
+def _consequences(delta: DataFrame, every: DataFrame, rules: DataFrame) -> DataFrame:
+    """What one rule makes of a statement of ``delta``, and of another of ``every`` where a rule takes two: each statement once.
+
+    ``rule`` and ``premises`` (statement ids: the data, then the axiom) are those of the least derivation. Classes are also taken from what
+    a rule about a predicate has just said; such chained derivations come after direct ones, so that none rests on itself.
+    """
+    s, p, o, a, b, kind = (F.col(x) for x in ("subject", "predicate", "object", "a", "b", "kind"))
+    is_iri, none = F.col("object_kind") == "iri", F.lit(None).cast("string")
+
+    def derived(df: DataFrame, rule: Column, premises: Column, chained: int, **columns: Column) -> DataFrame:
+        made = df.select(*[columns[c].alias(c) for c in _STATEMENT], rule.alias("rule"), premises.alias("premises"), F.lit(chained).alias("chained"))
+        return made.select(*_STATEMENT, statement_id().alias("id"), "rule", "premises", "chained")
+
+    # One pass over what is new for the rules about its predicate, and one for those about its class.
+    hits = delta.join(rules.filter(kind.isin("property", "domain", "range", "inverse", "symmetric")), p == a).filter(kind.isin("property", "domain") | is_iri)
+    by_predicate = derived(
+        hits, kind, F.array("id", "axiom"), 0,
+        subject=F.when(kind.isin("range", "inverse", "symmetric"), o).otherwise(s),
+        predicate=F.when(kind.isin("property", "inverse"), b).when(kind == "symmetric", p).otherwise(F.lit(TYPE)),
+        object_kind=F.when(kind == "property", F.col("object_kind")).otherwise(F.lit("iri")),
+        object=F.when(kind == "property", o).when(kind.isin("inverse", "symmetric"), s).otherwise(b),
+        datatype=F.when(kind == "property", F.col("datatype")),
+        language=F.when(kind == "property", F.col("language")),
+    )
+    classes, is_type = rules.filter(kind == "class"), (p == TYPE) & is_iri
+    parts = [by_predicate]
+    for chained, rows in ((0, delta), (1, by_predicate)):
+        typed = rows.filter(is_type).select("subject", "object", "id").join(classes, o == a)
+        parts.append(derived(typed, F.lit("class"), F.array("id", "axiom"), chained, subject=s, predicate=F.lit(TYPE), object_kind=F.lit("iri"), object=b, datatype=none, language=none))
+    chains = rules.filter(kind == "transitive").select(a.alias("predicate"), "axiom")
+    for first, second in ((delta, every), (every, delta)):
+        left = first.filter(is_iri).join(chains, "predicate").select(s.alias("s"), p.alias("p"), o.alias("m"), F.col("id").alias("one"), "axiom")
+        right = second.filter(is_iri).join(chains.select("predicate"), "predicate", "left_semi").select(s.alias("m"), p.alias("p"), o.alias("o"), F.col("id").alias("two"))
+        parts.append(derived(left.join(right, ["m", "p"]), F.lit("transitive"), F.array("one", "two", "axiom"), 0, subject=F.col("s"), predicate=F.col("p"), object_kind=F.lit("iri"), object=F.col("o"), datatype=none, language=none))
+    least = F.min(F.struct("chained", "rule", "premises", *_STATEMENT)).alias("x")
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(least).select(*[F.col(f"x.{c}").alias(c) for c in _STATEMENT], "id", F.col("x.rule").alias("rule"), F.col("x.premises").alias("premises"))
+
+
+def _unknown(candidates: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Candidates whose ids no table has. Each table is asked alone: it lies in buckets of its ids and isn't moved."""
+    return reduce(lambda rows, t: rows.join(t.select("id"), "id", "left_anti"), tables, candidates)
+
+
+def _settle(tables: list[DataFrame], delta: DataFrame, first: int, max_iter: int) -> tuple[list[DataFrame], int]:
+    """Rounds until nothing is added: each one's new statements with their iteration, and the number of the last round."""
+    found, tables, rules = [], list(tables), None
+    for rounds in range(first, max_iter + 1):
+        every = reduce(DataFrame.unionByName, [t.select(*_STATEMENT, "id") for t in tables])
+        if rules is None:
+            rules = cut_lineage(_rules(every), "rules")
+        new = bucketed(_unknown(_consequences(delta.select(*_STATEMENT, "id"), every, rules), tables).withColumn("iteration", F.lit(rounds)), "id")
+        count, schema = new.agg(F.count("*"), F.count_if(_is_schema())).first()
+        if not count:
+            return found, rounds
+        found.append(new)
+        tables.append(new)
+        delta = new
+        if schema:
+            # New schema statements concern old data too, so the next round looks at everything.
+            rules, delta = None, reduce(DataFrame.unionByName, [t.select(*_STATEMENT, "id") for t in tables])
+    raise RuntimeError(f"no fixed point in {max_iter} rounds")
+
+
+def _as_inferred(found: list[DataFrame], empty: DataFrame) -> DataFrame:
+    if not found:
+        return empty.limit(0).select(*_STATEMENT, F.lit(0).alias("iteration"), F.lit(RULE_SET).alias("rule_set"), F.lit("").alias("rule"), F.array(F.lit("")).alias("support"))
+    rows = reduce(DataFrame.unionByName, [x.select(*_DERIVED, "iteration") for x in found])
+    return rows.select(*_STATEMENT, "iteration", F.lit(RULE_SET).alias("rule_set"), "rule", F.col("premises").alias("support"))
 
 
 def closure(quads: DataFrame, max_iter: int = ROUNDS) -> tuple[DataFrame, int]:
-    """(inferred, rounds): inferred statements with rule_set, iteration and support, none of which was given.
+    """(inferred, rounds): inferred statements with iteration, rule_set, rule and support, none of which was given.
 
-    Rules: subclass and subproperty closure, equivalence both ways, type propagation, domain, range of IRI objects, inverse both ways,
-    symmetric and transitive properties. ``rounds`` counts the last one, that adds nothing. Statements that haven't settled in
+    Rules: subclass and subproperty, equivalence both ways, type propagation, domain, range of IRI objects, inverse both ways, symmetric
+    and transitive properties. ``rule`` is the one that gave the statement first, ``support`` the ids of its premises (``statement_id``):
+    one or two statements, then the axiom. ``rounds`` counts the last one, that adds nothing. Statements that haven't settled in
     ``max_iter`` rounds are an error, never a closure that is cut.
     """
-    base = cut_lineage(quads.select(*_KEY, "datatype", "language").distinct())
-    known, delta = [base], base
-    found: list[DataFrame] = []
-    none = F.lit(None).cast("string")
-
-    def edge(df: DataFrame, s, p, o) -> DataFrame:
-        return df.select(s.alias("subject"), p.alias("predicate"), F.lit("iri").alias("object_kind"), o.alias("object"), none.alias("datatype"), none.alias("language"))
-
-    rules, fresh_schema = None, True
-    for rounds in range(1, max_iter + 1):
-        every = reduce(DataFrame.unionByName, known)
-        if fresh_schema:
-            # New schema statements concern old data too, so that round looks at everything.
-            rules = _rules(every)
-            delta = every
-        s, p, o, a, b, kind = (F.col(x) for x in ("subject", "predicate", "object", "a", "b", "kind"))
-        is_iri = F.col("object_kind") == "iri"
-        # One pass over what is new for the rules about its predicate, and one for those about its class.
-        by_predicate = delta.join(rules.filter(kind.isin("property", "domain", "range", "inverse", "symmetric")), p == a)
-        by_predicate = by_predicate.filter(kind.isin("property", "domain") | is_iri).select(
-            F.when(kind.isin("range", "inverse", "symmetric"), o).otherwise(s).alias("subject"),
-            F.when(kind.isin("property", "inverse"), b).when(kind == "symmetric", p).otherwise(F.lit(TYPE)).alias("predicate"),
-            F.when(kind == "property", F.col("object_kind")).otherwise(F.lit("iri")).alias("object_kind"),
-            F.when(kind == "property", o).when(kind.isin("inverse", "symmetric"), s).otherwise(b).alias("object"),
-            F.when(kind == "property", F.col("datatype")).alias("datatype"),
-            F.when(kind == "property", F.col("language")).alias("language"),
-        )
-        by_class = edge(delta.filter((p == TYPE) & is_iri).join(rules.filter("kind = 'class'"), o == a), s, F.lit(TYPE), b)
-        chains = rules.filter("kind = 'transitive'")
-        steps, others = (x.filter(is_iri).join(chains, p == a, "left_semi") for x in (delta, every))
-        parts = [by_predicate, by_class]
-        for first, second in ((steps, others), (others, steps)):
-            left = first.select(s.alias("s"), p.alias("p"), o.alias("m"))
-            right = second.select(s.alias("m"), p.alias("p"), o.alias("o"))
-            parts.append(edge(left.join(right, ["m", "p"]), F.col("s"), F.col("p"), F.col("o")))
-        candidates = reduce(DataFrame.unionByName, parts).distinct()
-        on = [F.col(f"c.{k}").eqNullSafe(F.col(f"k.{k}")) for k in (*_KEY, "datatype", "language")]
-        new = cut_lineage(candidates.alias("c").join(every.alias("k"), reduce(lambda x, y: x & y, on), "left_anti"))
-        count, schema = new.agg(F.count("*"), F.count_if(_is_schema())).first()
-        if not count:
+    base = _given(quads)
+    found, rounds = _settle([base], base, 1, max_iter)
+    return _as_inferred(found, base), rounds
+
+
+def _given(quads: DataFrame) -> DataFrame:
+    return bucketed(quads.select(*_STATEMENT).distinct().select(*_STATEMENT, statement_id().alias("id")), "id")
+
+
+def maintain(quads: DataFrame, inferred: DataFrame, added: DataFrame, withdrawn: DataFrame, max_iter: int = ROUNDS) -> DataFrame:
+    """The closure after some statements came and others went, from the one before: delete and rederive.
+
+    ``quads`` and ``inferred`` are as they were, ``added`` and ``withdrawn`` quads; what is in both stays or comes. All that rests on a
+    withdrawn statement goes first; what has another derivation left comes back in one pass over what is left, and only from there and
+    from what was added do rounds go on. A change of the schema concerns all data and is computed anew. Iterations of statements that come
+    back are counted on from those before.
+    """
+    before, gone, come = _given(quads), _given(withdrawn), _given(added)
+    gone = gone.join(come.select("id"), "id", "left_anti").join(before.select("id"), "id", "left_semi")
+    now = bucketed(before.join(gone.select("id"), "id", "left_anti").unionByName(come.join(before.select("id"), "id", "left_anti")), "id")
+    changed = gone.unionByName(come).agg(F.count_if(_is_schema())).first()[0]
+    if changed:
+        return closure(now, max_iter)[0]
+    old = bucketed(inferred.select(*_STATEMENT, statement_id().alias("id"), "rule", F.col("support").alias("premises"), "iteration"), "id")
+    every = before.unionByName(old.select(*before.columns))
+    rules = cut_lineage(_rules(every), "rules")
+    lost, delta = [bucketed(gone, "id")], gone
+    for _ in range(max_iter):
+        reached = _consequences(delta, every, rules).select(*_STATEMENT, "id").join(old.select("id"), "id", "left_semi")
+        delta = bucketed(_unknown(reached, lost), "id")
+        if not delta.limit(1).count():
             break
-        found.append(new.withColumn("iteration", F.lit(rounds)))
-        fresh_schema = schema > 0
-        known.append(new)
-        delta = new
+        lost.append(delta)
     else:
         raise RuntimeError(f"no fixed point in {max_iter} rounds")
-    if not found:
-        return base.limit(0).withColumns({"iteration": F.lit(0), "rule_set": F.lit(RULE_SET), "support": F.array("predicate")}), rounds
-    return reduce(DataFrame.unionByName, found).withColumns({"rule_set": F.lit(RULE_SET), "support": F.array("predicate")}), rounds
+    doubtful = reduce(DataFrame.unionByName, [x.select("id") for x in lost])
+    schema_lost = reduce(DataFrame.unionByName, [x.select(*_STATEMENT) for x in lost]).agg(F.count_if(_is_schema())).first()[0]
+    if schema_lost:
+        return closure(now, max_iter)[0]
+    kept = bucketed(old.join(doubtful, "id", "left_anti").join(now.select("id"), "id", "left_anti"), "id")
+    tables = [now, kept]
+    left = now.unionByName(kept.select(*now.columns))
+    last = old.agg(F.coalesce(F.max("iteration"), F.lit(0))).first()[0] + 1
+    back = bucketed(_unknown(_consequences(left, left, rules).join(doubtful, "id", "left_semi"), tables).withColumn("iteration", F.lit(last)), "id")
+    found, _ = _settle([*tables, back], back.select(*now.columns).unionByName(come), last + 1, last + max_iter)
+    return _as_inferred([kept, back, *found], now)
 
 
 def with_inferred(quads: DataFrame, inferred: DataFrame, graph: str = "inferred") -> DataFrame:

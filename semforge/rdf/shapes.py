@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from semforge.functions.iri import RDF, RDFS, SH, TYPE
 from semforge.rdf.turtle import parse
+from semforge.storage import cut_lineage
 
 
 @dataclass
@@ -72,8 +73,8 @@ def validate_shapes(quads: DataFrame, shapes: list[Shape]) -> DataFrame:
     """(focus, path, code, severity, message) of each violation.
 
     Focus nodes are those with the target class as a type that is given; only ``class`` looks at superclasses. Values of ``in`` compare
-    by text. All shapes are judged together: the focus nodes' statements are joined once, each value is held against its properties as
-    its row passes, and one aggregate counts the values of all properties.
+    by text. All shapes are judged together: the focus nodes' statements are joined once and kept, each value is held against its
+    properties as its row passes, and one aggregate counts the values of all properties.
     """
     schema = "focus string, path string, code string, severity string, message string"
     if not shapes:
@@ -92,6 +93,8 @@ def validate_shapes(quads: DataFrame, shapes: list[Shape]) -> DataFrame:
         # A node's classes, of those that any shape asks for.
         classes = types.join(kinds, F.col("type") == F.col("a")).groupBy(F.col("subject").alias("node")).agg(F.collect_set("b").alias("classes"))
         values = values.join(classes, F.col("object") == F.col("node"), "left")
+    # Three branches read them.
+    values = cut_lineage(values, "values")
 
     def fault(when, path, code: str, p: Property | Shape):
         return F.when(when, F.struct(path.alias("path"), F.lit(code).alias("code"), F.lit(p.severity).alias("severity"), F.lit(p.message).alias("message")))

@@ -83,7 +83,8 @@ def write_manifest(path: str, rows: int, **more: object) -> dict:
 
 
 def row_digest(columns: Sequence[str]) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    """The hash of a row as a JSON object: names count, nulls are not empty texts, and no value can run into the next."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
 
 
 def snapshot(df: DataFrame, site: str, key: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Algebra to DataFrames. A variable is a column of structs (kind, value, datatype, language); null is unbound.
 
 Variables that are bound on both sides join by equality, so Spark may use any of its joins; only those that may be unbound need the
-looser test. Triple patterns of a group join in the order of how selective they look, and connected ones first.
+looser test. Triple patterns of a group about one subject are a star and join by the subject's plain text, which over a ``Store`` needs no
+exchange. Stars and patterns join in the order of their rows, counted where the quads are a ``Store`` and else guessed from what they fix,
+connected ones first.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semforge.functions.iri import XSD
+from semforge.rdf.store import Store
 from semforge.sparql.parser import AGGREGATES, Group, Path, Pattern, Query, SparqlError, Term, Var, parse
 
 CAP = 500
@@ -42,9 +45,10 @@ def _col(name: str) -> Column:
 
 
 class Planner:
-    def __init__(self, quads: DataFrame) -> None:
-        self.spark = quads.sparkSession
-        self.quads = quads
+    def __init__(self, quads: DataFrame | Store) -> None:
+        self.store = quads if isinstance(quads, Store) else None
+        self.quads = self.store.quads if self.store else quads
+        self.spark = self.quads.sparkSession
         self.fresh = 0
 
     # Patterns
@@ -67,19 +71,8 @@ class Planner:
                 if isinstance(node, Term):
                     rows = rows.filter(column == _constant(node))
         else:
-            # Only what the pattern fixes is filtered, so that it reaches the scan.
-            rows = self.quads if graph is None or isinstance(graph, Var) else self.quads.filter(F.col("graph") == graph.value)
-            if isinstance(p.subject, Term):
-                rows = rows.filter(F.col("subject") == p.subject.value)
-            if isinstance(p.predicate, Term):
-                rows = rows.filter(F.col("predicate") == p.predicate.value)
-            if isinstance(p.object, Term):
-                rows = rows.filter((F.col("object_kind") == p.object.kind) & (F.col("object") == p.object.value))
-                if p.object.kind == "literal":
-                    rows = rows.filter(F.col("datatype").eqNullSafe(F.lit(p.object.datatype)) if p.object.language is None else F.col("language") == p.object.language)
-            if graph is None:
-                rows = rows.select("subject", "predicate", "object_kind", "object", "datatype", "language").distinct()
-            parts = [(p.subject, _term("iri", F.col("subject"))), (p.predicate, _term("iri", F.col("predicate"))), (p.object, _term(F.col("object_kind"), F.col("object"), F.col("datatype"), F.col("language")))]
+            rows = self.matches(p, graph)
+            parts = [(p.subject, _term("iri", F.col("subject"))), (p.predicate, _term("iri", F.col("predicate"))), (p.object, self.object())]
         if isinstance(graph, Var):
             parts.append((graph, _term("iri", F.col("graph"))))
         named: dict[str, Column] = {}
@@ -92,6 +85,25 @@ class Planner:
         out = rows.select(*[c.alias(f"?{n}") for n, c in named.items()]) if named else rows.select(F.lit(1).alias("_one"))
         return _Solutions(out, set(named), set(named))
 
+    @staticmethod
+    def object() -> Column:
+        return _term(F.col("object_kind"), F.col("object"), F.col("datatype"), F.col("language"))
+
+    def matches(self, p: Pattern, graph: Var | Term | None) -> DataFrame:
+        """Statements that a pattern fits; only what it fixes is filtered, so that it reaches the scan."""
+        rows = self.quads if graph is None or isinstance(graph, Var) else self.quads.filter(F.col("graph") == graph.value)
+        if isinstance(p.subject, Term):
+            rows = rows.filter(F.col("subject") == p.subject.value)
+        if isinstance(p.predicate, Term):
+            rows = rows.filter(F.col("predicate") == p.predicate.value)
+        if isinstance(p.object, Term):
+            rows = rows.filter((F.col("object_kind") == p.object.kind) & (F.col("object") == p.object.value))
+            if p.object.kind == "literal":
+                rows = rows.filter(F.col("datatype").eqNullSafe(F.lit(p.object.datatype)) if p.object.language is None else F.col("language") == p.object.language)
+        if graph is None:
+            rows = rows.select("subject", "predicate", "object_kind", "object", "datatype", "language").distinct()
+        return rows
+
     def path(self, p: Term | Path, graph: Var | Term | None) -> DataFrame:
         """(s, o) pairs of terms."""
         t = self.triples(graph if not isinstance(graph, Var) else None)
@@ -168,8 +180,8 @@ class Planner:
                 while k < len(elements) and elements[k][0] == "triple":
                     block.append(elements[k][1])
                     k += 1
-                for p in self.ordered(block, set() if now is None else now.names):
-                    add(self.pattern(p, graph))
+                for star in self.ordered(block, set() if now is None else now.names):
+                    add(self.star(star, graph))
                 continue
             e = elements[k]
             k += 1
@@ -228,24 +240,49 @@ class Planner:
         missing = rest.df.select(*[(_col(n) if n in left.names else F.lit(None).cast(_TERM)).alias(f"?{n}") for n in sorted(names)])
         return _Solutions(both.df.select(*[_col(n).alias(f"?{n}") for n in sorted(names)]).unionByName(missing), names, set(left.sure))
 
-    def ordered(self, patterns: list[Pattern], bound: set[str]) -> list[Pattern]:
-        """The most selective pattern first, then always one that is connected to what is bound."""
+    def ordered(self, patterns: list[Pattern], bound: set[str]) -> list[list[Pattern]]:
+        """Stars, the cheapest first, then always one that is connected to what is bound; within a star, the cheapest pattern first."""
 
-        def variables(p: Pattern) -> set[str]:
-            return {x.name for x in (p.subject, p.predicate, p.object) if isinstance(x, Var)}
-
-        def weight(p: Pattern) -> int:
-            return 4 * isinstance(p.subject, Var) + 2 * isinstance(p.object, Var) + 3 * isinstance(p.predicate, Var) + isinstance(p.predicate, Path)
+        def variables(ps: list[Pattern]) -> set[str]:
+            return {x.name for p in ps for x in (p.subject, p.predicate, p.object) if isinstance(x, Var)}
 
-        left, out, names = list(patterns), [], set(bound)
+        stars: dict[object, list[Pattern]] = {}
+        for i, p in enumerate(patterns):
+            plain = isinstance(p.subject, Var) and isinstance(p.predicate, Term)
+            stars.setdefault(p.subject.name if plain else i, []).append(p)
+        left, out, names = [sorted(x, key=self.cost) for x in stars.values()], [], set(bound)
         while left:
-            near = [p for p in left if variables(p) & names] or left
-            best = min(near, key=lambda p: (weight(p), left.index(p)))
+            near = [x for x in left if variables(x) & names] or left
+            best = min(near, key=lambda x: self.cost(x[0]))
             left.remove(best)
             out.append(best)
             names |= variables(best)
         return out
 
+    def cost(self, p: Pattern) -> float:
+        """Rows of a pattern: as counted, a fixed subject or object leaving one in a thousand; or by what is fixed."""
+        if self.store is None:
+            return 4 * isinstance(p.subject, Var) + 2 * isinstance(p.object, Var) + 3 * isinstance(p.predicate, Var) + isinstance(p.predicate, Path)
+        rows = self.store.rows(p.predicate.value if isinstance(p.predicate, Term) else None)
+        return rows / 1000 ** (isinstance(p.subject, Term) + isinstance(p.object, Term)) * (10 if isinstance(p.predicate, Path) else 1)
+
+    def star(self, patterns: list[Pattern], graph: Var | Term | None) -> _Solutions:
+        """Patterns about one subject, joined by its text."""
+        if len(patterns) == 1 or isinstance(graph, Var):
+            return reduce(self.join, [self.pattern(p, graph) for p in patterns])
+        parts = [self.matches(p, graph) for p in patterns]
+        rows, named = parts[0].select("subject", self.object().alias("_o0")), {patterns[0].subject.name: _term("iri", F.col("subject"))}
+        for i, part in enumerate(parts[1:], 1):
+            rows = rows.join(part.select("subject", self.object().alias(f"_o{i}")), "subject")
+        for i, p in enumerate(patterns):
+            if isinstance(p.object, Var):
+                column = F.col(f"_o{i}")
+                if p.object.name in named:
+                    rows = rows.filter(named[p.object.name] == column)
+                else:
+                    named[p.object.name] = column
+        return _Solutions(rows.select(*[c.alias(f"?{n}") for n, c in named.items()]), set(named), set(named))
+
     # Expressions
 
     def value(self, e: tuple, names: set[str]) -> Column:
@@ -447,7 +484,7 @@ def _compare(mark: str, a: Column, b: Column) -> Column:
     return F.when(numbers, op(x, y)).when(F.coalesce(times, F.lit(False)), op(F.try_to_timestamp(a["value"]), F.try_to_timestamp(b["value"]))).when(literal, op(a["value"], b["value"]))
 
 
-def select(quads: DataFrame, text: str, cap: int | None = CAP, typed: bool = False) -> DataFrame:
+def select(quads: DataFrame | Store, text: str, cap: int | None = CAP, typed: bool = False) -> DataFrame:
     """Solutions of a SELECT, ``cap`` at most: values as text, or as term structs where ``typed``."""
     q = parse(text)
     if q.form != "select":
@@ -458,7 +495,7 @@ def select(quads: DataFrame, text: str, cap: int | None = CAP, typed: bool = Fal
     return df if cap is None else df.limit(cap)
 
 
-def ask(quads: DataFrame, text: str) -> bool:
+def ask(quads: DataFrame | Store, text: str) -> bool:
     q = parse(text)
     if q.form != "ask":
         raise SparqlError("not an ASK")

@@ -33,3 +33,13 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """The rows of ``df`` as a table in buckets of ``key``, sorted in each: joins and groups by it move only the other side."""
+    spark = df.sparkSession
+    number = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"semforge_{uuid.uuid4().hex}"
+    # Dealt by the buckets' own hash, so that each bucket is one file.
+    df.repartition(number, key).write.bucketBy(number, key).sortBy(key).option("path", new_folder(spark, "buckets")).saveAsTable(name)
+    return spark.table(name)

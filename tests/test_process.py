@@ -1,7 +1,9 @@
 """Facts, states, decisions and identity on the fixture tables of FIXTURES.md."""
 
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,7 +37,50 @@ def test_state_replay(replayed):
     assert rows["SNAP"].reason == "approved_snapshot_seed" and rows["NOTIME"].reason == "missing_effective_at" and rows["BADSTATE"].reason == "invalid_transition"
     assert {r.subject_key: (r.state, r.version) for r in current.collect()} == {"D1": ("CLOSED", 5), "S1": ("CLOSED", 1)}
     assert states.run_status(moves) == "needs_review"
-    assert {r.subject_key: r.state for r in states.replay_sql(replayed).collect() if r.version} == {"D1": "CLOSED", "S1": "CLOSED"}
+    assert {r.subject_key: (r.state, r.version) for r in states.folded_states(moves).collect()} == {"D1": ("CLOSED", 5), "S1": ("CLOSED", 1), "X1": (None, 0)}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_parallel_fold_is_the_sequential_one(spark, strict):
+    """One subject with most of the facts, ties of time, unknown times and states: the scan over many tasks and the fold agree on every row."""
+    rng = random.Random(5)
+    kinds = [*states.EVENT_TYPES.values(), "other", None]
+    rows = []
+    for i in range(3000):
+        to = rng.choice([*states.STATES[:6], "NOWHERE", None])
+        fitting = [r for r in states.TRANSITIONS if r[2] == to]
+        event = rng.choice(fitting)[1] if fitting and rng.random() < 0.8 else rng.choice(kinds)
+        at = None if rng.random() < 0.05 else T("2024-01-01") + dt.timedelta(hours=rng.randrange(200))
+        rows.append((rng.choice(["hot"] * 8 + ["a", "b", "c", None]), f"f{i}", to, event, rng.random() < 0.3, at, None if rng.random() < 0.05 else T("2024-01-01") + dt.timedelta(hours=rng.randrange(300)), f"s{i % 7}", *[rng.random() < 0.7 for _ in states.GUARDS]))
+    df = spark.createDataFrame(rows, STATE + "".join(f", {g} boolean" for g in states.GUARDS))
+    order = lambda r: (r[0] is not None, r[0] or "", r[5] is None, r[5] or T("1970-01-01"), r[6] is None, r[6] or T("1970-01-01"), r[7], r[1])
+    in_order = pd.DataFrame(sorted(rows, key=order), columns=df.columns)
+    want = pd.concat(states._fold(states.TRANSITIONS, states.STATES, strict)(iter([in_order])))
+    flags = {r.fact_id: r.late for r in states.late_flags(df, ["subject_key"]).collect()}
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        moves = states.replay_states(df, strict_guards=strict)[0].collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    got = {r.fact_id: (r.from_state, r.transition_type, r.status, r.reason) for r in moves}
+    none = lambda x: None if pd.isna(x) else x
+    assert got == {r.fact_id: (none(r.from_state), r.transition_type, r.status, r.reason) for r in want.itertuples()}
+    assert {r.fact_id: r.late for r in moves} == flags and sum(flags.values()) > 100
+
+
+def test_hot_subject_is_dealt_over_tasks(spark, tmp_path):
+    """The facts of one subject are folded by all tasks, and hardly any row comes to the driver."""
+    facts = spark.range(40_000).selectExpr("'one' AS subject_key", "CAST(id AS string) AS fact_id", "element_at(array('NEW', 'PENDING', 'PROCESSING', 'RESOLVED', 'CLOSED'), CAST(id % 5 + 1 AS int)) AS to_state",
+        "element_at(array('DefectCreatedEvent', 'DefectAcceptedEvent', 'DefectProcessingEvent', 'ResolutionEvent', 'DefectAcceptanceEvent'), CAST(id % 5 + 1 AS int)) AS event_type", "false AS mapped", "timestamp_seconds(id) AS effective_at", "timestamp_seconds(id) AS recorded_at", "'r' AS source_row_id")
+    seen, carried = [], states._carried
+    try:
+        states._carried = lambda parts, identity: seen.append(parts) or carried(parts, identity)
+        moves, current = states.replay_states(facts)
+    finally:
+        states._carried = carried
+    assert len(seen[0]) == int(spark.conf.get("spark.sql.shuffle.partitions")) and {p["first_subject"] for p in seen[0]} == {"one"}
+    assert moves.filter("status = 'accepted'").count() == 40_000 and current.first().version == 40_000
 
 
 def test_scope_and_guards(replayed):
@@ -88,6 +133,16 @@ def test_decisions_and_sticky_plans(spark):
     assert decisions.unbound(d, plans).count() == 0
 
 
+def test_rule_table(spark):
+    s = spark.createDataFrame([("V", "PENDING"), ("W", "CLOSED"), (None, "PENDING")], "subject_key string, state string")
+    r = spark.createDataFrame([("V", "f1", "risk", "p", 5, T("2024-01-01")), ("V", "f2", "risk", "p", 3, T("2024-01-02")), ("V", "f3", "risk", "q", 9, T("2024-01-03")), ("V", "f4", "risk", "p", None, T("2024-01-04")), ("W", "f5", "risk", "p", 9, T("2024-01-01")), (None, "f6", "risk", "p", 9, T("2024-01-01"))], "subject_key string, fact_id string, fact_type string, predicate string, risk_score int, created_at timestamp")
+    rules = spark.createDataFrame([("R1", "v1", "PENDING", "risk", "p", 3, "check", "d", True, "enabled"), ("R2", "v2", "PENDING", "risk", "p", 5, "fix", "d", True, "enabled"), ("R3", "v3", "CLOSED", "risk", "q", 1, "x", "d", True, "enabled"), ("R4", "v4", "CLOSED", "risk", "p", 1, "x", "d", True, "disabled")], "rule_id string, rule_version string, input_state string, risk_fact_type string, risk_predicate string, min_risk_score int, action_type string, target_type string, requires_approval boolean, status string")
+    out = decisions.decide_by_rules(s, r, rules).collect()
+    assert {(x.rule_id, x.subject_key, x.risk_fact_id, x.risk_score, x.action_type) for x in out} == {("R1", "V", "f2", 3, "check"), ("R2", "V", "f1", 5, "fix")}
+    assert len({x.decision_id for x in out}) == 2 and decisions.plan_actions(decisions.decide_by_rules(s, r, rules)).count() == 2
+    assert decisions.decide_by_rules(s, r, rules.limit(0)).count() == 0
+
+
 def test_identity_cascade(spark):
     d = spark.createDataFrame([("d1", "S", "1", "L1", "Main Pump"), ("d2", "S", "2", "L2", "Fan"), ("d3", "S", "3", "L2", "Valve"), ("d4", "S", "3", "L4", "Fan")], "device_id string, site string, asset string, location string, text string")
     r = spark.createDataFrame([(1, "S", "1", None, None), (2, "S", "9", "L1", None), (3, "S", None, "L1", "main-pump"), (4, "S", None, "L1", "other"), (5, "S", None, None, "Valve"), (6, "S", " ", "L2", "Fan"), (7, None, "1", None, None), (8, "S", "3", None, None)], "record_id int, site string, asset string, location string, text string")

@@ -90,3 +90,23 @@ def test_recompute_scope(spark):
     new = spark.createDataFrame([("a", 2), ("b", 2)], "subject_key string, v int")
     assert {tuple(r) for r in states.recompute_scope(old, new, ["b"]).collect()} == {("a", 1), (None, 1), ("b", 2)}
     assert {tuple(r) for r in states.recompute_scope(old, new.limit(0), ["b"]).collect()} == {("a", 1), (None, 1)}
+
+
+def test_indexed_search(spark):
+    """The index finds what the scan finds, reads only the buckets of the term's trigrams, and short terms scan."""
+    rows = [(1, "Large BOLT 50%", "x"), (2, None, "bolts_"), (3, "bol", "olt"), (3, "thunderbolt", None), (None, "Bolt", ""), (5, "ÄÖÜ pump", "50% b")]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    index = reads.search_index(df, ["k"], ["a", "b"])
+    for term in ("bolt", "BOLT", "lt", "", None, "50%", "s_", "äöü", "bolt 5", "absent"):
+        found = reads.indexed_search(df, index, ["k"], term, ["a", "b"])
+        assert sorted(map(str, found.collect())) == sorted(map(str, reads.search(df, term, ["a", "b"]).collect())), term
+    plan = reads.indexed_search(df, index, ["k"], "bolt", ["a", "b"])._jdf.queryExecution().toString()
+    assert "SelectedBucketsCount: 2 out of 4" in plan or "SelectedBucketsCount: 1 out of 4" in plan
+
+
+def test_row_digests_tell_rows_apart(spark):
+    def digest(names, *values):
+        return snapshots.digest_of(spark.createDataFrame([values], ", ".join(f"{n} string" for n in names))).first()["digest"]
+
+    different = [digest("xy", "a|b", "c"), digest("xy", "a", "b|c"), digest("xy", None, "c"), digest("xy", "", "c"), digest("xz", "a|b", "c"), digest("xy", "c", None), digest("xy", 'a","y":"b', "c")]
+    assert len(set(different)) == len(different) and digest("xy", "a", None) == digest("xy", "a", None)
