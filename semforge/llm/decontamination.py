@@ -7,7 +7,12 @@ between its edits. Each walk has a table of its own. A collision stands for a wi
 if the two agree around it on as many trigrams as the similarity asks for, and then verified by the exact edit distance between the
 item and the best matching stretch of the window, for many at once.
 
-Items of fewer than five words have too little text for an edit distance to mean anything; they are found as exact sequences of words.
+Items of fewer than five words start few walks. Those of 24 bytes and more take more and shorter walks; shorter ones have too little text
+for an edit distance to mean anything. All of them are also found as exact sequences of words, where each character of a script without
+blanks is a word of its own.
+
+Where the benchmark has many blocks, a task gathers documents and takes block after block over them, so that tables are built once for all
+documents of a task's share, not for each chunk.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semforge.llm.common import SEPARATORS, arrow_map, chunks, expand, flat_bytes, mix, prefix_hash, range_hash, text_key, unwrapped, word_bounds, wrapped
+from semforge.llm.common import SEPARATORS, arrow_map, chunks, expand, flat_bytes, mix, prefix_hash, range_hash, text_key, unwrapped, wrapped
 
-#: Items of fewer words are compared as sequences of words. A character of three bytes or more in UTF-8 counts as a word.
-SIMILARITY, LEAST_WORDS = 0.8, 5
+#: Items of fewer words are also compared as sequences of words, and only so if they have fewer bytes than SHORT_BYTES. A character of
+#: three bytes or more in UTF-8 counts as a word.
+SIMILARITY, LEAST_WORDS, SHORT_BYTES = 0.8, 5, 24
 WORD = "[\u0800-\U0010ffff]|[^ \u0800-\U0010ffff]+"
 #: (steps of a walk, sampled steps, walks, most bytes of an item that uses them). Short items have few words to start at, and get short
 #: walks too. Measured recall at a similarity of 0.81: 0.99 with edits at random places, 0.9 with edits as evenly spread as can be, which
@@ -36,8 +42,8 @@ BLOCK_BYTES, PASS_BLOCKS = 1 << 20, 64
 LANES, WORDS = 1 << 12, 16
 #: Bytes before and after a walk's start whose trigrams are compared, and how far they may have moved within them.
 BEFORE, AFTER, DRIFT = 24, 56, 10
-#: Bytes of text that are searched at once; and walks that are made at once.
-TEXT_BYTES = 1 << 20
+#: Bytes of text that are searched at once; those over which each of several blocks is taken; and walks that are made at once.
+TEXT_BYTES, SHARE_BYTES = 1 << 20, 64 << 20
 STARTS = 1 << 13
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -140,6 +146,27 @@ def _word_starts(plain: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def _tokens(plain: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word as ``WORD`` has them: characters of three bytes and more are words of their own."""
+    if not len(plain):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inner = plain != 32
+    # Whether each byte belongs to such a character: its first byte tells, and those after it follow.
+    lead = (plain & 0xC0) != 0x80
+    wide = (plain >= 0xE0)[np.maximum.accumulate(np.where(lead, np.arange(len(plain)), 0))]
+    first = inner & lead & wide
+    first[0] |= inner[0]
+    first[1:] |= inner[1:] & lead[1:] & (~inner[:-1] | wide[:-1])
+    cuts = offsets[1:-1]
+    cuts = cuts[cuts < len(plain)]
+    first[cuts] |= inner[cuts]
+    starts = np.flatnonzero(first)
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    stops = np.r_[np.flatnonzero(~inner), len(plain)]
+    blank = stops[np.searchsorted(stops, starts)]
+    return starts, np.minimum(np.minimum(blank, np.r_[starts[1:], len(plain)]), offsets[rows + 1]), rows
+
+
 class _Text:
     """A chunk of documents, and the hashes of their walks once they are asked for."""
 
@@ -160,7 +187,7 @@ class _Text:
 
     def sequences(self) -> tuple[np.ndarray, ...]:
         if self.words is None:
-            starts, ends, rows = word_bounds(self.plain, self.offsets)
+            starts, ends, rows = _tokens(self.plain, self.offsets)
             self.words = starts, ends, rows, range_hash(*prefix_hash(self.plain), starts, ends)
         return self.words
 
@@ -181,7 +208,7 @@ class Tables:
         items = [(i, n, _PLAIN[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-8", "replace")) for i, n, t in items]
         count = [len(re.findall(WORD, t)) for *_, t in items]
         self.short = [x for x, n in zip(items, count, strict=True) if 0 < n < LEAST_WORDS]
-        self.items = [x for x, n in zip(items, count, strict=True) if n >= LEAST_WORDS]
+        self.items = [x for x, n in zip(items, count, strict=True) if n >= LEAST_WORDS or (n and len(x[2].encode()) >= SHORT_BYTES)]
         self._sequences()
         if not self.items:
             return
@@ -215,7 +242,7 @@ class Tables:
         self.sequences: dict[int, dict[int, list[int]]] = {}
         for k, (*_, t) in enumerate(self.short):
             data = np.frombuffer(t.encode(), np.uint8)
-            starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
+            starts, ends, _ = _tokens(data, np.array([0, len(data)]))
             key = int(_sequence(range_hash(*prefix_hash(data), starts, ends), len(starts))[0])
             self.sequences.setdefault(len(starts), {}).setdefault(key, []).append(k)
 
@@ -434,7 +461,7 @@ class Tables:
                 have = [text.plain[starts[w + j] : ends[w + j]].tobytes() for j in range(words)]
                 for k in keys[int(got[w])]:
                     row, item = int(rows[w]), self.short[k]
-                    if (row, k) not in seen and [x for x in item[2].encode().split(b" ") if x] == have:
+                    if (row, k) not in seen and [x.encode() for x in re.findall(WORD, item[2])] == have:
                         seen.add((row, k))
                         out.append((row, item, 0, len(item[2]), int(ends[w + words - 1] - text.offsets[row])))
         return out
@@ -470,22 +497,46 @@ def _passes(spark, benchmark: DataFrame, least_words: int) -> Iterator[list]:
         yield held
 
 
-def _found(part: pa.Table, held: list, built: list[Tables]) -> list[tuple]:
-    """Matches of a chunk with all blocks of a pass. A pass of one block builds its tables once."""
-    text, out = _Text(part.column("text")), []
-    for block in held:
-        tables = built[0] if built else Tables(block.value)
-        if len(held) == 1 and not built:
-            built.append(tables)
-        out += tables.matches(text)
-    return out
+#: Tables of the block that this Python worker built last: the worker's next task may begin with the same.
+_LAST: list = [None, None]
+
+
+def _tables(block) -> Tables:
+    if _LAST[0] != block.id:
+        _LAST[:] = [None, None]
+        _LAST[:] = [block.id, Tables(block.value)]
+    return _LAST[1]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[tuple[pa.Table, list[tuple]]]:
+    """Each chunk of a task's documents with its matches in all blocks of a pass.
+
+    One block is held against the chunks as they come. Of several, each is built once for SHARE_BYTES of text, and the last one first in
+    every second share.
+    """
+    if len(held) == 1:
+        tables = None
+        for part in chunks(batches, limit=TEXT_BYTES):
+            tables = tables or _tables(held[0])
+            yield part, tables.matches(_Text(part.column("text")))
+        return
+    turn = 1
+    for share in chunks(batches, limit=SHARE_BYTES):
+        parts = list(chunks(iter(share.combine_chunks().to_batches()), limit=TEXT_BYTES))
+        found: list[list[tuple]] = [[] for _ in parts]
+        for block in held[::turn]:
+            tables = _tables(block)
+            for part, out in zip(parts, found, strict=True):
+                out += tables.matches(_Text(part.column("text")))
+        turn = -turn
+        yield from zip(parts, found, strict=True)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFrame:
     """(doc_id, item_id, n_items, distance, similarity, end_byte, key) of each document that holds an item with similarity 0.8 or more.
 
     Similarity is 1 - edit distance / length of the item, after lower-casing A-Z and turning separators into blanks. Items of one to four
-    words match where a document has the same words in a row; those of fewer than ``least_words``, and null and empty ones, match
+    words also match where a document has the same words in a row, those of under 24 bytes only there; those of fewer than ``least_words``, and null and empty ones, match
     nothing; null and empty texts hold nothing. Items with one text are one: it goes by their smallest item_id, ``n_items`` tells how many
     they are, and ``item_classes`` which. Other columns of either table play no part, whatever they are called. ``key`` tells rows with
     one doc_id and different texts apart. Whole texts are searched; the benchmark is the query set, and a pass over the documents takes
@@ -498,9 +549,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFr
     for held in _passes(spark, benchmark, least_words):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            built: list[Tables] = []
-            for part in chunks(batches, limit=TEXT_BYTES):
-                found = _found(part, held, built)
+            for part, found in _searched(batches, held):
                 ids, keys = part.column("doc_id").to_pylist(), part.column("key").to_pylist()
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -534,9 +583,8 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_
     for held in _passes(docs.sparkSession, benchmark, least_words):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            built: list[Tables] = []
-            for part in chunks(batches, limit=TEXT_BYTES):
-                bad = {r for r, *_ in _found(part, held, built)}
+            for part, found in _searched(batches, held):
+                bad = {r for r, *_ in found}
                 clean = part.filter(pa.array([k not in bad for k in range(len(part))])) if bad else part
                 yield from clean.combine_chunks().to_batches()
 

@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 from semforge.llm.common import arrow_map, chunks, delete, expand, extended, flat_bytes, materialize, mix, partitions, unwrapped, wrapped
 
-#: n-gram orders; the buckets that their hashes fall into; and the entries of the matrix at most, which is what is broadcast: beyond 512
-#: languages there are fewer buckets, down to 256.
-ORDERS, BUCKETS, ENTRIES = (1, 2, 3), 1 << 15, 1 << 24
+#: n-gram orders; the buckets that their hashes fall into; and the labels that are learnt at most, those with the most labelled rows, ties
+#: by code point. Both are fixed, so the matrix that is broadcast has 2^24 entries at most, and labels beyond change nothing for others.
+ORDERS, BUCKETS, LANGUAGES = (1, 2, 3), 1 << 15, 512
 #: The classifier is fitted on about so many labelled rows of each language at most; everything else covers all rows.
 FIT_ROWS = 3000
 UND = "und"
@@ -57,11 +57,6 @@ def _code_points(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(points, starts, 32) if len(starts) else points, starts + np.arange(len(starts))
 
 
-def buckets(languages: int) -> int:
-    """A power of two."""
-    return max(256, min(BUCKETS, 1 << (max(1, ENTRIES // max(1, languages))).bit_length() - 1))
-
-
 def grams(column: pa.ChunkedArray, width: int = BUCKETS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Bucket of the n-gram that starts at each character, one array for each order; where texts start; letters of each text."""
     letter, lower = _tables()
@@ -81,21 +76,20 @@ def grams(column: pa.ChunkedArray, width: int = BUCKETS) -> tuple[list[np.ndarra
     return out, starts, cum[ends] - cum[starts]
 
 
-def training_rows(docs: DataFrame, most: int = FIT_ROWS) -> tuple[DataFrame, int, str]:
-    """Labelled texts, about ``most`` of each language at most, chosen by a hash: the same rows on every run; the number of languages; and
-    the table that is read.
-    """
+def training_rows(docs: DataFrame, most: int = FIT_ROWS) -> tuple[DataFrame, str]:
+    """Labelled texts, about ``most`` of each language at most, chosen by a hash: the same rows on every run; and the table that is read."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     # A row for each language, written so that Spark knows its size: it broadcasts the table below its own threshold.
-    counts, path = materialize(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count("*")).alias("share")), "languages")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts, path = materialize(counts.select("lang", F.least(F.lit(1.0), F.lit(float(most)) / F.col("n")).alias("share")), "languages")
     rows = labelled.join(counts, "lang").filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    return rows.select("text", "lang"), counts.count(), path
+    return rows.select("text", "lang"), path
 
 
 def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
     """Learns from text and lang. Counts of each n-gram bucket are summed on the executors; the driver gets one matrix, bounded in size."""
-    rows, languages, path = training_rows(docs, most)
-    width = buckets(languages)
+    rows, path = training_rows(docs, most)
+    width = BUCKETS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -112,7 +106,7 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
                 for x in ids:
                     held[:width] += np.bincount(x[places], minlength=width)
                 held[width] += len(own)
-            if len(sums) * width > ENTRIES:
+            if len(sums) > LANGUAGES // 4:
                 yield _counted(sums)
                 sums = {}
         yield _counted(sums)
@@ -201,7 +195,9 @@ def held_out() -> F.Column:
 def predict_documents(docs: DataFrame, most: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learnt from those that aren't held out.
 
-    Null doc_ids, texts and langs are kept as rows; repeated rows get equal results; without a labelled row all are `und`.
+    Null doc_ids, texts and langs are kept as rows; repeated rows get equal results; without a labelled row all are `und`, and an empty
+    table stays empty. Up to LANGUAGES labels are learnt. The evidence of a text counts as that of EVIDENCE n-grams at most and the prior
+    a tenth, so that scores of long texts stay below 1. Columns of other names play no part.
     """
     model = fit(docs.filter(~held_out()), most)
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")

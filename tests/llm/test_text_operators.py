@@ -317,7 +317,19 @@ def test_language_of_many_labels_and_rare_letters(spark):
     assert got[5001].lang_pred == got[5002].lang_pred == "und" and got[5000].lang_pred.startswith("cc") and got[5000].score > 0
     held = [r for r in rows if got[r[0]].held_out and r[0] < 5000]
     assert np.mean([got[r[0]].lang_pred[:2] == r[2][:2] for r in held]) > 0.99
-    assert langid.buckets(4) == langid.buckets(512) == langid.BUCKETS and langid.buckets(600) == langid.BUCKETS // 2 and langid.buckets(10**6) == 256
+
+
+def test_labels_beyond_the_bound_change_nothing(spark, monkeypatch):
+    """The labels with the most rows are learnt; any number of rarer ones neither grows the matrix nor changes a prediction."""
+    rng = np.random.default_rng(4)
+    kinds = {"aa": list("abcdefg"), "bb": list("defghij")}
+    rows = [(i, " ".join("".join(rng.choice(kinds[n], 4)) for _ in range(6)), n, "s", 0) for i in range(600) for n in [list(kinds)[i % 2]]]
+    dirt = [(10_000 + i, "zzz yyy", f"dirt-{i}", "s", 0) for i in range(3000)]
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    clean, dirty = ({r.doc_id: (r.lang_pred, r.score) for r in langid.predict_documents(spark.createDataFrame(x, DOC)).collect()} for x in (rows, rows + dirt))
+    assert all(dirty[k] == v for k, v in clean.items())
+    model = langid.fit(spark.createDataFrame(rows + dirt, DOC))
+    assert model.languages == ("aa", "bb") and model.log_prob.shape == (langid.BUCKETS, 2)
 
 
 def test_words_and_spans():
