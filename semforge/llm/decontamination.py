@@ -497,14 +497,15 @@ def _passes(spark, benchmark: DataFrame, least_words: int) -> Iterator[list]:
         yield held
 
 
-#: Tables of the block that this Python worker built last: the worker's next task may begin with the same.
+#: Items and tables of the block that this Python worker built last: the worker's next task may begin with the same.
 _LAST: list = [None, None]
 
 
 def _tables(block) -> Tables:
-    if _LAST[0] != block.id:
+    items = block.value
+    if _LAST[0] is not items:
         _LAST[:] = [None, None]
-        _LAST[:] = [block.id, Tables(block.value)]
+        _LAST[:] = [items, Tables(items)]
     return _LAST[1]
 
 

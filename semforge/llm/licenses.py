@@ -5,6 +5,9 @@ that a notice counts whatever its line ends and layout and whatever text runs in
 reach it only with units of t/(2-t) b to (2-t)/t b bigrams, so most units are compared with no template. Of the others, those that
 share too few hashed bigrams with any template go before the exact comparison. Windows begin and end at a bigram of the template, as the
 best ones do, and only where it is dense enough for the coefficient.
+
+Licences resemble each other, so each stretch of text counts for one: where hits of different licences overlap, the one that shares most
+bigrams with its template stays, as it explains most of the text. Version numbers of a template must be there as they are.
 """
 
 from __future__ import annotations
@@ -86,6 +89,23 @@ TEMPLATES = {
     "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 }
 
+#: How the texts of long licences begin.
+_COPYING = " Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+OPENINGS = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc." + _COPYING,
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc." + _COPYING,
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc." + _COPYING,
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc." + _COPYING,
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc." + _COPYING,
+    "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions",
+}
+for _name, _texts in TEMPLATES.items():
+    # Every licence also goes by its identifier.
+    TEMPLATES[_name] = (*_texts, *([OPENINGS[_name]] if _name in OPENINGS else []), f"SPDX-License-Identifier: {_name}")
+#: Words before a number that is a version.
+_VERSIONED = ("version", "v", "license", "by", "nc", "sa", "nd", "cc0", "gpl", "lgpl", "agpl", "apache")
+
 #: Letters, digits and bytes over 127 are kept, in lower case; all else parts words.
 _KEPT = np.zeros(256, np.uint8)
 _KEPT[48:58] = np.arange(48, 58)
@@ -109,12 +129,18 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / size if size else 0.0
 
 
+def versions(pairs: Counter) -> frozenset:
+    """The bigrams that say a version or begin an identifier."""
+    return frozenset((a, b) for a, b in pairs if a == "identifier" or (b.isdigit() and (a.isdigit() or a in _VERSIONED)))
+
+
 class Scanner:
     """Templates with their bounds, and the hashed bigrams of all of them."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> None:
         self.threshold = threshold
         self.templates = [(name, bigrams(normalised(t))) for name, texts in (templates or TEMPLATES).items() for t in texts]
+        self.versions = [versions(b) for _, b in self.templates]
         sizes = np.array([b.total() for _, b in self.templates])
         low, high = threshold / (2 - threshold), (2 - threshold) / threshold
         self.bounds = np.ceil(sizes * low - 1e-9).astype(int), np.floor(sizes * high + 1e-9).astype(int)
@@ -199,9 +225,9 @@ class Scanner:
         shared = np.r_[0, np.cumsum(hit)]
         line_ends = np.flatnonzero(data == 10)
         gaps = line_ends[1:][line_ends[1:] == line_ends[:-1] + 1]
-        found: dict[tuple[int, str], list] = {}
-        spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
-        seen: dict[bytes, list[tuple[str, float]]] = {}
+        #: (row, shared bigrams, coefficient, licence, first word, end, whether a window) of all that reach the threshold.
+        hits: list[tuple[int, int, float, str, int, int, bool]] = []
+        seen: dict[bytes, list[tuple[str, int, float]]] = {}
         for cut in (np.zeros(0, np.int64), gaps, line_ends):
             edges = np.unique(np.concatenate([offsets, cut]))
             w = np.searchsorted(starts, edges)
@@ -212,40 +238,58 @@ class Scanner:
             for u in good.tolist():
                 text = joined[at[a[u]] : at[b[u] - 1] + size[b[u] - 1]].tobytes()
                 if text not in seen:
-                    own = bigrams(text.decode("utf-8", "replace").split(" "))
-                    total = own.total()
-                    best: dict[str, float] = {}
-                    for (name, template), lo, hi in zip(self.templates, *self.bounds, strict=True):
-                        if lo <= total <= hi and (d := dice(own, template)) >= self.threshold:
-                            best[name] = max(best.get(name, 0), d)
-                    seen[text] = list(best.items())
+                    seen[text] = self._fits(text, range(len(self.templates)))
                 row = int(np.searchsorted(offsets, starts[a[u]], "right")) - 1
-                for name, d in seen[text]:
-                    held = found.setdefault((row, name), [0.0, set()])
-                    held[0] = max(held[0], d)
-                    held[1].add(int(a[u]))
-                    spans.setdefault((row, name), []).append((int(a[u]), int(b[u])))
-        # Windows raise the coefficient of the units that they lie in; elsewhere they are units of their own.
+                hits += [(row, n, d, name, int(a[u]), int(b[u]), False) for name, n, d in seen[text]]
         owner = np.searchsorted(offsets, starts, "right") - 1
         near = np.flatnonzero(hit & (owner[1:] == owner[:-1]))
-        for row, t, a, b, _ in sorted(self.windows(k[near], near, owner[near]), key=lambda w: (w[0], -w[4], w[2])):
+        for row, t, a, b, _ in self.windows(k[near], near, owner[near]):
+            text = joined[at[a] : at[b - 1] + size[b - 1]].tobytes()
+            hits += [(row, n, d, name, a, b, True) for name, n, d in self._fits(text, (t,))]
+        return self._best(hits, len(starts))
+
+    def _fits(self, text: bytes, templates) -> list[tuple[str, int, float]]:
+        """(licence, shared bigrams, coefficient) of each licence with a template that the unit fits: of several the best."""
+        own = bigrams(text.decode("utf-8", "replace").split(" "))
+        total, best = own.total(), {}
+        for t in templates:
             name, template = self.templates[t]
-            d = dice(bigrams(joined[at[a] : at[b - 1] + size[b - 1]].tobytes().decode("utf-8", "replace").split(" ")), template)
-            if d >= self.threshold:
-                held = found.setdefault((row, name), [0.0, set()])
-                held[0] = max(held[0], d)
-                own = spans.setdefault((row, name), [])
-                if all(b <= x or y <= a for x, y in own):
-                    held[1].add(a)
-                    own.append((a, b))
-        return [(row, name, d, len(at_)) for (row, name), (d, at_) in sorted(found.items())]
+            if self.bounds[0][t] <= total <= self.bounds[1][t] and all(v in own for v in self.versions[t]):
+                n = (own & template).total()
+                if (d := 2 * n / (total + template.total())) >= self.threshold:
+                    best[name] = max(best.get(name, (0, 0.0)), (n, d))
+        return [(name, n, d) for name, (n, d) in best.items()]
+
+    @staticmethod
+    def _best(hits: list[tuple], words: int) -> list[tuple[int, str, float, int]]:
+        """(row, licence, best coefficient, units) once every word counts for one licence: hits with most shared bigrams come first.
+
+        Windows raise the coefficient of the units that they lie in; elsewhere they are units of their own.
+        """
+        number = {name: k for k, name in enumerate(sorted({h[3] for h in hits}))}
+        owner, kept = np.full(words, -1, np.int32), []
+        for h in sorted(hits, key=lambda h: (-h[1], -h[2], h[4], h[3], h[5])):
+            part, own = owner[h[4] : h[5]], number[h[3]]
+            if ((part == -1) | (part == own)).all():
+                part[:] = own
+                kept.append(h)
+        found: dict[tuple[int, str], list] = {}
+        spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for row, _, d, name, a, b, window in sorted(kept, key=lambda h: (h[6], -h[2], h[4])):
+            held, own = found.setdefault((row, name), [0.0, set()]), spans.setdefault((row, name), [])
+            held[0] = max(held[0], d)
+            if not window or all(b <= x or y <= a for x, y in own):
+                held[1].add(a)
+                own.append((a, b))
+        return [(row, name, d, len(at)) for (row, name), (d, at) in sorted(found.items())]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license_id, dice, n_units) of each licence that a document holds; documents without one have no row.
 
-    Null and empty texts hold none. Repeated rows give repeated results; a null doc_id stays null. Units that fit several templates of
-    one licence count once. Whole texts are scanned.
+    Null and empty texts hold none; an empty table has an empty result. Repeated rows give repeated results; a null doc_id stays null.
+    Units that fit several templates of one licence count once, and no word counts for two licences. Whole texts are scanned. Columns of
+    other names play no part.
     """
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates, threshold))
 

@@ -109,7 +109,7 @@ def test_tables_are_built_once_for_a_share(monkeypatch):
 
     class Block:
         def __init__(self, k):
-            self.id, self.value = f"b{k}", [(k, 1, f"one two three four five six item {k} here")]
+            self.value = [(k, 1, f"one two three four five six item {k} here")]
 
     texts = [f"start one two three four five six item {k % 3} here and then the end of it" for k in range(30)]
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})

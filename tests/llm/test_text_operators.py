@@ -267,16 +267,19 @@ def test_licenses_against_brute_force(spark):
     want = {}
     for k, t in texts.items():
         words = licenses.normalised(t or "")
-        units = [licenses.normalised(u) for cut in (t or "", *re.split("\n\n", t or ""), *(t or "").split("\n")) for u in [cut]]
-        # All windows of short texts; of long ones, those that the templates' sizes allow at the text's own ends would take too long here.
-        if len(words) < 40:
-            units += [words[i:j] for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
-        for unit in units:
-            own = licenses.bigrams(unit)
+        hits = []
+        # All windows of short texts; of long ones the whole.
+        for i, j in [(i, j) for i in range(len(words)) for j in range(i + 2, len(words) + 1)] if len(words) < 40 else [(0, len(words))]:
+            own = licenses.bigrams(words[i:j])
             for name, group in licenses.TEMPLATES.items():
-                for template in group:
-                    if len(unit) > 1 and (d := licenses.dice(own, licenses.bigrams(licenses.normalised(template)))) >= licenses.THRESHOLD:
-                        want[k, name] = max(want.get((k, name), 0), d)
+                for template in map(licenses.bigrams, map(licenses.normalised, group)):
+                    if (d := licenses.dice(own, template)) >= licenses.THRESHOLD and licenses.versions(template) <= set(own):
+                        hits.append((-(own & template).total(), -d, i, name, j))
+        taken = []
+        for _, d, i, name, j in sorted(hits):
+            if all(j <= x or y <= i or other == name for x, y, other in taken):
+                taken.append((i, j, name))
+                want[k, name] = max(want.get((k, name), 0), -d)
     short = {k for k, t in texts.items() if len(licenses.normalised(t or "")) < 40}
     assert {x: pytest.approx(v) for x, v in want.items() if x[0] in short} == {x: r.dice for x, r in got.items() if x[0] in short}
     assert all(got[x].dice >= v - 1e-9 for x, v in want.items())
@@ -303,6 +306,24 @@ def test_licenses_in_any_layout():
     assert not scanner.scan(pa.chunked_array([pa.array(halves)]))
 
 
+def test_each_licence_reports_itself_only():
+    """Every notice, opening and identifier is its own licence's and no other's; other versions are nobody's."""
+    scanner = licenses.Scanner()
+
+    def names(*texts):
+        return [(r, n) for r, n, _, _ in scanner.scan(pa.chunked_array([pa.array(texts)]))]
+
+    every = [(name, t) for name, group in licenses.TEMPLATES.items() for t in group]
+    assert names(*(t for _, t in every)) == [(k, name) for k, (name, _) in enumerate(every)] and len(licenses.TEMPLATES) == 24
+    gpl2 = next(t for t in licenses.TEMPLATES["GPL-2.0"] if "either version" in t)
+    apache = licenses.TEMPLATES["Apache-2.0"][1]
+    others = ["Licensed under the Apache License, Version 1.1.", apache.replace("2.0", "1.1"), "Licensed under CC BY-NC 3.0.", gpl2.replace("version 2", "version 1"), "SPDX-License-Identifier: Artistic-2.0"]
+    assert names(*others) == []
+    # An edit in the longer licence doesn't make it the shorter one, and two licences side by side are two.
+    three = licenses.TEMPLATES["BSD-3-Clause"][1].replace("holder nor", "owner nor").replace("retain", "keep")
+    assert names(three, f"{apache} {gpl2}", "// SPDX-License-Identifier: MIT\nint main() {}", "Licensed under CC BY-NC-SA 4.0.") == [(0, "BSD-3-Clause"), (1, "Apache-2.0"), (1, "GPL-2.0"), (2, "MIT"), (3, "CC-BY-NC-SA-4.0")]
+
+
 def test_language_of_many_labels_and_rare_letters(spark):
     """Six hundred labels, most of them dirt; letters beyond the second plane are letters."""
     rng = np.random.default_rng(3)
