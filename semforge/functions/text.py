@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = r"(?U)[\s　]+"
+ENDS = r"(?U)^[\s　]+|[\s　]+$"
 #: Fixed value: punctuation that a candidate may not begin or end with.
 EDGE = " ,，;；:：、·.。-—"
 #: Fixed value: terms too general to describe anything.
@@ -30,7 +31,7 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 def strip(col: Column) -> Column:
     """Without blanks of any kind at both ends."""
-    return F.regexp_replace(col, r"(?U)^[\s　]+|[\s　]+$", "")
+    return F.regexp_replace(col, ENDS, "")
 
 
 def blank_to_null(col: Column) -> Column:

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semforge.functions.ids import stable_id
-from semforge.functions.text import collapse, format_text, nfkc, strip
+from semforge.functions.text import BLANK, ENDS, _nfkc, collapse, format_text, nfkc, strip
+
+#: Name of the Python function that rules with NFKC call in SQL.
+_NFKC = "rule_nfkc"
 
 OPERATIONS = ("replace", "trim", "normalize", "keep_original", "block")
 MODES = ("legacy", "nfkc", "whitespace", "nfkc_whitespace")
@@ -80,38 +83,46 @@ def transform(col: Column, rule: Rule) -> Column:
     return reduce(lambda acc, m: F.when(m[0], out(F.lit(False), text, m[1])).otherwise(acc), reversed(misses), out(matched, new, rule.operation))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _change_sql(rule: Rule) -> str:
+    """A SQL condition on ``text``: the rule matches and its result differs."""
+    t = "coalesce(text, '')"
+    c, p = rule.condition, rule.parameters
+    contains = c.get("contains", c.get("descriptionContains"))
+    if "descriptionPattern" in c and contains is None and "prefix" not in c and "suffix" not in c:
+        return "false"
+    tests = [f"{name}({t}, {_quoted(c[key])})" for name, key in (("startswith", "prefix"), ("endswith", "suffix")) if key in c]
+    if contains is not None:
+        tests.append(f"contains({t}, {_quoted(contains)})")
+    if rule.operation == "replace":
+        tests.append(f"contains({t}, {_quoted(p['from'])})")
+    elif rule.operation == "trim":
+        tests.append(f"regexp_replace({t}, {_quoted(ENDS)}, '') <> {t}")
+    elif rule.operation == "normalize":
+        mode = p.get("mode", "legacy")
+        plain = t if mode == "whitespace" else f"{_NFKC}({t})"
+        whole = mode == "nfkc" or (mode != "whitespace" and not p.get("whitespace", True))
+        tests.append(f"{plain} <> {t}" if whole else f"trim(regexp_replace({plain}, {_quoted(BLANK)}, ' ')) <> {t}")
+    else:
+        return "false"
+    return " AND ".join(tests)
+
+
 def register_sql(spark, rules: Sequence[Rule], name: str = "rule_local_match") -> str:
     """A SQL function name(text, pattern_key) that is 1 where the rule of that id would change the text, else 0; null is an empty text.
 
-    Batches come as Arrow; conditions and operations are those of ``transform``, to which the tests hold it.
+    Rules become one SQL expression, which Spark puts in the place of each call. Only NFKC has no expression in SQL: where some rule asks
+    for it, its condition calls a Python function on Arrow batches.
     """
-    import unicodedata
-
-    import pandas as pd
-    from pyspark.sql.types import IntegerType
-
-    by_id = {r.rule_id: r for r in rules}
-
-    def changed(text: str, rule: Rule) -> bool:
-        c, p = rule.condition, rule.parameters
-        contains = c.get("contains", c.get("descriptionContains"))
-        if (contains is not None and contains not in text) or not text.startswith(c.get("prefix", "")) or not text.endswith(c.get("suffix", "")):
-            return False
-        if rule.operation == "replace":
-            return text.replace(p["from"], p.get("to", "")) != text
-        if rule.operation == "trim":
-            return text.strip() != text
-        if rule.operation == "normalize":
-            mode = p.get("mode", "legacy")
-            new = text if mode == "whitespace" else unicodedata.normalize("NFKC", text)
-            return (" ".join(new.split()) if mode == "whitespace" or (mode != "nfkc" and p.get("whitespace", True)) else new) != text
-        return False
-
-    def match(text: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([int(k in by_id and changed(t or "", by_id[k])) for t, k in zip(text, key, strict=True)], dtype="int32")
-
-    match.__annotations__ = {"text": pd.Series, "key": pd.Series, "return": pd.Series}
-    spark.udf.register(name, F.pandas_udf(match, IntegerType()))
+    cases = {r.rule_id: _change_sql(r) for r in rules}
+    if any(_NFKC in x for x in cases.values()):
+        spark.udf.register(_NFKC, _nfkc)
+    whens = "".join(f" WHEN {_quoted(k)} THEN CAST({x} AS INT)" for k, x in cases.items())
+    body = f"CASE pattern_key{whens} ELSE 0 END" if whens else "0"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING, pattern_key STRING) RETURNS INT RETURN {body}")
     return name
 
 

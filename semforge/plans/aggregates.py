@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from semforge.functions.text import code_shape, number_skeleton
-from semforge.operators import reads, sampling
+from semforge.operators import profile, reads, sampling
 from semforge.plans.tables import CANDIDATES, DEVICES, candidates, devices, t
 from semforge.registry import register
 
@@ -95,6 +95,25 @@ def a14(spark, sf):
     return t(spark, sf, "part").agg(F.count("*").alias("total"), F.countDistinct("p_name").alias("names"), F.count_if(n < 10).alias("short"), F.count_if((n >= 10) & (n < 12)).alias("medium"), F.count_if(n >= 12).alias("long"), F.count_if(F.col("p_name").startswith("blue")).alias("blue"), F.max(n).alias("longest"), F.min(n).alias("shortest"))
 
 
+@register(
+    "A14_batch_sketches",
+    """SELECT p_mfgr AS batch, count(*) AS rows, min(p_name) AS least, max(p_name) AS greatest, min(p_size)::BIGINT AS smallest, max(p_size)::BIGINT AS largest, true AS distinct_within, true AS median_within FROM part GROUP BY 1
+    UNION ALL SELECT 'all', count(*), min(p_name), max(p_name), min(p_size)::BIGINT, max(p_size)::BIGINT, true, true FROM part""",
+)
+def a14_sketches(spark, sf):
+    """Counters of each batch and of their merged sketches, and whether the estimates are within their bounds of the exact figures."""
+    p = t(spark, sf, "part").select(F.col("p_mfgr").alias("batch"), "p_name", F.col("p_size").cast("long").alias("p_size"))
+    kept = profile.sketch(p, "batch", ["p_name"], ["p_size"])
+    every = profile.estimates(kept, ["p_name"], ["p_size"], [0.5]).unionByName(profile.estimates(profile.merged(kept, ["p_name"], ["p_size"]), ["p_name"], ["p_size"], [0.5]).withColumn("batch", F.lit("all")))
+    each = p.unionByName(p.withColumn("batch", F.lit("all")))
+    found = each.join(every, "batch").groupBy("batch", "rows", "p_name_least", "p_name_greatest", "p_size_least", "p_size_greatest", "p_name_distinct", "p_size_quantiles")
+    median = F.get("p_size_quantiles", 0)
+    share = found.agg(F.countDistinct("p_name").alias("names"), (F.count_if(F.col("p_size") < median) / F.count("*")).alias("below"), (F.count_if(F.col("p_size") <= median) / F.count("*")).alias("upto"))
+    distinct = F.abs(F.col("p_name_distinct") - F.col("names")) <= F.greatest(F.lit(1.0), profile.DISTINCT_ERROR * F.col("names"))
+    within = (F.col("below") <= 0.5 + profile.RANK_ERROR) & (F.col("upto") >= 0.5 - profile.RANK_ERROR)
+    return share.select("batch", "rows", F.col("p_name_least").alias("least"), F.col("p_name_greatest").alias("greatest"), F.col("p_size_least").alias("smallest"), F.col("p_size_greatest").alias("largest"), distinct.alias("distinct_within"), within.alias("median_within"))
+
+
 @register("A15_code_shapes", "SELECT regexp_replace(regexp_replace(regexp_replace(upper(c_name), '[0-9]', '9', 'g'), '[A-Z]', 'A', 'g'), '[^9A]', 'X', 'g') AS shape, count(*) AS n FROM customer GROUP BY 1")
 def a15(spark, sf):
     return t(spark, sf, "customer").groupBy(code_shape(F.col("c_name")).alias("shape")).agg(F.count("*").alias("n"))

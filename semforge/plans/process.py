@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from semforge.operators import decisions, events, facts, reads, states
+from semforge.operators import decisions, events, facts, merkle, reads, states
 from semforge.plans.tables import t
 from semforge.registry import register
+from semforge.storage import new_folder
+from semforge.streaming import upsert
 
 
 def observations(spark, sf):
@@ -188,6 +190,34 @@ def t6(spark, sf):
     return states.diff_states(of(0), of(1)).groupBy("change").agg(F.count("*").alias("n"))
 
 
+@register("T6_merkle_diff", "SELECT o_custkey AS subject_key, CASE WHEN o_custkey % 97 = 0 THEN 'removed' ELSE 'changed' END AS change FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey % 97 IN (0, 1)")
+def t6_merkle(spark, sf):
+    """States before and after a replay that moved a few subjects, as published snapshots: only leaves that differ are read."""
+    s = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("subject_key")).agg(F.max("o_orderstatus").alias("state"), F.max("o_orderdate").alias("effective_at"))
+    new = s.filter("subject_key % 97 <> 0").withColumn("state", F.when(F.col("subject_key") % 97 == 1, F.lit("X")).otherwise(F.col("state")))
+    old_at, new_at = (merkle.publish(df, ["subject_key"], new_folder(spark, "merkle")) for df in (s, new))
+    return merkle.diff_published(spark, old_at, new_at, ["subject_key"])
+
+
+@register("L2_scoped_replay", _LAST.replace("FROM lineitem)", "FROM lineitem WHERE l_linenumber <= 3 OR l_orderkey IN (7, 32))"))
+def l2_scoped(spark, sf):
+    """States of the first facts of all subjects; when the rest have come, only two subjects are replayed, and all others stay."""
+    every = transitions_input(spark, sf)
+    first = every.filter(F.substring_index(F.col("source_row_id"), "-", 1).cast("int") <= 3)
+    old = states.folded_states(states.replay_states(first)[0]).select("subject_key", "state", "version")
+    new = states.folded_states(states.replay_states(every.filter(F.col("subject_key").isin("7", "32")))[0]).select("subject_key", "state", "version")
+    return states.recompute_scope(old, new, ["7", "32"])
+
+
+@register("L2_stream_upsert", "SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def l2_upsert(spark, sf):
+    """All events as a stream of four files, merged batch by batch into the latest of each user."""
+    e, source, folder = t(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), new_folder(spark, "events"), new_folder(spark, "upsert")
+    e.repartition(4, "event_id").write.parquet(source)
+    upsert.upsert_files(spark, source, e.schema.simpleString()[7:-1].replace(":", " "), folder, ["user_id"], ["ts", "event_id"], new_folder(spark, "stream")).awaitTermination()
+    return upsert.read_table(spark, folder)
+
+
 def _states_and_risks(spark, sf):
     s = reads.latest_by(t(spark, sf, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select(F.col("o_custkey").alias("subject_key"), F.when(F.col("o_orderstatus") == "O", "PENDING").otherwise("CLOSED").alias("state"))
     r = t(spark, sf, "events").select(F.col("user_id").alias("subject_key"), F.col("event_id").alias("fact_id"), F.floor(F.col("value") / 20).alias("risk_score"), F.col("ts").alias("created_at"))
