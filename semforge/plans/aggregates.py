@@ -97,12 +97,12 @@ def a14(spark, sf):
 
 @register(
     "A14_batch_sketches",
-    """SELECT p_mfgr AS batch, count(*) AS rows, min(p_name) AS least, max(p_name) AS greatest, min(p_size)::BIGINT AS smallest, max(p_size)::BIGINT AS largest, true AS distinct_within, true AS median_within FROM part GROUP BY 1
+    """SELECT p_brand AS batch, count(*) AS rows, min(p_name) AS least, max(p_name) AS greatest, min(p_size)::BIGINT AS smallest, max(p_size)::BIGINT AS largest, true AS distinct_within, true AS median_within FROM part GROUP BY 1
     UNION ALL SELECT 'all', count(*), min(p_name), max(p_name), min(p_size)::BIGINT, max(p_size)::BIGINT, true, true FROM part""",
 )
 def a14_sketches(spark, sf):
     """Counters of each batch and of their merged sketches, and whether the estimates are within their bounds of the exact figures."""
-    p = t(spark, sf, "part").select(F.col("p_mfgr").alias("batch"), "p_name", F.col("p_size").cast("long").alias("p_size"))
+    p = t(spark, sf, "part").select(F.col("p_brand").alias("batch"), "p_name", F.col("p_size").cast("long").alias("p_size"))
     kept = profile.sketch(p, "batch", ["p_name"], ["p_size"])
     every = profile.estimates(kept, ["p_name"], ["p_size"], [0.5]).unionByName(profile.estimates(profile.merged(kept, ["p_name"], ["p_size"]), ["p_name"], ["p_size"], [0.5]).withColumn("batch", F.lit("all")))
     each = p.unionByName(p.withColumn("batch", F.lit("all")))

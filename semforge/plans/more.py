@@ -6,16 +6,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semforge.functions import text
-from semforge.functions.iri import EX, OWL, PROV, RDFS, SKOS, TYPE
+from semforge.functions.iri import EX, OWL, PROV, RDFS, SKOS, TYPE, XSD
 from semforge.operators import cleaning, gates, identity, knowledge, metadata, reads, rules
 from semforge.plans.semantics import _id_devices, quads
 from semforge.plans.tables import CANDIDATES, DEVICES, candidates, devices, t
-from semforge.rdf import project
-from semforge.rdf.closure import closure, maintain, statement_id
+from semforge.rdf import project, sinks
+from semforge.rdf.closure import closure, inference_run, maintain, statement_id
 from semforge.rdf.store import store
 from semforge.registry import register
 from semforge.sources import files
 from semforge.sparql import select
+from semforge.storage import new_folder
 
 
 @register(
@@ -40,6 +41,35 @@ def s12(spark, sf):
     return nquads(q).agg(F.count("*").alias("n"), F.count_if(F.col("value").contains('"NATION_3"')).alias("hits"))
 
 
+_NODES = f"""n AS (SELECT concat('{EX}region/', r_regionkey) AS s, 'Region' AS c, r_name AS name, NULL AS balance, NULL AS p, NULL AS o FROM region
+  UNION ALL SELECT concat('{EX}nation/', n_nationkey), 'Nation', n_name, NULL, 'partOf', concat('{EX}region/', n_regionkey) FROM nation
+  UNION ALL SELECT concat('{EX}customer/', c_custkey), 'Customer', c_name, CAST(c_acctbal AS VARCHAR), 'inNation', concat('{EX}nation/', c_nationkey) FROM customer),
+  l AS (SELECT s, list_filter([concat('<{TYPE}> <{EX}', c, '>'), CASE WHEN balance IS NOT NULL THEN concat('<{EX}balance> "', balance, '"^^<{XSD}decimal>') END, concat('<{EX}displayName> "', name, '"'), CASE WHEN p IS NOT NULL THEN concat('<{EX}', p, '> <', o, '>') END], lambda x: x IS NOT NULL) AS lines FROM n)"""
+
+
+def _source_quads(spark, sf):
+    return quads(spark, sf).filter("graph = 'source'")
+
+
+@register("S12_nquads_rows", f"WITH {_NODES} SELECT concat('<', s, '> ', unnest(lines), ' <source> .') AS value FROM l")
+def s12_nquads(spark, sf):
+    return sinks.nquads(_source_quads(spark, sf))
+
+
+@register("S12_trig_rows", f"WITH {_NODES} SELECT concat('<source> {{', chr(10), '  <', s, '> ', array_to_string(lines, concat(' ;', chr(10), '    ')), ' .', chr(10), '}}') AS value FROM l")
+def s12_trig(spark, sf):
+    return sinks.trig(_source_quads(spark, sf))
+
+
+@register(
+    "S12_jsonld_rows",
+    f"""WITH {_NODES} SELECT concat('{{"@id":"', s, '","@type":["{EX}', c, '"]', CASE WHEN balance IS NOT NULL THEN concat(',"{EX}balance":[{{"@value":"', balance, '","@type":"{XSD}decimal"}}]') ELSE '' END,
+    ',"{EX}displayName":[{{"@value":"', name, '","@type":"{XSD}string"}}]', CASE WHEN p IS NOT NULL THEN concat(',"{EX}', p, '":[{{"@id":"', o, '"}}]') ELSE '' END, '}}') AS value FROM n""",
+)
+def s12_jsonld(spark, sf):
+    return sinks.jsonld(_source_quads(spark, sf))
+
+
 @register("J8_cascade_lookup", f"SELECT count(*) AS n FROM (SELECT site, location FROM {DEVICES} GROUP BY ALL HAVING count(*) = 1)")
 def j8(spark, sf):
     return identity._unique(_id_devices(spark, sf), ("site", "location"), "d").filter("d IS NOT NULL").agg(F.count("*").alias("n"))
@@ -337,6 +367,15 @@ def o10_incremental(spark, sf):
     return maintain(q, closure(q)[0], at(1), at(0)).filter(F.col("predicate") != TYPE).select("subject", "predicate", "object")
 
 
+@register("O10_inference_run", f"WITH {_EDGES}, e AS (SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d) SELECT o AS subject, '{EX}hasPart' AS predicate, s AS object, n AS reused FROM e, (VALUES (false), (true)) r(n)")
+def o10_run(spark, sf):
+    """The closure of a run, and of the next one over the same statements, which finds the first one's rows."""
+    folder = new_folder(spark, "inference")
+    runs = [inference_run(quads(spark, sf), folder) for _ in range(2)]
+    both = runs[0][0].withColumn("reused", F.lit(runs[0][1])).unionByName(runs[1][0].withColumn("reused", F.lit(runs[1][1])))
+    return both.filter(F.col("predicate") == f"{EX}hasPart").select("subject", "predicate", "object", "reused")
+
+
 @register("O13_sparql_star", f"SELECT concat('{EX}customer/', c_custkey) AS c, c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000")
 def o13_star(spark, sf):
     """Over stored quads: what the query asks of one customer lies together."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semforge.functions.iri import OWL, RDFS, TYPE
+from semforge.sources.snapshots import digest_of
 from semforge.storage import bucketed, cut_lineage
 
 ROUNDS = 256
@@ -116,7 +117,7 @@ def _consequences(delta: DataFrame, every: DataFrame, rules: DataFrame) -> DataF
         typed = rows.filter(is_type).select("subject", "object", "id").join(classes, o == a)
         parts.append(derived(typed, F.lit("class"), F.array("id", "axiom"), chained, subject=s, predicate=F.lit(TYPE), object_kind=F.lit("iri"), object=b, datatype=none, language=none))
     chains = rules.filter(kind == "transitive").select(a.alias("predicate"), "axiom")
-    for first, second in ((delta, every), (every, delta)):
+    for first, second in ((delta, every), (every, delta)) if delta is not every else ((every, every),):
         left = first.filter(is_iri).join(chains, "predicate").select(s.alias("s"), p.alias("p"), o.alias("m"), F.col("id").alias("one"), "axiom")
         right = second.filter(is_iri).join(chains.select("predicate"), "predicate", "left_semi").select(s.alias("m"), p.alias("p"), o.alias("o"), F.col("id").alias("two"))
         parts.append(derived(left.join(right, ["m", "p"]), F.lit("transitive"), F.array("one", "two", "axiom"), 0, subject=F.col("s"), predicate=F.col("p"), object_kind=F.lit("iri"), object=F.col("o"), datatype=none, language=none))
@@ -129,14 +130,18 @@ def _unknown(candidates: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda rows, t: rows.join(t.select("id"), "id", "left_anti"), tables, candidates)
 
 
-def _settle(tables: list[DataFrame], delta: DataFrame, first: int, max_iter: int) -> tuple[list[DataFrame], int]:
-    """Rounds until nothing is added: each one's new statements with their iteration, and the number of the last round."""
+def _settle(tables: list[DataFrame], delta: DataFrame | None, first: int, max_iter: int) -> tuple[list[DataFrame], int]:
+    """Rounds until nothing is added: each one's new statements with their iteration, and the number of the last round.
+
+    ``delta`` is what is new to the first round, None if that is everything.
+    """
     found, tables, rules = [], list(tables), None
     for rounds in range(first, max_iter + 1):
         every = reduce(DataFrame.unionByName, [t.select(*_STATEMENT, "id") for t in tables])
         if rules is None:
             rules = cut_lineage(_rules(every), "rules")
-        new = bucketed(_unknown(_consequences(delta.select(*_STATEMENT, "id"), every, rules), tables).withColumn("iteration", F.lit(rounds)), "id")
+        news = every if delta is None else delta.select(*_STATEMENT, "id")
+        new = bucketed(_unknown(_consequences(news, every, rules), tables).withColumn("iteration", F.lit(rounds)), "id")
         count, schema = new.agg(F.count("*"), F.count_if(_is_schema())).first()
         if not count:
             return found, rounds
@@ -145,7 +150,7 @@ def _settle(tables: list[DataFrame], delta: DataFrame, first: int, max_iter: int
         delta = new
         if schema:
             # New schema statements concern old data too, so the next round looks at everything.
-            rules, delta = None, reduce(DataFrame.unionByName, [t.select(*_STATEMENT, "id") for t in tables])
+            rules, delta = None, None
     raise RuntimeError(f"no fixed point in {max_iter} rounds")
 
 
@@ -165,7 +170,7 @@ def closure(quads: DataFrame, max_iter: int = ROUNDS) -> tuple[DataFrame, int]:
     ``max_iter`` rounds are an error, never a closure that is cut.
     """
     base = _given(quads)
-    found, rounds = _settle([base], base, 1, max_iter)
+    found, rounds = _settle([base], None, 1, max_iter)
     return _as_inferred(found, base), rounds
 
 
@@ -173,6 +178,20 @@ def _given(quads: DataFrame) -> DataFrame:
     return bucketed(quads.select(*_STATEMENT).distinct().select(*_STATEMENT, statement_id().alias("id")), "id")
 
 
+def inference_run(quads: DataFrame, folder: str) -> tuple[DataFrame, bool]:
+    """The closure of these statements under this rule set below ``folder``, and whether it was there: a run that was written whole is read
+    again. It goes by the digest of the distinct statements, whatever graphs they are in and in whatever order they come.
+    """
+    spark = quads.sparkSession
+    statements = quads.select(*_STATEMENT).distinct()
+    path = f"{folder}/{RULE_SET}-{digest_of(statements).first()['digest']}"
+    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    reused = whole.getFileSystem(spark._jsc.hadoopConfiguration()).exists(whole)
+    if not reused:
+        closure(quads)[0].write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), reused
+
+
 def maintain(quads: DataFrame, inferred: DataFrame, added: DataFrame, withdrawn: DataFrame, max_iter: int = ROUNDS) -> DataFrame:
     """The closure after some statements came and others went, from the one before: delete and rederive.
 
