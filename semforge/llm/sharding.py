@@ -77,14 +77,19 @@ def _sharded(rows: DataFrame, shards: int, key: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY) -> DataFrame:
     """All rows with their shard and slot, which replace columns of these names; other columns may have any name.
 
-    Rows are numbered in the order of doc_id, nulls first, CRC-32 of the text and its hash; rows equal in these are interchangeable. A
-    null text counts as an empty one. No row is dropped; an empty table stays empty.
+    Rows are numbered in the order of doc_id, nulls first, CRC-32 of the text and the hash of all columns; rows equal in these are
+    interchangeable. A null text counts as an empty one. No row is dropped; an empty table stays empty.
     """
-    return _sharded(wrapped(docs, doc_id=F.col("doc_id"), crc=_crc(), tie=F.xxhash64(_text())), shards, key)
+    every = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return _sharded(wrapped(docs, doc_id=F.col("doc_id"), crc=_crc(), tie=F.xxhash64(*every)), shards, key)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document; texts themselves don't travel."""
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document; texts themselves don't travel.
+
+    Null doc_ids and texts are kept as rows, a null text as an empty one; repeated rows get places of their own; columns of other names
+    play no part; an empty table stays empty.
+    """
     size = F.octet_length(_text()).cast("long") + 16
     row = F.struct(F.col("doc_id"), size.alias("size"), _crc().alias("text_crc32"))
     out = _sharded(docs.select(row.alias("row"), "doc_id", _crc().alias("crc"), F.xxhash64(_text()).alias("tie")), shards, KEY)

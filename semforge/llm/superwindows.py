@@ -28,7 +28,8 @@ from semforge.llm.common import arrow_map, chunks, expand, flat_bytes, materiali
 
 #: Bytes of packed strings that a map task holds before it sends them.
 HELD_BYTES = 24 << 20
-#: Runs of one minimiser from which it is hot, and how many hot ones are told to all tasks at most, those with the most runs first.
+#: Runs of one minimiser from which it may be hot, and what part of all such runs it must have: so there are HOT_KEYS hot ones at most to
+#: tell to all tasks, and none that is left to one bucket has a larger part.
 HOT_RUNS, HOT_KEYS = 1 << 14, 1 << 17
 #: Bits of a place within a chunk: Spark's strings are shorter.
 PLACE_BITS = 31
@@ -671,7 +672,9 @@ def shared_runs(docs: DataFrame, shape: Shape, hot_runs: int = HOT_RUNS) -> tupl
     named = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     asked = _dealt(_dealt(named, ask, parts + homes), _bucket_task(answer, parts), homes + 1)
     runs, path = materialize(arrow_map(asked, home, "doc_id long, runs binary"), "runs")
-    hot = arrow_map(runs.filter("doc_id is null").select("runs"), listed, "key long, n long").orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").collect()
+    common = arrow_map(runs.filter("doc_id is null").select("runs"), listed, "key long, n long")
+    total = common.agg(F.sum("n")).first()[0] or 0
+    hot = common.filter(F.col("n") >= total / HOT_KEYS).select("key").collect()
     return runs.filter("doc_id is not null"), np.array([r["key"] for r in hot], np.uint64), path
 
 
