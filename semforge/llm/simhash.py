@@ -298,7 +298,12 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every document.
+
+    Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get equal results; rows without a doc_id stay,
+    and no component is named by them. Texts may be as long as Spark's strings; columns of other names play no part; an empty table stays
+    empty.
+    """
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -39,6 +39,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
 
     Words covered by a window that also starts in a document with a smaller doc_id go. A null text has no words. Rows without a doc_id
     keep all words and make no other row's go. Repeated rows, and different texts under one doc_id, don't repeat each other.
+    Texts may be as long as Spark's strings; columns of other names play no part; an empty table stays empty.
     """
     shape = Shape(window, minimiser, True)
 

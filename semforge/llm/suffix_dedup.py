@@ -144,7 +144,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, minimiser: int = MINIMIS
 
     Bytes covered by a string of ``length`` bytes (8 or more) that also starts in a document with a smaller doc_id go. A null text is
     empty. Rows without a doc_id keep all bytes and make no other row's go. Repeated rows, and different texts under one doc_id, don't
-    repeat each other.
+    repeat each other. Texts may be as long as Spark's strings; columns of other names play no part; an empty table stays empty.
     """
     shape = Shape(length, min(minimiser, length), False)
 
