@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import os
 import time
 from collections import Counter, defaultdict
 from collections.abc import Callable, Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,72 +112,6 @@ def auto_approve(candidates: DataFrame, eligible: Callable[[DataFrame], DataFram
     return reviews, samples.select("sample_id").distinct().join(open_, "sample_id", "left_anti")
 
 
-class Releases:
-    """Versions of a published dataset: prepared, approved, activated and rolled back. Versions are folders that never change; the active one is a pointer, replaced in one step."""
-
-    ORDER = ("prepared", "approved", "active")
-
-    def __init__(self, folder: str) -> None:
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self.path = self.folder / "releases.json"
-
-    def _read(self) -> dict:
-        return json.loads(self.path.read_text()) if self.path.exists() else {"active": None, "history": [], "releases": {}}
-
-    def _write(self, state: dict) -> None:
-        new = self.path.with_suffix(f".{os.getpid()}.tmp")
-        new.write_text(json.dumps(state, sort_keys=True, indent=2))
-        os.replace(new, self.path)
-
-    def prepare(self, df: DataFrame, contract: Mapping) -> str:
-        state, rid = self._read(), f"REL-{content_hash(contract)[:16]}"
-        if rid not in state["releases"]:
-            df.write.mode("overwrite").parquet(str(self.folder / rid))
-            state["releases"][rid] = {"status": "prepared", "contract": content_hash(contract)}
-            self._write(state)
-        return rid
-
-    def approve(self, rid: str, actor: str) -> None:
-        state = self._read()
-        if state["releases"][rid]["status"] == "prepared":
-            state["releases"][rid] |= {"status": "approved", "approved_by": actor}
-            self._write(state)
-
-    def activate(self, rid: str) -> None:
-        state = self._read()
-        if state["releases"][rid]["status"] not in ("approved", "active"):
-            raise ValueError(f"{rid} isn't approved")
-        if state["active"] != rid:
-            if state["active"]:
-                state["history"].append(state["active"])
-                state["releases"][state["active"]]["status"] = "approved"
-            state["active"] = rid
-            state["releases"][rid]["status"] = "active"
-            self._write(state)
-
-    def rollback(self) -> str:
-        state = self._read()
-        if not state["history"]:
-            raise ValueError("there is no earlier release")
-        last = state["history"].pop()
-        state["releases"][state["active"]]["status"] = "approved"
-        state["releases"][last]["status"] = "active"
-        state["active"] = last
-        self._write(state)
-        return last
-
-    @property
-    def active(self) -> str | None:
-        return self._read()["active"]
-
-    def backup(self, rid: str) -> str:
-        """A copy of the release's entry; its folder never changes, so it needs none."""
-        target = self.folder / f"{rid}.backup.json"
-        target.write_text(json.dumps(self._read()["releases"][rid], sort_keys=True))
-        return str(target)
-
-
 class Metrics:
     """Counters and timings of a process, as the metrics page shows them."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from semforge.functions import ids
 from semforge.functions.iri import EX, OWL, TYPE
 from semforge.operators import contracts, gates, rules, validation
+from semforge.operators.releases import Releases
 from semforge.operators.versions import Versions, diff
 from semforge.pipeline import run_dag
 from semforge.plans.semantics import quads
@@ -269,6 +270,19 @@ def n6(spark, sf):
     return _many(spark, "step int, event string, active string", out)
 
 
+@register("N6_release_rows", "SELECT 'activated' AS step, n_nationkey, n_name FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'rolled_back', n_nationkey, n_name FROM nation")
+def n6_rows(spark, sf):
+    """Two releases of nation, approved and activated one after the other; what is published then, and after the rollback."""
+    r, nation = Releases(spark, new_folder(spark, "releases")), t(spark, sf, "nation")
+    for rows in (nation, nation.filter("n_regionkey <> 1")):
+        name = r.prepare(rows, {"table": "nation"})
+        r.approve(name, "reviewer")
+        r.activate(name)
+    published = r.rows().select(F.lit("activated").alias("step"), "n_nationkey", "n_name")
+    r.rollback()
+    return published.unionByName(r.rows().select(F.lit("rolled_back").alias("step"), "n_nationkey", "n_name"))
+
+
 @register("N7_version_diff", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0 UNION ALL SELECT -c_custkey, 'added' FROM customer WHERE c_custkey BETWEEN 1 AND 10")
 def n7(spark, sf):
     """Two snapshots of versions of customer, read back and compared after the migration from one to the other."""

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from semforge.operators import cleaning, decisions, events, facts, gates, identity, rules, states
+from semforge.operators import cleaning, decisions, events, facts, gates, identity, releases, rules, states
+from semforge.storage import new_folder
 
 T = lambda s: dt.datetime.fromisoformat(s)
 STATE = "subject_key string, fact_id string, to_state string, event_type string, mapped boolean, effective_at timestamp, recorded_at timestamp, source_row_id string"
@@ -193,15 +194,26 @@ def test_review_gate_and_ledger(spark):
     assert gates.record_once(receipts, ok.select("request_key")).count() == 2 == gates.record_once(gates.record_once(receipts, ok.select("request_key")), ok.select("request_key")).count()
 
 
-def test_releases(spark, tmp_path):
-    r = gates.Releases(str(tmp_path))
-    df = spark.range(3)
-    a, b = r.prepare(df, {"v": 1}), r.prepare(df, {"v": 2})
-    with pytest.raises(ValueError):
-        r.activate(a)
+def test_releases(spark):
+    folder = new_folder(spark, "releases")
+    r = releases.Releases(spark, folder)
+    df, other = spark.range(3), spark.range(5)
+    with pytest.raises(releases.ReleaseError):
+        r.rows()
+    a, b = r.prepare(df, {"v": 1}), r.prepare(other, {"v": 1})
+    assert r.prepare(df.repartition(2), {"v": 1}) == a != r.prepare(df, {"v": 2})
+    for x in (a, "REL-none"):
+        with pytest.raises(releases.ReleaseError):
+            r.activate(x)
     for x in (a, b):
         r.approve(x, "me")
         r.activate(x)
-    assert r.active == b and r.rollback() == a and r.active == a
-    with pytest.raises(ValueError):
+        r.activate(x)
+    assert r.active == b and r.rows().count() == 5 and r.rollback() == a and r.active == a and r.rows().count() == 3
+    with pytest.raises(releases.ReleaseError):
         r.rollback()
+    assert [(x.event, x.release) for x in releases.Releases(spark, folder).ledger.orderBy("seq").collect() if x.event not in ("prepared", "approved")] == [("activated", a), ("backed_up", a), ("activated", b), ("rolled_back", a)]
+    df.limit(1).write.mode("overwrite").parquet(f"{folder}/{b}")
+    with pytest.raises(releases.ReleaseError, match="changed"):
+        r.activate(b)
+    assert r.active == a
