@@ -38,8 +38,9 @@ WORD = "[\u0800-\U0010ffff]|[^ \u0800-\U0010ffff]+"
 SCALES = ((18, 12, 10, 1 << 40), (15, 10, 4, 192), (12, 9, 3, 112), (9, 6, 4, 64))
 #: Items are matched in blocks of this many bytes of text, and a pass over the documents takes so many blocks: what is broadcast is bounded.
 BLOCK_BYTES, PASS_BLOCKS = 1 << 20, 64
-#: Collisions whose distances are computed at once, and the most words of 64 characters of an item for that; longer ones go one by one.
-LANES, WORDS = 1 << 12, 16
+#: Collisions whose distances are computed at once, and the most words of 64 characters of an item for that; longer ones go one by one, as
+#: do those of which there are too few, for each word, to be worth arrays.
+LANES, WORDS, FEW = 1 << 12, 16, 8
 #: Bytes before and after a walk's start whose trigrams are compared, and how far they may have moved within them.
 BEFORE, AFTER, DRIFT = 24, 56, 10
 #: Bytes of text that are searched at once; those over which each of several blocks is taken; and walks that are made at once.
@@ -432,14 +433,15 @@ class Tables:
         row, k, lo, hi = row[keep], k[keep], lo[keep], hi[keep]
         d, end = self.most[k] + 1, np.zeros(len(k), np.int64)
         order = np.lexsort((lo - hi, self.words[k]))
-        long = self.words[k[order]] > WORDS
         after = np.r_[at, len(plain)]
-        for x in order[long].tolist():
-            stretch = plain[after[lo[x]] : after[hi[x]]].tobytes().decode("utf-8", "replace")
-            d[x], end[x] = distance(self.items[k[x]][2], stretch, int(self.most[k[x]]))
-        order = order[~long]
         cuts = np.flatnonzero(np.diff(self.words[k[order]])) + 1
         for part in np.split(order, cuts) if len(order) else ():
+            words = int(self.words[k[part[0]]])
+            if words > WORDS or len(part) <= FEW * words:
+                for x in part.tolist():
+                    stretch = plain[after[lo[x]] : after[hi[x]]].tobytes().decode("utf-8", "replace")
+                    d[x], end[x] = distance(self.items[k[x]][2], stretch, int(self.most[k[x]]))
+                continue
             for a in range(0, len(part), LANES):
                 x = part[a : a + LANES]
                 d[x], end[x] = self._distances(symbols, k[x], lo[x], hi[x], 0, self.length[k[x]], self.most[k[x]])
