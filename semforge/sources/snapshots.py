@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def snapshot_tables(tables: Mapping[str, DataFrame], target: str) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{target}/{name}")
             found = digest_of(spark.read.parquet(f"{target}/{name}")).first()
             rows.append((name, "captured", df.columns, found["rows"], found["digest"], None))
-        except Exception as e:
+        except (PySparkException, Py4JError) as e:
             rows.append((name, "failed", df.columns, None, None, f"{type(e).__name__}: {e}"[:500]))
     if spark is None:
         raise SourceError("a snapshot needs tables")
