@@ -80,7 +80,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY) -> DataFrame:
     Rows are numbered in the order of doc_id, nulls first, CRC-32 of the text and the hash of all columns; rows equal in these are
     interchangeable. A null text counts as an empty one. No row is dropped; an empty table stays empty.
     """
-    every = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    # Maps and variants have no hash of their own.
+    named = [(f, F.col("`" + f.name.replace("`", "``") + "`")) for f in docs.schema]
+    every = [F.to_json(F.struct(c)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else c for f, c in named]
     return _sharded(wrapped(docs, doc_id=F.col("doc_id"), crc=_crc(), tie=F.xxhash64(*every)), shards, key)
 
 
