@@ -222,14 +222,15 @@ def replay_states(facts: DataFrame, rules: Sequence[tuple] = TRANSITIONS, states
     scanned = ranged.mapInArrow(_prefixes(identity), T.StructType([*ranged.schema.fields, T.StructField("prefix", T.StringType())]))
     stored = cut_lineage(scanned.withColumn("id", F.monotonically_increasing_id()), "replay").withColumn("part", F.shiftrightunsigned("id", 33))
 
-    # One row for each subject of a task, of which only the first and the last matter: two rows for each task come to the driver.
-    own = stored.groupBy("part", "subject_key").agg(
-        F.min("id").alias("first"), F.max(F.struct("id", "prefix", "step")).alias("last"), F.min("effective_at").alias("head_time"), F.min(F.when(F.col("effective_at").isNotNull(), F.col("recorded_at"))).alias("head_all")
-    )
-    ends = own.groupBy("part").agg(F.min(F.struct("first", "subject_key", "head_time", "head_all")).alias("head"), F.max("last").alias("last"), F.max(F.struct("first", "subject_key")).alias("final"))
-    ends = ends.select("part", F.col("head.subject_key").alias("first_subject"), F.col("final.subject_key").alias("last_subject"), "head.head_time", "head.head_all", F.col("last.prefix").alias("prefix"), F.col("last.step").alias("step"))
-    heads = stored.join(F.broadcast(ends.select("part", F.col("first_subject").alias("subject_key"), "head_time")), ["part", "subject_key"]).filter(F.col("effective_at") > F.col("head_time"))
-    ends = ends.join(heads.groupBy("part").agg(F.min("recorded_at").alias("head_later")), "part", "left")
+    # One row for each task comes to the driver: its first and last subject, and what it has of the first.
+    first, last = F.min(F.struct("id", "subject_key")).alias("first"), F.max(F.struct("id", "subject_key", "prefix", "step")).alias("last")
+    ends = stored.groupBy("part").agg(first, last).select("part", F.col("first.subject_key").alias("first_subject"), F.col("last.subject_key").alias("last_subject"), "last.prefix", "last.step")
+    ends = cut_lineage(ends, "ends")
+    own = F.broadcast(ends.select(F.col("part").alias("p"), "first_subject"))
+    head = stored.join(own, (F.col("part") == F.col("p")) & F.col("subject_key").eqNullSafe(F.col("first_subject"))).filter("effective_at IS NOT NULL")
+    times = head.groupBy("part").agg(F.min("effective_at").alias("head_time"), F.min("recorded_at").alias("head_all"))
+    later = head.join(F.broadcast(times.select("part", "head_time")), "part").filter(F.col("effective_at") > F.col("head_time")).groupBy("part").agg(F.min("recorded_at").alias("head_later"))
+    ends = ends.join(times, "part", "left").join(later, "part", "left")
     parts = sorted((r.asDict() | {"tail": "".join(r["step"][ord(x) - 48] for x in r["prefix"])} for r in ends.collect()), key=lambda r: r["part"])
     last = {r["part"]: r["last_subject"] for r in parts}
     carried = [(part, entry, last[part], *ahead) for part, entry, *ahead in _carried(parts, identity)]
