@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from semforge.functions.iri import RDF, RDFS, SH, TYPE
 from semforge.rdf.turtle import parse
-from semforge.storage import cut_lineage
+from semforge.storage import cut_lineage, spread
 
 
 @dataclass
@@ -79,7 +79,8 @@ def validate_shapes(quads: DataFrame, shapes: list[Shape]) -> DataFrame:
     schema = "focus string, path string, code string, severity string, message string"
     if not shapes:
         return quads.sparkSession.createDataFrame([], schema)
-    triples = quads.select("subject", "predicate", "object_kind", "object", "datatype").distinct()
+    # Each statement goes to where its copies go before they are told apart, so that no task holds all that it read.
+    triples = spread(quads.select("subject", "predicate", "object_kind", "object", "datatype")).distinct()
     types = triples.filter(F.col("predicate") == TYPE).select("subject", F.col("object").alias("type"))
     number = F.explode(F.array_compact(F.array(*[F.when(F.col("type") == x.target, F.lit(k)) for k, x in enumerate(shapes)])))
     focus = types.filter(F.col("type").isin(*{x.target for x in shapes})).select("subject", number.alias("shape")).distinct()
