@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from semforge.functions.ids import stable_id
 from semforge.functions.iri import EX, PROV, SKOS, TYPE, XSD
+from semforge.storage import spread
 
 COLUMNS = ("graph", "subject", "predicate", "object_kind", "object", "datatype", "language")
 
@@ -106,6 +107,11 @@ def graph_counts(quads: DataFrame) -> DataFrame:
     return quads.groupBy("graph").agg(F.count("*").alias("statements"), F.countDistinct("subject").alias("resources"))
 
 
+def union_graph(*graphs: DataFrame) -> DataFrame:
+    """The statements of several graphs, each once."""
+    return spread(reduce(DataFrame.unionByName, [x.select("subject", "predicate", "object_kind", "object") for x in graphs])).distinct()
+
+
 def statements(quads: DataFrame, subject: str | None = None, predicate: str | None = None, limit: int = 100) -> DataFrame:
     """Statements that fit a pattern, in order."""
     out = quads if subject is None else quads.filter(F.col("subject") == subject)
