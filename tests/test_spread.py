@@ -4,7 +4,20 @@ import random
 
 from pyspark.sql import functions as F
 
-from semforge.operators import identity
+from semforge.functions.iri import EX, TYPE
+from semforge.operators import gates, identity
+from semforge.rdf import project, shapes
+from semforge.rdf.turtle import QUAD
+
+
+def statements_of(spark, n):
+    """n typed and named nodes, read by one task."""
+    k = spark.range(n, numPartitions=1).withColumn("k", F.col("id") % 50)
+    return project.objects(k, "g", F.concat(F.lit(f"{EX}node/"), "k"), "Node", {"displayName": "k"})
+
+
+def tasks_of(df):
+    return len({r[0] for r in df.select(F.spark_partition_id()).collect()})
 
 
 def test_common_key_is_compared_by_many_tasks(spark):
@@ -17,3 +30,47 @@ def test_common_key_is_compared_by_many_tasks(spark):
     assert sorted((r.left_schema, r.right_schema, r.site, r.asset, r.left_id, str(r.right_id)) for r in got) == want and len(want) > 2000
     assert len({r.task for r in got if r.site == "S"}) > 1
     assert identity.cross_system(d, left="A", right="C", block=20).count() == sum(x[:2] == ("A", "C") for x in want)
+
+
+def test_union_graph_is_told_apart_by_many_tasks(spark):
+    q = statements_of(spark, 400)
+    union = project.union_graph(q, q.withColumn("graph", F.lit("copy")))
+    assert union.count() == 100 and tasks_of(union) > 1
+
+
+def test_shapes_hold_no_statements_where_they_are_read(spark, monkeypatch):
+    """Below the exchange by which statements are dealt nothing is aggregated."""
+    plans, cut = [], shapes.cut_lineage
+
+    def spy(df, name="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(shapes, "cut_lineage", spy)
+    bad = spark.createDataFrame([("g", f"{EX}node/51", TYPE, "iri", f"{EX}Node", None, None)] * 2, QUAD)
+    shape = shapes.Shape(f"{EX}S", f"{EX}Node", properties=[shapes.Property(f"{EX}displayName", min_count=1, max_count=1)])
+    out = shapes.validate_shapes(statements_of(spark, 400).unionByName(bad), [shape]).collect()
+    assert [(r.focus, r.code) for r in out] == [(f"{EX}node/51", "minCount")]
+    lines = plans[0].splitlines()
+    dealt = [k for k, x in enumerate(lines) if "REPARTITION_BY_NUM" in x]
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    assert dealt
+    for k in dealt:
+        below = [x for j, x in enumerate(lines) if j > k and all(d > depth[k] for d in depth[k + 1 : j + 1])]
+        assert below and not any("Aggregate" in x for x in below)
+
+
+def test_reviews_are_judged_by_many_tasks(spark):
+    row = "request_key long, candidate_id long, decision string, note string, description string"
+    rows = [(k, k % 40, ("approve", "reject", "maybe")[k % 3], "n" if k % 2 else None, "d" if k % 5 else " ") for k in range(80)] + [(None, 1, "reject", "n", None), (90, None, "approve", "n", "d")]
+    reviews = spark.createDataFrame(rows, row).coalesce(1)
+    known = spark.range(39, numPartitions=1).selectExpr("id AS candidate_id", "IF(id % 7 = 0, 'done', 'pending') AS review_state", "IF(id % 4 = 0, 'fail', 'pass') AS validator_status")
+    judged = gates.judged_reviews(reviews, known, spark.createDataFrame([(3,), (3,), (8,)], "request_key long"))
+    got = {(r.request_key, r.candidate_id): r.reasons for r in judged.collect()}
+
+    def reasons(key, candidate, decision, note, description):
+        there, approve = candidate is not None and candidate < 39, decision == "approve"
+        faults = ((key in (3, 8), "ALREADY_RECORDED"), (not there, "UNKNOWN_CANDIDATE"), (not there or candidate % 7 == 0, "NOT_PENDING"), (decision == "maybe", "UNKNOWN_DECISION"), (approve and (not there or candidate % 4 == 0), "VALIDATION_FAILED"), (not approve and note is None, "NOTE_MISSING"), (approve and (description or " ") == " ", "DESCRIPTION_MISSING"))
+        return [name for fault, name in faults if fault]
+
+    assert got == {x[:2]: reasons(*x) for x in rows} and tasks_of(judged) > 1
