@@ -11,7 +11,7 @@ from semforge.operators import cleaning, gates, identity, knowledge, metadata, r
 from semforge.plans.semantics import _id_devices, quads
 from semforge.plans.tables import CANDIDATES, DEVICES, candidates, devices, t
 from semforge.rdf import project, sinks
-from semforge.rdf.closure import closure, inference_run, maintain, statement_id
+from semforge.rdf.closure import closure, inference_run, maintain, with_premises
 from semforge.rdf.store import store
 from semforge.registry import register
 from semforge.sources import files
@@ -344,11 +344,7 @@ def o11(spark, sf):
     """Every inferred statement with its rule, and its premises as text: the ids of the support are looked up among all statements."""
     q = quads(spark, sf)
     inferred, _ = closure(q)
-    columns = ["subject", "predicate", "object_kind", "object", "datatype", "language"]
-    texts = q.select(*columns).unionByName(inferred.select(*columns)).distinct().select(statement_id().alias("premise"), F.concat_ws(" ", "subject", "predicate", "object").alias("text"))
-    each = inferred.select("subject", "predicate", "object", "rule", "iteration", F.posexplode("support").alias("at", "premise"))
-    found = each.join(texts, "premise").groupBy("subject", "predicate", "object", "rule", "iteration").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
-    return found.select("subject", "predicate", "object", "rule", "iteration", F.array_join(F.transform("p", lambda x: x["text"]), "; ").alias("because"))
+    return with_premises(inferred, q).select("subject", "predicate", "object", "rule", "iteration", "because")
 
 
 _MOVED = f"""b(s, o) AS (SELECT concat('{EX}nation/', n_nationkey), concat('{EX}region/', n_regionkey) FROM nation UNION ALL SELECT concat('{EX}customer/', c_custkey), concat('{EX}nation/', CASE WHEN c_acctbal < 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END) FROM customer),

@@ -8,6 +8,7 @@ gave it first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from semforge.functions.iri import OWL, RDFS, TYPE
 from semforge.sources.snapshots import digest_of
-from semforge.storage import bucketed, cut_lineage
+from semforge.storage import bucketed, cut_lineage, spread
 
 ROUNDS = 256
 RULE_SET = "owl-rl-subset-1"
@@ -87,10 +88,20 @@ def _rules(known: DataFrame) -> DataFrame:
     return rows.filter(F.col("b").isNull() | (F.col("a") != F.col("b"))).groupBy("kind", "a", "b").agg(F.min("axiom").alias("axiom"))
 
 
-def _consequences(delta: DataFrame, every: DataFrame, rules: DataFrame) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame) -> DataFrame | None:
+    """What of ``right`` some row of ``left`` leads to by (m, p), or None if nothing does.
+
+    Many statements lead to few places, as all customers do to their nations. What is met is written, so that Spark knows its size: a few
+    rows go to the tasks of ``left``, whose common places would else be one task's each.
+    """
+    met = cut_lineage(right.join(cut_lineage(left.select("m", "p").distinct(), "ends"), ["m", "p"], "left_semi"), "met")
+    return met if met.limit(1).count() else None
+
+
+def _consequences(delta: DataFrame, every: DataFrame, rules: DataFrame, kept: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """What one rule makes of a statement of ``delta``, and of another of ``every`` where a rule takes two: each statement once.
 
-    ``rule`` and ``premises`` (statement ids: the data, then the axiom) are those of the least derivation. Classes are also taken from what
+    ``kept`` takes those that are asked for, by their ids, before several derivations of one are told apart. ``rule`` and ``premises`` (statement ids: the data, then the axiom) are those of the least derivation. Classes are also taken from what
     a rule about a predicate has just said; such chained derivations come after direct ones, so that none rests on itself.
     """
     s, p, o, a, b, kind = (F.col(x) for x in ("subject", "predicate", "object", "a", "b", "kind"))
@@ -113,16 +124,23 @@ def _consequences(delta: DataFrame, every: DataFrame, rules: DataFrame) -> DataF
     )
     classes, is_type = rules.filter(kind == "class"), (p == TYPE) & is_iri
     parts = [by_predicate]
-    for chained, rows in ((0, delta), (1, by_predicate)):
+    # A rule about a predicate can only give a class if it is of these.
+    gives_class = kind.isin("domain", "range") | (F.coalesce(b, a) == TYPE)
+    has = rules.agg(F.count_if(gives_class).alias("typing"), F.count_if(kind == "transitive").alias("chains")).first()
+    for chained, rows in ((0, delta), *(((1, by_predicate),) if has["typing"] else ())):
         typed = rows.filter(is_type).select("subject", "object", "id").join(classes, o == a)
         parts.append(derived(typed, F.lit("class"), F.array("id", "axiom"), chained, subject=s, predicate=F.lit(TYPE), object_kind=F.lit("iri"), object=b, datatype=none, language=none))
     chains = rules.filter(kind == "transitive").select(a.alias("predicate"), "axiom")
-    for first, second in ((delta, every), (every, delta)) if delta is not every else ((every, every),):
+    both = ((delta, every), (every, delta)) if delta is not every else ((every, every),)
+    for first, second in both if has["chains"] else ():
         left = first.filter(is_iri).join(chains, "predicate").select(s.alias("s"), p.alias("p"), o.alias("m"), F.col("id").alias("one"), "axiom")
         right = second.filter(is_iri).join(chains.select("predicate"), "predicate", "left_semi").select(s.alias("m"), p.alias("p"), o.alias("o"), F.col("id").alias("two"))
+        right = _met(left, right)
+        if right is None:
+            continue
         parts.append(derived(left.join(right, ["m", "p"]), F.lit("transitive"), F.array("one", "two", "axiom"), 0, subject=F.col("s"), predicate=F.col("p"), object_kind=F.lit("iri"), object=F.col("o"), datatype=none, language=none))
     least = F.min(F.struct("chained", "rule", "premises", *_STATEMENT)).alias("x")
-    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(least).select(*[F.col(f"x.{c}").alias(c) for c in _STATEMENT], "id", F.col("x.rule").alias("rule"), F.col("x.premises").alias("premises"))
+    return kept(reduce(DataFrame.unionByName, parts)).groupBy("id").agg(least).select(*[F.col(f"x.{c}").alias(c) for c in _STATEMENT], "id", F.col("x.rule").alias("rule"), F.col("x.premises").alias("premises"))
 
 
 def _unknown(candidates: DataFrame, tables: list[DataFrame]) -> DataFrame:
@@ -141,7 +159,8 @@ def _settle(tables: list[DataFrame], delta: DataFrame | None, first: int, max_it
         if rules is None:
             rules = cut_lineage(_rules(every), "rules")
         news = every if delta is None else delta.select(*_STATEMENT, "id")
-        new = bucketed(_unknown(_consequences(news, every, rules), tables).withColumn("iteration", F.lit(rounds)), "id")
+        before = list(tables)
+        new = bucketed(_consequences(news, every, rules, lambda x: _unknown(x, before)).withColumn("iteration", F.lit(rounds)), "id")
         count, schema = new.agg(F.count("*"), F.count_if(_is_schema())).first()
         if not count:
             return found, rounds
@@ -175,7 +194,26 @@ def closure(quads: DataFrame, max_iter: int = ROUNDS) -> tuple[DataFrame, int]:
 
 
 def _given(quads: DataFrame) -> DataFrame:
-    return bucketed(quads.select(*_STATEMENT).distinct().select(*_STATEMENT, statement_id().alias("id")), "id")
+    return bucketed(spread(quads.select(*_STATEMENT, statement_id().alias("id")), "id").distinct(), "id")
+
+
+def with_premises(inferred: DataFrame, quads: DataFrame) -> DataFrame:
+    """Adds ``because``: the premises of each inferred statement as text, in the order of its support, looked up by their ids.
+
+    Axioms, and what transitive statements lead to, are the premises of very many: the few that are asked for come to the tasks that ask.
+    """
+    text = F.concat_ws(" ", "subject", "predicate", "object")
+    given = spread(quads.select(*_STATEMENT)).distinct()
+    texts = given.unionByName(inferred.select(*_STATEMENT)).select(statement_id().alias("premise"), text.alias("text"))
+    support = F.col("support")
+    out = inferred.withColumns({"_one": F.get(support, F.lit(0)), "_two": F.when(F.size(support) > 2, F.get(support, F.lit(1))), "_axiom": F.element_at(support, -1)})
+    for name in ("_one", "_two", "_axiom"):
+        said = texts
+        if name != "_one":
+            asked = cut_lineage(out.filter(F.col(name).isNotNull()).select(F.col(name).alias("premise")).distinct(), "asked")
+            said = cut_lineage(texts.join(asked, "premise", "left_semi"), "said")
+        out = out.join(said.select(F.col("premise").alias(name), F.col("text").alias(f"{name}_text")), name, "left")
+    return out.withColumn("because", F.concat_ws("; ", "_one_text", "_two_text", "_axiom_text")).select(*inferred.columns, "because")
 
 
 def inference_run(quads: DataFrame, folder: str) -> tuple[DataFrame, bool]:
@@ -211,22 +249,24 @@ def maintain(quads: DataFrame, inferred: DataFrame, added: DataFrame, withdrawn:
     rules = cut_lineage(_rules(every), "rules")
     lost, delta = [bucketed(gone, "id")], gone
     for _ in range(max_iter):
-        reached = _consequences(delta, every, rules).select(*_STATEMENT, "id").join(old.select("id"), "id", "left_semi")
-        delta = bucketed(_unknown(reached, lost), "id")
+        before_ = list(lost)
+        reached = _consequences(delta, every, rules, lambda x: _unknown(x.join(old.select("id"), "id", "left_semi"), before_))
+        delta = bucketed(reached.select(*_STATEMENT, "id"), "id")
         if not delta.limit(1).count():
             break
         lost.append(delta)
     else:
         raise RuntimeError(f"no fixed point in {max_iter} rounds")
-    doubtful = reduce(DataFrame.unionByName, [x.select("id") for x in lost])
-    schema_lost = reduce(DataFrame.unionByName, [x.select(*_STATEMENT) for x in lost]).agg(F.count_if(_is_schema())).first()[0]
+    fallen = reduce(DataFrame.unionByName, [x.select(*_STATEMENT, "id") for x in lost])
+    doubtful = fallen.select("id")
+    schema_lost = fallen.agg(F.count_if(_is_schema())).first()[0]
     if schema_lost:
         return closure(now, max_iter)[0]
     kept = bucketed(old.join(doubtful, "id", "left_anti").join(now.select("id"), "id", "left_anti"), "id")
     tables = [now, kept]
     left = now.unionByName(kept.select(*now.columns))
     last = old.agg(F.coalesce(F.max("iteration"), F.lit(0))).first()[0] + 1
-    back = bucketed(_unknown(_consequences(left, left, rules).join(doubtful, "id", "left_semi"), tables).withColumn("iteration", F.lit(last)), "id")
+    back = bucketed(_consequences(left, left, rules, lambda x: _unknown(x.join(doubtful, "id", "left_semi"), tables)).withColumn("iteration", F.lit(last)), "id")
     found, _ = _settle([*tables, back], back.select(*now.columns).unionByName(come), last + 1, last + max_iter)
     return _as_inferred([kept, back, *found], now)
 

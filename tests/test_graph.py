@@ -156,6 +156,29 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def hub(spark, n):
+    """n nodes that are part of one of two places, which are part of a third; part of has an inverse and is transitive."""
+    schema = [(f"{EX}in", f"{RDFS}subPropertyOf", f"{EX}partOf"), (f"{EX}partOf", TYPE, f"{OWL}TransitiveProperty"), (f"{EX}partOf", f"{OWL}inverseOf", f"{EX}hasPart")]
+    data = [(f"{EX}n{k}", f"{EX}in", f"{EX}place{k % 2}") for k in range(n)] + [(f"{EX}place{k}", f"{EX}partOf", f"{EX}top") for k in range(2)]
+    return spark.createDataFrame([("g", s, p, "iri", o, None, None) for s, p, o in schema + data], QUAD)
+
+
+def test_a_common_place_is_no_tasks_own(spark, monkeypatch):
+    """All nodes lead to two places: only these rows are joined, and they come to where the nodes are."""
+    met, inner, lookups = [], closures._met, []
+    monkeypatch.setattr(closures, "_met", lambda a, b: met.append(inner(a, b)) or met[-1])
+    q = hub(spark, 200)
+    inferred, _ = closure(q)
+    assert inferred.count() == 200 * 4 + 2 and {2} <= {x.count() for x in met if x is not None} and None in met
+    cut = closures.cut_lineage
+    monkeypatch.setattr(closures, "cut_lineage", lambda df, name="step": lookups.append((name, cut(df, name))) or lookups[-1][1])
+    rows = closures.with_premises(inferred, q).collect()
+    assert len(rows) == 802 and [x.count() for n, x in lookups if n == "said"] == [2, 3]
+    why = {(r.subject, r.predicate, r.object): r.because.replace(EX, "").replace(OWL, "").replace(TYPE, "a") for r in rows}
+    assert why[f"{EX}n3", f"{EX}partOf", f"{EX}top"] == "n3 partOf place1; place1 partOf top; partOf a TransitiveProperty"
+    assert why[f"{EX}place1", f"{EX}hasPart", f"{EX}n3"] == "n3 partOf place1; partOf inverseOf hasPart"
+
+
 def test_stored_star_needs_no_exchange(spark, quads):
     """Patterns about one subject join and lose repeated statements within the buckets; rows are those of the quads themselves."""
     twice = quads.unionByName(quads.withColumn("graph", F.lit("h")))
