@@ -11,7 +11,7 @@ from semforge.operators import cleaning, gates, identity, knowledge, metadata, r
 from semforge.plans.semantics import _id_devices, quads
 from semforge.plans.tables import CANDIDATES, DEVICES, candidates, devices, t
 from semforge.rdf import project, sinks
-from semforge.rdf.closure import closure, inference_run, maintain, with_premises
+from semforge.rdf.closure import close, closure, inference_run, maintain_closed, with_premises
 from semforge.rdf.store import store
 from semforge.registry import register
 from semforge.sources import files
@@ -360,7 +360,7 @@ def o10_incremental(spark, sf):
         nation = F.concat(F.lit(f"{EX}nation/"), (F.col("c_nationkey") + shift) % 25)
         return project.to_quads(c, "source", F.concat(F.lit(f"{EX}customer/"), "c_custkey"), [project.iri(f"{EX}inNation", nation)])
 
-    return maintain(q, closure(q)[0], at(1), at(0)).filter(F.col("predicate") != TYPE).select("subject", "predicate", "object")
+    return maintain_closed(close(q), at(1), at(0)).inferred.filter(F.col("predicate") != TYPE).select("subject", "predicate", "object")
 
 
 @register("O10_inference_run", f"WITH {_EDGES}, e AS (SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d) SELECT o AS subject, '{EX}hasPart' AS predicate, s AS object, n AS reused FROM e, (VALUES (false), (true)) r(n)")

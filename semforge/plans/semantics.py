@@ -14,6 +14,7 @@ from semforge.rdf.shapes import Property, Shape, validate_shapes
 from semforge.rdf.turtle import QUAD
 from semforge.registry import register
 from semforge.sparql import select
+from semforge.storage import spread
 
 # Text functions
 
@@ -389,7 +390,7 @@ def quads(spark, sf):
     def node(kind, key):
         return F.concat(F.lit(f"{EX}{kind}/"), F.col(key))
 
-    r, n, c = t(spark, sf, "region"), t(spark, sf, "nation"), t(spark, sf, "customer")
+    r, n, c = t(spark, sf, "region"), t(spark, sf, "nation"), spread(t(spark, sf, "customer"), "c_custkey")
     rows = project.objects(r, "source", node("region", "r_regionkey"), "Region", {"displayName": "r_name"})
     rows = rows.unionByName(project.to_quads(n, "source", node("nation", "n_nationkey"), [project.iri(TYPE, F.lit(f"{EX}Nation")), project.literal(f"{EX}displayName", F.col("n_name")), project.iri(f"{EX}partOf", node("region", "n_regionkey"))]))
     rows = rows.unionByName(project.to_quads(c, "source", node("customer", "c_custkey"), [project.iri(TYPE, F.lit(f"{EX}Customer")), project.literal(f"{EX}displayName", F.col("c_name")), project.literal(f"{EX}balance", F.col("c_acctbal"), "decimal"), project.iri(f"{EX}inNation", node("nation", "c_nationkey"))]))

@@ -8,7 +8,8 @@ gave it first.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,39 @@ def _is_schema() -> Column:
     return (F.col("predicate").isin(*_KINDS) | ((F.col("predicate") == TYPE) & F.col("object").isin(_SYMMETRIC, _TRANSITIVE))) & (F.col("object_kind") == "iri")
 
 
+@dataclass(frozen=True)
+class _Rules:
+    """Rules as rows (kind, a, b, axiom); whether one about a predicate can give a class, and whether one chains statements."""
+
+    rows: DataFrame
+    typing: bool
+    chains: bool
+
+
+@dataclass(frozen=True)
+class Closed:
+    """A closure as it lies in buckets of ids: what was given, what the rounds added, and the number of the last."""
+
+    given: DataFrame
+    found: Sequence[DataFrame] = field(default_factory=list)
+    rounds: int = 0
+
+    @property
+    def inferred(self) -> DataFrame:
+        return _as_inferred(list(self.found), self.given)
+
+
+def _gives_class() -> Column:
+    """A rule about a predicate can only give a class if it is of these."""
+    return F.col("kind").isin("domain", "range") | (F.col("kind").isin("property", "inverse", "symmetric") & (F.coalesce("b", "a") == TYPE))
+
+
+def _kept_rules(known: DataFrame) -> _Rules:
+    rows = cut_lineage(_rules(known), "rules")
+    has = rows.agg(F.count_if(_gives_class()).alias("typing"), F.count_if(F.col("kind") == "transitive").alias("chains")).first()
+    return _Rules(rows, bool(has["typing"]), bool(has["chains"]))
+
+
 def _rules(known: DataFrame) -> DataFrame:
     """(kind, a, b, axiom) of what the schema says: of class a also b, of property a also b, and so on, by the statement ``axiom``."""
     rows = known.filter(_is_schema())
@@ -98,10 +132,10 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame | None:
     return met if met.limit(1).count() else None
 
 
-def _consequences(delta: DataFrame, every: DataFrame, rules: DataFrame, kept: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+def _consequences(delta: DataFrame, every: DataFrame, rules: _Rules, kept: Callable[[DataFrame], DataFrame] = lambda x: x, leads: bool = False) -> DataFrame:
     """What one rule makes of a statement of ``delta``, and of another of ``every`` where a rule takes two: each statement once.
 
-    ``kept`` takes those that are asked for, by their ids, before several derivations of one are told apart. ``rule`` and ``premises`` (statement ids: the data, then the axiom) are those of the least derivation. Classes are also taken from what
+    Where a rule takes two, that of ``delta`` is either of them; with ``leads`` it is the first. ``kept`` takes those that are asked for, by their ids, before several derivations of one are told apart. ``rule`` and ``premises`` (statement ids: the data, then the axiom) are those of the least derivation. Classes are also taken from what
     a rule about a predicate has just said; such chained derivations come after direct ones, so that none rests on itself.
     """
     s, p, o, a, b, kind = (F.col(x) for x in ("subject", "predicate", "object", "a", "b", "kind"))
@@ -112,7 +146,7 @@ def _consequences(delta: DataFrame, every: DataFrame, rules: DataFrame, kept: Ca
         return made.select(*_STATEMENT, statement_id().alias("id"), "rule", "premises", "chained")
 
     # One pass over what is new for the rules about its predicate, and one for those about its class.
-    hits = delta.join(rules.filter(kind.isin("property", "domain", "range", "inverse", "symmetric")), p == a).filter(kind.isin("property", "domain") | is_iri)
+    hits = delta.join(rules.rows.filter(kind.isin("property", "domain", "range", "inverse", "symmetric")), p == a).filter(kind.isin("property", "domain") | is_iri)
     by_predicate = derived(
         hits, kind, F.array("id", "axiom"), 0,
         subject=F.when(kind.isin("range", "inverse", "symmetric"), o).otherwise(s),
@@ -122,17 +156,16 @@ def _consequences(delta: DataFrame, every: DataFrame, rules: DataFrame, kept: Ca
         datatype=F.when(kind == "property", F.col("datatype")),
         language=F.when(kind == "property", F.col("language")),
     )
-    classes, is_type = rules.filter(kind == "class"), (p == TYPE) & is_iri
+    classes, is_type = rules.rows.filter(kind == "class"), (p == TYPE) & is_iri
     parts = [by_predicate]
-    # A rule about a predicate can only give a class if it is of these.
-    gives_class = kind.isin("domain", "range") | (F.coalesce(b, a) == TYPE)
-    has = rules.agg(F.count_if(gives_class).alias("typing"), F.count_if(kind == "transitive").alias("chains")).first()
-    for chained, rows in ((0, delta), *(((1, by_predicate),) if has["typing"] else ())):
+    for chained, rows in ((0, delta), *(((1, by_predicate),) if rules.typing else ())):
         typed = rows.filter(is_type).select("subject", "object", "id").join(classes, o == a)
         parts.append(derived(typed, F.lit("class"), F.array("id", "axiom"), chained, subject=s, predicate=F.lit(TYPE), object_kind=F.lit("iri"), object=b, datatype=none, language=none))
-    chains = rules.filter(kind == "transitive").select(a.alias("predicate"), "axiom")
-    both = ((delta, every), (every, delta)) if delta is not every else ((every, every),)
-    for first, second in both if has["chains"] else ():
+    chains = rules.rows.filter(kind == "transitive").select(a.alias("predicate"), "axiom")
+    both = ((delta, every),) if leads or delta is every else ((delta, every), (every, delta))
+    # Most rounds add nothing that chains, and needn't look at all that is known.
+    chain = rules.chains and delta.filter(is_iri).join(chains.select("predicate"), "predicate", "left_semi").limit(1).count()
+    for first, second in both if chain else ():
         left = first.filter(is_iri).join(chains, "predicate").select(s.alias("s"), p.alias("p"), o.alias("m"), F.col("id").alias("one"), "axiom")
         right = second.filter(is_iri).join(chains.select("predicate"), "predicate", "left_semi").select(s.alias("m"), p.alias("p"), o.alias("o"), F.col("id").alias("two"))
         right = _met(left, right)
@@ -148,16 +181,16 @@ def _unknown(candidates: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda rows, t: rows.join(t.select("id"), "id", "left_anti"), tables, candidates)
 
 
-def _settle(tables: list[DataFrame], delta: DataFrame | None, first: int, max_iter: int) -> tuple[list[DataFrame], int]:
+def _settle(tables: list[DataFrame], delta: DataFrame | None, first: int, max_iter: int, rules: _Rules | None = None) -> tuple[list[DataFrame], int]:
     """Rounds until nothing is added: each one's new statements with their iteration, and the number of the last round.
 
-    ``delta`` is what is new to the first round, None if that is everything.
+    ``delta`` is what is new to the first round, None if that is everything; ``rules`` are those of the tables, None if they aren't known.
     """
-    found, tables, rules = [], list(tables), None
+    found, tables = [], list(tables)
     for rounds in range(first, max_iter + 1):
         every = reduce(DataFrame.unionByName, [t.select(*_STATEMENT, "id") for t in tables])
         if rules is None:
-            rules = cut_lineage(_rules(every), "rules")
+            rules = _kept_rules(every)
         news = every if delta is None else delta.select(*_STATEMENT, "id")
         before = list(tables)
         new = bucketed(_consequences(news, every, rules, lambda x: _unknown(x, before)).withColumn("iteration", F.lit(rounds)), "id")
@@ -188,9 +221,14 @@ def closure(quads: DataFrame, max_iter: int = ROUNDS) -> tuple[DataFrame, int]:
     one or two statements, then the axiom. ``rounds`` counts the last one, that adds nothing. Statements that haven't settled in
     ``max_iter`` rounds are an error, never a closure that is cut.
     """
+    closed = close(quads, max_iter)
+    return closed.inferred, closed.rounds
+
+
+def close(quads: DataFrame, max_iter: int = ROUNDS) -> Closed:
+    """The closure with its tables, from which ``maintain_closed`` goes on without writing or hashing them again."""
     base = _given(quads)
-    found, rounds = _settle([base], None, 1, max_iter)
-    return _as_inferred(found, base), rounds
+    return Closed(base, *_settle([base], None, 1, max_iter))
 
 
 def _given(quads: DataFrame) -> DataFrame:
@@ -231,44 +269,83 @@ def inference_run(quads: DataFrame, folder: str) -> tuple[DataFrame, bool]:
 
 
 def maintain(quads: DataFrame, inferred: DataFrame, added: DataFrame, withdrawn: DataFrame, max_iter: int = ROUNDS) -> DataFrame:
+    """The closure after some statements came and others went, from the one before: see ``maintain_closed``.
+
+    ``quads`` and ``inferred`` are as they were, ``added`` and ``withdrawn`` quads; what is in both stays or comes.
+    """
+    old = bucketed(inferred.select(*_STATEMENT, statement_id().alias("id"), "rule", F.col("support").alias("premises"), "iteration"), "id")
+    last = old.agg(F.coalesce(F.max("iteration"), F.lit(0))).first()[0]
+    return maintain_closed(Closed(_given(quads), [old], last), added, withdrawn, max_iter).inferred
+
+
+def _premises(wanted: DataFrame, tables: list[DataFrame], rules: _Rules) -> DataFrame:
+    """The statements of ``tables`` of which one rule may make a statement of ``wanted``: where it takes two, the first.
+
+    What one statement follows from by most rules is itself a statement that one can name, so it is asked for by its id where it lies.
+    Of domains and ranges all premises are taken, and so are IRIs with a datatype or a language, that no rule keeps.
+    """
+    s, p, o, a, b, kind = (F.col(x) for x in ("subject", "predicate", "object", "a", "b", "kind"))
+    is_iri, none, columns = F.col("object_kind") == "iri", F.lit(None).cast("string"), [*_STATEMENT, "id"]
+    same = kind == "property"
+    by_predicate = wanted.join(rules.rows.filter(kind.isin("property", "inverse", "symmetric")).withColumn("to", F.coalesce(b, a)), p == F.col("to")).filter(same | is_iri)
+    asked = by_predicate.select(F.when(same, s).otherwise(o).alias("subject"), a.alias("predicate"), "object_kind", F.when(same, o).otherwise(s).alias("object"), "datatype", "language")
+    by_class = wanted.filter((p == TYPE) & is_iri).join(rules.rows.filter(kind == "class"), o == b)
+    asked = asked.unionByName(by_class.select("subject", "predicate", "object_kind", a.alias("object"), none.alias("datatype"), none.alias("language")))
+    asked = cut_lineage(asked.select(statement_id().alias("id")).distinct(), "asked")
+    parts = [t.select(*columns).join(asked, "id", "left_semi") for t in tables]
+    every = reduce(DataFrame.unionByName, [t.select(*columns) for t in tables])
+    parts.append(every.filter(is_iri & (F.col("datatype").isNotNull() | F.col("language").isNotNull())))
+    if rules.typing:
+        parts.append(every.join(rules.rows.filter(_gives_class()).select(a.alias("predicate")), "predicate", "left_semi").select(*columns))
+    if rules.chains:
+        chains = rules.rows.filter(kind == "transitive").select(a.alias("predicate"))
+        starts = cut_lineage(wanted.join(chains, "predicate", "left_semi").select("subject", "predicate").distinct(), "starts")
+        parts.append(every.filter(is_iri).join(chains, "predicate", "left_semi").join(starts, ["subject", "predicate"], "left_semi").select(*columns))
+    return cut_lineage(reduce(DataFrame.unionByName, parts), "premises")
+
+
+def maintain_closed(closed: Closed, added: DataFrame, withdrawn: DataFrame, max_iter: int = ROUNDS) -> Closed:
     """The closure after some statements came and others went, from the one before: delete and rederive.
 
-    ``quads`` and ``inferred`` are as they were, ``added`` and ``withdrawn`` quads; what is in both stays or comes. All that rests on a
-    withdrawn statement goes first; what has another derivation left comes back in one pass over what is left, and only from there and
-    from what was added do rounds go on. A change of the schema concerns all data and is computed anew. Iterations of statements that come
-    back are counted on from those before.
+    All that rests on a withdrawn statement goes first; what has another derivation left comes back in one pass over its premises, and only
+    from there and from what was added do rounds go on. Of what stays nothing is moved. A change of the schema concerns all data and is
+    computed anew. Iterations of statements that come back are counted on from those before.
     """
-    before, gone, come = _given(quads), _given(withdrawn), _given(added)
-    gone = gone.join(come.select("id"), "id", "left_anti").join(before.select("id"), "id", "left_semi")
-    now = bucketed(before.join(gone.select("id"), "id", "left_anti").unionByName(come.join(before.select("id"), "id", "left_anti")), "id")
+    before, gone, come = closed.given, _given(withdrawn), _given(added)
+    gone = bucketed(gone.join(come.select("id"), "id", "left_anti").join(before.select("id"), "id", "left_semi"), "id")
+    stay = bucketed(before.join(gone.select("id"), "id", "left_anti"), "id")
+    fresh = bucketed(come.join(before.select("id"), "id", "left_anti"), "id")
     changed = gone.unionByName(come).agg(F.count_if(_is_schema())).first()[0]
     if changed:
-        return closure(now, max_iter)[0]
-    old = bucketed(inferred.select(*_STATEMENT, statement_id().alias("id"), "rule", F.col("support").alias("premises"), "iteration"), "id")
-    every = before.unionByName(old.select(*before.columns))
-    rules = cut_lineage(_rules(every), "rules")
-    lost, delta = [bucketed(gone, "id")], gone
+        return close(stay.unionByName(fresh), max_iter)
+    every = reduce(DataFrame.unionByName, [t.select(*before.columns) for t in (before, *closed.found)])
+    rules = _kept_rules(every)
+    lost, delta, schema_lost = [gone], gone, 0
     for _ in range(max_iter):
-        before_ = list(lost)
-        reached = _consequences(delta, every, rules, lambda x: _unknown(x.join(old.select("id"), "id", "left_semi"), before_))
-        delta = bucketed(reached.select(*_STATEMENT, "id"), "id")
-        if not delta.limit(1).count():
+        # All that follows is known; what was given and stays doesn't fall.
+        out = [before, *lost[1:]]
+        reached = _consequences(delta, every, rules, lambda x: _unknown(x, out))
+        delta = bucketed(reached.select(*before.columns), "id")
+        count, schema = delta.agg(F.count("*"), F.count_if(_is_schema())).first()
+        if not count:
             break
+        schema_lost += schema
         lost.append(delta)
     else:
         raise RuntimeError(f"no fixed point in {max_iter} rounds")
-    fallen = reduce(DataFrame.unionByName, [x.select(*_STATEMENT, "id") for x in lost])
-    doubtful = fallen.select("id")
-    schema_lost = fallen.agg(F.count_if(_is_schema())).first()[0]
     if schema_lost:
-        return closure(now, max_iter)[0]
-    kept = bucketed(old.join(doubtful, "id", "left_anti").join(now.select("id"), "id", "left_anti"), "id")
-    tables = [now, kept]
-    left = now.unionByName(kept.select(*now.columns))
-    last = old.agg(F.coalesce(F.max("iteration"), F.lit(0))).first()[0] + 1
-    back = bucketed(_consequences(left, left, rules, lambda x: _unknown(x.join(doubtful, "id", "left_semi"), tables)).withColumn("iteration", F.lit(last)), "id")
-    found, _ = _settle([*tables, back], back.select(*now.columns).unionByName(come), last + 1, last + max_iter)
-    return _as_inferred([kept, back, *found], now)
+        return close(stay.unionByName(fresh), max_iter)
+    doubtful = bucketed(reduce(DataFrame.unionByName, lost), "id")
+    tables = [stay, fresh]
+    kept = [bucketed(_unknown(t, [doubtful, fresh]), "id") for t in closed.found]
+    tables += kept
+    left = reduce(DataFrame.unionByName, [t.select(*before.columns) for t in tables])
+    last = closed.rounds + 1
+    back = _consequences(_premises(doubtful, tables, rules), left, rules, lambda x: _unknown(x.join(doubtful.select("id"), "id", "left_semi"), tables), leads=True)
+    back = bucketed(back.withColumn("iteration", F.lit(last)), "id")
+    found, rounds = _settle([*tables, back], back.select(*before.columns).unionByName(come), last + 1, last + max_iter, rules)
+    given = stay.unionByName(fresh)
+    return Closed(given, [*kept, back, *found], rounds)
 
 
 def with_inferred(quads: DataFrame, inferred: DataFrame, graph: str = "inferred") -> DataFrame:

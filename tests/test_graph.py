@@ -152,6 +152,20 @@ def test_maintained_closure(spark, seed):
     check_derivations(after, got)
 
 
+def test_a_small_change_looks_at_few_statements(spark, monkeypatch):
+    """Two nodes move among many: no round starts from more than what hangs on them."""
+    q, inner, started = hub(spark, 60), closures._consequences, []
+    closed = closures.close(q)
+    at, to = (spark.createDataFrame([("g", f"{EX}n{k}", f"{EX}in", "iri", f"{EX}place{p}", None, None) for k in (2, 4)], QUAD) for p in (0, 1))
+    monkeypatch.setattr(closures, "_consequences", lambda delta, *more, **named: started.append(delta.count()) or inner(delta, *more, **named))
+    got = closures.maintain_closed(closed, to, at).inferred.select("subject", "predicate", "object").collect()
+    assert len(started) > 5 and max(started) < 20
+    where = {f"{EX}n{k}": f"{EX}place{1 if k in (2, 4) else k % 2}" for k in range(60)}
+    paths = [*where.items(), *((n, f"{EX}top") for n in where)]
+    want = [(n, f"{EX}partOf", x) for n, x in paths] + [(x, f"{EX}hasPart", n) for n, x in [*paths, *((f"{EX}place{k}", f"{EX}top") for k in range(2))]]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
