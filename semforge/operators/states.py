@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,20 +151,40 @@ def _prefixes(identity: str):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        composed: dict[tuple[str, str], str] = {}
-        running, subject, begun = identity, None, False
+        # Maps and steps are few: each has a number, and what follows on a map by a step is worked out once.
+        maps, numbers, steps, after = [identity], {identity: 0}, {}, [{}]
+
+        def number(x: str) -> int:
+            if x not in numbers:
+                numbers[x] = len(maps)
+                maps.append(x)
+                after.append({})
+            return numbers[x]
+
+        fresh, running, subject, begun = number(identity[0] * len(identity)), 0, None, False
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, coded = batch.column("subject_key"), batch.column("step").dictionary_encode()
+            named = [steps.setdefault(x, len(steps)) for x in coded.dictionary.to_pylist()]
+            texts = list(steps)
+            # Nulls are one subject, as they are one where the states are grouped.
+            same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False)
+            alike = pc.or_(same, pc.and_(pc.is_null(keys[1:]), pc.is_null(keys[:-1])))
+            starts = [begun and keys[0].as_py() != subject, *pc.invert(alike).to_pylist()]
             out = []
-            for key, step in zip(batch.column("subject_key").to_pylist(), batch.column("step").to_pylist(), strict=True):
-                if begun and key != subject:
-                    running = identity[0] * len(identity)
-                subject, begun = key, True
+            for new, code in zip(starts, coded.indices.to_pylist(), strict=True):
+                if new:
+                    running = fresh
                 out.append(running)
-                after = composed.get((running, step))
-                if after is None:
-                    after = composed[running, step] = "".join(step[ord(x) - 48] for x in running)
-                running = after
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "prefix"])
+                step = named[code]
+                following = after[running].get(step)
+                if following is None:
+                    following = after[running][step] = number("".join(texts[step][ord(x) - 48] for x in maps[running]))
+                running = following
+            subject, begun = keys[-1].as_py(), True
+            prefixes = pa.array(maps, pa.string()).take(pa.array(out, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, prefixes], [*batch.schema.names, "prefix"])
 
     return run
 
@@ -223,11 +244,15 @@ def replay_states(facts: DataFrame, rules: Sequence[tuple] = TRANSITIONS, states
     stored = cut_lineage(scanned.withColumn("id", F.monotonically_increasing_id()), "replay").withColumn("part", F.shiftrightunsigned("id", 33))
 
     # One row for each task comes to the driver: its first and last subject, and what it has of the first.
-    first, last = F.min(F.struct("id", "subject_key")).alias("first"), F.max(F.struct("id", "subject_key", "prefix", "step")).alias("last")
-    ends = stored.groupBy("part").agg(first, last).select("part", F.col("first.subject_key").alias("first_subject"), F.col("last.subject_key").alias("last_subject"), "last.prefix", "last.step")
-    ends = cut_lineage(ends, "ends")
+    bounds = cut_lineage(stored.groupBy("part").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")), "bounds")
+    at = F.broadcast(bounds.select(F.explode(F.array_distinct(F.array("first_id", "last_id"))).alias("id")))
+    marks = cut_lineage(stored.join(at, "id").select("id", "subject_key", "prefix", "step"), "marks")
+    first = marks.select(F.col("id").alias("first_id"), F.col("subject_key").alias("first_subject"))
+    last = marks.select(F.col("id").alias("last_id"), F.col("subject_key").alias("last_subject"), "prefix", "step")
+    ends = cut_lineage(bounds.join(first, "first_id").join(last, "last_id").select("part", "first_subject", "last_subject", "prefix", "step"), "ends")
     own = F.broadcast(ends.select(F.col("part").alias("p"), "first_subject"))
     head = stored.join(own, (F.col("part") == F.col("p")) & F.col("subject_key").eqNullSafe(F.col("first_subject"))).filter("effective_at IS NOT NULL")
+    head = cut_lineage(head.select("part", *ORDER), "head")
     times = head.groupBy("part").agg(F.min("effective_at").alias("head_time"), F.min("recorded_at").alias("head_all"))
     later = head.join(F.broadcast(times.select("part", "head_time")), "part").filter(F.col("effective_at") > F.col("head_time")).groupBy("part").agg(F.min("recorded_at").alias("head_later"))
     ends = ends.join(times, "part", "left").join(later, "part", "left")

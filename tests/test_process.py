@@ -217,3 +217,12 @@ def test_releases(spark):
     with pytest.raises(releases.ReleaseError, match="changed"):
         r.activate(b)
     assert r.active == a
+
+
+def test_ends_of_tasks_sort_no_facts(spark, replayed, monkeypatch):
+    """What tasks tell of their first and last subjects is read by hash aggregates and lookups: facts aren't sorted for it again."""
+    plans, cut = [], states.cut_lineage
+    monkeypatch.setattr(states, "cut_lineage", lambda df, name="step": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or cut(df, name))
+    states.replay_states(replayed)
+    assert len(plans) > 1 and not any("SortAggregate" in x or "Sort [" in x for name, x in plans if name != "replay" and name != "ends")
+    assert "ends" not in dict(plans) or "Aggregate" not in dict(plans)["ends"]
