@@ -32,6 +32,31 @@ def test_common_key_is_compared_by_many_tasks(spark):
     assert identity.cross_system(d, left="A", right="C", block=20).count() == sum(x[:2] == ("A", "C") for x in want)
 
 
+def rows_joined(df):
+    """How many rows the last join of a plan gave when it ran."""
+    df._jdf.queryExecution().toRdd().count()
+    node = df._jdf.queryExecution().executedPlan()
+    while "Join" not in node.nodeName():
+        kind = node.getClass().getSimpleName()
+        node = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else node.children().head()
+    return node.metrics().get("numOutputRows").get().value()
+
+
+def test_pairs_are_not_joined_one_by_one(spark):
+    """A device meets a schema's ids at once; pairs come from there, and those whose schemas are out of order are never made."""
+    d = spark.range(120).selectExpr("substr('ABC', int(id % 3) + 1, 1) AS source_schema", "'S' AS site", "'1' AS asset", "concat('d', id) AS device_id")
+    pairs = identity.cross_system(d, block=60)
+    assert pairs.count() == pairs.distinct().count() == 3 * 40 * 40
+    assert rows_joined(pairs) <= 3 * 40 * 2
+
+
+def test_copies_of_a_device_are_compared_by_many_tasks(spark):
+    rows = [("A", "S", "1", "x")] * 95 + [("B", "S", "1", "y")] * 90 + [("B", "S", "1", None)] * 25
+    pairs = identity.cross_system(spark.createDataFrame(rows, "source_schema string, site string, asset string, device_id string"), block=10)
+    got = {(r.left_id, r.right_id): r["count"] for r in pairs.groupBy("left_id", "right_id").count().collect()}
+    assert got == {("x", "y"): 95 * 90, ("x", None): 95 * 25} and tasks_of(pairs) > 1
+
+
 def test_union_graph_is_told_apart_by_many_tasks(spark):
     q = statements_of(spark, 400)
     union = project.union_graph(q, q.withColumn("graph", F.lit("copy")))
